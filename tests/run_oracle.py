@@ -1,0 +1,35 @@
+"""CLI: python tests/run_oracle.py [sf_dir] [name ...] -> one line per query."""
+
+import json
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import __spark_entry__ as E  # noqa: E402
+from oracle_check import compare, duck  # noqa: E402
+from tillbook.session import local_session  # noqa: E402
+
+sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+names = sys.argv[2:] or list(E.queries())
+spark = local_session()
+con = duck(sf_dir)
+oracle = E.oracle_sql()
+bad = 0
+for name in names:
+    t = time.time()
+    fn = E.queries()[name]
+    if name not in oracle:
+        n = fn(spark, sf_dir).count()
+        print(json.dumps({"query": name, "rows_only": n, "sec": round(time.time() - t, 2)}))
+        continue
+    try:
+        res = compare(spark, con, name, fn, oracle[name], sf_dir)
+    except Exception as exc:  # report and go on
+        res = {"query": name, "error": repr(exc)[:600]}
+    res["sec"] = round(time.time() - t, 2)
+    bad += not res.get("values_match", False)
+    print(json.dumps(res, default=str))
+print("FAILED" if bad else "ALL OK", bad)

@@ -1,0 +1,25 @@
+"""Size-checked broadcast.
+
+A broadcast hint bypasses Spark's own size estimate, so we only give it to a
+frame whose row count has been proven small. The proof is a bounded action,
+``limit(n + 1).count()``, which stops reading after n + 1 rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables of a ledger (wallets, categories, tags) hold id + short
+# text; a million such rows is a few tens of MB on every executor.
+DIM_MAX_ROWS = 1_000_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when df has at most ``max_rows`` rows, else df as is
+    (the planner then picks a shuffle join, or AQE converts it at run time)."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
