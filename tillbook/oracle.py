@@ -131,3 +131,89 @@ SELECT
     )
   )) AS VARCHAR) AS income
 """, summary=True)
+
+# ---- listings -------------------------------------------------------------
+
+ORACLE["exp_index"] = _with("""
+SELECT id, amount, strftime(date, '%Y-%m-%d') AS date, description FROM expense
+WHERE date >= DATE '1995-01-01' AND date <= DATE '1996-12-31'
+ORDER BY id LIMIT 100 OFFSET 20
+""")
+
+ORACLE["exp_index_deep"] = _with("""
+SELECT id, amount, strftime(date, '%Y-%m-%d') AS date, description FROM expense
+ORDER BY id LIMIT 100 OFFSET 10000
+""")
+
+ORACLE["exp_index_keyset"] = _with("""
+SELECT id, amount, strftime(date, '%Y-%m-%d') AS date, description FROM expense
+WHERE id > 7000 ORDER BY id LIMIT 100
+""")
+
+ORACLE["inc_index"] = _with("""
+SELECT id, amount, strftime(date, '%Y-%m-%d') AS date, description FROM income
+WHERE date >= DATE '1996-01-01'
+ORDER BY id LIMIT 100 OFFSET 50
+""")
+
+ORACLE["cat_list"] = _with("""
+SELECT id, name, pos FROM (
+  SELECT id, name, ROW_NUMBER() OVER (ORDER BY LOWER(name), name, id) - 1 AS pos FROM category
+) WHERE pos >= 5 AND pos < 15
+""")
+
+ORACLE["wallet_list"] = _with("""
+SELECT id, name, pos FROM (
+  SELECT id, name, ROW_NUMBER() OVER (ORDER BY LOWER(name), name, id) - 1 AS pos FROM wallet
+) WHERE pos >= 3 AND pos < 8
+""")
+
+ORACLE["tag_list"] = _with("""
+SELECT id, name, is_important, pos FROM (
+  SELECT id, name, is_important,
+         ROW_NUMBER() OVER (ORDER BY CASE WHEN is_important IS TRUE THEN 0 ELSE 1 END, LOWER(name), name, id) - 1 AS pos
+  FROM tag
+) WHERE pos >= 10 AND pos < 30
+""")
+
+ORACLE["tag_list_important"] = _with("""
+SELECT id, name, is_important, pos FROM (
+  SELECT id, name, is_important, ROW_NUMBER() OVER (ORDER BY LOWER(name), name, id) - 1 AS pos
+  FROM tag WHERE is_important = TRUE
+) WHERE pos < 100
+""")
+
+ORACLE["parent_tree"] = _with("""
+SELECT pc.id, pc.name,
+       COALESCE(CAST(to_json((SELECT list(struct_pack(id := c.id, name := c.name) ORDER BY LOWER(c.name), c.name, c.id)
+                              FROM category c WHERE c.parent_category_id = pc.id)) AS VARCHAR), '[]') AS categories,
+       pc.pos
+FROM (SELECT id, name, ROW_NUMBER() OVER (ORDER BY name, id) - 1 AS pos FROM parent_category) pc
+WHERE pc.pos >= 1 AND pc.pos < 5
+""")
+
+_EXPENSE_DETAIL = """
+SELECT e.id, e.amount, strftime(e.date, '%Y-%m-%d') AS date, e.description, e.priority,
+       CAST(to_json(struct_pack(id := c.id, name := c.name)) AS VARCHAR) AS category,
+       CAST(to_json(struct_pack(id := w.id, name := w.name)) AS VARCHAR) AS wallet,
+       COALESCE(CAST(to_json(list(struct_pack(id := t.id, name := t.name, isImportant := t.is_important)
+                                  ORDER BY CASE WHEN t.is_important IS TRUE THEN 0 ELSE 1 END, t.name, t.id)
+                             FILTER (WHERE t.id IS NOT NULL)) AS VARCHAR), '[]') AS tags
+FROM expense e
+JOIN category c ON e.category_id = c.id
+JOIN wallet w ON e.wallet_id = w.id
+LEFT JOIN expense_tag et ON e.id = et.expense_id
+LEFT JOIN tag t ON et.tag_id = t.id
+GROUP BY e.id, e.amount, e.date, e.description, e.priority, c.id, c.name, w.id, w.name
+"""
+
+ORACLE["exp_detail"] = _with(_EXPENSE_DETAIL)
+ORACLE["exp_latest"] = _with(_EXPENSE_DETAIL + "ORDER BY e.id DESC LIMIT 1\n")
+
+_INCOME_DETAIL = """
+SELECT i.id, i.amount, strftime(i.date, '%Y-%m-%d') AS date, i.description,
+       CAST(to_json(struct_pack(id := w.id, name := w.name)) AS VARCHAR) AS wallet
+FROM income i JOIN wallet w ON i.wallet_id = w.id
+"""
+ORACLE["inc_detail"] = _with(_INCOME_DETAIL)
+ORACLE["inc_latest"] = _with(_INCOME_DETAIL + "ORDER BY i.id DESC LIMIT 1\n")

@@ -68,3 +68,103 @@ QUERIES = {
     "sum_wallet_compat": sum_wallet_compat,
     "sum_doc": sum_doc,
 }
+
+
+# ---- listings -------------------------------------------------------------
+from tillbook.operators import enrich as EN  # noqa: E402
+from tillbook.operators import listings as LS  # noqa: E402
+from tillbook.params import DateRange, Page, TagFilter  # noqa: E402
+
+# The request parameters the registered listings use. Pages are
+# chosen so that which rows land on the page depends on the order.
+INDEX_RANGE = DateRange(dt.date(1995, 1, 1), dt.date(1996, 12, 31))
+INDEX_PAGE = Page(100, 20)
+INCOME_RANGE = DateRange(dt.date(1996, 1, 1), None)
+INCOME_PAGE = Page(100, 50)
+DEEP_PAGE = Page(100, 10_000)
+KEYSET_AFTER_ID = 7_000
+CAT_PAGE = Page(10, 5)
+WALLET_PAGE = Page(5, 3)
+TAG_PAGE = Page(20, 10)
+PARENT_PAGE = Page(4, 1)
+
+
+def exp_index(spark, sf_dir):
+    return LS.expense_index(_ledger(spark, sf_dir), INDEX_RANGE, INDEX_PAGE)
+
+
+def exp_index_deep(spark, sf_dir):
+    return LS.expense_index(_ledger(spark, sf_dir), DateRange(), DEEP_PAGE, strategy="deep")
+
+
+def exp_index_keyset(spark, sf_dir):
+    return LS.expense_index(_ledger(spark, sf_dir), DateRange(), Page(), after_id=KEYSET_AFTER_ID)
+
+
+def inc_index(spark, sf_dir):
+    return LS.income_index(_ledger(spark, sf_dir), INCOME_RANGE, INCOME_PAGE)
+
+
+def cat_list(spark, sf_dir):
+    return LS.category_list(_ledger(spark, sf_dir), CAT_PAGE)
+
+
+def wallet_list(spark, sf_dir):
+    return LS.wallet_list(_ledger(spark, sf_dir), WALLET_PAGE)
+
+
+def tag_list(spark, sf_dir):
+    return LS.tag_list(_ledger(spark, sf_dir), TagFilter(), TAG_PAGE)
+
+
+def tag_list_important(spark, sf_dir):
+    return LS.tag_list(_ledger(spark, sf_dir), TagFilter(True), Page())
+
+
+def parent_tree(spark, sf_dir):
+    t = LS.parent_tree(_ledger(spark, sf_dir), PARENT_PAGE)
+    return t.withColumn("categories", to_json_text(F.col("categories")))
+
+
+def _expense_json(df):
+    return df.select("id", "amount", "date", "description", "priority",
+                     to_json_text(F.col("category")).alias("category"),
+                     to_json_text(F.col("wallet")).alias("wallet"),
+                     to_json_text(F.col("tags")).alias("tags"))
+
+
+def _income_json(df):
+    return df.select("id", "amount", "date", "description", to_json_text(F.col("wallet")).alias("wallet"))
+
+
+def exp_detail(spark, sf_dir):
+    return _expense_json(EN.expense_detail(_ledger(spark, sf_dir)))
+
+
+def exp_latest(spark, sf_dir):
+    return _expense_json(EN.latest_expense(_ledger(spark, sf_dir)))
+
+
+def inc_detail(spark, sf_dir):
+    return _income_json(EN.income_detail(_ledger(spark, sf_dir)))
+
+
+def inc_latest(spark, sf_dir):
+    return _income_json(EN.latest_income(_ledger(spark, sf_dir)))
+
+
+QUERIES.update({
+    "exp_index": exp_index,
+    "exp_index_deep": exp_index_deep,
+    "exp_index_keyset": exp_index_keyset,
+    "inc_index": inc_index,
+    "cat_list": cat_list,
+    "wallet_list": wallet_list,
+    "tag_list": tag_list,
+    "tag_list_important": tag_list_important,
+    "parent_tree": parent_tree,
+    "exp_detail": exp_detail,
+    "exp_latest": exp_latest,
+    "inc_detail": inc_detail,
+    "inc_latest": inc_latest,
+})
