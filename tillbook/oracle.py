@@ -217,3 +217,215 @@ FROM income i JOIN wallet w ON i.wallet_id = w.id
 """
 ORACLE["inc_detail"] = _with(_INCOME_DETAIL)
 ORACLE["inc_latest"] = _with(_INCOME_DETAIL + "ORDER BY i.id DESC LIMIT 1\n")
+
+# ---- validation, ingest, transfers, updates, deletes ----------------------
+# The request sets are restated from their source columns (no JSON): which
+# rows carry which defect follows the residues documented in
+# tillbook/sources/requests.py.
+
+REQUEST_CTES = """,
+exp_tags AS (
+  SELECT l_orderkey AS o_orderkey, list_sort(list(DISTINCT CAST(l_partkey % 40 + 1 AS INT))) AS tags
+  FROM lineitem GROUP BY l_orderkey
+),
+exp_req0 AS (
+  SELECT CAST(o.o_orderkey // 20 AS BIGINT) AS batch_id, CAST(o.o_orderkey % 20 AS INT) AS pos, o.o_orderkey AS k,
+         CAST(FLOOR(o.o_totalprice) AS INT) * (CASE WHEN o.o_orderkey % 101 = 3 THEN -1 ELSE 1 END) AS amount0,
+         CASE WHEN o.o_orderkey % 211 = 5 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS date,
+         CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE CONCAT('order ', o.o_orderstatus) END AS description0,
+         CASE WHEN o.o_orderkey % 307 = 7 THEN 3
+              WHEN o.o_orderpriority IN ('1-URGENT','2-HIGH') THEN 0 WHEN o.o_orderpriority = '3-MEDIUM' THEN 1 ELSE 2 END AS priority,
+         CAST(CASE WHEN o.o_orderkey % 419 = 13 THEN 26 ELSE o.o_custkey % 25 + 1 END AS INT) AS category_id,
+         CAST(CASE WHEN o.o_orderkey % 431 = 19 THEN 11 ELSE o.o_custkey % 10 + 1 END AS INT) AS wallet_id,
+         COALESCE(t.tags, []::INT[]) AS tags0
+  FROM orders o LEFT JOIN exp_tags t ON t.o_orderkey = o.o_orderkey
+),
+exp_req AS (
+  SELECT batch_id, pos, k, date, priority, category_id, wallet_id,
+         CASE WHEN k % 509 = 8 THEN NULL ELSE amount0 END AS amount,
+         CASE WHEN k % 613 = 9 AND k % 509 <> 8 THEN CAST(CAST(k AS INT) AS VARCHAR) ELSE description0 END AS description,
+         (k % 509 = 8 OR k % 613 = 9) AS type_err,
+         CASE WHEN k % 457 = 21 THEN list_concat(t1, [41]) ELSE t1 END AS tag_ids
+  FROM (SELECT *, CASE WHEN k % 401 = 17 AND len(tags0) > 0 THEN list_concat(tags0, [tags0[1]]) ELSE tags0 END AS t1
+        FROM exp_req0)
+),
+exp_chk0 AS (
+  SELECT r.*, concat_ws(';',
+      CASE WHEN type_err THEN 'json:type' END,
+      CASE WHEN amount < 0 THEN 'amount:negative' END,
+      CASE WHEN date IS NULL THEN 'date:invalid' END,
+      CASE WHEN priority NOT BETWEEN 0 AND 2 THEN 'priority:range' END,
+      CASE WHEN len(tag_ids) <> len(list_distinct(tag_ids)) THEN 'tagIds:duplicate' END,
+      CASE WHEN category_id NOT IN (SELECT id FROM category) THEN 'categoryId:unknown' END,
+      CASE WHEN wallet_id NOT IN (SELECT id FROM wallet) THEN 'walletId:unknown' END,
+      CASE WHEN (SELECT count(*) FROM unnest(r.tag_ids) AS u(x) WHERE u.x NOT IN (SELECT id FROM tag)) > 0
+           THEN 'tagIds:unknown' END
+    ) AS reasons
+  FROM exp_req r WHERE batch_id % 97 <> 42
+),
+exp_chk AS (
+  SELECT *, CASE WHEN reasons = '' THEN 'ok'
+                 WHEN replace(regexp_replace(reasons, '[A-Za-z]+:(duplicate|unknown|same_wallet)', '', 'g'), ';', '') <> ''
+                 THEN 'invalid' ELSE 'conflict' END AS status
+  FROM exp_chk0
+),
+exp_bad_batches AS (
+  SELECT DISTINCT batch_id FROM exp_chk WHERE status <> 'ok'
+  UNION SELECT DISTINCT batch_id FROM exp_req WHERE batch_id % 97 = 42
+),
+exp_validated AS (
+  SELECT batch_id, pos, status, reasons, batch_id NOT IN (SELECT batch_id FROM exp_bad_batches) AS batch_ok,
+         amount, date, description, priority, category_id, wallet_id, tag_ids
+  FROM exp_chk
+  UNION ALL
+  SELECT DISTINCT batch_id, CAST(NULL AS INT), 'invalid', 'document:invalid', FALSE,
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM exp_req WHERE batch_id % 97 = 42
+),
+exp_inserted AS (
+  SELECT CAST((SELECT MAX(id) FROM expense) + ROW_NUMBER() OVER (ORDER BY batch_id, pos) AS INT) AS id,
+         category_id, wallet_id, amount, date, priority, description, tag_ids
+  FROM exp_validated WHERE status = 'ok' AND batch_ok
+),
+inc_req AS (
+  SELECT CAST(event_id // 20 AS BIGINT) AS batch_id, CAST(event_id % 20 AS INT) AS pos,
+         CAST(CEIL(value) AS INT) AS amount,
+         CASE WHEN event_id % 223 = 11 THEN NULL ELSE DATE '1995-01-01' + CAST(event_id % 2400 AS INT) END AS date,
+         event_type AS description,
+         CAST(CASE WHEN event_id % 229 = 3 THEN 11 ELSE user_id % 10 + 1 END AS INT) AS wallet_id
+  FROM events
+),
+inc_chk AS (
+  SELECT *, CASE WHEN reasons = '' THEN 'ok' WHEN reasons = 'walletId:unknown' THEN 'conflict' ELSE 'invalid' END AS status
+  FROM (SELECT r.*, concat_ws(';',
+      CASE WHEN amount IS NULL THEN 'amount:missing' END,
+      CASE WHEN amount < 1 THEN 'amount:not_positive' END,
+      CASE WHEN date IS NULL THEN 'date:invalid' END,
+      CASE WHEN wallet_id NOT IN (SELECT id FROM wallet) THEN 'walletId:unknown' END) AS reasons
+    FROM inc_req r WHERE batch_id % 97 <> 42)
+),
+inc_validated AS (
+  SELECT batch_id, pos, status, reasons,
+         batch_id NOT IN (SELECT batch_id FROM inc_chk WHERE status <> 'ok') AS batch_ok,
+         amount, date, description, wallet_id
+  FROM inc_chk
+  UNION ALL
+  SELECT DISTINCT batch_id, CAST(NULL AS INT), 'invalid', 'document:invalid', FALSE, NULL, NULL, NULL, NULL
+  FROM inc_req WHERE batch_id % 97 = 42
+),
+tr_chk AS (
+  SELECT *, CASE WHEN reasons = '' THEN 'ok'
+                 WHEN replace(regexp_replace(reasons, '[A-Za-z]+:(duplicate|unknown|same_wallet)', '', 'g'), ';', '') <> ''
+                 THEN 'invalid' ELSE 'conflict' END AS status
+  FROM (SELECT t.*, concat_ws(';',
+      CASE WHEN source_wallet_id < 1 THEN 'sourceWalletId:not_positive' END,
+      CASE WHEN target_wallet_id < 1 THEN 'targetWalletId:not_positive' END,
+      CASE WHEN amount IS NULL THEN 'amount:missing' END,
+      CASE WHEN amount < 0 THEN 'amount:negative' END,
+      CASE WHEN fee < 0 THEN 'fee:negative' END,
+      CASE WHEN source_wallet_id = target_wallet_id THEN 'wallet:same_wallet' END,
+      CASE WHEN source_wallet_id NOT IN (SELECT id FROM wallet) THEN 'sourceWalletId:unknown' END,
+      CASE WHEN target_wallet_id NOT IN (SELECT id FROM wallet) THEN 'targetWalletId:unknown' END,
+      CASE WHEN fee > 0 AND 25 NOT IN (SELECT id FROM category) THEN 'feeCategory:unknown' END) AS reasons
+    FROM transfer_request t)
+),
+exp_chg AS (
+  SELECT CAST(c_custkey * 11 + 1 AS INT) AS id, CAST(FLOOR(c_acctbal) AS INT) AS amount,
+         DATE '1995-01-01' + CAST(c_custkey % 2400 AS INT) AS date,
+         CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS description,
+         CAST(c_custkey % 3 AS INT) AS priority, CAST(c_nationkey % 24 + 1 AS INT) AS category_id,
+         CAST(c_custkey % 10 + 1 AS INT) AS wallet_id,
+         [CAST(c_custkey % 40 + 1 AS INT), CAST((c_custkey * 7) % 40 + 1 AS INT)] AS tag_ids
+  FROM customer
+),
+exp_chg_out AS (
+  SELECT *, CASE WHEN amount < 0 THEN 'invalid'
+                 WHEN len(tag_ids) <> len(list_distinct(tag_ids)) THEN 'conflict'
+                 WHEN id NOT IN (SELECT id FROM expense) THEN 'not_found' ELSE 'ok' END AS status
+  FROM exp_chg
+),
+inc_chg AS (
+  SELECT CAST(c_custkey * 7 + 1 AS INT) AS id, CAST(FLOOR(c_acctbal) AS INT) AS amount,
+         DATE '1995-01-01' + CAST(c_custkey % 2400 AS INT) AS date,
+         CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS description,
+         CAST(c_custkey % 10 + 1 AS INT) AS wallet_id
+  FROM customer
+),
+inc_chg_out AS (
+  SELECT *, CASE WHEN amount < 1 THEN 'invalid'
+                 WHEN id NOT IN (SELECT id FROM income) THEN 'not_found' ELSE 'ok' END AS status
+  FROM inc_chg
+),
+exp_del AS (SELECT CAST(c_custkey * 13 + 2 AS INT) AS id FROM customer),
+inc_del AS (SELECT CAST(c_custkey * 9 + 4 AS INT) AS id FROM customer)"""
+
+
+def _req(body: str) -> str:
+    return "WITH " + FIXTURE_CTES + REQUEST_CTES + "\n" + body
+
+
+ORACLE["validate_expenses"] = _req("SELECT batch_id, pos, status, reasons, batch_ok FROM exp_validated")
+ORACLE["validate_incomes"] = _req("SELECT batch_id, pos, status, reasons, batch_ok FROM inc_validated")
+ORACLE["validate_transfers"] = _req("SELECT request_id, status, reasons FROM tr_chk")
+ORACLE["fk_check"] = _req("""
+SELECT batch_id, pos, reason FROM (
+  SELECT batch_id, pos, UNNEST(string_split(reasons, ';')) AS reason FROM exp_chk
+) WHERE reason LIKE '%:unknown'
+""")
+ORACLE["exp_insert"] = _req("SELECT id, category_id, wallet_id, amount, date, priority, description FROM exp_inserted")
+ORACLE["exp_insert_tags"] = _req("SELECT id AS expense_id, UNNEST(tag_ids) AS tag_id FROM exp_inserted")
+ORACLE["inc_insert"] = _req("""
+SELECT CAST((SELECT MAX(id) FROM income) + ROW_NUMBER() OVER (ORDER BY batch_id, pos) AS INT) AS id,
+       amount, wallet_id, date, description
+FROM inc_validated WHERE status = 'ok' AND batch_ok
+""")
+ORACLE["transfer_rows"] = _req("""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY request_id) AS INT) AS id, amount, source_wallet_id, target_wallet_id,
+       date, description, request_id
+FROM tr_chk WHERE status = 'ok'
+""")
+ORACLE["transfer_fees"] = _req("""
+SELECT CAST((SELECT MAX(id) FROM expense) + ROW_NUMBER() OVER (ORDER BY request_id) AS INT) AS id,
+       CAST(25 AS INT) AS category_id, source_wallet_id AS wallet_id, fee AS amount, date,
+       CAST(2 AS INT) AS priority, 'Wallet transfer fee: ' || description AS description, request_id
+FROM tr_chk WHERE status = 'ok' AND fee <> 0
+""")
+ORACLE["exp_update"] = _req("""
+SELECT e.id,
+       CASE WHEN a.id IS NULL THEN e.category_id ELSE a.category_id END AS category_id,
+       CASE WHEN a.id IS NULL THEN e.wallet_id ELSE a.wallet_id END AS wallet_id,
+       CASE WHEN a.id IS NULL THEN e.amount ELSE a.amount END AS amount,
+       CASE WHEN a.id IS NULL THEN e.date ELSE a.date END AS date,
+       CASE WHEN a.id IS NULL THEN e.priority ELSE a.priority END AS priority,
+       CASE WHEN a.id IS NULL THEN e.description ELSE a.description END AS description
+FROM expense e LEFT JOIN (SELECT * FROM exp_chg_out WHERE status = 'ok') a ON e.id = a.id
+""")
+ORACLE["exp_update_tags"] = _req("""
+SELECT expense_id, tag_id FROM expense_tag
+WHERE expense_id NOT IN (SELECT id FROM exp_chg_out WHERE status = 'ok')
+UNION ALL
+SELECT id AS expense_id, UNNEST(tag_ids) AS tag_id FROM exp_chg_out WHERE status = 'ok'
+""")
+ORACLE["exp_update_outcome"] = _req("SELECT id, status FROM exp_chg_out")
+ORACLE["inc_update"] = _req("""
+SELECT i.id,
+       CASE WHEN a.id IS NULL THEN i.amount ELSE a.amount END AS amount,
+       CASE WHEN a.id IS NULL THEN i.wallet_id ELSE a.wallet_id END AS wallet_id,
+       CASE WHEN a.id IS NULL THEN i.date ELSE a.date END AS date,
+       CASE WHEN a.id IS NULL THEN i.description ELSE a.description END AS description
+FROM income i LEFT JOIN (SELECT * FROM inc_chg_out WHERE status = 'ok') a ON i.id = a.id
+""")
+ORACLE["inc_update_outcome"] = _req("SELECT id, status FROM inc_chg_out")
+ORACLE["exp_delete"] = _req("""
+SELECT id, category_id, wallet_id, amount, date, priority, description FROM expense
+WHERE id NOT IN (SELECT id FROM exp_del)
+""")
+ORACLE["exp_delete_tags"] = _req("""
+SELECT expense_id, tag_id FROM expense_tag WHERE expense_id NOT IN (SELECT id FROM exp_del)
+""")
+ORACLE["exp_delete_outcome"] = _req("""
+SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM expense) THEN 'ok' ELSE 'not_found' END AS status FROM exp_del
+""")
+ORACLE["inc_delete"] = _req("""
+SELECT id, amount, wallet_id, date, description FROM income WHERE id NOT IN (SELECT id FROM inc_del)
+""")

@@ -168,3 +168,148 @@ QUERIES.update({
     "inc_detail": inc_detail,
     "inc_latest": inc_latest,
 })
+
+
+# ---- validation, ingest, transfers, updates, deletes ----------------------
+from tillbook.operators import changes as CH  # noqa: E402
+from tillbook.operators import validate as V  # noqa: E402
+from tillbook.sources import requests as RQ  # noqa: E402
+
+
+def _reasons_text(df):
+    return df.withColumn("reasons", F.array_join(F.col("reasons"), ";"))
+
+
+def _validated_expenses(L, spark, sf_dir):
+    return V.validate_expense_batches(L, RQ.expense_request_documents(spark, sf_dir))
+
+
+def validate_expenses(spark, sf_dir):
+    v = _validated_expenses(_ledger(spark, sf_dir), spark, sf_dir)
+    return _reasons_text(v.select("batch_id", "pos", "status", "reasons", "batch_ok"))
+
+
+def validate_incomes(spark, sf_dir):
+    v = V.validate_income_batches(_ledger(spark, sf_dir), RQ.income_request_documents(spark, sf_dir))
+    return _reasons_text(v.select("batch_id", "pos", "status", "reasons", "batch_ok"))
+
+
+def validate_transfers(spark, sf_dir):
+    v = V.validate_transfers(_ledger(spark, sf_dir), RQ.transfer_request_documents(spark, sf_dir))
+    return _reasons_text(v.select("request_id", "status", "reasons"))
+
+
+def fk_check(spark, sf_dir):
+    """Elements of the expense requests that reference a missing category,
+    wallet or tag: one row per (element, violated reference)."""
+    v = _validated_expenses(_ledger(spark, sf_dir), spark, sf_dir)
+    return (v.select("batch_id", "pos", F.explode("reasons").alias("reason"))
+            .filter(F.col("reason").endswith(":unknown")))
+
+
+def exp_insert(spark, sf_dir):
+    L = _ledger(spark, sf_dir)
+    rows, _ = CH.insert_expenses(L, _validated_expenses(L, spark, sf_dir))
+    return rows.select("id", "category_id", "wallet_id", "amount", "date", "priority", "description")
+
+
+def exp_insert_tags(spark, sf_dir):
+    L = _ledger(spark, sf_dir)
+    _, tags = CH.insert_expenses(L, _validated_expenses(L, spark, sf_dir))
+    return tags.select("expense_id", "tag_id")
+
+
+def inc_insert(spark, sf_dir):
+    L = _ledger(spark, sf_dir)
+    rows = CH.insert_incomes(L, V.validate_income_batches(L, RQ.income_request_documents(spark, sf_dir)))
+    return rows.select("id", "amount", "wallet_id", "date", "description")
+
+
+def _transfers(spark, sf_dir):
+    L = _ledger(spark, sf_dir)
+    return CH.apply_transfers(L, V.validate_transfers(L, RQ.transfer_request_documents(spark, sf_dir)))
+
+
+def transfer_rows(spark, sf_dir):
+    t, _ = _transfers(spark, sf_dir)
+    return t.select("id", "amount", "source_wallet_id", "target_wallet_id", "date", "description", "request_id")
+
+
+def transfer_fees(spark, sf_dir):
+    _, f = _transfers(spark, sf_dir)
+    return f.select("id", "category_id", "wallet_id", "amount", "date", "priority", "description", "request_id")
+
+
+EXPENSE_COLS = ["id", "category_id", "wallet_id", "amount", "date", "priority", "description"]
+INCOME_COLS = ["id", "amount", "wallet_id", "date", "description"]
+
+
+def _exp_update(spark, sf_dir):
+    return CH.update_expenses(_ledger(spark, sf_dir), RQ.expense_updates(spark, sf_dir))
+
+
+def exp_update(spark, sf_dir):
+    return _exp_update(spark, sf_dir)[0].select(*EXPENSE_COLS)
+
+
+def exp_update_tags(spark, sf_dir):
+    return _exp_update(spark, sf_dir)[1].select("expense_id", "tag_id")
+
+
+def exp_update_outcome(spark, sf_dir):
+    return _exp_update(spark, sf_dir)[2].select("id", "status")
+
+
+def _inc_update(spark, sf_dir):
+    return CH.update_incomes(_ledger(spark, sf_dir), RQ.income_updates(spark, sf_dir))
+
+
+def inc_update(spark, sf_dir):
+    return _inc_update(spark, sf_dir)[0].select(*INCOME_COLS)
+
+
+def inc_update_outcome(spark, sf_dir):
+    return _inc_update(spark, sf_dir)[1].select("id", "status")
+
+
+def _exp_delete(spark, sf_dir):
+    return CH.delete_expenses(_ledger(spark, sf_dir), RQ.expense_deletes(spark, sf_dir))
+
+
+def exp_delete(spark, sf_dir):
+    return _exp_delete(spark, sf_dir)[0].select(*EXPENSE_COLS)
+
+
+def exp_delete_tags(spark, sf_dir):
+    return _exp_delete(spark, sf_dir)[1].select("expense_id", "tag_id")
+
+
+def exp_delete_outcome(spark, sf_dir):
+    return _exp_delete(spark, sf_dir)[2]
+
+
+def inc_delete(spark, sf_dir):
+    new_income, _ = CH.delete_incomes(_ledger(spark, sf_dir), RQ.income_deletes(spark, sf_dir))
+    return new_income.select(*INCOME_COLS)
+
+
+QUERIES.update({
+    "validate_expenses": validate_expenses,
+    "validate_incomes": validate_incomes,
+    "validate_transfers": validate_transfers,
+    "fk_check": fk_check,
+    "exp_insert": exp_insert,
+    "exp_insert_tags": exp_insert_tags,
+    "inc_insert": inc_insert,
+    "transfer_rows": transfer_rows,
+    "transfer_fees": transfer_fees,
+    "exp_update": exp_update,
+    "exp_update_tags": exp_update_tags,
+    "exp_update_outcome": exp_update_outcome,
+    "inc_update": inc_update,
+    "inc_update_outcome": inc_update_outcome,
+    "exp_delete": exp_delete,
+    "exp_delete_tags": exp_delete_tags,
+    "exp_delete_outcome": exp_delete_outcome,
+    "inc_delete": inc_delete,
+})

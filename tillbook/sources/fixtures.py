@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tillbook import schemas
 
-NULL_TS = F.lit(None).cast("timestamp")
+def null_ts():
+    return F.lit(None).cast("timestamp")
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +67,7 @@ def expense(spark, sf_dir):
         _int(priority).alias("priority"),
         F.when(F.col("o_orderkey") % 7 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("order "), F.col("o_orderstatus"))).alias("description"),
-        NULL_TS.alias("created_at"), NULL_TS.alias("updated_at"),
+        null_ts().alias("created_at"), null_ts().alias("updated_at"),
     )
 
 
@@ -74,7 +75,7 @@ def expense_tag(spark, sf_dir):
     li = read_driver_table(spark, sf_dir, "lineitem")
     pairs = li.select(_int(F.col("l_orderkey") + 1).alias("expense_id"),
                       _int(F.col("l_partkey") % 40 + 1).alias("tag_id")).distinct()
-    return pairs.select("expense_id", "tag_id", NULL_TS.alias("created_at"), NULL_TS.alias("updated_at"))
+    return pairs.select("expense_id", "tag_id", null_ts().alias("created_at"), null_ts().alias("updated_at"))
 
 
 def income(spark, sf_dir):
@@ -85,7 +86,7 @@ def income(spark, sf_dir):
         _int(F.col("user_id") % 10 + 1).alias("wallet_id"),
         F.date_add(F.lit("1995-01-01").cast("date"), _int(F.col("event_id") % 2400)).alias("date"),
         F.col("event_type").alias("description"),
-        NULL_TS.alias("created_at"), NULL_TS.alias("updated_at"),
+        null_ts().alias("created_at"), null_ts().alias("updated_at"),
     )
 
 
