@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 DIM_MAX_ROWS = 1_000_000
 
 
+# Proofs already made in this process, keyed by the plan's semantic hash
+# (same source files and same operators -> same hash).
+_PROVEN: dict[tuple[int, int], bool] = {}
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (df.semanticHash(), max_rows)
+    if key not in _PROVEN:
+        _PROVEN[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _PROVEN[key]
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
