@@ -1,0 +1,87 @@
+"""Change sets: inserts with ids, transfers, updates, deletes."""
+
+import json
+
+from pyspark.sql import functions as F
+from tillbook.operators import changes as CH
+from tillbook.operators import validate as V
+
+
+def test_insert_ids_follow_input_order(spark, small_ledger):
+    def el(amount, tags):
+        return {"amount": amount, "date": "2024-03-01", "priority": 0, "categoryId": 1, "walletId": 1, "tagIds": tags}
+    docs = spark.createDataFrame([
+        (20, json.dumps({"expenses": [el(1, [1, 2]), el(2, [])]})),
+        (10, json.dumps({"expenses": [el(3, [3])]})),
+        (30, json.dumps({"expenses": [el(4, []), el(-1, [])]})),  # rejected as a whole
+    ], "batch_id long, value string")
+    rows, tags = CH.insert_expenses(small_ledger, V.validate_expense_batches(small_ledger, docs))
+    assert sorted((r.id, r.amount) for r in rows.collect()) == [(7, 3), (8, 1), (9, 2)]
+    assert sorted((r.expense_id, r.tag_id) for r in tags.collect()) == [(7, 3), (8, 1), (8, 2)]
+    stamps = rows.select("created_at", "updated_at").distinct().collect()
+    assert len(stamps) == 1 and stamps[0].created_at == stamps[0].updated_at
+
+
+def test_transfer_with_fee(spark, small_ledger):
+    reqs = [(1, {"sourceWalletId": 1, "targetWalletId": 2, "amount": 100, "fee": 3, "date": "2024-03-01", "description": "rent"}),
+            (2, {"sourceWalletId": 2, "targetWalletId": 1, "amount": 100, "fee": 0, "date": "2024-03-02"}),
+            (3, {"sourceWalletId": 2, "targetWalletId": 3, "amount": 5, "fee": 1, "date": "2024-03-03"}),
+            (4, {"sourceWalletId": 2, "targetWalletId": 2, "amount": 5, "fee": 1, "date": "2024-03-03"})]
+    docs = spark.createDataFrame([(i, json.dumps(d)) for i, d in reqs], "request_id int, value string")
+    checked = V.validate_transfers(small_ledger, docs)
+    transfers, fees = CH.apply_transfers(small_ledger, checked)
+    assert sorted((r.id, r.request_id) for r in transfers.collect()) == [(1, 1), (2, 2), (3, 3)]
+    got = sorted((r.id, r.amount, r.wallet_id, r.category_id, r.priority, r.description) for r in fees.collect())
+    assert got == [(7, 3, 1, 25, 2, "Wallet transfer fee: rent"), (8, 1, 2, 25, 2, None)]
+
+
+def test_update_replaces_everything_and_tags(spark, small_ledger):
+    changes = spark.createDataFrame([
+        (1, json.dumps({"amount": 5, "date": "2024-05-05", "priority": 2, "categoryId": 2, "walletId": 2, "tagIds": [3]})),
+        (2, json.dumps({"amount": 6, "date": "2024-05-06", "description": "now set", "priority": 0,
+                        "categoryId": 2, "walletId": 2, "tagIds": [1, 2]})),
+        (99, json.dumps({"amount": 5, "date": "2024-05-05", "priority": 2, "categoryId": 2, "walletId": 2, "tagIds": []})),
+        (3, json.dumps({"amount": -5, "date": "2024-05-05", "priority": 2, "categoryId": 2, "walletId": 2, "tagIds": []})),
+        (4, json.dumps({"amount": 5, "date": "2024-05-05", "priority": 2, "categoryId": 2, "walletId": 2, "tagIds": [1, 1]})),
+    ], "id int, value string")
+    exp, tags, outcome = CH.update_expenses(small_ledger, changes)
+    status = {r.id: r.status for r in outcome.collect()}
+    assert status == {1: "ok", 2: "ok", 99: "not_found", 3: "invalid", 4: "conflict"}
+    e = {r.id: r for r in exp.collect()}
+    assert (e[1].amount, e[1].description, e[1].priority) == (5, None, 2)  # description cleared
+    assert e[2].description == "now set"
+    assert e[3].amount == 50 and e[4].amount == 70 and len(e) == 6
+    assert e[1].updated_at is not None and e[6].updated_at is None
+    pairs = sorted((r.expense_id, r.tag_id) for r in tags.collect())
+    assert pairs == [(1, 3), (2, 1), (2, 2), (3, 3), (4, 2)]
+
+
+def test_duplicate_ids_in_change_set_conflict(spark, small_ledger):
+    body = json.dumps({"amount": 5, "date": "2024-05-05", "walletId": 1})
+    changes = spark.createDataFrame([(1, body), (1, body)], "id int, value string")
+    new_income, outcome = CH.update_incomes(small_ledger, changes)
+    assert [r.status for r in outcome.collect()] == ["conflict", "conflict"]
+    assert {r.id: r.amount for r in new_income.collect()}[1] == 500
+
+
+def test_delete_cascades(spark, small_ledger):
+    ids = spark.createDataFrame([(1,), (3,), (42,)], "id int")
+    exp, tags, outcome = CH.delete_expenses(small_ledger, ids)
+    assert sorted(r.id for r in exp.collect()) == [2, 4, 5, 6]
+    assert sorted((r.expense_id, r.tag_id) for r in tags.collect()) == [(4, 2)]
+    assert {r.id: r.status for r in outcome.collect()} == {1: "ok", 3: "ok", 42: "not_found"}
+    inc, out = CH.delete_incomes(small_ledger, ids)
+    assert sorted(r.id for r in inc.collect()) == [2, 4, 5]
+
+
+def test_id_overflow_fails(spark, small_ledger):
+    big = small_ledger.replace(income=small_ledger.income.withColumn("id", F.lit(2**31 - 1)))
+    docs = spark.createDataFrame([(1, json.dumps({"incomes": [{"amount": 1, "date": "2024-01-01", "walletId": 1}]}))],
+                                 "batch_id long, value string")
+    rows = CH.insert_incomes(big, V.validate_income_batches(big, docs))
+    try:
+        rows.collect()
+    except Exception as exc:  # raise_error surfaces as a Spark runtime error
+        assert "id space exhausted" in str(exc)
+    else:
+        raise AssertionError("expected overflow failure")

@@ -70,28 +70,38 @@ def insert_incomes(ledger: Ledger, validated: DataFrame, stamp: Column | None =
                        stamp.alias("created_at"), stamp.alias("updated_at"))
 
 
-def apply_transfers(ledger: Ledger, validated: DataFrame, fee_category_id: int = FEE_CATEGORY_ID,
-                    stamp: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """M-TRANSFER: ok requests -> (wallet_transfer rows, fee expense rows).
-
-    Every ok request becomes a transfer; one with a non-zero fee also becomes
-    an expense on the source wallet in the fee category, priority 2, same
-    date, description 'Wallet transfer fee: <description>' (NULL stays NULL).
-    """
+def transfer_rows(ledger: Ledger, validated: DataFrame, stamp: Column | None = None) -> DataFrame:
+    """M-TRANSFER, part 1: every ok request becomes a wallet_transfer row."""
     stamp = job_stamp() if stamp is None else stamp
-    ok = validated.filter(F.col("status") == "ok")
-    t = with_positions(ok, [F.col("request_id")], "_pos")
-    transfers = t.select(
+    t = with_positions(validated.filter(F.col("status") == "ok"), [F.col("request_id")], "_pos")
+    return t.select(
         _next_ids(ledger.wallet_transfer, t).alias("id"), "amount", "source_wallet_id", "target_wallet_id",
         "date", "description", stamp.alias("created_at"), stamp.alias("updated_at"), "request_id")
-    f = with_positions(ok.filter(F.col("fee") != 0), [F.col("request_id")], "_pos")
-    fees = f.select(
+
+
+def fee_expenses(ledger: Ledger, validated: DataFrame, fee_category_id: int = FEE_CATEGORY_ID,
+                 stamp: Column | None = None) -> DataFrame:
+    """M-TRANSFER, part 2: an ok request with a non-zero fee also becomes an
+    expense on the source wallet in the fee category, priority 2, same date,
+    description 'Wallet transfer fee: <description>' (NULL stays NULL)."""
+    stamp = job_stamp() if stamp is None else stamp
+    f = with_positions(validated.filter((F.col("status") == "ok") & (F.col("fee") != 0)),
+                       [F.col("request_id")], "_pos")
+    return f.select(
         _next_ids(ledger.expense, f).alias("id"), F.lit(fee_category_id).cast("int").alias("category_id"),
         F.col("source_wallet_id").alias("wallet_id"), F.col("fee").alias("amount"), "date",
         F.lit(FEE_PRIORITY).cast("int").alias("priority"),
         F.concat(F.lit(FEE_DESCRIPTION_PREFIX), F.col("description")).alias("description"),
         stamp.alias("created_at"), stamp.alias("updated_at"), "request_id")
-    return transfers, fees
+
+
+def apply_transfers(ledger: Ledger, validated: DataFrame, fee_category_id: int = FEE_CATEGORY_ID,
+                    stamp: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """M-TRANSFER: ok requests -> (wallet_transfer rows, fee expense rows),
+    both stamped with the same instant."""
+    stamp = job_stamp() if stamp is None else stamp
+    return (transfer_rows(ledger, validated, stamp),
+            fee_expenses(ledger, validated, fee_category_id, stamp))
 
 
 # ---- updates and deletes --------------------------------------------------

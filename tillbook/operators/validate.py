@@ -5,12 +5,13 @@ V-REQUIRED) are per-row expressions; table rules (V-FK, V-UNIQ) are joins
 against size-checked broadcast dimensions; the batch gate (V-ATOMIC) rejects
 every element of a batch that holds any rejected element.
 
-Scale notes: unknown-tag detection explodes tag ids, joins the broadcast tag
-dimension and folds back per (batch_id, pos) — a unique key, so no skew, and
-map-side partial aggregation keeps one row per element in the shuffle. The
-batch gate never groups a batch's rows together: it collects the *ids* of
-rejected batches and joins them back (broadcast when their number is proven
-small, otherwise a shuffle join that AQE may split if one batch is huge).
+Scale notes: rows are parsed and checked field by field once, then fixed
+with a checkpoint; everything after reads that checkpoint. Unknown tags are
+found with an explode + broadcast anti join against the tag dimension; only
+the (usually few) offending element keys are shuffled. The batch gate never
+groups a batch's rows together: it collects the *ids* of rejected batches
+and joins them back (broadcast when their number is proven small, otherwise
+a shuffle join that AQE may split if one batch is huge).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tillbook.functions import rules as R
 from tillbook.ledger import Ledger
 from tillbook.plans.broadcast import broadcast_if_bounded
+from tillbook.plans.materialize import fix
 
 # Number of rejected batch ids up to which the gate is a broadcast join.
 GATE_BROADCAST_MAX = 5_000_000
@@ -30,23 +32,37 @@ def _known(ledger: Ledger, table: str, key: str, flag: str) -> DataFrame:
     return ledger.dim(table).select(F.col("id").alias(key), F.lit(True).alias(flag))
 
 
-def _unknown_tags(ledger: Ledger, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys + _unknown_tags (count of tag ids not in the tag table)."""
-    exploded = rows.select(*keys, F.explode_outer("tagIds").alias("tag_id"))
-    flagged = exploded.join(_known(ledger, "tag", "tag_id", "_tag_ok"), "tag_id", "left")
-    return flagged.groupBy(*keys).agg(
-        F.count_if(F.col("tag_id").isNotNull() & F.col("_tag_ok").isNull()).alias("_unknown_tags"))
+def _flag_keys(x: DataFrame, offending: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """x + boolean ``flag`` for rows whose key is in ``offending`` (keys only)."""
+    marks = broadcast_if_bounded(offending.select(*keys).distinct().withColumn(flag, F.lit(True)), GATE_BROADCAST_MAX)
+    return x.join(marks, keys, "left")
+
+
+def _passthrough(parsed: DataFrame) -> list[str]:
+    return [c for c in ("doc_ok",) if c in parsed.columns]
+
+
+def _doc_reason() -> F.Column:
+    return F.when(~F.coalesce(F.col("doc_ok"), F.lit(True)), F.lit("document:invalid"))
 
 
 def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns ``keys``, raw, e.* -> keys + typed fields + reasons + status."""
-    x = parsed.select(*keys, "raw", "e.*")
+    """Columns ``keys``, raw, e.* [, doc_ok] -> keys + typed fields + reasons + status."""
+    extra = _passthrough(parsed)
+    x = parsed.select(*keys, *extra,
+                      R.json_type(F.col("e._corrupt"), F.col("raw"), ("description", "date")).alias("_type"), "e.*")
     x = (x.join(_known(ledger, "category", "categoryId", "_cat_ok"), "categoryId", "left")
          .join(_known(ledger, "wallet", "walletId", "_wal_ok"), "walletId", "left"))
-    x = x.join(_unknown_tags(ledger, x, keys), keys, "left")
+    x = fix(x)
+    tag_ids = ledger.dim("tag").select(F.col("id").alias("_tag"))
+    unknown = (x.select(*keys, F.explode("tagIds").alias("_tag")).filter(F.col("_tag") >= 1)
+               .join(tag_ids, "_tag", "left_anti"))
+    x = _flag_keys(x, unknown, keys, "_tag_unknown")
     corrupt = F.col("_corrupt")
+    doc = F.col("doc_ok") if extra else F.lit(True)
     reasons = R.reasons(
-        R.json_type(corrupt, F.col("raw"), ("description", "date")),
+        _doc_reason() if extra else F.lit(None).cast("string"),
+        F.col("_type"),
         R.missing("amount", F.col("amount"), corrupt), R.non_negative("amount", F.col("amount")),
         R.date_rule("date", F.col("date")),
         R.missing("priority", F.col("priority"), corrupt), R.priority_range("priority", F.col("priority")),
@@ -56,10 +72,12 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
         R.distinct_vector("tagIds", F.col("tagIds")),
         F.when((F.col("categoryId") >= 1) & F.col("_cat_ok").isNull(), F.lit("categoryId:unknown")),
         F.when((F.col("walletId") >= 1) & F.col("_wal_ok").isNull(), F.lit("walletId:unknown")),
-        F.when(F.col("_unknown_tags") > 0, F.lit("tagIds:unknown")),
+        F.when(F.col("_tag_unknown"), F.lit("tagIds:unknown")),
     )
+    # a malformed document carries only its document reason
+    reasons = F.when(F.coalesce(doc, F.lit(True)), reasons).otherwise(F.array(F.lit("document:invalid")))
     return x.select(
-        *keys,
+        *keys, *extra,
         F.col("amount"), R.strict_date(F.col("date")).alias("date"), F.col("description"),
         F.col("priority"), F.col("categoryId").alias("category_id"), F.col("walletId").alias("wallet_id"),
         F.col("tagIds").alias("tag_ids"), reasons.alias("reasons"),
@@ -67,24 +85,29 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
 
 
 def income_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFrame:
-    x = parsed.select(*keys, "raw", "e.*")
-    x = x.join(_known(ledger, "wallet", "walletId", "_wal_ok"), "walletId", "left")
+    extra = _passthrough(parsed)
+    x = parsed.select(*keys, *extra,
+                      R.json_type(F.col("e._corrupt"), F.col("raw"), ("description", "date")).alias("_type"), "e.*")
+    x = fix(x.join(_known(ledger, "wallet", "walletId", "_wal_ok"), "walletId", "left"))
     corrupt = F.col("_corrupt")
     reasons = R.reasons(
-        R.json_type(corrupt, F.col("raw"), ("description", "date")),
+        F.col("_type"),
         R.missing("amount", F.col("amount"), corrupt), R.positive("amount", F.col("amount")),
         R.date_rule("date", F.col("date")),
         R.missing("walletId", F.col("walletId"), corrupt), R.positive("walletId", F.col("walletId")),
         F.when((F.col("walletId") >= 1) & F.col("_wal_ok").isNull(), F.lit("walletId:unknown")),
     )
+    if extra:
+        reasons = F.when(F.coalesce(F.col("doc_ok"), F.lit(True)), reasons).otherwise(
+            F.array(F.lit("document:invalid")))
     return x.select(
-        *keys, F.col("amount"), R.strict_date(F.col("date")).alias("date"), F.col("description"),
+        *keys, *extra, F.col("amount"), R.strict_date(F.col("date")).alias("date"), F.col("description"),
         F.col("walletId").alias("wallet_id"), reasons.alias("reasons"),
     ).withColumn("status", R.status(F.col("reasons")))
 
 
-def gate_batches(checked: DataFrame, bad_documents: DataFrame, mode: str = "fail_batch") -> DataFrame:
-    """Adds ``batch_ok`` and appends one row per malformed document.
+def gate_batches(checked: DataFrame, mode: str = "fail_batch") -> DataFrame:
+    """Adds ``batch_ok``.
 
     fail_batch: a batch is accepted only if its document parsed and every
     element is ok (one bad row rejects the whole batch, as a request does).
@@ -93,30 +116,25 @@ def gate_batches(checked: DataFrame, bad_documents: DataFrame, mode: str = "fail
     """
     if mode not in ("fail_batch", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
-    doc_rows = bad_documents.select(
-        "batch_id", F.lit(None).cast("int").alias("pos"),
-        F.array(F.lit("document:invalid")).alias("reasons"), F.lit("invalid").alias("status"))
-    rejected = bad_documents.select("batch_id")
+    bad = ~F.col("doc_ok")
     if mode == "fail_batch":
-        rejected = rejected.unionByName(checked.filter(F.col("status") != "ok").select("batch_id"))
-    rejected = broadcast_if_bounded(rejected.distinct().withColumn("_rejected", F.lit(True)), GATE_BROADCAST_MAX)
-    gated = checked.join(rejected, "batch_id", "left").withColumn("batch_ok", F.col("_rejected").isNull()).drop("_rejected")
-    return gated.unionByName(doc_rows.withColumn("batch_ok", F.lit(False)), allowMissingColumns=True)
+        bad = bad | (F.col("status") != "ok")
+    rejected = checked.filter(bad).select("batch_id")
+    return _flag_keys(checked, rejected, ["batch_id"], "_rejected").withColumn(
+        "batch_ok", F.col("_rejected").isNull()).drop("_rejected", "doc_ok")
 
 
 def validate_expense_batches(ledger: Ledger, docs: DataFrame, mode: str = "fail_batch") -> DataFrame:
     """(batch_id, value) documents -> one row per element (+ one per bad document)."""
     from tillbook.sources.batches import expense_elements
 
-    elements, bad = expense_elements(docs)
-    return gate_batches(expense_rules(ledger, elements, ["batch_id", "pos"]), bad, mode)
+    return gate_batches(expense_rules(ledger, expense_elements(docs), ["batch_id", "pos"]), mode)
 
 
 def validate_income_batches(ledger: Ledger, docs: DataFrame, mode: str = "fail_batch") -> DataFrame:
     from tillbook.sources.batches import income_elements
 
-    elements, bad = income_elements(docs)
-    return gate_batches(income_rules(ledger, elements, ["batch_id", "pos"]), bad, mode)
+    return gate_batches(income_rules(ledger, income_elements(docs), ["batch_id", "pos"]), mode)
 
 
 def validate_transfers(ledger: Ledger, docs: DataFrame, fee_category_id: int = 25) -> DataFrame:

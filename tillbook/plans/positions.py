@@ -26,12 +26,19 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def with_positions(df: DataFrame, order: list[Column], name: str = "pos",
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, fix_input: bool = False) -> DataFrame:
     """``df`` plus a LONG column ``name`` = 0-based rank in ``order``
     (order columns should form a unique key, e.g. (batch_id, element pos))."""
     ensure_checkpoint_dir(df.sparkSession)
     n = _partitions(df, partitions)
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The range partitioner samples its input in one job and shuffles it in
+    # another: with an expensive upstream, pass fix_input=True to checkpoint
+    # it first so it runs once.
+    src = df.checkpoint(eager=True) if fix_input else df
+    # The tagged rows are checkpointed: counts and rows must see the very same
+    # partition ids (AQE may coalesce a re-read shuffle differently), and a
+    # lost executor re-reads the shared checkpoint instead of re-sorting.
+    tagged = (src.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_rid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     part = F.shiftright(F.col("_rid"), _LOW_BITS)

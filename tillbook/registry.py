@@ -225,18 +225,19 @@ def inc_insert(spark, sf_dir):
     return rows.select("id", "amount", "wallet_id", "date", "description")
 
 
-def _transfers(spark, sf_dir):
-    L = _ledger(spark, sf_dir)
-    return CH.apply_transfers(L, V.validate_transfers(L, RQ.transfer_request_documents(spark, sf_dir)))
+def _validated_transfers(L, spark, sf_dir):
+    return V.validate_transfers(L, RQ.transfer_request_documents(spark, sf_dir))
 
 
 def transfer_rows(spark, sf_dir):
-    t, _ = _transfers(spark, sf_dir)
+    L = _ledger(spark, sf_dir)
+    t = CH.transfer_rows(L, _validated_transfers(L, spark, sf_dir))
     return t.select("id", "amount", "source_wallet_id", "target_wallet_id", "date", "description", "request_id")
 
 
 def transfer_fees(spark, sf_dir):
-    _, f = _transfers(spark, sf_dir)
+    L = _ledger(spark, sf_dir)
+    f = CH.fee_expenses(L, _validated_transfers(L, spark, sf_dir))
     return f.select("id", "category_id", "wallet_id", "amount", "date", "priority", "description", "request_id")
 
 

@@ -34,18 +34,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("batch_id"), "value")
 
 
-def explode_batches(docs: DataFrame, array_key: str, element_schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(batch_id, value) -> (elements, bad_documents).
+def explode_batches(docs: DataFrame, array_key: str, element_schema: T.StructType) -> DataFrame:
+    """(batch_id, value) -> batch_id, doc_ok, pos, raw, e (parsed struct incl. ``_corrupt``).
 
-    elements: batch_id, pos, raw, e (parsed struct incl. ``_corrupt``)
-    bad_documents: batch_id of documents that are not a JSON object holding
-    an ``array_key`` array (such a batch is rejected as a whole).
+    One row per element. A document that is not a JSON object holding an
+    ``array_key`` array yields a single marker row (doc_ok false, pos NULL),
+    so the whole batch can be rejected; an empty array yields no row.
     """
     outer = docs.select("batch_id", F.from_json("value", f"`{array_key}` ARRAY<STRING>").alias("d"))
-    bad = outer.filter(F.col("d").isNull() | F.col(f"d.{array_key}").isNull()).select("batch_id")
-    elements = (outer.select("batch_id", F.posexplode(f"d.{array_key}").alias("pos", "raw"))
-                .select("batch_id", "pos", "raw", _parse_element(F.col("raw"), element_schema).alias("e")))
-    return elements, bad
+    items = F.col(f"d.{array_key}")
+    rows = outer.select("batch_id", items.isNotNull().alias("doc_ok"),
+                        F.posexplode_outer(items).alias("pos", "raw"))
+    rows = rows.filter(~F.col("doc_ok") | F.col("pos").isNotNull())
+    return rows.withColumn("e", _parse_element(F.col("raw"), element_schema))
 
 
 def expense_elements(docs: DataFrame):
