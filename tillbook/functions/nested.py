@@ -30,3 +30,18 @@ def ordered_collect(payload: Column, *keys: Column, skip_null: Column | None = N
 def to_json_text(c: Column) -> Column:
     """Struct/array -> compact JSON text, keeping null fields (``"x":null``)."""
     return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def date_between(df, start, end):
+    """Inclusive optional date bounds. On a month-partitioned table (a
+    ``month`` column, as the store reads it) the same bounds are also put on
+    ``month`` so whole partitions are pruned before any file is opened."""
+    if start is not None:
+        df = df.filter(F.col("date") >= F.lit(start))
+        if "month" in df.columns:
+            df = df.filter(F.col("month") >= F.trunc(F.lit(start), "month"))
+    if end is not None:
+        df = df.filter(F.col("date") <= F.lit(end))
+        if "month" in df.columns:
+            df = df.filter(F.col("month") <= F.trunc(F.lit(end), "month"))
+    return df

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbook.functions.nested import date_text, ordered_collect
+from tillbook.functions.nested import date_between, date_text, ordered_collect
 from tillbook.ledger import Ledger
 from tillbook.params import DateRange, Page, TagFilter
 from tillbook.plans.positions import deep_page
@@ -21,11 +21,7 @@ TOPK_MAX_ROWS = 100_000
 
 
 def in_range(df: DataFrame, r: DateRange) -> DataFrame:
-    if r.start is not None:
-        df = df.filter(F.col("date") >= F.lit(r.start))
-    if r.end is not None:
-        df = df.filter(F.col("date") <= F.lit(r.end))
-    return df
+    return date_between(df, r.start, r.end)
 
 
 def page_of(df: DataFrame, order: list[Column], page: Page) -> DataFrame:
@@ -47,7 +43,7 @@ def _by_id_page(df: DataFrame, page: Page, strategy: str) -> DataFrame:
 
 
 def _index(table: DataFrame, r: DateRange, page: Page, strategy: str, after_id: int | None) -> DataFrame:
-    rows = in_range(table.select("id", "amount", "date", "description"), r)
+    rows = in_range(table, r).select("id", "amount", "date", "description")
     if after_id is not None:  # keyset page: the next `limit` ids after the last one seen
         rows = rows.filter(F.col("id") > F.lit(after_id))
         page = Page(page.limit, 0)

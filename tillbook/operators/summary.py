@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.nested import ordered_collect
+from tillbook.functions.nested import date_between, ordered_collect
 from tillbook.ledger import Ledger
 from tillbook.params import SummaryParams
 from tillbook.plans.onerow import merge_one_row_frames
@@ -22,13 +22,9 @@ from tillbook.plans.onerow import merge_one_row_frames
 ISIN_MAX = 1000
 
 
-def _in_range(p: SummaryParams) -> Column:
-    return F.col("date").between(F.lit(p.start), F.lit(p.end))
-
-
 def filtered_expense(ledger: Ledger, p: SummaryParams) -> DataFrame:
     """SUM-FILT-EXP: expenses in range whose category is not excluded."""
-    e = ledger.expense.select("category_id", "priority", "amount", "date").filter(_in_range(p))
+    e = date_between(ledger.expense, p.start, p.end).select("category_id", "priority", "amount", "date")
     ids = list(p.exclude_category_ids)
     if not ids:
         return e
@@ -40,7 +36,7 @@ def filtered_expense(ledger: Ledger, p: SummaryParams) -> DataFrame:
 
 def filtered_income(ledger: Ledger, p: SummaryParams) -> DataFrame:
     """SUM-FILT-INC: incomes in range (exclusions do not apply)."""
-    return ledger.income.select("wallet_id", "amount", "date").filter(_in_range(p))
+    return date_between(ledger.income, p.start, p.end).select("wallet_id", "amount", "date")
 
 
 def expense_groups(ledger: Ledger, p: SummaryParams) -> DataFrame:

@@ -429,3 +429,33 @@ SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM expense) THEN 'ok' ELSE 'not
 ORACLE["inc_delete"] = _req("""
 SELECT id, amount, wallet_id, date, description FROM income WHERE id NOT IN (SELECT id FROM inc_del)
 """)
+
+# ---- chart feeds ----------------------------------------------------------
+
+ORACLE["chart_bar"] = _with("""
+SELECT 'parent_category' AS series, 'parent:' || CAST(id AS VARCHAR) AS key, name AS label, amount FROM parent_category_summary
+UNION ALL
+SELECT 'priority', 'priority:' || CAST(level AS VARCHAR), CAST(level AS VARCHAR), amount FROM priority_summary
+UNION ALL
+SELECT 'wallet', 'wallet:' || CAST(wallet_id AS VARCHAR), name, amount FROM wallet_summary
+""", summary=True)
+
+ORACLE["chart_sunburst"] = _with("""
+SELECT 1 AS level, 'parent:' || CAST(id AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS parent_key, name, amount
+FROM parent_category_summary
+UNION ALL
+SELECT 2, 'category:' || CAST(parent_id AS VARCHAR) || ':' || name, 'parent:' || CAST(parent_id AS VARCHAR), name, amount
+FROM category_summary WHERE amount > 0
+""", summary=True)
+
+ORACLE["chart_sankey"] = _with("""
+SELECT 'wallet:' || CAST(wallet_id AS VARCHAR) AS source, 'income' AS target, name AS source_label,
+       'Income' AS target_label, amount
+FROM wallet_summary
+UNION ALL
+SELECT 'income', 'parent:' || CAST(id AS VARCHAR), 'Income', name, amount FROM parent_category_summary
+UNION ALL
+SELECT 'parent:' || CAST(cs.parent_id AS VARCHAR), 'category:' || CAST(cs.parent_id AS VARCHAR) || ':' || cs.name,
+       pc.name, cs.name, cs.amount
+FROM category_summary cs JOIN parent_category pc ON pc.id = cs.parent_id WHERE cs.amount > 0
+""", summary=True)

@@ -314,3 +314,22 @@ QUERIES.update({
     "exp_delete_outcome": exp_delete_outcome,
     "inc_delete": inc_delete,
 })
+
+
+# ---- chart feeds ----------------------------------------------------------
+from tillbook.operators import charts as CT  # noqa: E402
+
+
+def chart_bar(spark, sf_dir):
+    return CT.bar(_ledger(spark, sf_dir), STANDARD_SUMMARY)
+
+
+def chart_sunburst(spark, sf_dir):
+    return CT.sunburst(_ledger(spark, sf_dir), STANDARD_SUMMARY)
+
+
+def chart_sankey(spark, sf_dir):
+    return CT.sankey(_ledger(spark, sf_dir), STANDARD_SUMMARY)
+
+
+QUERIES.update({"chart_bar": chart_bar, "chart_sunburst": chart_sunburst, "chart_sankey": chart_sankey})
