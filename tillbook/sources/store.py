@@ -70,12 +70,21 @@ class LedgerStore:
             out.setdefault(name, [])
         return out
 
-    def _publish(self, tables: dict[str, list[str]]) -> int:
+    def has_tag(self, tag: str) -> bool:
+        """Whether some valid version was published with ``tag`` (used by the
+        streaming sink to skip a micro-batch that was already committed)."""
+        m = self._manifests()
+        if m is None:
+            return False
+        latest = self.latest_version()
+        return m.filter((F.col("tag") == tag) & (F.col("v") <= F.lit(latest))).limit(1).count() > 0
+
+    def _publish(self, tables: dict[str, list[str]], tag: str | None = None) -> int:
         current = self.latest_version()
         version = 1 if current is None else current + 1
         entries = [(name, path) for name, paths in sorted(tables.items()) for path in (paths or [""])]
-        rows = [(name, path, len(entries)) for name, path in entries]
-        df = self.spark.createDataFrame(rows, "table string, path string, n_entries int").coalesce(1)
+        rows = [(name, path, len(entries), tag) for name, path in entries]
+        df = self.spark.createDataFrame(rows, "table string, path string, n_entries int, tag string").coalesce(1)
         df.write.mode("errorifexists").parquet(f"{self.root}/_manifests/v={version}")
         return version
 
@@ -119,12 +128,12 @@ class LedgerStore:
         """Write every table of ``ledger`` as a new version (initial load or full snapshot)."""
         return self._publish({name: [self._write_table(name, ledger.table(name))] for name in schemas.TABLES})
 
-    def append(self, **rows: DataFrame) -> int:
+    def append(self, tag: str | None = None, **rows: DataFrame) -> int:
         """SINK-APPEND: add rows to some tables, publish them together."""
         m = self.manifest()
         for name, df in rows.items():
             m[name] = m.get(name, []) + [self._write_table(name, df)]
-        return self._publish(m)
+        return self._publish(m, tag)
 
     def replace(self, **tables: DataFrame) -> int:
         """SINK-SNAPSHOT: new contents for some tables (after update/delete),
