@@ -106,35 +106,39 @@ def apply_transfers(ledger: Ledger, validated: DataFrame, fee_category_id: int =
 
 # ---- updates and deletes --------------------------------------------------
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if row_count_at_most(df, CHANGESET_BROADCAST_MAX) else df
+def _hint(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast a change-set-derived frame when the change set was proven small."""
+    return F.broadcast(df) if small else df
 
 
-def _dedupe_ids(checked: DataFrame) -> DataFrame:
-    """Two changes for one id have no meaning: both become conflicts."""
+def _dedupe_ids(checked: DataFrame, small: bool) -> DataFrame:
+    """Two changes for one id have no meaning: both become conflicts. Counting
+    per id is a partially aggregated groupBy, so a hot id cannot pile up."""
+    from tillbook.functions.rules import status
+
     dup = checked.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(
         "id", F.lit(True).alias("_dup"))
-    out = checked.join(_maybe_broadcast(dup), "id", "left")
+    out = checked.join(_hint(dup, small), "id", "left")
     reasons = F.when(F.col("_dup"), F.concat(F.col("reasons"), F.array(F.lit("id:duplicate")))).otherwise(F.col("reasons"))
-    from tillbook.functions.rules import status
-
     return out.withColumn("reasons", reasons).drop("_dup").withColumn("status", status(F.col("reasons")))
 
 
-def _outcome(base: DataFrame, checked: DataFrame) -> DataFrame:
-    """Per change: status ok / invalid / conflict / not_found (ok but no such id)."""
+def _outcome(base: DataFrame, checked: DataFrame, small: bool) -> DataFrame:
+    """Per change: status ok / invalid / conflict / not_found (ok but no such id).
+    The base table is only scanned (semi join against the broadcast change
+    ids) when the change set is small; otherwise this is a shuffle join."""
     ok = checked.filter(F.col("status") == "ok").select("id")
-    found = base.select("id").join(_maybe_broadcast(ok), "id", "left_semi").withColumn("_found", F.lit(True))
-    out = checked.join(_maybe_broadcast(found), "id", "left")
+    found = base.select("id").join(_hint(ok, small), "id", "left_semi").withColumn("_found", F.lit(True))
+    out = checked.join(_hint(found, small), "id", "left")
     status = F.when((F.col("status") == "ok") & F.col("_found").isNull(), F.lit("not_found")).otherwise(F.col("status"))
     return out.withColumn("status", status).drop("_found")
 
 
-def _replace_rows(base: DataFrame, changes: DataFrame, columns: list[str], stamp: Column) -> DataFrame:
+def _replace_rows(base: DataFrame, changes: DataFrame, columns: list[str], stamp: Column, small: bool) -> DataFrame:
     """Base rows with the changed columns swapped in where a change exists.
     Presence is a flag, never ``coalesce(new, old)``: a change may set NULL."""
     c = changes.select("id", *[F.col(x).alias(f"_new_{x}") for x in columns], F.lit(True).alias("_hit"))
-    j = base.join(_maybe_broadcast(c), "id", "left")
+    j = base.join(_hint(c, small), "id", "left")
     out = [F.col("id")]
     for name in base.columns:
         if name == "id":
@@ -148,22 +152,33 @@ def _replace_rows(base: DataFrame, changes: DataFrame, columns: list[str], stamp
     return j.select(*out)
 
 
+def _checked_changes(ledger: Ledger, changes: DataFrame, schema, rules, base: DataFrame):
+    """Parse + rules (fixed by a checkpoint inside the rules), one size proof,
+    duplicate ids, existence; the outcome is fixed once more so the tables
+    built from it do not re-run the checks."""
+    from tillbook.plans.materialize import fix
+    from tillbook.sources.batches import _parse_element
+
+    parsed = changes.select("id", F.col("value").alias("raw"), _parse_element(F.col("value"), schema).alias("e"))
+    checked = rules(ledger, parsed, ["id"])
+    small = row_count_at_most(checked, CHANGESET_BROADCAST_MAX)
+    outcome = fix(_outcome(base, _dedupe_ids(checked, small), small))
+    return outcome, small
+
+
 def update_expenses(ledger: Ledger, changes: DataFrame, stamp: Column | None = None):
     """M-EXP-UPDATE: (id, value JSON) -> (new expense table, new expense_tag
     table, outcome per change). A change replaces every mutable column and
     the whole tag set of its expense; unknown ids change nothing."""
-    from tillbook.operators.validate import expense_rules
-    from tillbook.sources.batches import _parse_element
     from tillbook import schemas
+    from tillbook.operators.validate import expense_rules
 
     stamp = job_stamp() if stamp is None else stamp
-    parsed = changes.select("id", F.col("value").alias("raw"),
-                            _parse_element(F.col("value"), schemas.EXPENSE_ELEMENT).alias("e"))
-    outcome = _outcome(ledger.expense, _dedupe_ids(expense_rules(ledger, parsed, ["id"])))
+    outcome, small = _checked_changes(ledger, changes, schemas.EXPENSE_ELEMENT, expense_rules, ledger.expense)
     applied = outcome.filter(F.col("status") == "ok")
     cols = ["category_id", "wallet_id", "amount", "date", "priority", "description"]
-    new_expense = _replace_rows(ledger.expense, applied, cols, stamp)
-    kept_tags = ledger.expense_tag.join(_maybe_broadcast(applied.select(F.col("id").alias("expense_id"))),
+    new_expense = _replace_rows(ledger.expense, applied, cols, stamp, small)
+    kept_tags = ledger.expense_tag.join(_hint(applied.select(F.col("id").alias("expense_id")), small),
                                         "expense_id", "left_anti")
     new_tags = applied.select(F.col("id").alias("expense_id"), F.explode("tag_ids").alias("tag_id"),
                               stamp.alias("created_at"), stamp.alias("updated_at"))
@@ -172,34 +187,37 @@ def update_expenses(ledger: Ledger, changes: DataFrame, stamp: Column | None = N
 
 def update_incomes(ledger: Ledger, changes: DataFrame, stamp: Column | None = None):
     """M-INC-UPDATE: (id, value JSON) -> (new income table, outcome)."""
-    from tillbook.operators.validate import income_rules
-    from tillbook.sources.batches import _parse_element
     from tillbook import schemas
+    from tillbook.operators.validate import income_rules
 
     stamp = job_stamp() if stamp is None else stamp
-    parsed = changes.select("id", F.col("value").alias("raw"),
-                            _parse_element(F.col("value"), schemas.INCOME_ELEMENT).alias("e"))
-    outcome = _outcome(ledger.income, _dedupe_ids(income_rules(ledger, parsed, ["id"])))
+    outcome, small = _checked_changes(ledger, changes, schemas.INCOME_ELEMENT, income_rules, ledger.income)
     applied = outcome.filter(F.col("status") == "ok")
-    new_income = _replace_rows(ledger.income, applied, ["amount", "wallet_id", "date", "description"], stamp)
+    new_income = _replace_rows(ledger.income, applied, ["amount", "wallet_id", "date", "description"], stamp, small)
     return new_income, outcome
 
 
-def _delete_outcome(base: DataFrame, ids: DataFrame) -> DataFrame:
-    found = base.select("id").join(_maybe_broadcast(ids.select("id")), "id", "left_semi").withColumn("_found", F.lit(True))
-    return ids.select("id").distinct().join(_maybe_broadcast(found), "id", "left").select(
+def _delete_outcome(base: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+    found = base.select("id").join(_hint(ids, small), "id", "left_semi").withColumn("_found", F.lit(True))
+    return ids.join(_hint(found, small), "id", "left").select(
         "id", F.when(F.col("_found"), F.lit("ok")).otherwise(F.lit("not_found")).alias("status"))
 
 
+def _delete_ids(ids: DataFrame):
+    ids = ids.select("id").distinct()
+    return ids, row_count_at_most(ids, CHANGESET_BROADCAST_MAX)
+
+
 def delete_expenses(ledger: Ledger, ids: DataFrame):
     """M-EXP-DELETE: remove expenses by id and cascade to their tags."""
-    gone = _maybe_broadcast(ids.select("id").distinct())
-    new_expense = ledger.expense.join(gone, "id", "left_anti")
-    new_tags = ledger.expense_tag.join(gone.withColumnRenamed("id", "expense_id"), "expense_id", "left_anti")
-    return new_expense, new_tags, _delete_outcome(ledger.expense, ids)
+    ids, small = _delete_ids(ids)
+    new_expense = ledger.expense.join(_hint(ids, small), "id", "left_anti")
+    new_tags = ledger.expense_tag.join(_hint(ids.withColumnRenamed("id", "expense_id"), small),
+                                       "expense_id", "left_anti")
+    return new_expense, new_tags, _delete_outcome(ledger.expense, ids, small)
 
 
 def delete_incomes(ledger: Ledger, ids: DataFrame):
     """M-INC-DELETE: remove incomes by id."""
-    gone = _maybe_broadcast(ids.select("id").distinct())
-    return ledger.income.join(gone, "id", "left_anti"), _delete_outcome(ledger.income, ids)
+    ids, small = _delete_ids(ids)
+    return ledger.income.join(_hint(ids, small), "id", "left_anti"), _delete_outcome(ledger.income, ids, small)

@@ -459,3 +459,9 @@ SELECT 'parent:' || CAST(cs.parent_id AS VARCHAR), 'category:' || CAST(cs.parent
        pc.name, cs.name, cs.amount
 FROM category_summary cs JOIN parent_category pc ON pc.id = cs.parent_id WHERE cs.amount > 0
 """, summary=True)
+
+ORACLE["sum_doc_all"] = ORACLE["sum_doc"].replace(
+    "e.date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND e.category_id NOT IN (5, 10)",
+    "e.date BETWEEN DATE '1900-01-01' AND DATE '2100-12-31'").replace(
+    "WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'",
+    "WHERE date BETWEEN DATE '1900-01-01' AND DATE '2100-12-31'")

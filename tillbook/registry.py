@@ -333,3 +333,15 @@ def chart_sankey(spark, sf_dir):
 
 
 QUERIES.update({"chart_bar": chart_bar, "chart_sunburst": chart_sunburst, "chart_sankey": chart_sankey})
+
+
+# ---- full-range summary (every expense and income, no exclusions) ---------
+FULL_RANGE_SUMMARY = SummaryParams(dt.date(1900, 1, 1), dt.date(2100, 12, 31), ())
+
+
+def sum_doc_all(spark, sf_dir):
+    doc = S.summary_document(_ledger(spark, sf_dir), FULL_RANGE_SUMMARY)
+    return doc.select(to_json_text(F.col("expense")).alias("expense"), to_json_text(F.col("income")).alias("income"))
+
+
+QUERIES["sum_doc_all"] = sum_doc_all

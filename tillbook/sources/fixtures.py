@@ -16,8 +16,18 @@ def null_ts():
     return F.lit(None).cast("timestamp")
 
 
+# Table handles are opened once per session and directory: a DataFrame is an
+# immutable plan, and the driver's inputs are read-only.
+_HANDLES: dict[tuple[int, str], DataFrame] = {}
+_LEDGERS: dict[tuple[int, str], object] = {}
+
+
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _HANDLES:
+        _HANDLES[key] = spark.read.parquet(path)
+    return _HANDLES[key]
 
 
 def _int(c):
@@ -110,6 +120,15 @@ def transfer_request(spark, sf_dir):
 
 
 def fixture_ledger(spark: SparkSession, sf_dir: str):
+    """The ledger mapped from one driver directory (one instance per session
+    and directory, so its dimension size proofs are made once)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _LEDGERS:
+        _LEDGERS[key] = _build_ledger(spark, sf_dir)
+    return _LEDGERS[key]
+
+
+def _build_ledger(spark: SparkSession, sf_dir: str):
     from tillbook.ledger import Ledger
 
     return Ledger(
