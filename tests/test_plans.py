@@ -43,12 +43,16 @@ def test_date_filter_reaches_parquet(spark):
 
 
 def test_deep_page_reads_one_key_range(spark):
+    from tillbook.plans.positions import deep_page
+
     L = Ledger.from_fixture(spark, SF_SMALL)
-    text = plan(LS.expense_index(L, DateRange(), Page(100, 1000), strategy="deep"), executed=False)
+    text = plan(deep_page(L.expense.select("id", "amount"), "id", 1000, 100, buckets=16, topk_rows=200),
+                executed=False)
     # the page comes from one id interval: a top-k over far fewer than offset + limit rows
     limit = int(re.search(r"TakeOrderedAndProject\(limit=(\d+)", text).group(1))
     assert limit < 1100
     assert re.search(r"Filter .*as int\) >= \d+\)\) AND \(cast\(.*as int\) <= \d+\)", text)
+    assert "RangePartitioning" not in text
 
 
 def test_expense_detail_shuffles_fact_sides_only(spark):

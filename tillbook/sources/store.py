@@ -94,12 +94,14 @@ class LedgerStore:
         cols = [f.name for f in schemas.TABLES[name].fields]
         df = df.select(*cols)
         writer = None
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         if name in MONTH_PARTITIONED:
+            # range on (month, id): a month holding a large share of the rows
+            # spans several writer tasks instead of landing in one
             df = df.withColumn("month", F.trunc("date", "month"))
-            writer = (df.repartition("month").write.option("maxRecordsPerFile", ROWS_PER_FILE)
-                      .partitionBy("month"))
+            writer = (df.repartitionByRange(n, "month", "id").sortWithinPartitions("month", "id")
+                      .write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("month"))
         elif name == "expense_tag":
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             writer = (df.repartitionByRange(n, "expense_id").sortWithinPartitions("expense_id", "tag_id")
                       .write.option("maxRecordsPerFile", ROWS_PER_FILE))
         else:
