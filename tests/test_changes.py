@@ -85,3 +85,33 @@ def test_id_overflow_fails(spark, small_ledger):
         assert "id space exhausted" in str(exc)
     else:
         raise AssertionError("expected overflow failure")
+
+
+def test_update_then_detail_returns_what_was_written(spark, small_ledger):
+    from tillbook.operators import enrich as EN
+
+    changes = spark.createDataFrame([(4, json.dumps({
+        "amount": 77, "date": "2024-06-01", "description": "edited", "priority": 1,
+        "categoryId": 1, "walletId": 2, "tagIds": [3, 1]}))], "id int, value string")
+    exp, tags, _ = CH.update_expenses(small_ledger, changes)
+    after = small_ledger.replace(expense=exp, expense_tag=tags)
+    row = EN.expense_detail(after, spark.createDataFrame([(4,)], "id int")).collect()[0]
+    assert (row.amount, row.date, row.description, row.priority) == (77, "2024-06-01", "edited", 1)
+    assert (row.category.id, row.wallet.id) == (1, 2)
+    assert [t.id for t in row.tags] == [1, 3]  # important first, then name: 'b' < 'c'
+
+
+def test_every_input_element_is_accounted_for(spark, fixture_ledger):
+    from tillbook.sources import requests as RQ
+    from conftest import SF_SMALL
+
+    docs = RQ.expense_request_documents(spark, SF_SMALL)
+    validated = V.validate_expense_batches(fixture_ledger, docs)
+    n_orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+    bad_docs = docs.filter(F.col("batch_id") % 97 == 42)
+    bad_elements = RQ.expense_request_elements(spark, SF_SMALL).join(bad_docs.select("batch_id"), "batch_id", "left_semi")
+    # every element of a well-formed document has a row; a malformed document has one row
+    assert validated.count() == n_orders - bad_elements.count() + bad_docs.count()
+    ok = validated.filter("status = 'ok' AND batch_ok").count()
+    rows, _ = CH.insert_expenses(fixture_ledger, validated)
+    assert rows.count() == ok

@@ -164,8 +164,9 @@ def validate_transfers(ledger: Ledger, docs: DataFrame, fee_category_id: int = 2
         F.when((F.col("targetWalletId") >= 1) & F.col("_dst_ok").isNull(), F.lit("targetWalletId:unknown")),
         F.when((F.col("fee") > 0) & F.col("_fee_cat_ok").isNull(), F.lit("feeCategory:unknown")),
     )
-    return x.select(
+    # fixed once: transfer rows and fee expenses both number these rows
+    return fix(x.select(
         "request_id", F.col("sourceWalletId").alias("source_wallet_id"),
         F.col("targetWalletId").alias("target_wallet_id"), "amount", "fee",
         R.strict_date(F.col("date")).alias("date"), "description", reasons.alias("reasons"),
-    ).withColumn("status", R.status(F.col("reasons")))
+    ).withColumn("status", R.status(F.col("reasons"))))

@@ -18,8 +18,12 @@ def null_ts():
 
 # Table handles are opened once per session and directory: a DataFrame is an
 # immutable plan, and the driver's inputs are read-only.
-_HANDLES: dict[tuple[int, str], DataFrame] = {}
-_LEDGERS: dict[tuple[int, str], object] = {}
+_HANDLES: dict[tuple[str, str], DataFrame] = {}
+_LEDGERS: dict[tuple[str, str], object] = {}
+
+
+def _session_key(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
 
 
 # The key column of each big driver table.
@@ -33,7 +37,7 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     scale the scan already yields many partitions and nothing is added.
     Column pruning and filters still reach the parquet reader."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (_session_key(spark), path)
     if key not in _HANDLES:
         df = spark.read.parquet(path)
         spread = SPREAD_KEYS.get(name)
@@ -136,7 +140,7 @@ def transfer_request(spark, sf_dir):
 def fixture_ledger(spark: SparkSession, sf_dir: str):
     """The ledger mapped from one driver directory (one instance per session
     and directory, so its dimension size proofs are made once)."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _LEDGERS:
         _LEDGERS[key] = _build_ledger(spark, sf_dir)
     return _LEDGERS[key]
