@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
 from tillbook.ledger import Ledger
-from tillbook.plans.broadcast import broadcast_if_bounded
+from tillbook.plans.broadcast import bound_like, broadcast_if, broadcast_if_bounded, row_count_at_most
 from tillbook.plans.materialize import fix
 
 # Number of rejected batch ids up to which the gate is a broadcast join.
@@ -32,9 +32,12 @@ def _known(ledger: Ledger, table: str, key: str, flag: str) -> DataFrame:
     return ledger.dim(table).select(F.col("id").alias(key), F.lit(True).alias(flag))
 
 
-def _flag_keys(x: DataFrame, offending: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """x + boolean ``flag`` for rows whose key is in ``offending`` (keys only)."""
-    marks = broadcast_if_bounded(offending.select(*keys).distinct().withColumn(flag, F.lit(True)), GATE_BROADCAST_MAX)
+def _flag_keys(x: DataFrame, offending: DataFrame, keys: list[str], flag: str, small: bool | None = None) -> DataFrame:
+    """x + boolean ``flag`` for rows whose key is in ``offending`` (keys only).
+    ``small``: the caller already proved ``offending`` small (it is a subset
+    of a frame whose size is known); otherwise it is counted here."""
+    marks = offending.select(*keys).distinct().withColumn(flag, F.lit(True))
+    marks = broadcast_if(marks, small) if small is not None else broadcast_if_bounded(marks, GATE_BROADCAST_MAX)
     return x.join(marks, keys, "left")
 
 
@@ -54,10 +57,11 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
     x = (x.join(_known(ledger, "category", "categoryId", "_cat_ok"), "categoryId", "left")
          .join(_known(ledger, "wallet", "walletId", "_wal_ok"), "walletId", "left"))
     x = fix(x)
+    small = row_count_at_most(x, GATE_BROADCAST_MAX)  # bounds every key subset below
     tag_ids = ledger.dim("tag").select(F.col("id").alias("_tag"))
     unknown = (x.select(*keys, F.explode("tagIds").alias("_tag")).filter(F.col("_tag") >= 1)
                .join(tag_ids, "_tag", "left_anti"))
-    x = _flag_keys(x, unknown, keys, "_tag_unknown")
+    x = _flag_keys(x, unknown, keys, "_tag_unknown", small)
     corrupt = F.col("_corrupt")
     doc = F.col("doc_ok") if extra else F.lit(True)
     reasons = R.reasons(
@@ -76,12 +80,14 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
     )
     # a malformed document carries only its document reason
     reasons = F.when(F.coalesce(doc, F.lit(True)), reasons).otherwise(F.array(F.lit("document:invalid")))
-    return x.select(
+    checked = x.select(
         *keys, *extra,
         F.col("amount"), R.strict_date(F.col("date")).alias("date"), F.col("description"),
         F.col("priority"), F.col("categoryId").alias("category_id"), F.col("walletId").alias("wallet_id"),
         F.col("tagIds").alias("tag_ids"), reasons.alias("reasons"),
     ).withColumn("status", R.status(F.col("reasons")))
+    bound_like(checked, x, GATE_BROADCAST_MAX)
+    return checked
 
 
 def income_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,10 +106,12 @@ def income_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFram
     if extra:
         reasons = F.when(F.coalesce(F.col("doc_ok"), F.lit(True)), reasons).otherwise(
             F.array(F.lit("document:invalid")))
-    return x.select(
+    checked = x.select(
         *keys, *extra, F.col("amount"), R.strict_date(F.col("date")).alias("date"), F.col("description"),
         F.col("walletId").alias("wallet_id"), reasons.alias("reasons"),
     ).withColumn("status", R.status(F.col("reasons")))
+    bound_like(checked, x, GATE_BROADCAST_MAX)
+    return checked
 
 
 def gate_batches(checked: DataFrame, mode: str = "fail_batch") -> DataFrame:
@@ -120,7 +128,8 @@ def gate_batches(checked: DataFrame, mode: str = "fail_batch") -> DataFrame:
     if mode == "fail_batch":
         bad = bad | (F.col("status") != "ok")
     rejected = checked.filter(bad).select("batch_id")
-    return _flag_keys(checked, rejected, ["batch_id"], "_rejected").withColumn(
+    small = row_count_at_most(checked, GATE_BROADCAST_MAX)  # usually already proven by the rules
+    return _flag_keys(checked, rejected, ["batch_id"], "_rejected", small).withColumn(
         "batch_ok", F.col("_rejected").isNull()).drop("_rejected", "doc_ok")
 
 

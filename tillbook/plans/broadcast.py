@@ -27,6 +27,20 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return _PROVEN[key]
 
 
+def bound_like(derived: DataFrame, source: DataFrame, max_rows: int) -> bool:
+    """Prove ``source`` has at most ``max_rows`` rows (one bounded count) and
+    record the same fact for ``derived``, which the caller builds from
+    ``source`` without adding rows (a filter, a key subset, a left join on a
+    unique key). Later checks on ``derived`` cost nothing."""
+    ok = row_count_at_most(source, max_rows)
+    _PROVEN[(derived.semanticHash(), max_rows)] = ok
+    return ok
+
+
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when df has at most ``max_rows`` rows, else df as is
     (the planner then picks a shuffle join, or AQE converts it at run time)."""

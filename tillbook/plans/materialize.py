@@ -5,10 +5,16 @@ counts and the rows they number) is written once with ``checkpoint()`` to
 the shared folder named by ``spark.checkpoint.dir``: the upstream runs once,
 lineage is cut, and a lost executor re-reads the checkpoint instead of
 recomputing from the sources.
+
+A reliable checkpoint runs one job for the action and a second one that
+writes the files; the frame is persisted (memory, spilling to disk) for the
+duration so the second job reads it instead of recomputing it, and released
+right after.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tillbook.session import ensure_checkpoint_dir
@@ -16,4 +22,8 @@ from tillbook.session import ensure_checkpoint_dir
 
 def fix(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist(blocking=False)

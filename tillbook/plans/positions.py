@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillbook.plans.materialize import fix
 from tillbook.session import ensure_checkpoint_dir
 
 _LOW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row number
@@ -36,13 +37,12 @@ def with_positions(df: DataFrame, order: list[Column], name: str = "pos",
     # The range partitioner samples its input in one job and shuffles it in
     # another: with an expensive upstream, pass fix_input=True to checkpoint
     # it first so it runs once.
-    src = df.checkpoint(eager=True) if fix_input else df
+    src = fix(df) if fix_input else df
     # The tagged rows are checkpointed: counts and rows must see the very same
     # partition ids (AQE may coalesce a re-read shuffle differently), and a
     # lost executor re-reads the shared checkpoint instead of re-sorting.
-    tagged = (src.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_rid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = fix(src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                 .withColumn("_rid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_rid"), _LOW_BITS)
     counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # at most n rows: one per partition
