@@ -59,12 +59,21 @@ def expense_detail(ledger: Ledger, ids: DataFrame | None = None) -> DataFrame:
     return _expense_shape(ledger, expenses, tag_arrays(ledger, et))
 
 
+def _max_id(df: DataFrame):
+    """One scalar (the highest id, or None) from a scan of the id column."""
+    return df.agg(F.max("id")).first()[0]
+
+
 def latest_expense(ledger: Ledger) -> DataFrame:
     """Q-EXP-LATEST: the expense with the highest id (no row when empty).
-    Top-1 is taken first; only that one expense is enriched."""
-    top = ledger.expense.orderBy(F.col("id").desc()).limit(1)
-    # a one-row frame: broadcasting it is bounded by construction
-    et = ledger.expense_tag.join(F.broadcast(top.select(F.col("id").alias("expense_id"))), "expense_id", "left_semi")
+    The id is found first (id column only); the expense and its tags are
+    then read with ``id = <literal>`` filters, which reach the parquet reader
+    and skip row groups of the id-clustered store."""
+    top_id = _max_id(ledger.expense)
+    if top_id is None:
+        return _expense_shape(ledger, ledger.expense.limit(0), tag_arrays(ledger, ledger.expense_tag.limit(0)))
+    top = ledger.expense.filter(F.col("id") == F.lit(top_id))
+    et = ledger.expense_tag.filter(F.col("expense_id") == F.lit(top_id))
     return _expense_shape(ledger, top, tag_arrays(ledger, et))
 
 
@@ -85,4 +94,7 @@ def income_detail(ledger: Ledger, ids: DataFrame | None = None) -> DataFrame:
 
 def latest_income(ledger: Ledger) -> DataFrame:
     """Q-INC-LATEST: the income with the highest id, with its wallet."""
-    return _income_shape(ledger, ledger.income.orderBy(F.col("id").desc()).limit(1))
+    top_id = _max_id(ledger.income)
+    if top_id is None:
+        return _income_shape(ledger, ledger.income.limit(0))
+    return _income_shape(ledger, ledger.income.filter(F.col("id") == F.lit(top_id)))

@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.nested import to_json_text
 from tillbook.ledger import Ledger
+from tillbook.operators import changes as CH
+from tillbook.operators import charts as CT
+from tillbook.operators import enrich as EN
+from tillbook.operators import listings as LS
 from tillbook.operators import summary as S
-from tillbook.params import SummaryParams
+from tillbook.operators import validate as V
+from tillbook.params import DateRange, Page, SummaryParams, TagFilter
+from tillbook.sources import requests as RQ
 
 # The standard summary request of FIXTURES.md.
 STANDARD_SUMMARY = SummaryParams(dt.date(1996, 1, 1), dt.date(1996, 12, 31), (5, 10))
@@ -71,9 +77,6 @@ QUERIES = {
 
 
 # ---- listings -------------------------------------------------------------
-from tillbook.operators import enrich as EN  # noqa: E402
-from tillbook.operators import listings as LS  # noqa: E402
-from tillbook.params import DateRange, Page, TagFilter  # noqa: E402
 
 # The request parameters the registered listings use. Pages are
 # chosen so that which rows land on the page depends on the order.
@@ -171,9 +174,6 @@ QUERIES.update({
 
 
 # ---- validation, ingest, transfers, updates, deletes ----------------------
-from tillbook.operators import changes as CH  # noqa: E402
-from tillbook.operators import validate as V  # noqa: E402
-from tillbook.sources import requests as RQ  # noqa: E402
 
 
 def _reasons_text(df):
@@ -317,7 +317,6 @@ QUERIES.update({
 
 
 # ---- chart feeds ----------------------------------------------------------
-from tillbook.operators import charts as CT  # noqa: E402
 
 
 def chart_bar(spark, sf_dir):
