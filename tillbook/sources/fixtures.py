@@ -23,7 +23,20 @@ _LEDGERS: dict[tuple[str, str], object] = {}
 
 
 def _session_key(spark: SparkSession) -> str:
-    return spark.sparkContext.applicationId
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return f"session-{id(spark)}"
+
+
+def _spread_partitions(spark: SparkSession, df: DataFrame) -> int | None:
+    """Target partitions when ``df`` scans into fewer than the session's
+    parallelism, else None (also None where partitions cannot be inspected)."""
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+        return parallelism if df.rdd.getNumPartitions() < parallelism else None
+    except Exception:
+        return None
 
 
 # The key column of each big driver table.
@@ -41,9 +54,9 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key not in _HANDLES:
         df = spark.read.parquet(path)
         spread = SPREAD_KEYS.get(name)
-        parallelism = spark.sparkContext.defaultParallelism
-        if spread and df.rdd.getNumPartitions() < parallelism:
-            df = df.repartition(parallelism, spread)
+        target = _spread_partitions(spark, df) if spread else None
+        if target:
+            df = df.repartition(target, spread)
         _HANDLES[key] = df
     return _HANDLES[key]
 
