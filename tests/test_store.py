@@ -45,3 +45,31 @@ def test_month_partition_pruning(spark, small_ledger, tmp_path):
     with contextlib.redirect_stdout(buf):
         rows.explain()
     assert "PartitionFilters: [isnotnull(month" in buf.getvalue()
+
+
+def test_update_rewrites_only_touched_months(spark, small_ledger, tmp_path):
+    import json
+
+    from tillbook.operators import changes as CH
+
+    store = LedgerStore(spark, str(tmp_path / "ledger3"))
+    store.save(small_ledger)
+    led = store.read()
+    changes = spark.createDataFrame([(3, json.dumps({
+        "amount": 51, "date": "2024-03-15", "description": "moved", "priority": 2,
+        "categoryId": 3, "walletId": 1, "tagIds": [3]}))], "id int, value string")
+    new_expense, new_tags, outcome = CH.update_expenses(led, changes)
+    applied = outcome.filter("status = 'ok'")
+    months = CH.touched_months(led.expense, applied)
+    assert sorted(str(m) for m in months) == ["2024-02-01", "2024-03-01"]
+    store.replace_months(months, tables={"expense": CH.within_months(new_expense, months)},
+                         whole={"expense_tag": new_tags})
+    after = store.read()
+    full = {r.id: (r.amount, str(r.date)) for r in new_expense.collect()}
+    got = {r.id: (r.amount, str(r.date)) for r in after.expense.collect()}
+    assert got == full and got[3] == (51, "2024-03-15")
+    # the old directory still serves the untouched months; the new one only the touched ones
+    paths = store.manifest()["expense"]
+    assert len(paths) == 2 and paths[0][1] == "2024-02-01,2024-03-01"
+    assert sorted(r.month.isoformat() for r in spark.read.parquet(paths[1][0]).select("month").distinct().collect()) \
+        == ["2024-02-01", "2024-03-01"]

@@ -221,3 +221,23 @@ def delete_incomes(ledger: Ledger, ids: DataFrame):
     """M-INC-DELETE: remove incomes by id."""
     ids, small = _delete_ids(ids)
     return ledger.income.join(_hint(ids, small), "id", "left_anti"), _delete_outcome(ledger.income, ids, small)
+
+
+def touched_months(base: DataFrame, applied: DataFrame) -> list:
+    """Months an update touches: where the changed rows live now and where
+    they will live. A distinct month list (bounded by the ledger's history)."""
+    old = base.join(applied.select("id"), "id", "left_semi").select(F.trunc("date", "month").alias("m"))
+    new = applied.select(F.trunc("date", "month").alias("m"))
+    return [r.m for r in old.unionByName(new).distinct().collect()]
+
+
+def within_months(df: DataFrame, months: list) -> DataFrame:
+    """Rows of ``df`` whose (new) date falls in ``months``. On a stored table
+    the stored ``month`` (where the row lived before the change) is filtered
+    too: every changed row's old and new months are both touched, so this
+    loses nothing and lets partition pruning skip untouched months."""
+    lits = [F.lit(m) for m in months]
+    out = df.filter(F.trunc("date", "month").isin(*lits))
+    if "month" in df.columns:
+        out = out.filter(F.col("month").isin(*lits))
+    return out

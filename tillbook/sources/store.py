@@ -57,15 +57,16 @@ class LedgerStore:
                  .filter(F.col("n") == F.col("expected")).agg(F.max("v")).collect())
         return valid[0][0] if valid else None
 
-    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+    def manifest(self, version: int | None = None) -> dict[str, list[tuple[str, str | None]]]:
+        """table -> [(path, superseded months as 'YYYY-MM-DD,...' or None)]."""
         version = self.latest_version() if version is None else version
         if version is None:
-            return {}
-        rows = self._manifests().filter(F.col("v") == version).select("table", "path").collect()
-        out: dict[str, list[str]] = {}
+            return {name: [] for name in schemas.TABLES}
+        rows = self._manifests().filter(F.col("v") == version).select("table", "path", "superseded").collect()
+        out: dict[str, list[tuple[str, str | None]]] = {}
         for r in rows:
             if r.path:
-                out.setdefault(r.table, []).append(r.path)
+                out.setdefault(r.table, []).append((r.path, r.superseded))
         for name in schemas.TABLES:
             out.setdefault(name, [])
         return out
@@ -79,12 +80,14 @@ class LedgerStore:
         latest = self.latest_version()
         return m.filter((F.col("tag") == tag) & (F.col("v") <= F.lit(latest))).limit(1).count() > 0
 
-    def _publish(self, tables: dict[str, list[str]], tag: str | None = None) -> int:
+    def _publish(self, tables: dict[str, list[tuple[str, str | None]]], tag: str | None = None) -> int:
         current = self.latest_version()
         version = 1 if current is None else current + 1
-        entries = [(name, path) for name, paths in sorted(tables.items()) for path in (paths or [""])]
-        rows = [(name, path, len(entries), tag) for name, path in entries]
-        df = self.spark.createDataFrame(rows, "table string, path string, n_entries int, tag string").coalesce(1)
+        entries = [(name, path, sup) for name, paths in sorted(tables.items())
+                   for path, sup in (paths or [("", None)])]
+        rows = [(name, path, len(entries), tag, sup) for name, path, sup in entries]
+        df = self.spark.createDataFrame(
+            rows, "table string, path string, n_entries int, tag string, superseded string").coalesce(1)
         df.write.mode("errorifexists").parquet(f"{self.root}/_manifests/v={version}")
         return version
 
@@ -109,16 +112,23 @@ class LedgerStore:
         writer.mode("errorifexists").parquet(path)
         return path
 
-    def _read_table(self, name: str, paths: list[str]) -> DataFrame:
+    def _read_table(self, name: str, paths: list[tuple[str, str | None]]) -> DataFrame:
         schema = schemas.TABLES[name]
         if not paths:
             return self.spark.createDataFrame([], schema)
         if name in MONTH_PARTITIONED:
-            # keep ``month``: date filters add a month predicate (partition pruning)
+            # keep ``month``: date filters add a month predicate (partition
+            # pruning); superseded months of a path are pruned the same way
             with_month = T.StructType(list(schema.fields) + [T.StructField("month", T.DateType())])
-            frames = [self.spark.read.schema(with_month).option("basePath", p).parquet(p) for p in paths]
+            frames = []
+            for p, superseded in paths:
+                df = self.spark.read.schema(with_month).option("basePath", p).parquet(p)
+                if superseded:
+                    gone = [F.lit(m).cast("date") for m in superseded.split(",")]
+                    df = df.filter(~F.col("month").isin(*gone))
+                frames.append(df)
             return reduce(DataFrame.unionByName, frames)
-        return self.spark.read.schema(schema).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*[p for p, _ in paths])
 
     # ---- public API -------------------------------------------------------
     def read(self, version: int | None = None) -> Ledger:
@@ -128,13 +138,13 @@ class LedgerStore:
 
     def save(self, ledger: Ledger) -> int:
         """Write every table of ``ledger`` as a new version (initial load or full snapshot)."""
-        return self._publish({name: [self._write_table(name, ledger.table(name))] for name in schemas.TABLES})
+        return self._publish({name: [(self._write_table(name, ledger.table(name)), None)] for name in schemas.TABLES})
 
     def append(self, tag: str | None = None, **rows: DataFrame) -> int:
         """SINK-APPEND: add rows to some tables, publish them together."""
         m = self.manifest()
         for name, df in rows.items():
-            m[name] = m.get(name, []) + [self._write_table(name, df)]
+            m[name] = m.get(name, []) + [(self._write_table(name, df), None)]
         return self._publish(m, tag)
 
     def replace(self, **tables: DataFrame) -> int:
@@ -143,7 +153,30 @@ class LedgerStore:
         written to fresh directories before the manifest switches."""
         m = self.manifest()
         for name, df in tables.items():
-            m[name] = [self._write_table(name, df)]
+            m[name] = [(self._write_table(name, df), None)]
+        return self._publish(m)
+
+    def replace_months(self, months: list, tables: dict[str, DataFrame] | None = None,
+                       whole: dict[str, DataFrame] | None = None) -> int:
+        """SINK-SNAPSHOT for month-partitioned tables: ``tables[name]`` holds
+        the complete new content of ``months`` (and nothing else); only those
+        months are written, and they are marked superseded in every older
+        directory of the table, so an update of a few rows rewrites a few
+        month partitions instead of the table. ``whole`` tables (not
+        month-partitioned, e.g. expense_tag) are replaced entirely in the same
+        version."""
+        m = self.manifest()
+        keys = sorted({str(x) for x in months})
+        for name, df in (tables or {}).items():
+            if name not in MONTH_PARTITIONED:
+                raise ValueError(f"{name} is not month-partitioned")
+            old = []
+            for path, superseded in m.get(name, []):
+                have = set(superseded.split(",")) if superseded else set()
+                old.append((path, ",".join(sorted(have | set(keys))) or None))
+            m[name] = old + ([(self._write_table(name, df), None)] if keys else [])
+        for name, df in (whole or {}).items():
+            m[name] = [(self._write_table(name, df), None)]
         return self._publish(m)
 
 
