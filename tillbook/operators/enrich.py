@@ -35,12 +35,13 @@ def tag_arrays(ledger: Ledger, expense_tag: DataFrame | None = None) -> DataFram
                                  F.col("tag_name"), F.col("tag_id")).alias("tags")))
 
 
-def _expense_shape(ledger: Ledger, expenses: DataFrame, tags: DataFrame) -> DataFrame:
+def _expense_shape(ledger: Ledger, expenses: DataFrame, tags: DataFrame, small_tags: bool = False) -> DataFrame:
     cat = ledger.dim("category").select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
     wal = ledger.dim("wallet").select(F.col("id").alias("wallet_id"), F.col("name").alias("wallet_name"))
     e = (expenses.select("id", "amount", "date", "description", "priority", "category_id", "wallet_id")
          .join(cat, "category_id").join(wal, "wallet_id"))
-    e = e.join(tags.withColumnRenamed("expense_id", "id"), "id", "left")
+    tags = tags.withColumnRenamed("expense_id", "id")
+    e = e.join(F.broadcast(tags) if small_tags else tags, "id", "left")
     return e.select(
         "id", "amount", date_text("date").alias("date"), "description", "priority",
         _entity("category_id", "category_name").alias("category"),
@@ -74,7 +75,8 @@ def latest_expense(ledger: Ledger) -> DataFrame:
         return _expense_shape(ledger, ledger.expense.limit(0), tag_arrays(ledger, ledger.expense_tag.limit(0)))
     top = ledger.expense.filter(F.col("id") == F.lit(top_id))
     et = ledger.expense_tag.filter(F.col("expense_id") == F.lit(top_id))
-    return _expense_shape(ledger, top, tag_arrays(ledger, et))
+    # one expense: its tag array is a single row, so broadcasting it is bounded
+    return _expense_shape(ledger, top, tag_arrays(ledger, et), small_tags=True)
 
 
 def _income_shape(ledger: Ledger, incomes: DataFrame) -> DataFrame:
