@@ -73,3 +73,34 @@ def test_update_rewrites_only_touched_months(spark, small_ledger, tmp_path):
     assert len(paths) == 2 and paths[0][1] == "2024-02-01,2024-03-01"
     assert sorted(r.month.isoformat() for r in spark.read.parquet(paths[1][0]).select("month").distinct().collect()) \
         == ["2024-02-01", "2024-03-01"]
+
+
+def test_store_jobs(spark, small_ledger, tmp_path):
+    import json
+
+    from tillbook import jobs
+    from tillbook.operators import changes as CH
+
+    store = LedgerStore(spark, str(tmp_path / "ledger4"))
+    store.save(small_ledger)
+    docs = spark.createDataFrame([(1, json.dumps({"expenses": [
+        {"amount": 9, "date": "2024-05-01", "priority": 0, "categoryId": 1, "walletId": 1, "tagIds": [2]}]}))],
+        "batch_id long, value string")
+    v, _ = jobs.ingest(store, docs)
+    assert store.read().expense.filter("id = 7").count() == 1
+    reqs = spark.createDataFrame([(1, json.dumps({"sourceWalletId": 1, "targetWalletId": 2, "amount": 5, "fee": 2,
+                                                   "date": "2024-05-02", "description": "x"}))], "request_id int, value string")
+    jobs.transfer(store, reqs)
+    led = store.read()
+    assert led.wallet_transfer.count() == 1 and led.expense.filter("id = 8 AND amount = 2").count() == 1
+    changes = spark.createDataFrame([(1, json.dumps({"amount": 1, "date": "2024-05-03", "priority": 1,
+                                                     "categoryId": 2, "walletId": 2, "tagIds": []}))], "id int, value string")
+    expected = {r.id: (r.amount, str(r.date)) for r in CH.update_expenses(store.read(), changes)[0].collect()}
+    jobs.update(store, changes)
+    led = store.read()
+    assert {r.id: (r.amount, str(r.date)) for r in led.expense.collect()} == expected
+    assert led.expense_tag.filter("expense_id = 1").count() == 0
+    jobs.delete(store, spark.createDataFrame([(7,), (2,)], "id int"))
+    led = store.read()
+    assert sorted(r.id for r in led.expense.collect()) == [1, 3, 4, 5, 6, 8]
+    assert led.expense_tag.filter("expense_id = 7").count() == 0

@@ -47,6 +47,7 @@ def _micro_batch(store: LedgerStore, kind: str, mode: str, reject_dir: str | Non
             validated = V.validate_income_batches(ledger, docs, mode)
             new = {"income": CH.insert_incomes(ledger, validated)}
         if reject_dir:
+            # rejects first: a replayed epoch rewrites its own reject partition
             rejected = validated.filter((F.col("status") != "ok") | ~F.col("batch_ok"))
             (rejected.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(reject_dir))
