@@ -63,7 +63,7 @@ def test_update_rewrites_only_touched_months(spark, small_ledger, tmp_path):
     months = CH.touched_months(led.expense, applied)
     assert sorted(str(m) for m in months) == ["2024-02-01", "2024-03-01"]
     store.replace_months(months, tables={"expense": CH.within_months(new_expense, months)},
-                         whole={"expense_tag": new_tags})
+                         whole={"expense_tag": new_tags.select("expense_id", "tag_id", "created_at", "updated_at")})
     after = store.read()
     full = {r.id: (r.amount, str(r.date)) for r in new_expense.collect()}
     got = {r.id: (r.amount, str(r.date)) for r in after.expense.collect()}
@@ -104,3 +104,5 @@ def test_store_jobs(spark, small_ledger, tmp_path):
     led = store.read()
     assert sorted(r.id for r in led.expense.collect()) == [1, 3, 4, 5, 6, 8]
     assert led.expense_tag.filter("expense_id = 7").count() == 0
+    # every change above touched only id block 0 of expense_tag
+    assert all(sup in (None, "0") for _, sup in store.manifest()["expense_tag"])

@@ -38,34 +38,46 @@ def transfer(store: LedgerStore, docs: DataFrame, fee_category_id: int = CH.FEE_
 
 def update(store: LedgerStore, changes: DataFrame, kind: str = "expenses") -> tuple[int, DataFrame]:
     """(id, value) changes -> (new version, outcome). Only the months holding
-    changed rows (before or after the change) are rewritten."""
+    changed rows (before or after the change), and the expense-id blocks of
+    their tags, are rewritten."""
     ledger = store.read()
     if kind == "expenses":
         new_rows, new_tags, outcome = CH.update_expenses(ledger, changes)
-        base, name, whole = ledger.expense, "expense", {"expense_tag": new_tags}
+        base, name = ledger.expense, "expense"
     elif kind == "incomes":
         new_rows, outcome = CH.update_incomes(ledger, changes)
-        base, name, whole = ledger.income, "income", {}
+        base, name, new_tags = ledger.income, "income", None
     else:
         raise ValueError(kind)
-    months = CH.touched_months(base, outcome.filter("status = 'ok'"))
-    version = store.replace_months(months, tables={name: CH.within_months(new_rows, months)}, whole=whole)
-    return version, outcome
+    applied = outcome.filter("status = 'ok'")
+    return _publish_partitions(store, base, name, new_rows, applied, new_tags), outcome
+
+
+def _publish_partitions(store, base, name, new_rows, changed, new_tags):
+    """Rewrite only the months (and, for expenses, the id blocks of
+    expense_tag) that hold the changed rows."""
+    months = CH.touched_months(base, changed)
+    parts = {name: months}
+    tables = {name: CH.within_months(new_rows, months)}
+    if new_tags is not None:
+        blocks = CH.touched_blocks(changed)
+        parts["expense_tag"] = blocks
+        tables["expense_tag"] = CH.within_blocks(new_tags, blocks)
+    return store.replace_partitions(parts, tables)
 
 
 def delete(store: LedgerStore, ids: DataFrame, kind: str = "expenses") -> tuple[int, DataFrame]:
     """ids -> (new version, outcome); expense deletes cascade to tags. Only
-    the months that held deleted rows are rewritten."""
+    the months that held deleted rows, and the id blocks of their tags, are
+    rewritten."""
     ledger = store.read()
     if kind == "expenses":
         new_rows, new_tags, outcome = CH.delete_expenses(ledger, ids)
-        base, name, whole = ledger.expense, "expense", {"expense_tag": new_tags}
+        base, name = ledger.expense, "expense"
     elif kind == "incomes":
         new_rows, outcome = CH.delete_incomes(ledger, ids)
-        base, name, whole = ledger.income, "income", {}
+        base, name, new_tags = ledger.income, "income", None
     else:
         raise ValueError(kind)
-    gone = base.join(outcome.filter("status = 'ok'").select("id"), "id", "left_semi")
-    months = CH.touched_months(base, gone.select("id", "date"))
-    version = store.replace_months(months, tables={name: CH.within_months(new_rows, months)}, whole=whole)
-    return version, outcome
+    gone = base.join(outcome.filter("status = 'ok'").select("id"), "id", "left_semi").select("id", "date")
+    return _publish_partitions(store, base, name, new_rows, gone, new_tags), outcome

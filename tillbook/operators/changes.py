@@ -179,7 +179,8 @@ def update_expenses(ledger: Ledger, changes: DataFrame, stamp: Column | None = N
     cols = ["category_id", "wallet_id", "amount", "date", "priority", "description"]
     new_expense = _replace_rows(ledger.expense, applied, cols, stamp, small)
     kept_tags = ledger.expense_tag.join(_hint(applied.select(F.col("id").alias("expense_id")), small),
-                                        "expense_id", "left_anti")
+                                        "expense_id", "left_anti").select("expense_id", "tag_id", "created_at",
+                                                                          "updated_at")
     new_tags = applied.select(F.col("id").alias("expense_id"), F.explode("tag_ids").alias("tag_id"),
                               stamp.alias("created_at"), stamp.alias("updated_at"))
     return new_expense, kept_tags.unionByName(new_tags), outcome
@@ -213,7 +214,8 @@ def delete_expenses(ledger: Ledger, ids: DataFrame):
     ids, small = _delete_ids(ids)
     new_expense = ledger.expense.join(_hint(ids, small), "id", "left_anti")
     new_tags = ledger.expense_tag.join(_hint(ids.withColumnRenamed("id", "expense_id"), small),
-                                       "expense_id", "left_anti")
+                                       "expense_id", "left_anti").select("expense_id", "tag_id", "created_at",
+                                                                         "updated_at")
     return new_expense, new_tags, _delete_outcome(ledger.expense, ids, small)
 
 
@@ -241,3 +243,21 @@ def within_months(df: DataFrame, months: list) -> DataFrame:
     if "month" in df.columns:
         out = out.filter(F.col("month").isin(*lits))
     return out
+
+
+def touched_blocks(ids: DataFrame) -> list:
+    """Expense-id blocks (store partitions of expense_tag) holding ``ids``."""
+    from tillbook.sources.store import id_block
+
+    return [r.b for r in ids.select(id_block(F.col("id")).alias("b")).distinct().collect()]
+
+
+def within_blocks(tags: DataFrame, blocks: list) -> DataFrame:
+    """expense_tag rows in the given id blocks (pruned by partition when stored)."""
+    from tillbook.sources.store import id_block
+
+    lits = [F.lit(b) for b in blocks]
+    out = tags.filter(id_block(F.col("expense_id")).isin(*lits))
+    if "id_block" in tags.columns:
+        out = out.filter(F.col("id_block").isin(*lits))
+    return out

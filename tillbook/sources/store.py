@@ -33,10 +33,24 @@ from tillbook import schemas
 from tillbook.ledger import Ledger
 
 MONTH_PARTITIONED = ("expense", "income", "wallet_transfer")
+# expense_tag is partitioned by blocks of expense ids, so a cascade from an
+# update or delete rewrites only the blocks of the expenses it touches.
+ID_BLOCK = 1_000_000
 # Target rows per output file for fact tables.
 ROWS_PER_FILE = 5_000_000
 
 
+def id_block(col):
+    return F.floor(col / F.lit(ID_BLOCK)).cast("int")
+
+
+# table -> (partition column, its type, key column)
+PARTITIONING = {
+    **{name: ("month", T.DateType(), "id") for name in MONTH_PARTITIONED},
+    "expense_tag": ("id_block", T.IntegerType(), "expense_id"),
+}
+
+
 class LedgerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -98,15 +112,14 @@ class LedgerStore:
         df = df.select(*cols)
         writer = None
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        if name in MONTH_PARTITIONED:
-            # range on (month, id): a month holding a large share of the rows
-            # spans several writer tasks instead of landing in one
-            df = df.withColumn("month", F.trunc("date", "month"))
-            writer = (df.repartitionByRange(n, "month", "id").sortWithinPartitions("month", "id")
-                      .write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("month"))
-        elif name == "expense_tag":
-            writer = (df.repartitionByRange(n, "expense_id").sortWithinPartitions("expense_id", "tag_id")
-                      .write.option("maxRecordsPerFile", ROWS_PER_FILE))
+        if name in PARTITIONING:
+            # range on (partition, key): a partition holding a large share of
+            # the rows spans several writer tasks instead of landing in one
+            part, _, key = PARTITIONING[name]
+            value = F.trunc("date", "month") if part == "month" else id_block(F.col(key))
+            df = df.withColumn(part, value)
+            writer = (df.repartitionByRange(n, part, key).sortWithinPartitions(part, key)
+                      .write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(part))
         else:
             writer = df.coalesce(1).write
         writer.mode("errorifexists").parquet(path)
@@ -116,16 +129,17 @@ class LedgerStore:
         schema = schemas.TABLES[name]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        if name in MONTH_PARTITIONED:
-            # keep ``month``: date filters add a month predicate (partition
-            # pruning); superseded months of a path are pruned the same way
-            with_month = T.StructType(list(schema.fields) + [T.StructField("month", T.DateType())])
+        if name in PARTITIONING:
+            # keep the partition column: date filters add a month predicate
+            # (partition pruning); superseded partitions of a path are pruned
+            part, ptype, _ = PARTITIONING[name]
+            with_part = T.StructType(list(schema.fields) + [T.StructField(part, ptype)])
             frames = []
             for p, superseded in paths:
-                df = self.spark.read.schema(with_month).option("basePath", p).parquet(p)
+                df = self.spark.read.schema(with_part).option("basePath", p).parquet(p)
                 if superseded:
-                    gone = [F.lit(m).cast("date") for m in superseded.split(",")]
-                    df = df.filter(~F.col("month").isin(*gone))
+                    gone = [F.lit(v).cast(ptype) for v in superseded.split(",")]
+                    df = df.filter(~F.col(part).isin(*gone))
                 frames.append(df)
             return reduce(DataFrame.unionByName, frames)
         return self.spark.read.schema(schema).parquet(*[p for p, _ in paths])
@@ -156,29 +170,38 @@ class LedgerStore:
             m[name] = [(self._write_table(name, df), None)]
         return self._publish(m)
 
-    def replace_months(self, months: list, tables: dict[str, DataFrame] | None = None,
-                       whole: dict[str, DataFrame] | None = None) -> int:
-        """SINK-SNAPSHOT for month-partitioned tables: ``tables[name]`` holds
-        the complete new content of ``months`` (and nothing else); only those
-        months are written, and they are marked superseded in every older
-        directory of the table, so an update of a few rows rewrites a few
-        month partitions instead of the table. ``whole`` tables (not
-        month-partitioned, e.g. expense_tag) are replaced entirely in the same
-        version."""
+    def replace_partitions(self, parts: dict[str, list], tables: dict[str, DataFrame],
+                           whole: dict[str, DataFrame] | None = None) -> int:
+        """SINK-SNAPSHOT at partition level: ``tables[name]`` holds the complete
+        new content of the partitions ``parts[name]`` (months, or expense-id
+        blocks for expense_tag) and nothing else. Only those partitions are
+        written; they are marked superseded in every older directory of the
+        table, so changing a few rows rewrites a few partitions instead of the
+        table. ``whole`` tables are replaced entirely in the same version."""
         m = self.manifest()
-        keys = sorted({str(x) for x in months})
-        for name, df in (tables or {}).items():
-            if name not in MONTH_PARTITIONED:
-                raise ValueError(f"{name} is not month-partitioned")
+        for name, df in tables.items():
+            if name not in PARTITIONING:
+                raise ValueError(f"{name} is not partitioned")
+            keys = sorted({str(x) for x in parts.get(name, [])})
+            if not keys:
+                continue
             old = []
             for path, superseded in m.get(name, []):
                 have = set(superseded.split(",")) if superseded else set()
-                old.append((path, ",".join(sorted(have | set(keys))) or None))
-            m[name] = old + ([(self._write_table(name, df), None)] if keys else [])
+                old.append((path, ",".join(sorted(have | set(keys)))))
+            m[name] = old + [(self._write_table(name, df), None)]
         for name, df in (whole or {}).items():
             m[name] = [(self._write_table(name, df), None)]
         return self._publish(m)
 
+    def replace_months(self, months: list, tables: dict[str, DataFrame],
+                       whole: dict[str, DataFrame] | None = None) -> int:
+        """Month-level replacement of month-partitioned tables (see replace_partitions)."""
+        for name in tables:
+            if name not in MONTH_PARTITIONED:
+                raise ValueError(f"{name} is not month-partitioned")
+        return self.replace_partitions({name: months for name in tables}, tables, whole)
+
 
 def read_ledger(spark: SparkSession, root: str, version: int | None = None) -> Ledger:
     return LedgerStore(spark, root).read(version)
