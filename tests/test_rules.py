@@ -139,3 +139,17 @@ def test_transfer_rules(spark, tiny):
     got = {r.request_id: r for r in V.validate_transfers(tiny, docs, fee_category_id=99).collect()}
     assert got[0].status == "conflict" and "feeCategory:unknown" in got[0].reasons
     assert got[9].status == "ok"
+
+
+def test_json_lines_file_source(spark, tiny, tmp_path):
+    from tillbook.sources.batches import read_documents
+
+    path = tmp_path / "batches.jsonl"
+    path.write_text("\n".join([_doc(_with(), _with(amount=3)), _doc(_with(priority=9)), "{oops"]) + "\n")
+    docs = read_documents(spark, str(path))
+    first = sorted(r.batch_id for r in docs.collect())
+    assert first == sorted(r.batch_id for r in read_documents(spark, str(path)).collect())  # stable ids
+    rows = V.validate_expense_batches(tiny, docs).collect()
+    assert len(rows) == 4
+    assert sorted((r.status, r.batch_ok) for r in rows) == [
+        ("invalid", False), ("invalid", False), ("ok", True), ("ok", True)]
