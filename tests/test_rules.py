@@ -153,3 +153,8 @@ def test_json_lines_file_source(spark, tiny, tmp_path):
     assert len(rows) == 4
     assert sorted((r.status, r.batch_ok) for r in rows) == [
         ("invalid", False), ("invalid", False), ("ok", True), ("ok", True)]
+    # transfer requests: one request per line, keyed by request_id
+    tpath = tmp_path / "transfers.jsonl"
+    tpath.write_text(json.dumps(TRANSFER) + "\n" + json.dumps(dict(TRANSFER, targetWalletId=1)) + "\n")
+    checked = V.validate_transfers(tiny, read_documents(spark, str(tpath), key="request_id"), fee_category_id=1)
+    assert sorted(r.status for r in checked.collect()) == ["conflict", "ok"]

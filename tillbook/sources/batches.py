@@ -27,11 +27,13 @@ def _parse_element(raw, schema):
     return F.from_json(raw, _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines files -> (batch_id, value). ``batch_id`` is the row's
-    ``monotonically_increasing_id`` straight after the file scan, which is
-    stable for a given set of input files (file splits are deterministic)."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("batch_id"), "value")
+def read_documents(spark: SparkSession, path: str, key: str = "batch_id") -> DataFrame:
+    """JSON Lines files -> (key, value): one request document per line.
+    ``key`` (``batch_id`` for expense / income batches, ``request_id`` for
+    transfer requests) is the row's ``monotonically_increasing_id`` straight
+    after the file scan, which is stable for a given set of input files
+    (file splits are deterministic)."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias(key), "value")
 
 
 def explode_batches(docs: DataFrame, array_key: str, element_schema: T.StructType) -> DataFrame:
