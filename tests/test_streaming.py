@@ -36,3 +36,18 @@ def test_stream_ingest_appends_and_rejects(spark, small_ledger, tmp_path):
     got = sorted((r.id, r.amount) for r in led.expense.filter("id > 6").collect())
     assert got == [(7, 11), (8, 12), (9, 16)]
     assert spark.read.parquet(rejects).count() == 4
+
+
+def test_stream_ingest_incomes(spark, small_ledger, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "ledger"))
+    store.save(small_ledger)
+    src = tmp_path / "incoming"
+    src.mkdir()
+    (src / "a.json").write_text(
+        json.dumps({"incomes": [{"amount": 40, "date": "2024-04-01", "walletId": 2},
+                                {"amount": 41, "date": "2024-04-02", "description": "tip", "walletId": 1}]}) + "\n" +
+        json.dumps({"incomes": [{"amount": 0, "date": "2024-04-03", "walletId": 1}]}) + "\n")
+    q = start_ingest(spark, str(src), store, str(tmp_path / "ckpt"), kind="incomes")
+    q.awaitTermination(300)
+    got = sorted((r.id, r.amount) for r in store.read().income.filter("id > 5").collect())
+    assert got == [(6, 40), (7, 41)]
