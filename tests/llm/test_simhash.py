@@ -1,0 +1,94 @@
+"""SimHash groups against all pairs of brute-force fingerprints."""
+
+import numpy as np
+import pytest
+import xxhash
+
+from tillbook.llm import simhash
+from tillbook.llm.common import Stage, components
+from tillbook.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute_fingerprint(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", w)
+    if not w:
+        return 0
+    sh = [" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def brute_groups(ids, fps, radius=2):
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    arr = np.array(fps, np.uint64)
+    for i in range(len(arr)):
+        for j in np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= radius):
+            parent[find(int(j))] = find(i)
+    least = {}
+    for i, d in enumerate(ids):
+        r = find(i)
+        least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def check(rows, docs):
+    ids = [r["doc_id"] for r in docs]
+    fps = [brute_fingerprint(r["text"]) for r in docs]
+    want = sorted(zip(ids, [f"{x:016x}" for x in fps], brute_groups(ids, fps)), key=repr)
+    assert sorted([(r.doc_id, r.fingerprint, r.component_id) for r in rows], key=repr) == want
+
+
+def test_query_is_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    check(QUERIES["op6_simhash_near_dedup"](spark, SF).collect(), docs)
+
+
+def test_nulls_repeats_short_and_clashes(make_docs):
+    docs = make_docs([(5, None), (None, ""), (2, " \n"), (9, "One two"), (3, "ONE  TWO"), (None, "one two"), (None, "alone here at last"),
+                      (7, "É é"), (8, "word " * 30_000), (8, "word " * 30_000)])
+    check(simhash.near_duplicates(docs).collect(), docs.collect())
+    assert simhash.near_duplicates(docs.limit(0)).collect() == []
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, 3, None, 7, 8], key=str)
+    assert simhash.near_dedup(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 5])
+def test_bit_sliced_distances(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64))
+    fps = np.unique(np.concatenate([base, near, near ^ np.uint64(0b1010)]))
+    bits = np.unpackbits(simhash.near_bits(simhash._planes(fps), fps, radius).view(np.uint8), axis=1, bitorder="little")[:, :len(fps)]
+    assert (bits == (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)).all()
+
+
+def test_large_buckets_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 16)
+    rng = np.random.default_rng(0)
+    fps = np.unique((np.uint64(0xABCD) << np.uint64(48)) ^ np.concatenate(
+        [np.uint64(1) << np.arange(40, dtype=np.uint64), rng.integers(0, 2**20, 300, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x) - (1 << 64 if x >> np.uint64(63) else 0), i) for i, x in enumerate(fps)], "fp long, doc_id long")
+    got = {r.fp % 2**64: r.group_id for r in simhash.near_groups(Stage(spark), df, "doc_id", "fp").collect()}
+    want = brute_groups(list(range(len(fps))), fps)
+    assert [got[int(x)] for x in fps] == want
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(100)] + [(200, 300), (300, 200), (7, 7), (None, 3), (400, 200)]
+    got = {r.node: r.root for r in components(Stage(spark), spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(101)}, 200: 200, 300: 200, 400: 200}
+    assert components(Stage(spark), spark.createDataFrame([], "a string, b string")).collect() == []

@@ -32,6 +32,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 """
 
+OP9 = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS.format('text')})::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM d GROUP BY source
+),
+-- the level at which the sources under their caps share what the capped ones leave
+l AS (
+  SELECT *, 2 * source_size AS cap,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0))
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level,
+         row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS k
+  FROM s
+  WINDOW before AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+t AS (
+  SELECT source, source_size, least(cap, weight * (SELECT min_by(level, k) FROM l WHERE level * weight <= cap)) AS target FROM l
+),
+o AS (
+  SELECT doc_id, size, source_size, target::DOUBLE AS target, floor(target)::BIGINT AS budget,
+         sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS LAST, size
+                         ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END::BIGINT AS taken
+FROM o
+"""
+
 ORACLE = {
+    "op9_source_mixing": OP9,
     "op1_quality_rules": OP1,
 }

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import WS, WS_CHARS, Stage, word_count
+from tillbook.llm.common import WS, WS_CHARS, Stage, word_count, words
 
 #: Largest number of rows (in expectation) on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -67,8 +67,6 @@ def n_repeat_words(text: Column) -> Column:
     the words themselves: when the hash classes and the string classes do not
     correspond one to one, the starts are compared as strings.
     """
-    from tillbook.llm.common import words
-
     def window(w: Column, i: Column) -> Column:
         return F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillbook.llm import quality
+from tillbook.llm import mixing, quality, sharding, simhash
+from tillbook.llm.common import word_count
+
+#: Shards of the sharding query.
+SHARDS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +20,23 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark, sf_dir):
+    return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op6_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    return mixing.mix_plan(narrow, F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sharding": op2_sharding,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_source_mixing": op9_source_mixing,
 }
