@@ -63,7 +63,93 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+OP7 = r"""
+WITH iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (
+  SELECT DISTINCT item_id, w AS whole, array_to_string(w[k:k + 4], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM iw)
+),
+n AS (SELECT item_id, whole, count(*) AS n_item FROM i GROUP BY ALL),
+dw AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+),
+d AS (
+  SELECT DISTINCT rid, doc_id, array_to_string(w[k:k + 4], ' ') AS g
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM dw)
+),
+hit AS (
+  SELECT rid, doc_id, i.item_id, i.whole, count(*) AS n_shared FROM d JOIN i USING (g) GROUP BY ALL
+),
+best AS (
+  SELECT doc_id, hit.item_id, n_shared, n_item, n_shared / n_item AS containment
+  FROM hit JOIN n ON hit.item_id IS NOT DISTINCT FROM n.item_id AND hit.whole = n.whole
+  WHERE n_shared >= 0.8 * n_item - 1e-9
+)
+SELECT * FROM best
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_shared DESC) = 1
+"""
+
+OP10 = r"""
+WITH RECURSIVE
+rules(v, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+-- targets of canonical links and meta refreshes
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^>]*>')) AS t FROM p WHERE contains(url, '://')),
+refs AS (
+  SELECT url, regexp_replace(regexp_replace(regexp_extract(t, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'),
+                                            '(?i)^\s*href\s*=\s*["'']?', ''), '["'']$', '') AS link
+  FROM tags WHERE regexp_matches(t, '(?i)^<link\s') AND regexp_matches(t, '(?i)\srel\s*=\s*["'']?\s*canonical["''\s>/]')
+  UNION ALL
+  SELECT url, regexp_extract(t, '(?i)[;,]\s*url\s*=\s*''?([^"''>]*)', 1) AS link
+  FROM tags WHERE regexp_matches(t, '(?i)^<meta\s') AND regexp_matches(t, '(?i)\shttp-equiv\s*=\s*["'']?\s*refresh["''\s>/]')
+),
+links AS (SELECT DISTINCT url, replace(trim(link), '&amp;', '&') AS link FROM refs WHERE trim(link) <> ''),
+parts AS (
+  SELECT url, link, split_part(url, '://', 1) || '://' AS scheme, regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*') AS host,
+         regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*([^?#]*)', 1) AS path
+  FROM links
+),
+edges AS (
+  SELECT url AS a, CASE
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN scheme[:-3] || link
+    WHEN starts_with(link, '/') THEN scheme || host || link
+    WHEN starts_with(link, '?') OR starts_with(link, '#') THEN scheme || host || path || link
+    ELSE scheme || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END AS b
+  FROM parts
+),
+-- every URL: host, path, node and the verdict of the longest rule
+u AS (SELECT url FROM p UNION SELECT a FROM edges UNION SELECT b FROM edges),
+v AS (
+  SELECT url, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+  FROM (SELECT url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM u)
+),
+j AS (
+  SELECT url, host, path, host || CASE WHEN tail = '' THEN '/' ELSE tail END AS node, best[1] AS verdict, best[2] AS rule
+  FROM (SELECT *, (SELECT max_by([r.v, rh || rp], length(rh || rp)) FROM rules r
+                   WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best FROM v)
+),
+e AS (SELECT x.node AS a, y.node AS b FROM edges JOIN j x ON edges.a = x.url JOIN j y ON edges.b = y.url),
+reach AS (
+  SELECT a AS node, a AS other FROM e UNION SELECT b, b FROM e
+  UNION
+  SELECT reach.node, z.b FROM reach JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) z ON reach.other = z.a
+),
+decided AS (
+  SELECT reach.node, bool_or(j.verdict = 'block') AND NOT coalesce(bool_or(j.verdict = 'allow'), false) AS blocked
+  FROM reach JOIN j ON reach.other = j.node
+  WHERE j.url IN (SELECT a FROM edges UNION SELECT b FROM edges)
+  GROUP BY reach.node
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM p JOIN j USING (url) LEFT JOIN decided USING (node)
+"""
+
 ORACLE = {
+    "op7_benchmark_decontamination": OP7,
+    "op10_url_filters": OP10,
     "op9_source_mixing": OP9,
     "op1_quality_rules": OP1,
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import mixing, quality, sharding, simhash
+from tillbook.llm import contamination, mixing, quality, sharding, simhash, token_files, url_alias
 from tillbook.llm.common import word_count
 
 #: Shards of the sharding query.
 SHARDS = 40
+#: Vocabulary file of the token query.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,19 +26,36 @@ def op2_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark, sf_dir):
+    return contamination.containments(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mixing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
     return mixing.mix_plan(narrow, F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_url_filters(spark, sf_dir):
+    return url_alias.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_token_files": op3_token_files,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
+    "op10_url_filters": op10_url_filters,
 }
