@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import Stage, fresh
+from tillbook.llm.common import Stage, fresh, let
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -33,8 +33,8 @@ def content_words(text: Column) -> Column:
 
 def _windows(words: Column, make, n: int) -> Column:
     """``make`` applied to every window of ``n`` words; none for shorter texts."""
-    return F.when(F.size(words) >= n, F.transform(
-        F.sequence(F.lit(0), F.size(words) - n), lambda i: make(*[F.get(words, i + k) for k in range(n)])))
+    return let(words, lambda all_words: F.when(F.size(all_words) >= n, F.transform(
+        F.sequence(F.lit(0), F.size(all_words) - n), lambda i: make(*[F.get(all_words, i + k) for k in range(n)]))))
 
 
 def shingle_hashes(words: Column, n: int = SHINGLE_WORDS) -> Column:
@@ -70,7 +70,7 @@ def containments(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     least = F.ceil(F.lit(threshold) * F.col("n_item") - 1e-9).cast("int")
     k = (upper - F.ceil(F.lit(threshold) * upper - 1e-9) + 1).cast("int")
     sized = sets.withColumn("k", F.least(k, F.col("n_item"))).withColumn("need", F.greatest(F.lit(1), F.col("k") - (F.col("n_item") - least)))
-    hashed = F.transform("s", lambda x: F.xxhash64(*[F.get(F.split(x, " "), i) for i in range(n)]))
+    hashed = F.transform("s", lambda x: let(F.split(x, " "), lambda w: F.xxhash64(*[F.get(w, i) for i in range(n)])))
     sketches = stage.write(sized.select("item", "need", F.explode(F.slice(F.sort_array(F.array_distinct(hashed)), 1, F.col("k"))).alias("h")))
 
     pages = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))

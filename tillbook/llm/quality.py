@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import WS, WS_CHARS, Stage, word_count, words
+from tillbook.llm.common import WS, WS_CHARS, Stage, let, word_count, words
 
 #: Largest number of rows (in expectation) on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -44,11 +44,6 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def n_lines(text: Column) -> Column:
     """Lines with at least one word."""
     return F.size(_lines(text)).cast("long")
@@ -56,7 +51,7 @@ def n_lines(text: Column) -> Column:
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that are equal to an earlier line."""
-    return _let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    return let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def n_repeat_words(text: Column) -> Column:
@@ -72,7 +67,7 @@ def n_repeat_words(text: Column) -> Column:
 
     def with_words(w: Column) -> Column:
         bits = F.length(F.bin(F.size(w).cast("long")))
-        return _let(bits, lambda b: _let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: (
+        return let(bits, lambda b: let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: (
             _shift_left(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b) + i))),
             lambda s: with_sorted(w, b, s)))
 
@@ -81,11 +76,11 @@ def n_repeat_words(text: Column) -> Column:
             h = _shift_right(x, b)
             return (F.coalesce(h == _shift_right(F.get(s, k + 1), b), F.lit(False))
                     | F.coalesce(h == _shift_right(F.get(s, k - 1), b), F.lit(False)))
-        return _let(F.filter(s, same), lambda c: with_candidates(w, b, c))
+        return let(F.filter(s, same), lambda c: with_candidates(w, b, c))
 
     def with_candidates(w: Column, b: Column, c: Column) -> Column:
         starts = F.transform(c, lambda x: (x - _shift_left(_shift_right(x, b), b)).cast("int"))
-        return F.when(F.size(c) == 0, F.lit(0)).otherwise(_let(starts, lambda p: _let(
+        return F.when(F.size(c) == 0, F.lit(0)).otherwise(let(starts, lambda p: let(
             F.transform(p, lambda i: window(w, i)), lambda texts: covered(F.when(
                 F.size(F.array_distinct(texts)) == F.size(F.array_distinct(F.transform(c, lambda x: _shift_right(x, b)))), p)
                 .otherwise(F.filter(p, lambda i: F.size(F.filter(texts, lambda t: t == window(w, i))) > 1))))))
@@ -93,7 +88,7 @@ def n_repeat_words(text: Column) -> Column:
     def covered(starts: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
 
-    return _let(words(text), lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(with_words(w))).cast("long")
+    return let(words(text), lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(with_words(w))).cast("long")
 
 
 def _shift_left(x: Column, n: Column) -> Column:
