@@ -14,12 +14,14 @@ reader of the metadata columns never touches the tokens.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Word pieces whose ids a task remembers; on reaching it, the memory is emptied.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
+#: Texts that are encoded together.
+TEXTS = 2000
 FILE_SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
 
 
@@ -38,58 +42,114 @@ class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
     The library's pre-tokenizer starts a new piece at every single space that
-    is followed by a character that isn't white space, and BPE never merges
-    across pieces. A text can therefore be cut at those spaces and the ids of
-    each cut remembered; new cuts are encoded many at a time, joined by line
-    feeds, which are pieces of their own there. Texts for which the cut isn't
-    safe are encoded whole.
+    is followed by a character that isn't white space, and between letters and
+    punctuation; BPE never merges across pieces. Texts can therefore be cut at
+    those spaces: the cuts of a batch are dictionary-encoded, each different
+    cut is encoded once and its ids are remembered, and the ids of the texts
+    are gathered by cut. Texts for which a cut isn't safe are encoded whole.
+    New cuts of letters, one piece each, go to the library's BPE model at
+    once, without its pre-tokenizer.
     """
 
+    #: Marks a cut without a space before it: the first one of a text.
+    FIRST = "\x00"
+    #: Letters, and letters before punctuation other than apostrophes (in which no contraction is found).
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    WORD = re.compile(f"[{LETTERS}]+")
+    WORD_END = re.compile(f"([{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]+)")
+    #: First characters that surely aren't white space, for the C++ regex engine.
+    SAFE_START = r"^[!-~\pL]"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.feed = self._whole(["a\n b"])[0][1]
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: a printable byte stands for itself, the others take the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [c for c in range(256) if c not in shown]
+        self.alphabet = {c: chr(c) for c in shown} | {c: chr(256 + k) for k, c in enumerate(hidden)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _cuts(text: str) -> list[str] | None:
-        """The text's cuts at single spaces, the first marked by a line feed;
-        None where a cut might not be a piece boundary."""
-        if "<|" in text:
-            return None
-        cuts = text.split(" ")
-        for c in cuts[1:]:
-            if not ("!" <= c[:1] <= "~" or c[:1].isalpha()):
-                return None
-        cuts[0] = "\n" + cuts[0]
-        return cuts
-
-    def _learn(self, cuts: set[str]) -> None:
-        plain = [c for c in cuts if not any(x.isspace() for x in c)]
-        for lo in range(0, len(plain), 5000):
-            part = plain[lo:lo + 5000]
-            ids = np.array(self._whole(["x\n " + "\n ".join(part) + "\n x"])[0])
-            ends = np.flatnonzero(ids == self.feed)
-            if len(ends) != len(part) + 1:
-                raise ValueError("a line feed inside a piece")
-            for c, a, b in zip(part, ends[:-1] + 1, ends[1:]):
-                self.known[c] = tuple(ids[a:b].tolist())
-        others = [c for c in cuts if any(x.isspace() for x in c)]
-        whole = [c[1:] if c.startswith("\n") else " " + c for c in others]
-        self.known.update(zip(others, map(tuple, self._whole(whole))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _add(self, cuts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.sizes)
+        self.known.update(zip(cuts, range(at, at + len(cuts))))
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids, self.starts, self.sizes = np.append(self.ids, ids), np.append(self.starts, starts), np.append(self.sizes, sizes)
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a space and a word of letters, which is one piece: the BPE model on its byte-level spelling."""
+        spelled = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(self.alphabet[32] + spelled)]
+
+    def _learn(self, cuts: list[str]) -> None:
+        """Remember cuts that are not known yet."""
+        ends = {c: (m[1], self.FIRST + m[2]) for c in cuts if (m := self.WORD_END.fullmatch(c))}
+        alone = dict.fromkeys(c for c in cuts if c not in ends)
+        alone.update(dict.fromkeys(x for pair in ends.values() for x in pair if x not in self.known))
+        is_word = self.WORD.fullmatch
+        found = {c: self._word(c) for c in alone if is_word(c)}
+        others = [c for c in alone if c not in found]
+        found.update(zip(others, self._whole([c[1:] if c[0] == self.FIRST else " " + c for c in others])))
+        sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
+        self._add(list(found), np.fromiter(chain.from_iterable(found.values()), np.int32, int(sizes.sum())), sizes)
+        if ends:
+            pairs = np.array([(self.known[a], self.known[b]) for a, b in ends.values()]).ravel()
+            self._add(list(ends), self._gather(pairs), self.sizes[pairs].reshape(-1, 2).sum(axis=1))
+
+    def _gather(self, cuts: np.ndarray) -> np.ndarray:
+        """Ids of a sequence of known cuts."""
+        sizes = self.sizes[cuts]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[cuts] - (ends - sizes), sizes)
+        return self.ids[at + np.arange(len(at))]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.string()).fill_null("")
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        cut = [self._cuts(t) for t in texts]
-        self._learn({c for cuts in cut if cuts is not None for c in cuts} - self.known.keys())
-        get = self.known.__getitem__
-        return [np.array(self._whole([t])[0], np.int32) if cuts is None
-                else np.fromiter(chain.from_iterable(map(get, cuts)), np.int32) for t, cuts in zip(texts, cut)]
+            self._forget()
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(pc.binary_join_element_wise(self.FIRST, texts, ""), " ")
+        flat = lists.flatten().dictionary_encode()
+        cuts = flat.dictionary.to_pylist()
+        # a cut is a piece boundary if what follows the space surely isn't white space; a text with other cuts stays whole
+        safe = pc.match_substring_regex(flat.dictionary, self.SAFE_START).to_numpy(zero_copy_only=False)
+        get = self.known.get
+        numbers = np.fromiter((get(c, -1) for c in cuts), np.int64, len(cuts))
+        new = [k for k in np.flatnonzero(numbers < 0).tolist() if safe[k] or cuts[k][:1] == self.FIRST]
+        self._learn([cuts[k] for k in new])
+        numbers[new] = [self.known[cuts[k]] for k in new]
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        risky = ~safe[codes]
+        risky[bounds[:-1]] = False  # the first cut of a text carries the mark
+        alone = np.add.reduceat(risky, bounds[:-1]) > 0
+        alone |= pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        number = np.maximum(numbers, 0)[codes]
+        ends = np.concatenate([[0], np.cumsum(self.sizes[number])])[bounds]
+        ids = self._gather(number)
+        out = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        for k in np.flatnonzero(alone):
+            out[k] = np.array(self._whole([texts[k].as_py()])[0], np.int32)
+        return out
+
+
+#: Encoders of this worker process, kept from task to task by vocabulary file.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
@@ -100,11 +160,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
     files; each task streams Arrow batches through the encoder."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        found = encoder(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+            for lo in range(0, b.num_rows, TEXTS):
+                part = b.slice(lo, TEXTS)
+                ids = found.encode(part.column(1))
                 if end_id is not None:
                     ids = [np.append(x, np.int32(end_id)) for x in ids]
                 lengths = np.array([len(x) for x in ids], np.int32)
@@ -146,7 +206,7 @@ def token_digests(stored: DataFrame) -> DataFrame:
 def token_index(spark: SparkSession, folder: str, stage: Stage) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read from the file set; ``start``
     counts the ids of all rows before, in the order of the files."""
-    digests = token_digests(read_tokens(spark, folder))
+    digests = stage.write(token_digests(read_tokens(spark, folder)))
     order = [F.col("doc_id").asc_nulls_last(), F.col("n_tokens"), F.col("ids_crc32")]
     return running_totals(stage, digests, order, {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
 
