@@ -30,7 +30,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe object svg textarea title".split())
-DROPPED = frozenset("head nav header footer aside form button select dialog menu figure-ad".split())
+DROPPED = frozenset("head nav header footer aside form button select dialog menu".split())
 SELF_CLOSING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
                 "td": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
 # Words of class and id names that mark what isn't the article.
@@ -41,6 +41,7 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 ROOTS = frozenset(["html", "body", "article", "main"])
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^'">]|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
+RAW_END = {name: re.compile(rf"</{name}(?![a-z0-9])", re.I) for name in RAW}
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARK = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -70,7 +71,6 @@ def blocks(html: str) -> list[tuple[str, bool]]:
     held: list[str] = []
     article = 0
     skipping, depth = "", 0  # the element that is left out, and how many of its name are open
-    raw = ""
 
     def flush() -> None:
         if held:
@@ -79,26 +79,25 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                 found.append((text, article > 0))
             held.clear()
 
-    for m in TOKEN.finditer(html):
-        tag = m.group()
+    at = 0
+    while m := TOKEN.match(html, at):
+        tag, at = m.group(), m.end()
         if tag[0] != "<" or len(tag) == 1:
-            if not raw and not skipping:
+            if not skipping:
                 held.append(tag)
             continue
         if tag[1] in "!?":
             continue
         name = NAME.match(tag)
         if not name:
-            if not raw and not skipping:
+            if not skipping:
                 held.append(tag)  # "</3" and the like are text
             continue
         name, closing = name.group(1).lower(), tag[1] == "/"
-        if raw:
-            raw = "" if closing and name == raw else raw
-            continue
         if name in RAW:
             if not closing and not tag.endswith("/>"):
-                raw = name
+                end = RAW_END[name].search(html, at)  # no markup is read before the end tag
+                at = end.start() if end else len(html)
             continue
         if skipping:
             if name == skipping:

@@ -32,6 +32,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 """
 
+OP8 = r"""
+WITH ln AS (
+  SELECT DISTINCT coalesce(text, '') AS copy, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+),
+tok AS (
+  SELECT copy, line, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
+                                                    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+leaf AS (SELECT copy, line, w, (len(w), w[1:3])::VARCHAR AS leaf FROM tok),
+busy AS (SELECT DISTINCT copy, leaf, w FROM leaf WHERE leaf IN (SELECT leaf FROM leaf GROUP BY leaf HAVING count(DISTINCT copy) >= 5)),
+fixed AS (
+  SELECT leaf, i, w[i] AS x FROM (SELECT copy, leaf, w, unnest(range(1, len(w) + 1)) AS i FROM busy)
+  WHERE w[i] <> '<*>' GROUP BY ALL HAVING count(DISTINCT copy) >= 5
+),
+gen AS (
+  SELECT leaf, w, list((i, x) ORDER BY i) AS tpl
+  FROM (SELECT DISTINCT leaf, w FROM busy) JOIN fixed USING (leaf) WHERE w[i] = x GROUP BY leaf, w
+),
+good AS (SELECT leaf, w, (leaf, tpl)::VARCHAR AS tpl FROM gen WHERE len(tpl) >= 0.5 * len(w)),
+often AS (SELECT tpl FROM busy JOIN good USING (leaf, w) GROUP BY tpl HAVING count(DISTINCT copy) >= 5),
+gone AS (SELECT DISTINCT w FROM good WHERE tpl IN (SELECT tpl FROM often)),
+pos AS (
+  SELECT rid, doc_id, text, k, string_split(text, chr(10))[k] AS line
+  FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents))
+),
+flag AS (
+  SELECT pos.*, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word,
+         list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') IN (SELECT w FROM gone) AS drop
+  FROM pos
+),
+done AS (
+  SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT (has_word AND drop)), '') AS text,
+         count(*) FILTER (has_word) AS n_lines, count(*) FILTER (has_word AND drop) AS n_dropped
+  FROM flag GROUP BY rid
+)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE done.text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents) d LEFT JOIN done USING (rid)
+"""
+
 OP9 = rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS.format('text')})::BIGINT AS size FROM documents),
 s AS (
@@ -150,6 +192,7 @@ FROM p JOIN j USING (url) LEFT JOIN decided USING (node)
 ORACLE = {
     "op7_benchmark_decontamination": OP7,
     "op10_url_filters": OP10,
+    "op8_line_templates": OP8,
     "op9_source_mixing": OP9,
     "op1_quality_rules": OP1,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import contamination, mixing, quality, sharding, simhash, token_files, url_alias
+from tillbook.llm import contamination, html_diff, licenses, line_templates, mixing, quality, sharding, simhash, token_files, url_alias
 from tillbook.llm.common import word_count
 
 #: Shards of the sharding query.
@@ -32,6 +32,14 @@ def op3_token_files(spark, sf_dir):
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_html_extraction(spark, sf_dir):
+    return html_diff.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_license_scans(spark, sf_dir):
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,10 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return contamination.containments(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_templates(spark, sf_dir):
+    return line_templates.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_source_mixing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -54,8 +66,11 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_token_files": op3_token_files,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_license_scans": op5_license_scans,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_line_templates": op8_line_templates,
     "op9_source_mixing": op9_source_mixing,
     "op10_url_filters": op10_url_filters,
 }
