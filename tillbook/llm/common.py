@@ -19,6 +19,8 @@ from tillbook.session import ensure_checkpoint_dir
 #: White space of the word rule: space, tab, line feed, vertical tab, form feed, return.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS = r"[\x20\x09-\x0D]"
+#: Narrow rows for each file of a stage table whose size is known.
+ROWS_PER_FILE = 250_000
 
 
 class Stage:
@@ -36,8 +38,13 @@ class Stage:
         self.paths: list[str] = []
         atexit.register(self.close)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return the written table. ``rows``, a bound on its
+        number of narrow rows where that is known, keeps small tables from
+        being spread over many files: one file for each ``ROWS_PER_FILE``."""
         path = f"{self.base}/{len(self.paths)}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
         df.write.parquet(path)
         self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -143,7 +150,7 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
     """
     x, y = F.col(a), F.col(b)
     cur = stage.write(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
-    state = None
+    state, rows = None, cur.count()
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -151,12 +158,12 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = stage.write(small.select("e.u", "e.v").filter("u != v").distinct())
+        new = stage.write(small.select("e.u", "e.v").filter("u != v").distinct(), rows=rows)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         stage.drop(cur)
         cur = new
         if state is not None and tuple(now) == state or now[0] == 0:
             break
-        state = tuple(now)
+        state, rows = tuple(now), now[0]
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -196,10 +196,11 @@ def near_groups(stage: Stage, rows: DataFrame, id_col: str, name: str, radius: i
     """(fp, group_id): for each distinct fingerprint of ``rows`` the smallest
     id reachable over links, its own documents included (null ids only if
     there is no other)."""
-    reps = stage.write(rows.groupBy(F.col(name).alias("fp")).agg(F.min(f"`{id_col}`").alias("first_id")))
+    total = rows.count()
+    reps = stage.write(rows.groupBy(F.col(name).alias("fp")).agg(F.min(f"`{id_col}`").alias("first_id")), rows=total)
     found = components(stage, links(stage, reps, "fp", radius))
     joined = stage.write(reps.join(found, reps["fp"] == found["node"], "left")
-                         .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+                         .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), rows=total)
     least = joined.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return joined.join(least, "root").select("fp", "root", "group_id")
 
@@ -234,7 +235,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     # the fingerprint that holds the group's document: one row for each group
     holder = (ids.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
               .groupBy("root").agg(F.min("fp").alias("_fp_kept"), F.first("group_id").alias("_id_kept"))).drop("root")
-    holder = stage.write(holder)
+    holder = stage.write(holder, rows=rows.count())
     kept = rows.join(holder, (F.col(fp) == F.col("_fp_kept")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id_kept")), "left_semi")
     one = Window.partitionBy(fp, f"`{id_col}`").orderBy(F.xxhash64(f"`{text}`"))
     kept = kept.withColumn(order, F.row_number().over(one)).filter(F.col(order) == 1)
