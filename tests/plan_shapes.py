@@ -1,9 +1,8 @@
 """CLI: executed-plan shape of every registered query (markdown table).
 
 python tests/plan_shapes.py [sf_dir]
-Counts, per query, the shuffles the operator itself adds (exchanges on the
-raw driver keys, which only spread single-row-group input files, are left
-out), broadcast exchanges, sort-merge joins and parquet scans.
+Counts, per query, every hash and range exchange, single-partition and
+broadcast exchanges, sort-merge joins and parquet scans.
 """
 
 import contextlib
@@ -14,9 +13,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from tillbook.registry import QUERIES  # noqa: E402
 from tillbook.session import local_session  # noqa: E402
-from tillbook.sources.fixtures import SPREAD_KEYS  # noqa: E402
 
 
 def shape(df):
@@ -25,8 +23,7 @@ def shape(df):
     with contextlib.redirect_stdout(buf):
         df.explain()
     text = buf.getvalue().split("== Initial Plan ==")[0]
-    shuffles = [k for k in re.findall(r"Exchange (?:hashpartitioning|rangepartitioning)\((\w+)", text)
-                if k not in SPREAD_KEYS.values()]
+    shuffles = re.findall(r"Exchange (?:hashpartitioning|rangepartitioning)\((\w+)", text)
     single = len(re.findall(r"Exchange SinglePartition", text))
     return {
         "shuffles": len(shuffles),
@@ -43,7 +40,7 @@ def main():
     spark = local_session()
     print("| query | key shuffles | single-partition | broadcasts | sort-merge joins | scans | reused |")
     print("|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         s = shape(fn(spark, sf_dir))
         print(f"| `{name}` | {s['shuffles']} | {s['single']} | {s['broadcasts']} | {s['smj']} | {s['scans']} | {s['reused']} |")
 

@@ -115,3 +115,19 @@ def test_every_input_element_is_accounted_for(spark, fixture_ledger):
     ok = validated.filter("status = 'ok' AND batch_ok").count()
     rows, _ = CH.insert_expenses(fixture_ledger, validated)
     assert rows.count() == ok
+
+
+def test_stamp_is_an_instant_in_any_time_zone():
+    """The stamp must not shift with the driver's own time zone."""
+    import subprocess
+    import sys
+
+    code = ("import time\nfrom tillbook.session import local_session\nfrom tillbook.operators.changes import job_stamp\n"
+            "s = local_session(cores=1, shuffle_partitions=1)\n"
+            "x = s.range(1).select(job_stamp().cast('double').alias('x')).first().x\nprint('OFF', abs(x - time.time()) < 60)")
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120,
+                         env={**os.environ, "TZ": "America/New_York", "PYTHONPATH": root, "TILLBOOK_DRIVER_MEMORY": "1g"})
+    assert "OFF True" in out.stdout, out.stderr[-500:]

@@ -25,26 +25,12 @@ def test_index_range_and_page(small_ledger):
 def test_deep_and_keyset_pages_agree_with_topk(fixture_ledger):
     for off in (0, 7, 500, 1450, 1499, 1600):
         top = sorted(ids(LS.expense_index(fixture_ledger, DateRange(), Page(100, off), strategy="topk")))
-        deep = sorted(ids(LS.expense_index(fixture_ledger, DateRange(), Page(100, off), strategy="deep")))
+        deep = sorted(ids(LS.expense_index(fixture_ledger, DateRange(), Page(100, off), strategy="positions")))
         assert top == deep, off
     after = sorted(ids(LS.expense_index(fixture_ledger, DateRange(), Page(5, 0), after_id=700)))
     assert after == [701, 702, 703, 704, 705]
 
 
-def test_deep_page_refinement_brute_force(fixture_ledger):
-    from pyspark.sql import functions as F
-    from tillbook.plans.positions import deep_page
-
-    e = fixture_ledger.expense.select("id", "amount")
-    gappy = e.filter((F.col("id") % 7 == 0) | (F.col("id") > 1400))
-    for frame in (e, gappy):
-        ref = [r.id for r in frame.select("id").orderBy("id").collect()]
-        for off in (0, 1, 99, len(ref) // 2, len(ref) - 3, len(ref), len(ref) + 5):
-            for buckets, topk in ((4, 10), (16, 150), (1024, 100_000)):
-                got = sorted(r.id for r in deep_page(frame, "id", off, 25, buckets=buckets, topk_rows=topk).collect())
-                assert got == ref[off:off + 25], (off, buckets, topk)
-
-
 def test_name_ordered_lists(small_ledger):
     cats = LS.category_list(small_ledger, Page(100, 0)).orderBy("pos").collect()
     assert [c.name for c in cats] == ["fees", "Power", "rent", "snacks", "snacks", "void"]

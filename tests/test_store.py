@@ -62,8 +62,8 @@ def test_update_rewrites_only_touched_months(spark, small_ledger, tmp_path):
     applied = outcome.filter("status = 'ok'")
     months = CH.touched_months(led.expense, applied)
     assert sorted(str(m) for m in months) == ["2024-02-01", "2024-03-01"]
-    store.replace_months(months, tables={"expense": CH.within_months(new_expense, months)},
-                         whole={"expense_tag": new_tags.select("expense_id", "tag_id", "created_at", "updated_at")})
+    store.replace_partitions({"expense": months}, tables={"expense": CH.within_months(new_expense, months)},
+                             whole={"expense_tag": new_tags.select("expense_id", "tag_id", "created_at", "updated_at")})
     after = store.read()
     full = {r.id: (r.amount, str(r.date)) for r in new_expense.collect()}
     got = {r.id: (r.amount, str(r.date)) for r in after.expense.collect()}
@@ -106,3 +106,46 @@ def test_store_jobs(spark, small_ledger, tmp_path):
     assert led.expense_tag.filter("expense_id = 7").count() == 0
     # every change above touched only id block 0 of expense_tag
     assert all(sup in (None, "0") for _, sup in store.manifest()["expense_tag"])
+
+
+def test_ids_of_deleted_rows_are_not_reused(spark, small_ledger, tmp_path):
+    import json
+
+    from tillbook import jobs
+
+    store = LedgerStore(spark, str(tmp_path / "ledger5"))
+    store.save(small_ledger)
+    jobs.delete(store, spark.createDataFrame([(6,)], "id int"))
+    docs = spark.createDataFrame([(1, json.dumps({"expenses": [
+        {"amount": 9, "date": "2024-05-01", "priority": 0, "categoryId": 1, "walletId": 1, "tagIds": []}]}))],
+        "batch_id long, value string")
+    jobs.ingest(store, docs)
+    assert sorted(r.id for r in store.read().expense.collect()) == [1, 2, 3, 4, 5, 7]
+
+
+def test_half_written_and_unreadable_manifests(spark, small_ledger, tmp_path):
+    import pytest
+
+    root = tmp_path / "ledger6"
+    store = LedgerStore(spark, str(root))
+    store.save(small_ledger)
+    (root / "_manifests" / "v=2").mkdir()  # a publish that crashed before its files
+    assert store.latest_version() == 1
+    assert store.append(expense=small_ledger.expense.filter("id = 1").withColumn("id", F.lit(9))) == 3
+    assert store.read().expense.count() == 7
+    (root / "_manifests" / "v=4").mkdir()
+    (root / "_manifests" / "v=4" / "part-0.parquet").write_bytes(b"torn")
+    with pytest.raises(Exception):
+        LedgerStore(spark, str(root)).latest_version()
+
+
+def test_appends_read_in_one_scan(spark, small_ledger, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "ledger7"))
+    store.save(small_ledger)
+    for i in range(3):
+        store.append(expense=small_ledger.expense.filter("id = 1").withColumn("id", F.lit(20 + i)))
+    df = store.read().expense
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    assert buf.getvalue().count("FileScan parquet") == 1 and df.count() == 9

@@ -25,6 +25,7 @@ def test_stream_ingest_appends_and_rejects(spark, small_ledger, tmp_path):
     q.awaitTermination(300)
     led = store.read()
     assert sorted(r.amount for r in led.expense.filter("id > 6").collect()) == [11, 12]
+    assert store.has_tag(f"expenses-{q.id}:0")  # a recreated checkpoint has another id, so nothing of it is skipped
     assert led.expense_tag.filter("expense_id > 6").count() == 1
     assert spark.read.parquet(rejects).count() == 2
     # a second file continues the id sequence; an unknown wallet is a conflict

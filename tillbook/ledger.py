@@ -1,4 +1,4 @@
-"""The ledger: eight typed DataFrames plus size-checked dimension access."""
+"""The ledger: eight typed DataFrames and the highest ids ever handed out."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.plans.broadcast import DIM_MAX_ROWS, broadcast_if_bounded
-
 
 @dataclass(frozen=True)
 class Ledger:
@@ -20,27 +18,19 @@ class Ledger:
     expense_tag: DataFrame
     income: DataFrame
     wallet_transfer: DataFrame
-    dim_max_rows: int = DIM_MAX_ROWS
-    _dim_cache: dict = field(default_factory=dict, compare=False, repr=False)
+    # highest id ever handed out by table, where a store keeps it
+    max_ids: dict = field(default_factory=dict, compare=False, repr=False)
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def dim(self, name: str) -> DataFrame:
-        """Dimension table, broadcast-hinted only once its row count is proven
-        to be within ``dim_max_rows`` (checked once per ledger, with a bounded
-        ``limit(n+1).count()``). Above the bound the planner keeps a shuffle join."""
-        if name not in self._dim_cache:
-            self._dim_cache[name] = broadcast_if_bounded(self.table(name), self.dim_max_rows)
-        return self._dim_cache[name]
-
     def replace(self, **tables: DataFrame) -> "Ledger":
         """A new ledger version with some tables swapped (change-set output)."""
         current = {name: getattr(self, name) for name in (
             "wallet", "parent_category", "category", "tag",
             "expense", "expense_tag", "income", "wallet_transfer")}
         current.update(tables)
-        return Ledger(self.spark, dim_max_rows=self.dim_max_rows, **current)
+        return Ledger(self.spark, max_ids=self.max_ids, **current)
 
     @classmethod
     def from_fixture(cls, spark: SparkSession, sf_dir: str) -> "Ledger":

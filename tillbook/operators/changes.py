@@ -1,13 +1,12 @@
 """Change sets as batch operators: (ledger, change frame) -> new rows / new tables.
 
-* Inserts hand out ids after the current maximum, in input order
+* Inserts hand out ids after the highest one ever used, in input order
   (batch_id, pos), via ``with_positions`` (range sort + checkpoint +
   per-partition prefix sums; nothing passes through one task). Tags are
   exploded from the frame that already holds the ids, so there is no
   positional zip.
-* Updates and deletes are joins on ``id``. A change set whose row count is
-  proven small is broadcast and the base table is never shuffled; a larger one
-  goes through a shuffle join.
+* Updates and deletes are joins on ``id`` without hints: the planner and AQE
+  broadcast a change set by its bytes or shuffle both sides.
 * Stamps: one ``current_timestamp`` value per job, taken on the driver, so
   every row and every task retry writes the same instant.
 """
@@ -20,12 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.ledger import Ledger
-from tillbook.plans.broadcast import row_count_at_most
 from tillbook.plans.positions import with_positions
 
 INT_MAX = 2**31 - 1
-# Change sets up to this many rows are broadcast against the base table.
-CHANGESET_BROADCAST_MAX = 2_000_000
 # The transfer fee expense (category is a parameter; the
 # ledger's default is 25, priority level 2, description prefix below).
 FEE_CATEGORY_ID = 25
@@ -34,12 +30,17 @@ FEE_DESCRIPTION_PREFIX = "Wallet transfer fee: "
 
 
 def job_stamp() -> Column:
-    return F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
+    # an aware value: a naive one would be read in the driver's own time zone
+    return F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
 
 
-def _next_ids(base: DataFrame, positioned: DataFrame, pos_col: str = "_pos") -> Column:
-    """max(base.id) + 1 + position, as INT; fails the job rather than wrap."""
-    max_id = base.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+def _next_ids(ledger: Ledger, name: str, pos_col: str = "_pos") -> Column:
+    """Highest id ever handed out + 1 + position, as INT; fails the job rather
+    than wrap. A stored ledger knows that id, also of rows deleted since; for
+    other ledgers it is the table's maximum."""
+    high = ledger.max_ids.get(name)
+    max_id = F.lit(high).cast("long") if high is not None else \
+        ledger.table(name).agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     new_id = max_id + F.lit(1) + F.col(pos_col)
     return F.when(new_id > INT_MAX, F.raise_error(F.lit("id space exhausted: ids are 32-bit"))) \
         .otherwise(new_id).cast("int")
@@ -54,7 +55,7 @@ def insert_expenses(ledger: Ledger, validated: DataFrame, stamp: Column | None =
     stamp = job_stamp() if stamp is None else stamp
     rows = with_positions(accepted(validated), [F.col("batch_id"), F.col("pos")], "_pos")
     new = rows.select(
-        _next_ids(ledger.expense, rows).alias("id"), "category_id", "wallet_id", "amount", "date",
+        _next_ids(ledger, "expense").alias("id"), "category_id", "wallet_id", "amount", "date",
         "priority", "description", stamp.alias("created_at"), stamp.alias("updated_at"), "tag_ids")
     expenses = new.drop("tag_ids")
     tags = new.select(F.col("id").alias("expense_id"), F.explode("tag_ids").alias("tag_id"),
@@ -66,7 +67,7 @@ def insert_incomes(ledger: Ledger, validated: DataFrame, stamp: Column | None =
     """M-INC-INSERT: accepted elements -> income rows."""
     stamp = job_stamp() if stamp is None else stamp
     rows = with_positions(accepted(validated), [F.col("batch_id"), F.col("pos")], "_pos")
-    return rows.select(_next_ids(ledger.income, rows).alias("id"), "amount", "wallet_id", "date", "description",
+    return rows.select(_next_ids(ledger, "income").alias("id"), "amount", "wallet_id", "date", "description",
                        stamp.alias("created_at"), stamp.alias("updated_at"))
 
 
@@ -75,7 +76,7 @@ def transfer_rows(ledger: Ledger, validated: DataFrame, stamp: Column | None = N
     stamp = job_stamp() if stamp is None else stamp
     t = with_positions(validated.filter(F.col("status") == "ok"), [F.col("request_id")], "_pos")
     return t.select(
-        _next_ids(ledger.wallet_transfer, t).alias("id"), "amount", "source_wallet_id", "target_wallet_id",
+        _next_ids(ledger, "wallet_transfer").alias("id"), "amount", "source_wallet_id", "target_wallet_id",
         "date", "description", stamp.alias("created_at"), stamp.alias("updated_at"), "request_id")
 
 
@@ -88,7 +89,7 @@ def fee_expenses(ledger: Ledger, validated: DataFrame, fee_category_id: int = FE
     f = with_positions(validated.filter((F.col("status") == "ok") & (F.col("fee") != 0)),
                        [F.col("request_id")], "_pos")
     return f.select(
-        _next_ids(ledger.expense, f).alias("id"), F.lit(fee_category_id).cast("int").alias("category_id"),
+        _next_ids(ledger, "expense").alias("id"), F.lit(fee_category_id).cast("int").alias("category_id"),
         F.col("source_wallet_id").alias("wallet_id"), F.col("fee").alias("amount"), "date",
         F.lit(FEE_PRIORITY).cast("int").alias("priority"),
         F.concat(F.lit(FEE_DESCRIPTION_PREFIX), F.col("description")).alias("description"),
@@ -106,39 +107,33 @@ def apply_transfers(ledger: Ledger, validated: DataFrame, fee_category_id: int =
 
 # ---- updates and deletes --------------------------------------------------
 
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    """Broadcast a change-set-derived frame when the change set was proven small."""
-    return F.broadcast(df) if small else df
-
-
-def _dedupe_ids(checked: DataFrame, small: bool) -> DataFrame:
+def _dedupe_ids(checked: DataFrame) -> DataFrame:
     """Two changes for one id have no meaning: both become conflicts. Counting
     per id is a partially aggregated groupBy, so a hot id cannot pile up."""
     from tillbook.functions.rules import status
 
     dup = checked.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(
         "id", F.lit(True).alias("_dup"))
-    out = checked.join(_hint(dup, small), "id", "left")
+    out = checked.join(dup, "id", "left")
     reasons = F.when(F.col("_dup"), F.concat(F.col("reasons"), F.array(F.lit("id:duplicate")))).otherwise(F.col("reasons"))
     return out.withColumn("reasons", reasons).drop("_dup").withColumn("status", status(F.col("reasons")))
 
 
-def _outcome(base: DataFrame, checked: DataFrame, small: bool) -> DataFrame:
+def _outcome(base: DataFrame, checked: DataFrame) -> DataFrame:
     """Per change: status ok / invalid / conflict / not_found (ok but no such id).
-    The base table is only scanned (semi join against the broadcast change
-    ids) when the change set is small; otherwise this is a shuffle join."""
+    The planner broadcasts the change ids where their bytes allow."""
     ok = checked.filter(F.col("status") == "ok").select("id")
-    found = base.select("id").join(_hint(ok, small), "id", "left_semi").withColumn("_found", F.lit(True))
-    out = checked.join(_hint(found, small), "id", "left")
+    found = base.select("id").join(ok, "id", "left_semi").withColumn("_found", F.lit(True))
+    out = checked.join(found, "id", "left")
     status = F.when((F.col("status") == "ok") & F.col("_found").isNull(), F.lit("not_found")).otherwise(F.col("status"))
     return out.withColumn("status", status).drop("_found")
 
 
-def _replace_rows(base: DataFrame, changes: DataFrame, columns: list[str], stamp: Column, small: bool) -> DataFrame:
+def _replace_rows(base: DataFrame, changes: DataFrame, columns: list[str], stamp: Column) -> DataFrame:
     """Base rows with the changed columns swapped in where a change exists.
     Presence is a flag, never ``coalesce(new, old)``: a change may set NULL."""
     c = changes.select("id", *[F.col(x).alias(f"_new_{x}") for x in columns], F.lit(True).alias("_hit"))
-    j = base.join(_hint(c, small), "id", "left")
+    j = base.join(c, "id", "left")
     out = [F.col("id")]
     for name in base.columns:
         if name == "id":
@@ -153,17 +148,15 @@ def _replace_rows(base: DataFrame, changes: DataFrame, columns: list[str], stamp
 
 
 def _checked_changes(ledger: Ledger, changes: DataFrame, schema, rules, base: DataFrame):
-    """Parse + rules (fixed by a checkpoint inside the rules), one size proof,
-    duplicate ids, existence; the outcome is fixed once more so the tables
-    built from it do not re-run the checks."""
+    """Parse + rules (fixed by a checkpoint inside the rules), duplicate ids,
+    existence; the outcome is fixed once more so the tables built from it do
+    not re-run the checks."""
     from tillbook.plans.materialize import fix
     from tillbook.sources.batches import _parse_element
 
     parsed = changes.select("id", F.col("value").alias("raw"), _parse_element(F.col("value"), schema).alias("e"))
     checked = rules(ledger, parsed, ["id"])
-    small = row_count_at_most(checked, CHANGESET_BROADCAST_MAX)
-    outcome = fix(_outcome(base, _dedupe_ids(checked, small), small))
-    return outcome, small
+    return fix(_outcome(base, _dedupe_ids(checked)))
 
 
 def update_expenses(ledger: Ledger, changes: DataFrame, stamp: Column | None = None):
@@ -174,11 +167,11 @@ def update_expenses(ledger: Ledger, changes: DataFrame, stamp: Column | None = N
     from tillbook.operators.validate import expense_rules
 
     stamp = job_stamp() if stamp is None else stamp
-    outcome, small = _checked_changes(ledger, changes, schemas.EXPENSE_ELEMENT, expense_rules, ledger.expense)
+    outcome = _checked_changes(ledger, changes, schemas.EXPENSE_ELEMENT, expense_rules, ledger.expense)
     applied = outcome.filter(F.col("status") == "ok")
     cols = ["category_id", "wallet_id", "amount", "date", "priority", "description"]
-    new_expense = _replace_rows(ledger.expense, applied, cols, stamp, small)
-    kept_tags = ledger.expense_tag.join(_hint(applied.select(F.col("id").alias("expense_id")), small),
+    new_expense = _replace_rows(ledger.expense, applied, cols, stamp)
+    kept_tags = ledger.expense_tag.join(applied.select(F.col("id").alias("expense_id")),
                                         "expense_id", "left_anti").select("expense_id", "tag_id", "created_at",
                                                                           "updated_at")
     new_tags = applied.select(F.col("id").alias("expense_id"), F.explode("tag_ids").alias("tag_id"),
@@ -192,37 +185,36 @@ def update_incomes(ledger: Ledger, changes: DataFrame, stamp: Column | None = No
     from tillbook.operators.validate import income_rules
 
     stamp = job_stamp() if stamp is None else stamp
-    outcome, small = _checked_changes(ledger, changes, schemas.INCOME_ELEMENT, income_rules, ledger.income)
+    outcome = _checked_changes(ledger, changes, schemas.INCOME_ELEMENT, income_rules, ledger.income)
     applied = outcome.filter(F.col("status") == "ok")
-    new_income = _replace_rows(ledger.income, applied, ["amount", "wallet_id", "date", "description"], stamp, small)
+    new_income = _replace_rows(ledger.income, applied, ["amount", "wallet_id", "date", "description"], stamp)
     return new_income, outcome
 
 
-def _delete_outcome(base: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
-    found = base.select("id").join(_hint(ids, small), "id", "left_semi").withColumn("_found", F.lit(True))
-    return ids.join(_hint(found, small), "id", "left").select(
+def _delete_outcome(base: DataFrame, ids: DataFrame) -> DataFrame:
+    found = base.select("id").join(ids, "id", "left_semi").withColumn("_found", F.lit(True))
+    return ids.join(found, "id", "left").select(
         "id", F.when(F.col("_found"), F.lit("ok")).otherwise(F.lit("not_found")).alias("status"))
 
 
-def _delete_ids(ids: DataFrame):
-    ids = ids.select("id").distinct()
-    return ids, row_count_at_most(ids, CHANGESET_BROADCAST_MAX)
+def _delete_ids(ids: DataFrame) -> DataFrame:
+    return ids.select("id").distinct()
 
 
 def delete_expenses(ledger: Ledger, ids: DataFrame):
     """M-EXP-DELETE: remove expenses by id and cascade to their tags."""
-    ids, small = _delete_ids(ids)
-    new_expense = ledger.expense.join(_hint(ids, small), "id", "left_anti")
-    new_tags = ledger.expense_tag.join(_hint(ids.withColumnRenamed("id", "expense_id"), small),
+    ids = _delete_ids(ids)
+    new_expense = ledger.expense.join(ids, "id", "left_anti")
+    new_tags = ledger.expense_tag.join(ids.withColumnRenamed("id", "expense_id"),
                                        "expense_id", "left_anti").select("expense_id", "tag_id", "created_at",
                                                                          "updated_at")
-    return new_expense, new_tags, _delete_outcome(ledger.expense, ids, small)
+    return new_expense, new_tags, _delete_outcome(ledger.expense, ids)
 
 
 def delete_incomes(ledger: Ledger, ids: DataFrame):
     """M-INC-DELETE: remove incomes by id."""
-    ids, small = _delete_ids(ids)
-    return ledger.income.join(_hint(ids, small), "id", "left_anti"), _delete_outcome(ledger.income, ids, small)
+    ids = _delete_ids(ids)
+    return ledger.income.join(ids, "id", "left_anti"), _delete_outcome(ledger.income, ids)
 
 
 def touched_months(base: DataFrame, applied: DataFrame) -> list:

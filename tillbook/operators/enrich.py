@@ -25,7 +25,7 @@ def _entity(id_col: str, name_col: str):
 def tag_arrays(ledger: Ledger, expense_tag: DataFrame | None = None) -> DataFrame:
     """(expense_id, tags array) for every expense that has at least one tag."""
     et = ledger.expense_tag if expense_tag is None else expense_tag
-    tag = ledger.dim("tag").select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"),
+    tag = ledger.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"),
                                    F.col("is_important").alias("tag_important"))
     item = F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name"),
                     F.col("tag_important").alias("isImportant"))
@@ -36,8 +36,8 @@ def tag_arrays(ledger: Ledger, expense_tag: DataFrame | None = None) -> DataFram
 
 
 def _expense_shape(ledger: Ledger, expenses: DataFrame, tags: DataFrame, small_tags: bool = False) -> DataFrame:
-    cat = ledger.dim("category").select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    wal = ledger.dim("wallet").select(F.col("id").alias("wallet_id"), F.col("name").alias("wallet_name"))
+    cat = ledger.category.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+    wal = ledger.wallet.select(F.col("id").alias("wallet_id"), F.col("name").alias("wallet_name"))
     e = (expenses.select("id", "amount", "date", "description", "priority", "category_id", "wallet_id")
          .join(cat, "category_id").join(wal, "wallet_id"))
     tags = tags.withColumnRenamed("expense_id", "id")
@@ -80,7 +80,7 @@ def latest_expense(ledger: Ledger) -> DataFrame:
 
 
 def _income_shape(ledger: Ledger, incomes: DataFrame) -> DataFrame:
-    wal = ledger.dim("wallet").select(F.col("id").alias("wallet_id"), F.col("name").alias("wallet_name"))
+    wal = ledger.wallet.select(F.col("id").alias("wallet_id"), F.col("name").alias("wallet_name"))
     i = incomes.select("id", "amount", "date", "description", "wallet_id").join(wal, "wallet_id")
     return i.select("id", "amount", date_text("date").alias("date"), "description",
                     _entity("wallet_id", "wallet_name").alias("wallet"))

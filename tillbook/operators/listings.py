@@ -1,9 +1,10 @@
 """Listings: optional date range, fixed order, page (Q-*-INDEX, *-LIST, parent tree).
 
 Predicates are added only for bounds that are set, so the parquet reader
-sees plain comparisons. Shallow pages plan as TakeOrderedAndProject (each
-task keeps offset + limit rows); deeper pages on a unique key use
-``deep_page``; keyset paging (``after_id``) is a pushed-down filter.
+sees plain comparisons. Pages plan as TakeOrderedAndProject (each task keeps
+offset + limit rows); keyset paging (``after_id``) is a pushed-down filter;
+a caller with a far offset may ask for ``strategy="positions"`` (a
+distributed sort that numbers every row).
 """
 
 from __future__ import annotations
@@ -14,10 +15,7 @@ from pyspark.sql import functions as F
 from tillbook.functions.nested import date_between, date_text, ordered_collect
 from tillbook.ledger import Ledger
 from tillbook.params import DateRange, Page, TagFilter
-from tillbook.plans.positions import deep_page
-
-# Above this many rows per task (offset + limit) a page is served by deep_page.
-TOPK_MAX_ROWS = 100_000
+from tillbook.plans.positions import with_positions
 
 
 def in_range(df: DataFrame, r: DateRange) -> DataFrame:
@@ -37,9 +35,12 @@ def with_page_positions(df: DataFrame, order: list[Column], page: Page, name: st
 
 
 def _by_id_page(df: DataFrame, page: Page, strategy: str) -> DataFrame:
-    if strategy == "deep" or (strategy == "auto" and page.offset + page.limit > TOPK_MAX_ROWS):
-        return deep_page(df, "id", page.offset, page.limit)
-    return page_of(df, [F.col("id")], page)
+    if strategy == "topk":
+        return page_of(df, [F.col("id")], page)
+    if strategy != "positions":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    rows = with_positions(df, [F.col("id")], "_pos")
+    return rows.filter(F.col("_pos").between(page.offset, page.offset + page.limit - 1)).drop("_pos").orderBy("id")
 
 
 def _index(table: DataFrame, r: DateRange, page: Page, strategy: str, after_id: int | None) -> DataFrame:
@@ -52,13 +53,13 @@ def _index(table: DataFrame, r: DateRange, page: Page, strategy: str, after_id:
 
 
 def expense_index(ledger: Ledger, r: DateRange = DateRange(), page: Page = Page(),
-                  strategy: str = "auto", after_id: int | None = None) -> DataFrame:
+                  strategy: str = "topk", after_id: int | None = None) -> DataFrame:
     """Q-EXP-INDEX: id, amount, date text, description; ordered by id."""
     return _index(ledger.expense, r, page, strategy, after_id)
 
 
 def income_index(ledger: Ledger, r: DateRange = DateRange(), page: Page = Page(),
-                 strategy: str = "auto", after_id: int | None = None) -> DataFrame:
+                 strategy: str = "topk", after_id: int | None = None) -> DataFrame:
     """Q-INC-INDEX: same shape over incomes."""
     return _index(ledger.income, r, page, strategy, after_id)
 
@@ -95,8 +96,8 @@ def parent_tree(ledger: Ledger, page: Page = Page()) -> DataFrame:
     parents are joined to their (dimension-bounded) child lists."""
     parents = with_page_positions(ledger.parent_category.select("id", "name"),
                                   [F.col("name"), F.col("id")], page)
-    children = ledger.dim("category").groupBy(F.col("parent_category_id").alias("id")).agg(
+    children = ledger.category.groupBy(F.col("parent_category_id").alias("id")).agg(
         ordered_collect(F.struct("id", "name"), F.lower(F.col("name")), F.col("name"), F.col("id"))
         .alias("categories"))
     joined = parents.join(children, "id", "left")
-    return joined.select("id", "name", F.coalesce(F.col("categories"), F.array()).alias("categories"), "pos")
+    return joined.select("id", "name", F.coalesce(F.col("categories"), F.array()).alias("categories"), "pos").orderBy("pos")

@@ -4,7 +4,7 @@ Plan shape: each fact table is scanned once with the date range pushed into
 the parquet reader and partially aggregated map-side to at most
 (#categories x 3) expense groups and #wallets income groups. Every later step
 (category, parent, priority and wallet rollups, the nested document) works on
-those tiny aggregates, joined to size-checked broadcast dimensions.
+those tiny aggregates, joined to the dimensions.
 """
 
 from __future__ import annotations
@@ -17,21 +17,11 @@ from tillbook.ledger import Ledger
 from tillbook.params import SummaryParams
 from tillbook.plans.onerow import merge_one_row_frames
 
-# Exclusion lists up to this size become an IN-list (pushed to parquet);
-# longer ones a broadcast anti join against the (bounded) id list.
-ISIN_MAX = 1000
-
 
 def filtered_expense(ledger: Ledger, p: SummaryParams) -> DataFrame:
     """SUM-FILT-EXP: expenses in range whose category is not excluded."""
     e = date_between(ledger.expense, p.start, p.end).select("category_id", "priority", "amount", "date")
-    ids = list(p.exclude_category_ids)
-    if not ids:
-        return e
-    if len(ids) <= ISIN_MAX:
-        return e.filter(~F.col("category_id").isin(ids))
-    excluded = ledger.spark.createDataFrame([(i,) for i in ids], "category_id int")
-    return e.join(F.broadcast(excluded), "category_id", "left_anti")
+    return e.filter(~F.col("category_id").isin(list(p.exclude_category_ids)))
 
 
 def filtered_income(ledger: Ledger, p: SummaryParams) -> DataFrame:
@@ -48,7 +38,7 @@ def expense_groups(ledger: Ledger, p: SummaryParams) -> DataFrame:
     """
     g = (filtered_expense(ledger, p).groupBy("category_id", "priority")
          .agg(F.sum("amount").alias("amount")))
-    cat = ledger.dim("category").select(
+    cat = ledger.category.select(
         F.col("id").alias("category_id"), "parent_category_id", F.col("name").alias("category_name"))
     return g.join(cat, "category_id")
 
@@ -62,7 +52,7 @@ def category_summary(ledger: Ledger, groups: DataFrame) -> DataFrame:
     """SUM-CATEGORY: amount per (parent id, category name); same-named
     categories under one parent merge. Zero sums are kept here. The parent's
     name rides along as a dependent grouping column."""
-    parent = ledger.dim("parent_category").select(
+    parent = ledger.parent_category.select(
         F.col("id").alias("parent_category_id"), F.col("name").alias("parent_name"))
     return (groups.join(parent, "parent_category_id")
             .groupBy(F.col("parent_category_id").alias("parent_id"), "parent_name",
@@ -96,7 +86,7 @@ def total_income(inc_groups: DataFrame) -> DataFrame:
 
 def wallet_summary(ledger: Ledger, inc_groups: DataFrame) -> DataFrame:
     """SUM-WALLET (documented intent): income per wallet."""
-    w = ledger.dim("wallet").select(F.col("id").alias("wallet_id"), "name")
+    w = ledger.wallet.select(F.col("id").alias("wallet_id"), "name")
     return inc_groups.join(w, "wallet_id").select("wallet_id", "name", "amount")
 
 
@@ -109,7 +99,7 @@ def wallet_summary_compat(ledger: Ledger, p: SummaryParams) -> DataFrame:
     """
     per_wallet_amount = (filtered_income(ledger, p).groupBy("wallet_id", F.col("amount").alias("unit"))
                          .agg(F.sum("amount").alias("amount")))
-    w = ledger.dim("wallet").select(F.col("id").alias("wallet_id"), "name")
+    w = ledger.wallet.select(F.col("id").alias("wallet_id"), "name")
     return (per_wallet_amount.join(w, "wallet_id").groupBy("name", "unit")
             .agg(F.sum("amount").alias("amount")).select("name", "amount"))
 
@@ -142,7 +132,7 @@ def summary_document(ledger: Ledger, p: SummaryParams) -> DataFrame:
         .alias("parentCategories"))
 
     # left join: incomes of an unknown wallet still count in the total
-    w = ledger.dim("wallet").select(F.col("id").alias("wallet_id"), "name")
+    w = ledger.wallet.select(F.col("id").alias("wallet_id"), "name")
     inc = income_groups(ledger, p).join(w, "wallet_id", "left")
     income_row = inc.agg(
         F.coalesce(F.sum("amount"), F.lit(0).cast("long")).alias("income_amount"),

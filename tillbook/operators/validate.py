@@ -2,16 +2,16 @@
 
 Field rules (V-DATE, V-NONNEG, V-POS, V-POS-VEC, V-PRIORITY, V-TYPE,
 V-REQUIRED) are per-row expressions; table rules (V-FK, V-UNIQ) are joins
-against size-checked broadcast dimensions; the batch gate (V-ATOMIC) rejects
+against the dimensions; the batch gate (V-ATOMIC) rejects
 every element of a batch that holds any rejected element.
 
 Scale notes: rows are parsed and checked field by field once, then fixed
 with a checkpoint; everything after reads that checkpoint. Unknown tags are
-found with an explode + broadcast anti join against the tag dimension; only
+found with an explode + anti join against the tag dimension; only
 the (usually few) offending element keys are shuffled. The batch gate never
 groups a batch's rows together: it collects the *ids* of rejected batches
-and joins them back (broadcast when their number is proven small, otherwise
-a shuffle join that AQE may split if one batch is huge).
+and joins them back; AQE broadcasts them by their bytes, or splits a shuffle
+partition if one batch is huge.
 """
 
 from __future__ import annotations
@@ -21,24 +21,16 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
 from tillbook.ledger import Ledger
-from tillbook.plans.broadcast import bound_like, broadcast_if, broadcast_if_bounded, row_count_at_most
 from tillbook.plans.materialize import fix
 
-# Number of rejected batch ids up to which the gate is a broadcast join.
-GATE_BROADCAST_MAX = 5_000_000
-
 
 def _known(ledger: Ledger, table: str, key: str, flag: str) -> DataFrame:
-    return ledger.dim(table).select(F.col("id").alias(key), F.lit(True).alias(flag))
+    return ledger.table(table).select(F.col("id").alias(key), F.lit(True).alias(flag))
 
 
-def _flag_keys(x: DataFrame, offending: DataFrame, keys: list[str], flag: str, small: bool | None = None) -> DataFrame:
-    """x + boolean ``flag`` for rows whose key is in ``offending`` (keys only).
-    ``small``: the caller already proved ``offending`` small (it is a subset
-    of a frame whose size is known); otherwise it is counted here."""
-    marks = offending.select(*keys).distinct().withColumn(flag, F.lit(True))
-    marks = broadcast_if(marks, small) if small is not None else broadcast_if_bounded(marks, GATE_BROADCAST_MAX)
-    return x.join(marks, keys, "left")
+def _flag_keys(x: DataFrame, offending: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """x + boolean ``flag`` for rows whose key is in ``offending`` (keys only)."""
+    return x.join(offending.select(*keys).distinct().withColumn(flag, F.lit(True)), keys, "left")
 
 
 def _passthrough(parsed: DataFrame) -> list[str]:
@@ -57,11 +49,10 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
     x = (x.join(_known(ledger, "category", "categoryId", "_cat_ok"), "categoryId", "left")
          .join(_known(ledger, "wallet", "walletId", "_wal_ok"), "walletId", "left"))
     x = fix(x)
-    small = row_count_at_most(x, GATE_BROADCAST_MAX)  # bounds every key subset below
-    tag_ids = ledger.dim("tag").select(F.col("id").alias("_tag"))
+    tag_ids = ledger.tag.select(F.col("id").alias("_tag"))
     unknown = (x.select(*keys, F.explode("tagIds").alias("_tag")).filter(F.col("_tag") >= 1)
                .join(tag_ids, "_tag", "left_anti"))
-    x = _flag_keys(x, unknown, keys, "_tag_unknown", small)
+    x = _flag_keys(x, unknown, keys, "_tag_unknown")
     corrupt = F.col("_corrupt")
     doc = F.col("doc_ok") if extra else F.lit(True)
     reasons = R.reasons(
@@ -80,14 +71,12 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
     )
     # a malformed document carries only its document reason
     reasons = F.when(F.coalesce(doc, F.lit(True)), reasons).otherwise(F.array(F.lit("document:invalid")))
-    checked = x.select(
+    return x.select(
         *keys, *extra,
         F.col("amount"), R.strict_date(F.col("date")).alias("date"), F.col("description"),
         F.col("priority"), F.col("categoryId").alias("category_id"), F.col("walletId").alias("wallet_id"),
         F.col("tagIds").alias("tag_ids"), reasons.alias("reasons"),
     ).withColumn("status", R.status(F.col("reasons")))
-    bound_like(checked, x, GATE_BROADCAST_MAX)
-    return checked
 
 
 def income_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,12 +95,10 @@ def income_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFram
     if extra:
         reasons = F.when(F.coalesce(F.col("doc_ok"), F.lit(True)), reasons).otherwise(
             F.array(F.lit("document:invalid")))
-    checked = x.select(
+    return x.select(
         *keys, *extra, F.col("amount"), R.strict_date(F.col("date")).alias("date"), F.col("description"),
         F.col("walletId").alias("wallet_id"), reasons.alias("reasons"),
     ).withColumn("status", R.status(F.col("reasons")))
-    bound_like(checked, x, GATE_BROADCAST_MAX)
-    return checked
 
 
 def gate_batches(checked: DataFrame, mode: str = "fail_batch") -> DataFrame:
@@ -128,8 +115,7 @@ def gate_batches(checked: DataFrame, mode: str = "fail_batch") -> DataFrame:
     if mode == "fail_batch":
         bad = bad | (F.col("status") != "ok")
     rejected = checked.filter(bad).select("batch_id")
-    small = row_count_at_most(checked, GATE_BROADCAST_MAX)  # usually already proven by the rules
-    return _flag_keys(checked, rejected, ["batch_id"], "_rejected", small).withColumn(
+    return _flag_keys(checked, rejected, ["batch_id"], "_rejected").withColumn(
         "batch_ok", F.col("_rejected").isNull()).drop("_rejected", "doc_ok")
 
 
@@ -157,7 +143,7 @@ def validate_transfers(ledger: Ledger, docs: DataFrame, fee_category_id: int = 2
     x = (x.join(_known(ledger, "wallet", "sourceWalletId", "_src_ok"), "sourceWalletId", "left")
          .join(_known(ledger, "wallet", "targetWalletId", "_dst_ok"), "targetWalletId", "left"))
     # a non-zero fee becomes an expense in the fee category, which must exist
-    fee_cat = ledger.dim("category").filter(F.col("id") == F.lit(fee_category_id)).select(
+    fee_cat = ledger.category.filter(F.col("id") == F.lit(fee_category_id)).select(
         F.col("id").alias("_fee_cat"), F.lit(True).alias("_fee_cat_ok"))
     x = x.withColumn("_fee_cat", F.when(F.col("fee") != 0, F.lit(fee_category_id))).join(fee_cat, "_fee_cat", "left")
     corrupt = F.col("_corrupt")

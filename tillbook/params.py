@@ -66,6 +66,10 @@ class Page:
     limit: int = MAX_PAGE_LIMIT
     offset: int = 0
 
+    def __post_init__(self):
+        if not 0 <= self.limit <= MAX_PAGE_LIMIT or self.offset < 0:
+            raise ValueError(f"a page has 0 to {MAX_PAGE_LIMIT} rows from offset 0 on")
+
     @classmethod
     def parse(cls, limit=None, offset=None) -> "Page":
         raw_limit = parse_int_text(limit)

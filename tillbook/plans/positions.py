@@ -6,10 +6,6 @@
   in the upper bits), checkpoint to the shared checkpoint folder so that
   partition contents are fixed even if executors are lost, count rows per
   partition, prefix-sum those counts (one row per partition) and add.
-* ``deep_page``: rows at positions [offset, offset+limit) for a unique
-  integer key: equal-width key buckets are counted and refined until the
-  interval holding the page is small, then a top-k over that interval.
-  No sort or shuffle of the table; a handful of small aggregates.
 """
 
 from __future__ import annotations
@@ -51,68 +47,3 @@ def with_positions(df: DataFrame, order: list[Column], name: str = "pos",
     return (tagged.join(F.broadcast(starts), part == F.col("_part"))
             .withColumn(name, F.col("_start") + F.col("_rid").bitwiseAND(F.lit(_LOW_MASK)))
             .drop("_rid", "_part", "_start"))
-
-
-# Buckets per refinement step of deep_page, and the interval size (rows)
-# below which the page is cut by a plain top-k.
-PAGE_BUCKETS = 1024
-PAGE_TOPK_ROWS = 100_000
-MAX_REFINE_STEPS = 16
-
-
-def deep_page(df: DataFrame, key: str, offset: int, limit: int,
-              buckets: int = PAGE_BUCKETS, topk_rows: int = PAGE_TOPK_ROWS) -> DataFrame:
-    """Rows ranked [offset, offset + limit) by the unique, non-null integer
-    ``key``, without sorting or shuffling the table.
-
-    Start from [min, max] of the key (one aggregate). While the interval that
-    holds the page has more than ``topk_rows`` rows, split it into
-    ``buckets`` equal-width key buckets (exact integer division), count rows per
-    bucket with a partially aggregated groupBy (at most ``buckets`` small
-    rows reach the driver), and keep the buckets that cover the page. Each
-    pass reads only the current key interval (a pushed-down range filter).
-    The page is then a top-k over that small interval.
-    """
-    if limit <= 0:
-        return df.limit(0)
-    topk_rows = max(topk_rows, limit)  # the interval holding the page has >= limit rows
-    k = F.col(key)
-    bounds = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, rows = bounds["lo"], bounds["hi"], bounds["n"]
-    skip = offset
-    if lo is None or skip >= rows:
-        return df.limit(0)
-    for _ in range(MAX_REFINE_STEPS):
-        if rows <= topk_rows or hi <= lo:
-            break
-        width = hi - lo + 1
-        parts = min(buckets, width)
-        inside = df.filter(k.between(F.lit(lo), F.lit(hi)))
-        # exact integer bucket: (key - lo) * parts div width, 0-based
-        bucket = F.expr(f"((CAST({key} AS BIGINT) - {lo}) * {parts}) div {width}")
-        stats = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-        counts = dict((r["b"], r["n"]) for r in stats)
-        seen, first, last = 0, None, None
-        for b in range(parts):
-            n = counts.get(b, 0)
-            if first is None and seen + n > skip:
-                first, skip_in = b, skip - seen
-            if first is not None:
-                last = b
-                if seen + n >= skip + limit:
-                    break
-            seen += n
-        if first is None:
-            return df.limit(0)
-
-        def start(b):  # smallest key of bucket b: lo + ceil(b * width / parts)
-            return lo + -((-b * width) // parts)
-
-        new_lo, new_hi = start(first), start(last + 1) - 1
-        new_lo, new_hi = max(new_lo, lo), min(new_hi, hi)
-        if (new_lo, new_hi) == (lo, hi):
-            break  # the page spans every bucket: the interval cannot shrink further
-        rows = sum(counts.get(b, 0) for b in range(first, last + 1))
-        lo, hi, skip = new_lo, new_hi, skip_in
-    window = df.filter(k.between(F.lit(lo), F.lit(hi)))
-    return window.orderBy(key).offset(skip).limit(limit)

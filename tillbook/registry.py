@@ -97,7 +97,7 @@ def exp_index(spark, sf_dir):
 
 
 def exp_index_deep(spark, sf_dir):
-    return LS.expense_index(_ledger(spark, sf_dir), DateRange(), DEEP_PAGE, strategy="deep")
+    return LS.expense_index(_ledger(spark, sf_dir), DateRange(), DEEP_PAGE, strategy="positions")
 
 
 def exp_index_keyset(spark, sf_dir):

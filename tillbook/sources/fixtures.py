@@ -29,35 +29,12 @@ def _session_key(spark: SparkSession) -> str:
         return f"session-{id(spark)}"
 
 
-def _spread_partitions(spark: SparkSession, df: DataFrame) -> int | None:
-    """Target partitions when ``df`` scans into fewer than the session's
-    parallelism, else None (also None where partitions cannot be inspected)."""
-    try:
-        parallelism = spark.sparkContext.defaultParallelism
-        return parallelism if df.rdd.getNumPartitions() < parallelism else None
-    except Exception:
-        return None
-
-
-# The key column of each big driver table.
-SPREAD_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "customer": "c_custkey"}
-
-
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A big table that scans into fewer partitions than the
-    session's parallelism (one file, one row group) is hash-partitioned by its
-    key right after the scan, so the work above it runs on every core; at
-    scale the scan already yields many partitions and nothing is added.
-    Column pruning and filters still reach the parquet reader."""
+    """A driver table; column pruning and filters reach the parquet reader."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (_session_key(spark), path)
     if key not in _HANDLES:
-        df = spark.read.parquet(path)
-        spread = SPREAD_KEYS.get(name)
-        target = _spread_partitions(spark, df) if spread else None
-        if target:
-            df = df.repartition(target, spread)
-        _HANDLES[key] = df
+        _HANDLES[key] = spark.read.parquet(path)
     return _HANDLES[key]
 
 
@@ -83,13 +60,14 @@ def category(spark, sf_dir):
 
 
 def wallet(spark, sf_dir):
-    s = read_driver_table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < 10)
-    name = F.when(F.col("s_suppkey") >= 8, F.lit("Shared")).otherwise(F.col("s_name"))
-    return s.select(_int(F.col("s_suppkey") + 1).alias("id"), name.alias("name"))
+    # every nation is a wallet: a small dimension at every scale; the last two share a name
+    n = read_driver_table(spark, sf_dir, "nation")
+    name = F.when(F.col("n_nationkey") >= 23, F.lit("Shared")).otherwise(F.col("n_name"))
+    return n.select(_int(F.col("n_nationkey") + 1).alias("id"), name.alias("name"))
 
 
 def tag(spark, sf_dir):
-    p = read_driver_table(spark, sf_dir, "part").filter(F.col("p_partkey") < 40)
+    p = read_driver_table(spark, sf_dir, "part")
     return p.select(_int(F.col("p_partkey") + 1).alias("id"), F.col("p_name").alias("name"),
                     (F.col("p_size") > 25).alias("is_important"))
 
@@ -102,7 +80,7 @@ def expense(spark, sf_dir):
     return o.select(
         _int(F.col("o_orderkey") + 1).alias("id"),
         _int(cust % 24 + 1).alias("category_id"),
-        _int(cust % 10 + 1).alias("wallet_id"),
+        _int(cust % 25 + 1).alias("wallet_id"),
         F.when(cust % 24 == 14, F.lit(0)).otherwise(_int(F.floor("o_totalprice"))).alias("amount"),
         F.col("o_orderdate").cast("date").alias("date"),
         _int(priority).alias("priority"),
@@ -115,7 +93,7 @@ def expense(spark, sf_dir):
 def expense_tag(spark, sf_dir):
     li = read_driver_table(spark, sf_dir, "lineitem")
     pairs = li.select(_int(F.col("l_orderkey") + 1).alias("expense_id"),
-                      _int(F.col("l_partkey") % 40 + 1).alias("tag_id")).distinct()
+                      _int(F.col("l_partkey") + 1).alias("tag_id")).distinct()
     return pairs.select("expense_id", "tag_id", null_ts().alias("created_at"), null_ts().alias("updated_at"))
 
 
@@ -124,7 +102,7 @@ def income(spark, sf_dir):
     return ev.select(
         _int(F.col("event_id") + 1).alias("id"),
         _int(F.greatest(F.ceil("value"), F.lit(1))).alias("amount"),
-        _int(F.col("user_id") % 10 + 1).alias("wallet_id"),
+        _int(F.col("user_id") % 25 + 1).alias("wallet_id"),
         F.date_add(F.lit("1995-01-01").cast("date"), _int(F.col("event_id") % 2400)).alias("date"),
         F.col("event_type").alias("description"),
         null_ts().alias("created_at"), null_ts().alias("updated_at"),
@@ -141,8 +119,8 @@ def transfer_request(spark, sf_dir):
     k = F.col("c_custkey")
     return c.select(
         _int(k + 1).alias("request_id"),
-        _int(k % 10 + 1).alias("source_wallet_id"),
-        _int((k * 3 + 4) % 10 + 1).alias("target_wallet_id"),
+        _int(k % 25 + 1).alias("source_wallet_id"),
+        _int((k * 3 + 4) % 25 + 1).alias("target_wallet_id"),
         _int(F.floor("c_acctbal")).alias("amount"),
         _int(k % 4).alias("fee"),
         F.date_add(F.lit("1995-01-01").cast("date"), _int(k % 2400)).alias("date"),
@@ -152,7 +130,7 @@ def transfer_request(spark, sf_dir):
 
 def fixture_ledger(spark: SparkSession, sf_dir: str):
     """The ledger mapped from one driver directory (one instance per session
-    and directory, so its dimension size proofs are made once)."""
+    and directory)."""
     key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _LEDGERS:
         _LEDGERS[key] = _build_ledger(spark, sf_dir)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tillbook.functions.nested import date_text
 from tillbook.sources.fixtures import read_driver_table
 
+# Ids that no wallet and no tag has at any scale.
+UNKNOWN_WALLET = 26
+UNKNOWN_TAG = 2_000_000_000
 # Elements per request document.
 EXPENSE_BATCH_SIZE = 20
 INCOME_BATCH_SIZE = 20
@@ -28,8 +31,8 @@ def expense_request_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One expense element per order: (batch_id, pos, element JSON text)."""
     o = read_driver_table(spark, sf_dir, "orders")
     li = read_driver_table(spark, sf_dir, "lineitem")
-    # tags per order: distinct (part % 40 + 1), ascending; [] when no lines
-    tags = (li.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 40 + 1).cast("int").alias("t"))
+    # tags per order: distinct (part + 1), ascending; [] when no lines
+    tags = (li.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") + 1).cast("int").alias("t"))
             .groupBy("o_orderkey").agg(F.array_sort(F.collect_set("t")).alias("tags")))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     base = F.floor("o_totalprice").cast("int")
@@ -38,14 +41,14 @@ def expense_request_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag_ids = F.coalesce(F.col("tags"), F.array().cast("array<int>"))
     tag_ids = F.when(_hit(k, 401, 17) & (F.size(tag_ids) > 0), F.concat(tag_ids, F.slice(tag_ids, 1, 1))) \
         .otherwise(tag_ids)
-    tag_ids = F.when(_hit(k, 457, 21), F.concat(tag_ids, F.array(F.lit(41)))).otherwise(tag_ids)
+    tag_ids = F.when(_hit(k, 457, 21), F.concat(tag_ids, F.array(F.lit(UNKNOWN_TAG)))).otherwise(tag_ids)
     fields = {
         "amount": F.when(_hit(k, 101, 3), -base).otherwise(base),
         "date": F.when(_hit(k, 211, 5), F.lit("1996-02-30")).otherwise(date_text(F.col("o_orderdate").cast("date"))),
         "description": F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("order "), F.col("o_orderstatus"))),
         "priority": F.when(_hit(k, 307, 7), F.lit(3)).otherwise(priority),
         "categoryId": F.when(_hit(k, 419, 13), F.lit(26)).otherwise(c % 25 + 1).cast("int"),
-        "walletId": F.when(_hit(k, 431, 19), F.lit(11)).otherwise(c % 10 + 1).cast("int"),
+        "walletId": F.when(_hit(k, 431, 19), F.lit(UNKNOWN_WALLET)).otherwise(c % 25 + 1).cast("int"),
         "tagIds": tag_ids,
     }
     normal = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
@@ -82,7 +85,7 @@ def income_request_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "amount": F.ceil("value").cast("int"),
         "date": F.when(_hit(k, 223, 11), F.lit("1996-13-01")).otherwise(date_text(date)),
         "description": F.col("event_type"),
-        "walletId": F.when(_hit(k, 229, 3), F.lit(11)).otherwise(F.col("user_id") % 10 + 1).cast("int"),
+        "walletId": F.when(_hit(k, 229, 3), F.lit(UNKNOWN_WALLET)).otherwise(F.col("user_id") % 25 + 1).cast("int"),
     }
     element = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
     return ev.select((k / INCOME_BATCH_SIZE).cast("long").alias("batch_id"),
@@ -116,8 +119,8 @@ def expense_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "description": F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")),
         "priority": (k % 3).cast("int"),
         "categoryId": (F.col("c_nationkey") % 24 + 1).cast("int"),
-        "walletId": (k % 10 + 1).cast("int"),
-        "tagIds": F.array((k % 40 + 1).cast("int"), ((k * 7) % 40 + 1).cast("int")),
+        "walletId": (k % 25 + 1).cast("int"),
+        "tagIds": F.array((k + 1).cast("int"), F.when(k % 20 == 0, k + 1).otherwise(F.floor(k / 2) + 1).cast("int")),
     }
     element = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
     return cu.select((k * 11 + 1).cast("int").alias("id"), element.alias("value"))
@@ -130,7 +133,7 @@ def income_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "amount": F.floor("c_acctbal").cast("int"),
         "date": date_text(F.date_add(F.lit("1995-01-01").cast("date"), (k % 2400).cast("int"))),
         "description": F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("c_name")),
-        "walletId": (k % 10 + 1).cast("int"),
+        "walletId": (k % 25 + 1).cast("int"),
     }
     element = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
     return cu.select((k * 7 + 1).cast("int").alias("id"), element.alias("value"))

@@ -2,9 +2,9 @@
 
 Layout under ``root``::
 
-    data/<table>/<write id>/...        immutable parquet directories
-    _manifests/v=<n>/...               one small table per version:
-                                       (table, path, n_entries)
+    data/<table>/write=<id>/...        immutable parquet directories
+    _manifests/v=<n>/...               one small table per version: (table,
+                                       path, n_entries, highest id ever used)
 
 * Fact tables (expense, income, wallet_transfer) are partitioned by
   ``month`` (first day of the month of ``date``), so a date range prunes
@@ -17,13 +17,16 @@ Layout under ``root``::
   expense_tag together), so a reader sees both or neither.
 * A manifest is only valid when its row count equals ``n_entries``, which
   protects readers from a manifest caught half-written; readers take the
-  newest valid version. One writer at a time is assumed.
+  newest valid version, and the next writer steps over the number of a
+  half-written one. Only a missing manifest folder means an empty ledger: any
+  other read error is raised. One writer at a time is assumed.
+* The highest id of a table is never lowered, so the id of a deleted row is
+  not handed out again.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +54,31 @@ PARTITIONING = {
 }
 
 
+MANIFEST = T.StructType([T.StructField(name, T.IntegerType() if name in ("n_entries", "max_id", "v") else T.StringType())
+                         for name in ("table", "path", "n_entries", "tag", "superseded", "max_id", "v")])
+
+
 class LedgerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._new_ids: dict[str, int] = {}  # highest ids written since the last version
 
     # ---- versions ---------------------------------------------------------
+    def _version_folders(self) -> list[int]:
+        """Numbers of all version folders, half-written ones included."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifests")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
     def _manifests(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/_manifests")
-        except Exception:  # no manifest written yet
+        if not self._version_folders():
             return None
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/_manifests")
 
     def latest_version(self) -> int | None:
         m = self._manifests()
@@ -85,6 +102,14 @@ class LedgerStore:
             out.setdefault(name, [])
         return out
 
+    def max_ids(self, version: int | None = None) -> dict[str, int]:
+        """Highest id ever handed out, by table."""
+        version = self.latest_version() if version is None else version
+        if version is None:
+            return {}
+        rows = self._manifests().filter((F.col("v") == version) & F.col("max_id").isNotNull()).select("table", "max_id").distinct().collect()
+        return {r.table: r.max_id for r in rows}
+
     def has_tag(self, tag: str) -> bool:
         """Whether some valid version was published with ``tag`` (used by the
         streaming sink to skip a micro-batch that was already committed)."""
@@ -95,19 +120,21 @@ class LedgerStore:
         return m.filter((F.col("tag") == tag) & (F.col("v") <= F.lit(latest))).limit(1).count() > 0
 
     def _publish(self, tables: dict[str, list[tuple[str, str | None]]], tag: str | None = None) -> int:
-        current = self.latest_version()
-        version = 1 if current is None else current + 1
+        version = max(self._version_folders(), default=0) + 1
+        high = self.max_ids()
+        for name, n in self._new_ids.items():
+            high[name] = max(n, high.get(name, 0))
+        self._new_ids = {}
         entries = [(name, path, sup) for name, paths in sorted(tables.items())
                    for path, sup in (paths or [("", None)])]
-        rows = [(name, path, len(entries), tag, sup) for name, path, sup in entries]
-        df = self.spark.createDataFrame(
-            rows, "table string, path string, n_entries int, tag string, superseded string").coalesce(1)
+        rows = [(name, path, len(entries), tag, sup, high.get(name)) for name, path, sup in entries]
+        df = self.spark.createDataFrame(rows, T.StructType(MANIFEST.fields[:-1])).coalesce(1)
         df.write.mode("errorifexists").parquet(f"{self.root}/_manifests/v={version}")
         return version
 
     # ---- data -------------------------------------------------------------
     def _write_table(self, name: str, df: DataFrame) -> str:
-        path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+        path = f"{self.root}/data/{name}/write={uuid.uuid4().hex}"
         cols = [f.name for f in schemas.TABLES[name].fields]
         df = df.select(*cols)
         writer = None
@@ -123,6 +150,9 @@ class LedgerStore:
         else:
             writer = df.coalesce(1).write
         writer.mode("errorifexists").parquet(path)
+        if name in MONTH_PARTITIONED:  # from the statistics of the files just written
+            top = self.spark.read.schema(schemas.TABLES[name]).parquet(path).agg(F.max("id")).first()[0]
+            self._new_ids[name] = max(top or 0, self._new_ids.get(name, 0))
         return path
 
     def _read_table(self, name: str, paths: list[tuple[str, str | None]]) -> DataFrame:
@@ -133,22 +163,22 @@ class LedgerStore:
             # keep the partition column: date filters add a month predicate
             # (partition pruning); superseded partitions of a path are pruned
             part, ptype, _ = PARTITIONING[name]
-            with_part = T.StructType(list(schema.fields) + [T.StructField(part, ptype)])
-            frames = []
+            fields = [*schema.fields, T.StructField(part, ptype)]
+            # one scan whatever the number of appends
+            df = (self.spark.read.schema(T.StructType([*fields, T.StructField("write", T.StringType())]))
+                  .option("basePath", f"{self.root}/data/{name}").parquet(*[p for p, _ in paths]))
             for p, superseded in paths:
-                df = self.spark.read.schema(with_part).option("basePath", p).parquet(p)
                 if superseded:
                     gone = [F.lit(v).cast(ptype) for v in superseded.split(",")]
-                    df = df.filter(~F.col(part).isin(*gone))
-                frames.append(df)
-            return reduce(DataFrame.unionByName, frames)
+                    df = df.filter(~((F.col("write") == p.rpartition("write=")[2]) & F.col(part).isin(*gone)))
+            return df.select(*[f.name for f in fields])
         return self.spark.read.schema(schema).parquet(*[p for p, _ in paths])
 
     # ---- public API -------------------------------------------------------
     def read(self, version: int | None = None) -> Ledger:
         m = self.manifest(version)
         frames = {name: self._read_table(name, m.get(name, [])) for name in schemas.TABLES}
-        return Ledger(self.spark, **frames)
+        return Ledger(self.spark, max_ids=self.max_ids(version), **frames)
 
     def save(self, ledger: Ledger) -> int:
         """Write every table of ``ledger`` as a new version (initial load or full snapshot)."""
@@ -194,14 +224,6 @@ class LedgerStore:
             m[name] = [(self._write_table(name, df), None)]
         return self._publish(m)
 
-    def replace_months(self, months: list, tables: dict[str, DataFrame],
-                       whole: dict[str, DataFrame] | None = None) -> int:
-        """Month-level replacement of month-partitioned tables (see replace_partitions)."""
-        for name in tables:
-            if name not in MONTH_PARTITIONED:
-                raise ValueError(f"{name} is not month-partitioned")
-        return self.replace_partitions({name: months for name in tables}, tables, whole)
-
 
 def read_ledger(spark: SparkSession, root: str, version: int | None = None) -> Ledger:
     return LedgerStore(spark, root).read(version)

@@ -5,12 +5,12 @@ rows -> new ledger version, one micro-batch at a time.
 operators (field rules, FK checks against the current ledger version, batch
 gate, id assignment) on each micro-batch and appends expense + expense_tag
 (or income) rows in one store version. Rejected rows go to a reject folder
-partitioned by epoch.
+partitioned by query and epoch.
 
-Exactly once: the store version is tagged with the query's identity and the
-epoch id; a replayed epoch (after a failure between publish and the
+Exactly once: the store version is tagged with the id that Spark gives the
+query (kept in its checkpoint, new if that is recreated) and the epoch id; a replayed epoch (after a failure between publish and the
 streaming checkpoint) finds its tag and is skipped. Reject files are
-written with dynamic partition overwrite of their epoch, so a replay
+written with dynamic partition overwrite of their query and epoch, so a replay
 replaces rather than duplicates them. Batch ids are ``epoch << 40 |
 monotonically_increasing_id`` of the micro-batch rows; the file source
 replays an epoch with the same files, so ids are stable.
@@ -18,8 +18,6 @@ replays an epoch with the same files, so ids are stable.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +28,10 @@ from tillbook.sources.store import LedgerStore
 EPOCH_SHIFT = 40
 
 
-def _micro_batch(store: LedgerStore, kind: str, mode: str, reject_dir: str | None, query_key: str):
+def _micro_batch(store: LedgerStore, kind: str, mode: str, reject_dir: str | None):
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        tag = f"{query_key}:{epoch_id}"
+        query = f"{kind}-{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}"
+        tag = f"{query}:{epoch_id}"
         if store.has_tag(tag):
             return
         docs = batch.select(
@@ -49,8 +48,8 @@ def _micro_batch(store: LedgerStore, kind: str, mode: str, reject_dir: str | Non
         if reject_dir:
             # rejects first: a replayed epoch rewrites its own reject partition
             rejected = validated.filter((F.col("status") != "ok") | ~F.col("batch_ok"))
-            (rejected.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(reject_dir))
+            (rejected.withColumn("query", F.lit(query)).withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("query", "epoch").parquet(reject_dir))
         store.append(tag=tag, **new)
 
     return handle
@@ -67,8 +66,7 @@ def start_ingest(spark: SparkSession, source_dir: str, store: LedgerStore, check
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     docs = reader.load(source_dir)
-    query_key = kind + "-" + hashlib.sha1(checkpoint_location.encode()).hexdigest()[:12]
-    writer = (docs.writeStream.foreachBatch(_micro_batch(store, kind, mode, reject_dir, query_key))
+    writer = (docs.writeStream.foreachBatch(_micro_batch(store, kind, mode, reject_dir))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
