@@ -38,7 +38,8 @@ def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
     """(copy, line, leaf, tokens) of every line with a word; ``copy``
     identifies a text, so that copies of it count once."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(text_key(t).alias("copy"), F.explode(F.split(t, "\n")).alias("line")).filter(F.btrim("line", F.lit(WS_CHARS)) != "")
+    rows = docs.select(text_key(t).alias("copy"), F.split(t, "\n").alias("lines"))  # the key once for each text, not for each line
+    rows = rows.select("copy", F.explode("lines").alias("line")).filter(F.btrim("line", F.lit(WS_CHARS)) != "")
     rows = rows.withColumn("tokens", masked(F.col("line")))
     return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
 
@@ -53,13 +54,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def recurring_lines(stage: Stage, docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS,
                     similarity: float = SIMILARITY) -> DataFrame:
-    """(copy, line_hash, template): the masked lines of each text whose
-    template recurs across texts."""
+    """(copy, line_hash, raw, template): the lines of each text whose template
+    recurs across texts, as hashes of the masked and of the raw line."""
     lines = _lines(docs, text, depth)
     leaves = stage.write(lines.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
                          .filter(F.col("n") >= min_docs).select("leaf"))
     busy = lines.join(_small(leaves, leaves.count()), "leaf", "left_semi")
-    busy = stage.write(busy.select("copy", "leaf", F.xxhash64("tokens").alias("line_hash"), "tokens").distinct())
+    busy = stage.write(busy.select("copy", "leaf", F.xxhash64("tokens").alias("line_hash"), F.xxhash64("line").alias("raw"), "tokens").distinct())
     words_at = busy.select("copy", "leaf", F.posexplode("tokens").alias("at", "word")).filter(F.col("word") != WILDCARD)
     # a line stands once in each text here, but two lines of a text may share a word at a position
     fixed = (words_at.groupBy("leaf", "at", "word").agg(F.count_distinct("copy").alias("n")).filter(F.col("n") >= min_docs)
@@ -69,9 +70,9 @@ def recurring_lines(stage: Stage, docs: DataFrame, text: str = "text", depth: in
             .join(fixed, ["leaf", "at", "word"])
             .groupBy("leaf", "line_hash").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("kept")))
     kept = kept.filter(F.size("kept") >= F.lit(similarity) * F.col("size")).withColumn("template", F.xxhash64("leaf", "kept"))
-    named = stage.write(busy.select("copy", "leaf", "line_hash").join(kept.select("leaf", "line_hash", "template"), ["leaf", "line_hash"]))
+    named = stage.write(busy.select("copy", "leaf", "line_hash", "raw").join(kept.select("leaf", "line_hash", "template"), ["leaf", "line_hash"]))
     often = named.groupBy("template").agg(F.count_distinct("copy").alias("n")).filter(F.col("n") >= min_docs).select("template")
-    return named.join(often, "template", "left_semi").select("copy", "line_hash", "template")
+    return named.join(often, "template", "left_semi").select("copy", "line_hash", "raw", "template")
 
 
 def drop_recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -84,14 +85,14 @@ def drop_recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_
     """
     stage = Stage(docs.sparkSession)
     found = recurring_lines(stage, docs, text, depth, min_docs, similarity)
-    drops = stage.write(found.groupBy("copy").agg(F.collect_set("line_hash").alias("_drop")).withColumnRenamed("copy", "_copy"))
+    drops = stage.write(found.groupBy("copy").agg(F.collect_set("raw").alias("_drop")).withColumnRenamed("copy", "_copy"))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     t = F.col(f"`{text}`")
     # one key for each different text; copies meet it through a join whose large partitions Spark can split
     rows = docs.join(drops, text_key(F.coalesce(t, F.lit(""))) == F.col("_copy"), "left")
     lines = F.split(t, "\n")
     has_word = lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""
-    left = F.filter(lines, lambda x: ~(has_word(x) & F.array_contains("_drop", F.xxhash64(masked(x)))))
+    left = F.filter(lines, lambda x: ~(has_word(x) & F.array_contains("_drop", F.xxhash64(x))))
     n_lines = F.coalesce(F.size(F.filter(lines, has_word)), F.lit(0))
     left = F.when(F.col("_drop").isNull(), lines).otherwise(left)
     n_left = F.when(t.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left))
