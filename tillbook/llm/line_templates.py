@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import WS, WS_CHARS, Stage, words
+from tillbook.llm.common import WS, WS_CHARS, Stage, fresh, words
 
 DEPTH = 3
 MIN_DOCS = 5
@@ -90,11 +90,12 @@ def drop_recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_
     t = F.col(f"`{text}`")
     # one key for each different text; copies meet it through a join whose large partitions Spark can split
     rows = docs.join(drops, text_key(F.coalesce(t, F.lit(""))) == F.col("_copy"), "left")
-    lines = F.split(t, "\n")
-    has_word = lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""
-    left = F.filter(lines, lambda x: ~(has_word(x) & F.array_contains("_drop", F.xxhash64(x))))
-    n_lines = F.coalesce(F.size(F.filter(lines, has_word)), F.lit(0))
-    left = F.when(F.col("_drop").isNull(), lines).otherwise(left)
-    n_left = F.when(t.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left))
+    # lines and what is left of them are columns of their own, so that each is made once for a row
+    lines, left = fresh(rows, "_lines"), fresh(rows, "_left")
+    rows = rows.withColumn(lines, F.split(t, "\n"))
+    rows = rows.withColumn(left, F.when(F.col("_drop").isNull(), F.col(lines)).otherwise(
+        F.filter(lines, lambda x: ~F.array_contains("_drop", F.xxhash64(x)))))
+    n_lines = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""))
+    count = lambda n: F.when(t.isNull(), F.lit(0)).otherwise(n).cast("long")
     return rows.select(*[F.array_join(left, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in keep],
-                       F.when(t.isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), n_left.cast("long").alias("n_dropped"))
+                       count(n_lines).alias("n_lines"), count(F.size(lines) - F.size(left)).alias("n_dropped"))
