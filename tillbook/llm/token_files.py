@@ -42,33 +42,39 @@ class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
     The library's pre-tokenizer starts a new piece at every single space that
-    is followed by a character that isn't white space, and between letters and
-    punctuation; BPE never merges across pieces. Texts can therefore be cut at
-    those spaces: the cuts of a batch are dictionary-encoded, each different
-    cut is encoded once and its ids are remembered, and the ids of the texts
-    are gathered by cut. Texts for which a cut isn't safe are encoded whole.
-    New cuts of letters, one piece each, go to the library's BPE model at
-    once, without its pre-tokenizer.
+    is followed by a character that isn't white space; BPE never merges across
+    pieces. Texts can therefore be cut at those spaces. The cuts of a batch
+    are dictionary-encoded, and each different cut is parted once more where a
+    letter stands before punctuation and around a single line feed, which are
+    piece boundaries too. The different parts are encoded and remembered, and
+    the ids of the texts are gathered by cut. Texts for which a cut isn't safe
+    are encoded whole.
     """
 
-    #: Marks a cut without a space before it: the first one of a text.
+    #: Marks a part without a space before it, as the first one of a text.
     FIRST = "\x00"
-    #: Letters, and letters before punctuation other than apostrophes (in which no contraction is found).
+    #: Stands where a cut is parted.
+    SEAM = "\x01"
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
     WORD = re.compile(f"[{LETTERS}]+")
-    WORD_END = re.compile(f"([{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]+)")
+    #: A letter before punctuation other than an apostrophe, and a line feed between characters that aren't white space.
+    WORD_END = f"([{LETTERS}])([!-&(-/:-@\\[-`{{-~])"
+    LINE_END = f"([!-~{LETTERS}])\n([!-~{LETTERS}])"
     #: First characters that surely aren't white space, for the C++ regex engine.
     SAFE_START = r"^[!-~\pL]"
+    #: Texts with a mark of this class or the special token are encoded whole.
+    WHOLE = r"[\x00\x01]|<\|"
+    #: Words that are encoded in one text.
+    JOINED = 1000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        # the byte-level alphabet: a printable byte stands for itself, the others take the characters from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [c for c in range(256) if c not in shown]
-        self.alphabet = {c: chr(c) for c in shown} | {c: chr(256 + k) for k, c in enumerate(hidden)}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that begin with a space, by id; the byte-level alphabet shows it as U+0120.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[k for token, k in vocabulary.items() if token[0] == "\u0120"]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -78,38 +84,53 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, cuts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         at = len(self.sizes)
-        self.known.update(zip(cuts, range(at, at + len(cuts))))
+        self.known.update(zip(parts, range(at, at + len(parts))))
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids, self.starts, self.sizes = np.append(self.ids, ids), np.append(self.starts, starts), np.append(self.sizes, sizes)
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a space and a word of letters, which is one piece: the BPE model on its byte-level spelling."""
-        spelled = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
-        return [t.id for t in self.model.tokenize(self.alphabet[32] + spelled)]
+    def _learn(self, parts: list[str]) -> None:
+        """Remember parts that are not known yet.
 
-    def _learn(self, cuts: list[str]) -> None:
-        """Remember cuts that are not known yet."""
-        ends = {c: (m[1], self.FIRST + m[2]) for c in cuts if (m := self.WORD_END.fullmatch(c))}
-        alone = dict.fromkeys(c for c in cuts if c not in ends)
-        alone.update(dict.fromkeys(x for pair in ends.values() for x in pair if x not in self.known))
+        Words of letters are encoded together, each after a space: no token
+        spans two of them, and just the first token of each begins with one.
+        """
         is_word = self.WORD.fullmatch
-        found = {c: self._word(c) for c in alone if is_word(c)}
-        others = [c for c in alone if c not in found]
-        found.update(zip(others, self._whole([c[1:] if c[0] == self.FIRST else " " + c for c in others])))
-        sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
-        self._add(list(found), np.fromiter(chain.from_iterable(found.values()), np.int32, int(sizes.sum())), sizes)
-        if ends:
-            pairs = np.array([(self.known[a], self.known[b]) for a, b in ends.values()]).ravel()
-            self._add(list(ends), self._gather(pairs), self.sizes[pairs].reshape(-1, 2).sum(axis=1))
-
-    def _gather(self, cuts: np.ndarray) -> np.ndarray:
-        """Ids of a sequence of known cuts."""
-        sizes = self.sizes[cuts]
+        words = [p for p in parts if is_word(p)]
+        if words:
+            found = self._whole([" " + " ".join(words[lo:lo + self.JOINED]) for lo in range(0, len(words), self.JOINED)])
+            ids = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
+            self._add(words, ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids))))
+        others = [p for p in parts if not is_word(p)]
+        if others:
+            found = self._whole([p[1:] if p[:1] == self.FIRST else " " + p for p in others])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(others, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
+
+    def _gather(self, parts: np.ndarray) -> np.ndarray:
+        """Ids of a sequence of known parts."""
+        sizes = self.sizes[parts]
         ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[cuts] - (ends - sizes), sizes)
-        return self.ids[at + np.arange(len(at))]
+        return self.ids[np.repeat(self.starts[parts] - (ends - sizes), sizes) + np.arange(ends[-1])]
+
+    def _cut_ids(self, cuts: pa.Array) -> pa.ListArray:
+        """Ids of each of the different cuts."""
+        seam = f"\\1{self.SEAM}{self.FIRST}"
+        parted = pc.replace_substring_regex(cuts, self.LINE_END, f"{seam}\n{self.SEAM}{self.FIRST}\\2")
+        lists = pc.split_pattern(pc.replace_substring_regex(parted, self.WORD_END, f"{seam}\\2"), self.SEAM)
+        flat = lists.flatten().dictionary_encode()
+        parts = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        get = self.known.get
+        numbers = np.fromiter((get(p, -1) for p in parts), np.int64, len(parts))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            missing = [parts[k] for k in new.tolist()]
+            self._learn(missing)
+            numbers[new] = [self.known[p] for p in missing]
+        sequence = numbers[flat.indices.to_numpy(zero_copy_only=False)]
+        ends = np.concatenate([[0], np.cumsum(self.sizes[sequence])])
+        return pa.ListArray.from_arrays(pa.array(ends[_offsets(lists)].astype(np.int32)), pa.array(self._gather(sequence)))
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         texts = pa.array(texts, pa.string()).fill_null("")
@@ -119,29 +140,25 @@ class Encoder:
             return []
         lists = pc.split_pattern(pc.binary_join_element_wise(self.FIRST, texts, ""), " ")
         flat = lists.flatten().dictionary_encode()
-        cuts = flat.dictionary.to_pylist()
+        codes, bounds = flat.indices.to_numpy(zero_copy_only=False), _offsets(lists)
         # a cut is a piece boundary if what follows the space surely isn't white space; a text with other cuts stays whole
-        safe = pc.match_substring_regex(flat.dictionary, self.SAFE_START).to_numpy(zero_copy_only=False)
-        get = self.known.get
-        numbers = np.fromiter((get(c, -1) for c in cuts), np.int64, len(cuts))
-        new = [k for k in np.flatnonzero(numbers < 0).tolist() if safe[k] or cuts[k][:1] == self.FIRST]
-        self._learn([cuts[k] for k in new])
-        numbers[new] = [self.known[cuts[k]] for k in new]
-        codes = flat.indices.to_numpy(zero_copy_only=False)
-        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        risky = ~safe[codes]
+        risky = ~pc.match_substring_regex(flat.dictionary, self.SAFE_START).to_numpy(zero_copy_only=False)[codes]
         risky[bounds[:-1]] = False  # the first cut of a text carries the mark
         alone = np.add.reduceat(risky, bounds[:-1]) > 0
-        alone |= pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
-        number = np.maximum(numbers, 0)[codes]
-        ends = np.concatenate([[0], np.cumsum(self.sizes[number])])[bounds]
-        ids = self._gather(number)
+        alone |= pc.match_substring_regex(texts, self.WHOLE).to_numpy(zero_copy_only=False)
+        taken = self._cut_ids(flat.dictionary).take(flat.indices)
+        ids, ends = taken.values.to_numpy(), taken.offsets.to_numpy()[bounds]
         out = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
         for k in np.flatnonzero(alone):
             out[k] = np.array(self._whole([texts[k].as_py()])[0], np.int32)
         return out
 
 
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    """Bounds of the lists in their flattened values."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
 #: Encoders of this worker process, kept from task to task by vocabulary file.
 ENCODERS: dict[str, Encoder] = {}
 
