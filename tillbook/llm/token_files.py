@@ -14,6 +14,7 @@ reader of the metadata columns never touches the tokens.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,9 +33,9 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Word pieces whose ids a task remembers; on reaching it, the memory is emptied.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: Texts that are encoded together.
-TEXTS = 2000
+TEXTS = 1000
 FILE_SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
 
 
@@ -64,10 +65,12 @@ class Encoder:
     SAFE_START = r"^[!-~\pL]"
     #: Texts with a mark of this class or the special token are encoded whole.
     WHOLE = r"[\x00\x01]|<\|"
-    #: Words that are encoded in one text.
+    #: Words that are encoded in one text, and parts that are encoded by one call.
     JOINED = 1000
+    LEARNED = 20_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads also keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -98,15 +101,17 @@ class Encoder:
         """
         is_word = self.WORD.fullmatch
         words = [p for p in parts if is_word(p)]
-        if words:
-            found = self._whole([" " + " ".join(words[lo:lo + self.JOINED]) for lo in range(0, len(words), self.JOINED)])
-            ids = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
-            self._add(words, ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids))))
         others = [p for p in parts if not is_word(p)]
-        if others:
-            found = self._whole([p[1:] if p[:1] == self.FIRST else " " + p for p in others])
+        for lo in range(0, len(words), self.LEARNED):  # a token takes some hundred bytes inside the library
+            some = words[lo:lo + self.LEARNED]
+            found = self._whole([" " + " ".join(some[k:k + self.JOINED]) for k in range(0, len(some), self.JOINED)])
+            ids = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
+            self._add(some, ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids))))
+        for lo in range(0, len(others), self.LEARNED):
+            some = others[lo:lo + self.LEARNED]
+            found = self._whole([p[1:] if p[:1] == self.FIRST else " " + p for p in some])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._add(others, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
+            self._add(some, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
 
     def _gather(self, parts: np.ndarray) -> np.ndarray:
         """Ids of a sequence of known parts."""
@@ -188,6 +193,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), tokens], names=["doc_id", "n_tokens", "tokens"])
+                pa.default_memory_pool().release_unused()
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
