@@ -69,6 +69,13 @@ def test_expense_field_rules(spark, tiny):
         assert (got[i].status, list(got[i].reasons)) == (status, reasons), EXPENSE_CASES[i][0]
 
 
+def test_repeated_keys_are_mistyped(spark, tiny):
+    twice = json.dumps(_with(amount=-5))[:-1] + ', "amount": 7}'
+    docs = spark.createDataFrame([(1, '{"expenses": [' + twice + "]}")], "batch_id long, value string")
+    row = V.validate_expense_batches(tiny, docs).first()
+    assert (row.status, list(row.reasons), row.batch_ok) == ("invalid", ["json:type"], False)
+
+
 def test_batch_is_atomic(spark, tiny):
     docs = spark.createDataFrame([(1, _doc(_with(), _with(priority=5))), (2, _doc(_with(), _with())),
                                   (3, '{"expenses": "nope"}'), (4, "not json"), (5, '{"expenses": []}')],

@@ -56,14 +56,15 @@ def distinct_vector(field: str, values: Column) -> Column:
 
 def json_type(corrupt: Column, raw: Column, string_fields: tuple[str, ...]) -> Column:
     """Mistyped element: ``from_json`` flagged it (fraction, over-range or
-    quoted number, non-object), or a string field holds a non-string value."""
+    quoted number, non-object), it repeats a key (then it is no variant), or a
+    string field holds a non-string value."""
     parsed = F.try_parse_json(raw)
     bad_string = F.lit(False)
     for name in string_fields:
         kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
         # absent field -> NULL kind (fine); JSON null -> VOID (fine)
         bad_string = bad_string | F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
-    return F.when(corrupt.isNotNull() | bad_string, F.lit("json:type"))
+    return F.when(corrupt.isNotNull() | (raw.isNotNull() & parsed.isNull()) | bad_string, F.lit("json:type"))
 
 
 def reasons(*codes: Column) -> Column:
