@@ -409,6 +409,10 @@ ORACLE["inc_delete"] = _req("""
 SELECT id, amount, wallet_id, date, description FROM income WHERE id NOT IN (SELECT id FROM inc_del)
 """)
 
+ORACLE["inc_delete_outcome"] = _req("""
+SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM income) THEN 'ok' ELSE 'not_found' END AS status FROM inc_del
+""")
+
 # ---- chart feeds ----------------------------------------------------------
 
 ORACLE["chart_bar"] = _with("""

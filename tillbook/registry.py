@@ -294,6 +294,10 @@ def inc_delete(spark, sf_dir):
     return new_income.select(*INCOME_COLS)
 
 
+def inc_delete_outcome(spark, sf_dir):
+    return CH.delete_incomes(_ledger(spark, sf_dir), RQ.income_deletes(spark, sf_dir))[1]
+
+
 QUERIES.update({
     "validate_expenses": validate_expenses,
     "validate_incomes": validate_incomes,
@@ -313,6 +317,7 @@ QUERIES.update({
     "exp_delete_tags": exp_delete_tags,
     "exp_delete_outcome": exp_delete_outcome,
     "inc_delete": inc_delete,
+    "inc_delete_outcome": inc_delete_outcome,
 })
 
 
