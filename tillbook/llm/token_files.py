@@ -177,8 +177,8 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
                  end_id: int | None = END_ID, delta_tokens: bool = False) -> None:
     """Encode every text and write the file set to ``folder`` in ascending id
-    order (null ids last; rows of one id by their text). Null texts are empty
-    and only have the end id. The order is a range sort, so a hot id spans
+    order (null ids last; rows of one id by a hash of their text). Null texts
+    are empty and only have the end id. The order is a range sort, so a hot id spans
     files; each task streams Arrow batches through the encoder."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), tokens], names=["doc_id", "n_tokens", "tokens"])
                 pa.default_memory_pool().release_unused()
 
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    # the hash of the text, not the text, as the range sort samples its keys to the driver
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, FILE_SCHEMA)
     (ranged.write.option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP_BYTES)
