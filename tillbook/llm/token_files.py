@@ -33,9 +33,9 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Word pieces whose ids a task remembers; on reaching it, the memory is emptied.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 #: Texts that are encoded together.
-TEXTS = 1000
+TEXTS = 2500
 FILE_SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
 
 
