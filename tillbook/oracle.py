@@ -413,6 +413,31 @@ ORACLE["inc_delete_outcome"] = _req("""
 SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM income) THEN 'ok' ELSE 'not_found' END AS status FROM inc_del
 """)
 
+# ---- detail for given ids, quarantine, stamps, sinks ----------------------
+
+ORACLE["exp_detail_ids"] = _with(_EXPENSE_DETAIL + "WHERE x.id IN (SELECT c_custkey * 13 + 2 FROM customer)\n")
+ORACLE["inc_detail_ids"] = _with(_INCOME_DETAIL + "WHERE i.id IN (SELECT c_custkey * 9 + 4 FROM customer)\n")
+ORACLE["validate_expenses_quarantine"] = _req("""
+SELECT batch_id, pos, status, reasons, reasons <> 'document:invalid' AS batch_ok FROM exp_validated
+""")
+ORACLE["transfer_rows_again"] = _req("""
+SELECT CAST(COUNT(*) OVER () + ROW_NUMBER() OVER (ORDER BY request_id) AS INT) AS id, amount, source_wallet_id, target_wallet_id,
+       date, description, request_id
+FROM tr_chk WHERE status = 'ok'
+""")
+ORACLE["exp_update_stamps"] = _req("""
+SELECT id, TRUE AS created_kept, id IN (SELECT id FROM exp_chg_out WHERE status = 'ok') AS stamped FROM expense
+""")
+ORACLE["sink_append"] = _req("""
+SELECT id, amount, wallet_id, date, description FROM income
+UNION ALL
+SELECT CAST((SELECT MAX(id) FROM income) + ROW_NUMBER() OVER (ORDER BY batch_id, pos) AS INT) AS id,
+       amount, wallet_id, date, description
+FROM inc_validated WHERE status = 'ok' AND batch_ok
+""")
+ORACLE["sink_doc"] = _with("""
+SELECT '{"expense":' || expense || ',"income":' || income || '}' AS value FROM (""" + _DOCUMENT + ")\n", YEAR_1996)
+
 # ---- chart feeds ----------------------------------------------------------
 
 ORACLE["chart_bar"] = _with("""

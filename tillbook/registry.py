@@ -8,6 +8,7 @@ values are rendered as JSON text so they compare as plain strings.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from tillbook.operators import listings as LS
 from tillbook.operators import summary as S
 from tillbook.operators import validate as V
 from tillbook.params import DateRange, Page, SummaryParams, TagFilter
+from tillbook.session import ensure_checkpoint_dir
 from tillbook.sources import requests as RQ
+from tillbook.sources.store import LedgerStore, write_document
 
 # The standard summary request of FIXTURES.md.
 STANDARD_SUMMARY = SummaryParams(dt.date(1996, 1, 1), dt.date(1996, 12, 31), (5, 10))
@@ -349,3 +352,66 @@ def sum_doc_all(spark, sf_dir):
 
 
 QUERIES["sum_doc_all"] = sum_doc_all
+
+
+# ---- detail for given ids, quarantine, stamps, sinks ----------------------
+
+
+def exp_detail_ids(spark, sf_dir):
+    """Expense detail for the ids that the delete requests name."""
+    return _expense_json(EN.expense_detail(_ledger(spark, sf_dir), RQ.expense_deletes(spark, sf_dir)))
+
+
+def inc_detail_ids(spark, sf_dir):
+    return _income_json(EN.income_detail(_ledger(spark, sf_dir), RQ.income_deletes(spark, sf_dir)))
+
+
+def validate_expenses_quarantine(spark, sf_dir):
+    v = V.validate_expense_batches(_ledger(spark, sf_dir), RQ.expense_request_documents(spark, sf_dir), mode="quarantine")
+    return _reasons_text(v.select("batch_id", "pos", "status", "reasons", "batch_ok"))
+
+
+def transfer_rows_again(spark, sf_dir):
+    """The same transfers once more, onto the table that the first ones made."""
+    L = _ledger(spark, sf_dir)
+    v = _validated_transfers(L, spark, sf_dir)
+    again = CH.transfer_rows(L.replace(wallet_transfer=CH.transfer_rows(L, v)), v)
+    return again.select("id", "amount", "source_wallet_id", "target_wallet_id", "date", "description", "request_id")
+
+
+def exp_update_stamps(spark, sf_dir):
+    """Whether an update kept ``created_at`` and set ``updated_at`` (both null before)."""
+    new = _exp_update(spark, sf_dir)[0]
+    return new.select("id", F.col("created_at").isNull().alias("created_kept"), F.col("updated_at").isNotNull().alias("stamped"))
+
+
+def _scratch(spark) -> str:
+    """A folder of its own under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+
+
+def sink_append(spark, sf_dir):
+    """Incomes of the ledger, then those of the accepted batches, appended to a store and read back."""
+    L, store = _ledger(spark, sf_dir), LedgerStore(spark, _scratch(spark))
+    store.append(income=L.income)
+    v = V.validate_income_batches(L, RQ.income_request_documents(spark, sf_dir))
+    store.append(income=CH.insert_incomes(store.read().replace(wallet=L.wallet), v))
+    return store.read().income.select(*INCOME_COLS)
+
+
+def sink_doc(spark, sf_dir):
+    """The summary document, written as JSON text and read back."""
+    path = _scratch(spark)
+    write_document(S.summary_document(_ledger(spark, sf_dir), STANDARD_SUMMARY), path)
+    return spark.read.text(path)
+
+
+QUERIES.update({
+    "exp_detail_ids": exp_detail_ids,
+    "inc_detail_ids": inc_detail_ids,
+    "validate_expenses_quarantine": validate_expenses_quarantine,
+    "transfer_rows_again": transfer_rows_again,
+    "exp_update_stamps": exp_update_stamps,
+    "sink_append": sink_append,
+    "sink_doc": sink_doc,
+})
