@@ -76,6 +76,24 @@ def test_repeated_keys_are_mistyped(spark, tiny):
     assert (row.status, list(row.reasons), row.batch_ok) == ("invalid", ["json:type"], False)
 
 
+def test_malformed_documents(spark, tiny):
+    good = _doc(_with())
+    bad = [good + " more", good + "}", good + "]", good + "],[", good + "," + good, json.dumps({"expenses": [json.dumps(_with())]}),
+           json.dumps({"expenses": [_with(), 5]}), '{"expenses":[],' + good[1:], "[]", "", None]
+    docs = spark.createDataFrame(list(enumerate([*bad, good, f" {good}\n", '{"expenses":[]}'])), "batch_id long, value string")
+    got = {r.batch_id: r for r in V.validate_expense_batches(tiny, docs).collect()}
+    for i, text in enumerate(bad):
+        assert (got[i].pos, got[i].status, list(got[i].reasons), got[i].batch_ok) == (None, "invalid", ["document:invalid"], False), text
+    assert [got[len(bad) + k].batch_ok for k in (0, 1)] == [True, True] and len(got) == len(bad) + 2
+
+
+def test_text_after_a_transfer_request(spark, tiny):
+    good = json.dumps({"sourceWalletId": 1, "targetWalletId": 2, "amount": 5, "fee": 0, "date": "2025-04-01", "description": None})
+    docs = spark.createDataFrame([(1, good), (2, good + " {}"), (3, good + "}"), (4, good + "]"), (5, json.dumps(good))], "request_id long, value string")
+    got = {r.request_id: (r.status, list(r.reasons)[:1]) for r in V.validate_transfers(tiny, docs).collect()}
+    assert got == {1: ("ok", []), **{k: ("invalid", ["json:type"]) for k in (2, 3, 4, 5)}}
+
+
 def test_batch_is_atomic(spark, tiny):
     docs = spark.createDataFrame([(1, _doc(_with(), _with(priority=5))), (2, _doc(_with(), _with())),
                                   (3, '{"expenses": "nope"}'), (4, "not json"), (5, '{"expenses": []}')],

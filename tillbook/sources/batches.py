@@ -6,6 +6,11 @@ array kept as raw element texts, ``posexplode`` to one row per element
 (keeping the position), then ``from_json`` per element with a corrupt-record
 column, so one malformed element cannot hide its neighbours. Nothing is
 inferred; schemas are declared in ``tillbook.schemas``.
+
+``from_json`` stops at the end of the first value. To see text that follows a
+document, it is parsed once as the only element of an array and once as the
+only field of an object: what follows would have to begin with both ``]`` and
+``}`` to pass.
 """
 
 from __future__ import annotations
@@ -27,6 +32,25 @@ def _parse_element(raw, schema):
     return F.from_json(raw, _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
 
+def _in_array(value, schema: str):
+    """The struct ``value`` holds, or NULL unless it is one element of an array."""
+    found = F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"ARRAY<{schema}>")
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+def _in_object(value, schema: str):
+    """The struct ``value`` holds, or NULL unless it is one field of an object."""
+    return F.from_json(F.concat(F.lit('{"d":'), value, F.lit("}")), f"d {schema}")["d"]
+
+
+def parse_request(value, schema):
+    """A request that is one JSON object; with text after it, it is corrupt."""
+    e = _parse_element(value, schema)
+    probe = f"STRUCT<`{schema.fields[0].name}` STRING>"
+    alone = _in_array(value, probe).isNotNull() & _in_object(value, probe).isNotNull()
+    return e.withField(CORRUPT, F.when(F.coalesce(alone, F.lit(False)), e[CORRUPT]).otherwise(value))
+
+
 def read_documents(spark: SparkSession, path: str, key: str = "batch_id") -> DataFrame:
     """JSON Lines files -> (key, value): one request document per line.
     ``key`` (``batch_id`` for expense / income batches, ``request_id`` for
@@ -40,11 +64,16 @@ def explode_batches(docs: DataFrame, array_key: str, element_schema: T.StructTyp
     """(batch_id, value) -> batch_id, doc_ok, pos, raw, e (parsed struct incl. ``_corrupt``).
 
     One row per element. A document that is not a JSON object holding an
-    ``array_key`` array yields a single marker row (doc_ok false, pos NULL),
-    so the whole batch can be rejected; an empty array yields no row.
+    ``array_key`` array of objects, names a key twice or is followed by more
+    text yields a single marker row (doc_ok false, pos NULL), so the whole
+    batch can be rejected; an empty array yields no row.
     """
-    outer = docs.select("batch_id", F.from_json("value", f"`{array_key}` ARRAY<STRING>").alias("d"))
-    items = F.col(f"d.{array_key}")
+    value, keys = F.col("value"), F.json_object_keys("value")
+    texts = _in_array(value, f"STRUCT<`{array_key}` ARRAY<STRING>>")[array_key]
+    objects = _in_object(value, f"STRUCT<`{array_key}` ARRAY<STRUCT<`{element_schema.fields[0].name}` STRING>>>")[array_key]
+    whole = objects.isNotNull() & (F.size(keys) == F.size(F.array_distinct(keys)))
+    outer = docs.select("batch_id", F.when(whole, texts).alias("items"))
+    items = F.col("items")
     rows = outer.select("batch_id", items.isNotNull().alias("doc_ok"),
                         F.posexplode_outer(items).alias("pos", "raw"))
     rows = rows.filter(~F.col("doc_ok") | F.col("pos").isNotNull())
@@ -62,4 +91,4 @@ def income_elements(docs: DataFrame):
 def transfer_requests(docs: DataFrame) -> DataFrame:
     """(request_id, value) -> request_id, raw, e (parsed transfer request)."""
     return docs.select("request_id", F.col("value").alias("raw"),
-                       _parse_element(F.col("value"), schemas.TRANSFER_REQUEST).alias("e"))
+                       parse_request(F.col("value"), schemas.TRANSFER_REQUEST).alias("e"))
