@@ -1,7 +1,7 @@
 """Change sets as batch operators: (ledger, change frame) -> new rows / new tables.
 
 * Inserts hand out ids after the highest one ever used, in input order
-  (batch_id, pos), via ``with_positions`` (range sort + checkpoint +
+  (batch_id, pos), via ``with_positions`` (range sort + written table +
   per-partition prefix sums; nothing passes through one task). Tags are
   exploded from the frame that already holds the ids, so there is no
   positional zip.
@@ -148,7 +148,7 @@ def _replace_rows(base: DataFrame, changes: DataFrame, columns: list[str], stamp
 
 
 def _checked_changes(ledger: Ledger, changes: DataFrame, schema, rules, base: DataFrame):
-    """Parse + rules (fixed by a checkpoint inside the rules), duplicate ids,
+    """Parse + rules (fixed in a table inside the rules), duplicate ids,
     existence; the outcome is fixed once more so the tables built from it do
     not re-run the checks."""
     from tillbook.plans.materialize import fix

@@ -6,7 +6,7 @@ against the dimensions; the batch gate (V-ATOMIC) rejects
 every element of a batch that holds any rejected element.
 
 Scale notes: rows are parsed and checked field by field once, then fixed
-with a checkpoint; everything after reads that checkpoint. Unknown tags are
+in a written table; everything after reads that table. Unknown tags are
 found with an explode + anti join against the tag dimension; only
 the (usually few) offending element keys are shuffled. The batch gate never
 groups a batch's rows together: it collects the *ids* of rejected batches

@@ -3,7 +3,7 @@
 * ``with_positions``: dense 0-based position of every row in key order
   (used to hand out ids in input order). Range-partition + sort inside each
   partition, tag rows with ``monotonically_increasing_id`` (partition index
-  in the upper bits), checkpoint to the shared checkpoint folder so that
+  in the upper bits), write them to the shared checkpoint folder so that
   partition contents are fixed even if executors are lost, count rows per
   partition, prefix-sum those counts (one row per partition) and add.
 """
@@ -31,12 +31,12 @@ def with_positions(df: DataFrame, order: list[Column], name: str = "pos",
     ensure_checkpoint_dir(df.sparkSession)
     n = _partitions(df, partitions)
     # The range partitioner samples its input in one job and shuffles it in
-    # another: with an expensive upstream, pass fix_input=True to checkpoint
+    # another: with an expensive upstream, pass fix_input=True to write
     # it first so it runs once.
     src = fix(df) if fix_input else df
-    # The tagged rows are checkpointed: counts and rows must see the very same
+    # The tagged rows are written once: counts and rows must see the very same
     # partition ids (AQE may coalesce a re-read shuffle differently), and a
-    # lost executor re-reads the shared checkpoint instead of re-sorting.
+    # lost executor re-reads the shared files instead of re-sorting.
     tagged = fix(src.repartitionByRange(n, *order).sortWithinPartitions(*order)
                  .withColumn("_rid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_rid"), _LOW_BITS)

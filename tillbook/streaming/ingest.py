@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tillbook.operators import changes as CH
 from tillbook.operators import validate as V
+from tillbook.plans.materialize import scratch
 from tillbook.sources.store import LedgerStore
 
 EPOCH_SHIFT = 40
@@ -34,23 +35,24 @@ def _micro_batch(store: LedgerStore, kind: str, mode: str, reject_dir: str | Non
         tag = f"{query}:{epoch_id}"
         if store.has_tag(tag):
             return
-        docs = batch.select(
-            (F.lit(epoch_id).cast("long") * F.lit(1 << EPOCH_SHIFT) + F.monotonically_increasing_id()).alias("batch_id"),
-            "value")
-        ledger = store.read()
-        if kind == "expenses":
-            validated = V.validate_expense_batches(ledger, docs, mode)
-            rows, tags = CH.insert_expenses(ledger, validated)
-            new = {"expense": rows, "expense_tag": tags}
-        else:
-            validated = V.validate_income_batches(ledger, docs, mode)
-            new = {"income": CH.insert_incomes(ledger, validated)}
-        if reject_dir:
-            # rejects first: a replayed epoch rewrites its own reject partition
-            rejected = validated.filter((F.col("status") != "ok") | ~F.col("batch_ok"))
-            (rejected.withColumn("query", F.lit(query)).withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("query", "epoch").parquet(reject_dir))
-        store.append(tag=tag, **new)
+        with scratch():
+            docs = batch.select(
+                (F.lit(epoch_id).cast("long") * F.lit(1 << EPOCH_SHIFT) + F.monotonically_increasing_id()).alias("batch_id"),
+                "value")
+            ledger = store.read()
+            if kind == "expenses":
+                validated = V.validate_expense_batches(ledger, docs, mode)
+                rows, tags = CH.insert_expenses(ledger, validated)
+                new = {"expense": rows, "expense_tag": tags}
+            else:
+                validated = V.validate_income_batches(ledger, docs, mode)
+                new = {"income": CH.insert_incomes(ledger, validated)}
+            if reject_dir:
+                # rejects first: a replayed epoch rewrites its own reject partition
+                rejected = validated.filter((F.col("status") != "ok") | ~F.col("batch_ok"))
+                (rejected.withColumn("query", F.lit(query)).withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy("query", "epoch").parquet(reject_dir))
+            store.append(tag=tag, **new)
 
     return handle
 
