@@ -77,3 +77,25 @@ def test_differencing(spark):
     assert got[5] == got[6] == "copy" and got[7] == "no url" and got[8] == got[9] == "" and got[None] == "y"
     assert got[10] == "same\n\none" and got[11] == "same\n\ntwo"  # a marked article keeps shared lines
     assert hd.main_text(df.limit(0)).collect() == []
+
+
+def texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in hd.main_text(df).collect()}
+
+
+def test_every_page_is_differenced(spark):
+    def page(n):
+        return f"<div>Site name</div><div>Menu x</div><article>quoted<p>teaser {n}</article><div><p>main text {n}</div><div>Read more</div>"
+
+    got = texts(spark, [(1, "http://t.com/a/1", page(1)), (2, "http://t.com/a/2", page(2)), (3, "http://t.com/a/3", page(3).replace("article>", "div>"))])
+    assert got[1] == "quoted\n\nteaser 1\n\nmain text 1" and got[2] == "quoted\n\nteaser 2\n\nmain text 2"  # a teaser isn't the whole text
+    assert got[3] == "teaser 3\n\nmain text 3"  # without a mark, shared lines go
+
+
+def test_given_pages_are_aligned(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("page_id", "url", "replace(html, '<body>', '<body><div>Planted site line</div>') AS html")
+    hosts = {}
+    for r in hd.main_text(df).collect():
+        hosts.setdefault(re.sub("^[a-z]+://([^/?#]*).*", r"\1", r.url), []).append(r.text.startswith("Planted site line"))
+    assert not any(any(kept) for kept in hosts.values() if len(kept) > 5)  # removed where a host has pages to compare

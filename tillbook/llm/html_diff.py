@@ -6,8 +6,9 @@ forms, scripts, styles and reader comments are left out by their elements and
 class or id words. Within a host, pages are ordered by URL path; a page is
 paired with the neighbour of the longest common path, the lines of both are
 aligned by a longest common subsequence, and the shared lines are deleted,
-for they come from the site's template. The lines of a marked article are
-kept, as shared ones are quotations there.
+for they come from the site's template. Every page is aligned; an article
+element only protects its lines afterwards, as shared ones are quotations
+there, and never takes lines from the rest of the page.
 """
 
 from __future__ import annotations
@@ -188,7 +189,8 @@ def _line_hash(text: str) -> int:
 
 
 def page_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(key, host, path, url, lines, marked): hashed lines of each page."""
+    """(key, host, path, url, lines, marks): hashed lines of each page, and
+    whether each stands inside an article or main element."""
     one = pages.select(F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`")).alias("key"), host_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("host"),
                        path_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("path"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"),
                        F.col(f"`{html}`").alias("html"))
@@ -198,14 +200,14 @@ def page_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
             found = [blocks(h or "") for h in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array([[_line_hash(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
-                 pa.array([any(inside for _, inside in x) for x in found], pa.bool_())], names=["key", "host", "path", "url", "lines", "marked"])
+                 pa.array([[inside for _, inside in x] for x in found], pa.list_(pa.bool_()))], names=["key", "host", "path", "url", "lines", "marks"])
 
-    return one.mapInArrow(run, "key long, host string, path string, url string, lines array<long>, marked boolean")
+    return one.mapInArrow(run, "key long, host string, path string, url string, lines array<long>, marks array<boolean>")
 
 
 def template_lines(stage: Stage, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(key, shared): for pages without a marked article, the positions of the
-    lines that the nearest page of their host shares.
+    """(key, shared): the positions of the lines that the nearest page of the
+    host shares and that no article or main element protects.
 
     Pages of equal URL and content are one page. Neighbours come from a
     distributed sort by host and path, so a hot host spans partitions. A page
@@ -214,23 +216,23 @@ def template_lines(stage: Stage, pages: DataFrame, url: str = "url", html: str =
     distinct = page_lines(pages, url, html).filter(F.size("lines") > 0).dropDuplicates(["key"])
     order = [F.col("host"), F.col("path"), F.col("url"), F.col("key")]
     ranked = stage.write(running_totals(stage, distinct, order, {}, index="rank"))
-    todo = ranked.filter(~F.col("marked"))
 
     def beside(step: int, name: str) -> DataFrame:
         return ranked.select((F.col("rank") - step).alias("rank"), F.col("host").alias(f"{name}_host"),
                              F.struct("path", "lines").alias(name))
 
-    paired = todo.join(beside(-1, "before"), "rank", "left").join(beside(1, "after"), "rank", "left")
-    paired = paired.select("key", "path", "lines", *[F.when(F.col("host") == F.col(f"{n}_host"), F.col(n)).alias(n) for n in ("before", "after")])
+    paired = ranked.join(beside(-1, "before"), "rank", "left").join(beside(1, "after"), "rank", "left")
+    paired = paired.select("key", "path", "lines", "marks", *[F.when(F.col("host") == F.col(f"{n}_host"), F.col(n)).alias(n) for n in ("before", "after")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, shared = [], []
-            for key, path, lines, *sides in zip(*[c.to_pylist() for c in b.columns]):
+            for key, path, lines, marks, *sides in zip(*[c.to_pylist() for c in b.columns]):
                 near = sorted((s for s in sides if s), key=lambda s: -_common(path, s["path"]))  # the page before on a tie
                 for s in near:
                     found = shared_lines(lines, s["lines"])
                     if len(found) < len(lines):
+                        found = [i for i in found if not marks[i]]
                         if found:
                             keys.append(key)
                             shared.append(found)
@@ -253,9 +255,9 @@ def _common(a: str, b: str) -> int:
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row for each page: page_id, url, text, n_chars.
 
-    The text holds the blocks of the article (or main) element; a page
-    without one gives all its blocks but those that the nearest page of its
-    host shares. Null and empty html give an empty text, null URLs have the
+    The text holds the blocks of the page but those that the nearest page of
+    its host shares; blocks of an article (or main) element stay even if
+    shared. Null and empty html give an empty text, null URLs have the
     empty host. Repeated rows get equal texts; an empty table gives no rows.
     """
     stage = Stage(pages.sparkSession)
@@ -267,19 +269,14 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                marked, lines = [], []
-                for h in part.column(3).to_pylist():
-                    found = blocks(h or "")
-                    inside = [t for t, x in found if x]
-                    marked.append(bool(inside))
-                    lines.append(inside or [t for t, _ in found])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.string()))],
-                                                 names=["page_id", "url", "key", "marked", "lines"])
-
-    schema = f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, key long, marked boolean, lines array<string>"
+                lines = [[t for t, _ in blocks(h or "")] for h in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lines, pa.list_(pa.string()))],
+                                                 names=["page_id", "url", "key", "lines"])
+
+    schema = f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, key long, lines array<string>"
     parsed = one.mapInArrow(run, schema)
     # no hint: the planner knows the size of the written table
-    joined = parsed.join(shared, (F.col("key") == F.col("shared_key")) & ~F.col("marked"), "left")
+    joined = parsed.join(shared, F.col("key") == F.col("shared_key"), "left")
     left = F.when(F.col("shared").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x, i: ~F.array_contains("shared", i)))
     text = F.array_join(left, "\n\n")
