@@ -99,3 +99,16 @@ def test_given_pages_are_aligned(spark):
     for r in hd.main_text(df).collect():
         hosts.setdefault(re.sub("^[a-z]+://([^/?#]*).*", r"\1", r.url), []).append(r.text.startswith("Planted site line"))
     assert not any(any(kept) for kept in hosts.values() if len(kept) > 5)  # removed where a host has pages to compare
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<article><h2 id='related-work'>a</h2><h2 id=social-impact>b</h2><section id='sharing-data'>c</section><p class='ad-hoc'>d<h3 id='notice-period'>e</h3></article>", "a|b|c|d|e"),
+    ("<h2 id=comments>a</h2><p id=notice>b<p>c <span id=ad>d</span>", "a|b|c d"), ("<h2 id=header-files>a</h2><li class='menu-driven'>b", "a|b"),
+    ("<article><div class='ad'>x<p>y</article><div>z</div>", "z"), ("<article>a<section class='related'>x<p>y</article>z", "a|z"),
+    ("<div><div class=ad>x<span>y</div></div>z", "z"), ("<section>a<div class=ad>x<p>y</section>z", "a|z"), ("<p>a<span class=share>x<b>y</b></p>z", "a|z"),
+    ("<article>a<div class=ad><article>x</article>y</div>b</article>c", "a|b|c"), ("<p>a<div class=ad>x</p>y</div>b", "a|b"),
+    ("<ul><li>a<div class=ad>x</li><li>b</ul>c", "a|b|c"), ("<li class=ad><div>x</div>y<li>z", "z"), ("<ul><li class=ad>x</ul>a", "a"),
+    ("<div class='sidebar-left'>x</div><div class='site-footer ad-300x250'>y</div><div id='cookie-consent'>z</div><div class='comments-area'>w</div>a", "a"),
+])
+def test_left_out_elements(html, want):
+    assert "|".join(t for t, _ in hd.blocks(html)) == want

@@ -38,7 +38,12 @@ SELF_CLOSING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb "
                         "breadcrumbs sidebar aside footer header masthead notice notices cookie cookies consent gdpr popup modal alert comment comments "
                         "disqus respond share sharing social related newsletter subscribe subscription widget".split())
+# Words that beside those above only say which part or place of a box it is.
+PLACES = frozenset("site page main top bottom left right container wrapper wrap box bar list area slot inner outer item items content body links buttons "
+                   "posts articles title".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
+# Headings and text blocks; their ids are anchors, often made from the heading's words.
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th blockquote pre figure figcaption".split())
 ROOTS = frozenset(["html", "body", "article", "main"])
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^'">]|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
@@ -47,20 +52,30 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARK = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+def _marks_boilerplate(word: str, places: bool) -> bool:
+    """Whether a class or id name as a whole marks what isn't the article:
+    every part is such a word, or (with ``places``) a number or the word of a place."""
+    parts = [x for x in re.split(r"[-_]+", word) if x]
+    rest = [x for x in parts if x not in BOILERPLATE]
+    return len(rest) < len(parts) and (not rest or places and all(x in PLACES or x[0].isdigit() for x in rest))
+
+
 def _boilerplate(name: str, tag: str) -> bool:
     """Whether an element is left out, by its name or its class, id and role."""
     if name in DROPPED:
         return True
     if name in ROOTS:
         return False
+    text = name in TEXT_BLOCKS or name in INLINE
     for key, *values in MARK.findall(tag):
+        key = key.lower()
+        if key == "id" and text:
+            continue
         for word in "".join(values).lower().split():
-            if key.lower() == "role":
+            if key == "role":
                 if word in BOILERPLATE_ROLES:
                     return True
-                continue
-            parts = re.split(r"[-_]+", word)
-            if parts[0] not in ("has", "no", "with", "without") and not BOILERPLATE.isdisjoint(parts):
+            elif _marks_boilerplate(word, places=not text and (key == "class" or name != "section")):
                 return True
     return False
 
@@ -72,6 +87,13 @@ def blocks(html: str) -> list[tuple[str, bool]]:
     held: list[str] = []
     article = 0
     skipping, depth = "", 0  # the element that is left out, and how many of its name are open
+    within: dict[str, int] = {}  # how many others are open in it, by name
+    stack: list[str] = []  # open blocks around it
+    opened: dict[str, int] = {}  # how many of them, by name
+
+    def leave() -> None:
+        opened[stack.pop()] -= 1
+
 
     def flush() -> None:
         if held:
@@ -101,35 +123,52 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                 at = end.start() if end else len(html)
             continue
         if skipping:
-            if name == skipping:
-                depth += -1 if closing else 1
-                if not closing and name in SELF_CLOSING:
-                    skipping, depth = "", 0  # the next item ends it; that item is looked at below
-            elif not closing and name in SELF_CLOSING.get(skipping, ()):
-                skipping = ""
-            elif skipping == "p" and name not in INLINE and name not in VOID:
-                skipping = ""
-            elif closing and skipping in SELF_CLOSING and name in ("ul", "ol", "dl", "table", "tbody", "div", "section", "article", "body"):
-                skipping = ""
-            elif skipping == "nav" and not closing and name in ("article", "main"):
-                skipping = ""  # an unclosed menu
-            if skipping and depth > 0:
+            ends = False  # whether this tag ends it from outside, and is looked at below
+            if closing:
+                if name == skipping:
+                    depth -= 1
+                    if depth == 0:
+                        skipping = ""
+                elif within.get(name):
+                    within[name] -= 1
+                else:  # an enclosing element ends
+                    ends = (opened.get(name, 0) > 0 or skipping == "p" and name not in INLINE or skipping in SELF_CLOSING
+                            and name in ("ul", "ol", "dl", "table", "tbody", "div", "section", "article", "body"))
+            elif name in SELF_CLOSING.get(skipping, ()) or skipping == "p" and name not in INLINE and name not in VOID:
+                ends = True  # the next item
+            elif skipping == "nav" and name in ("article", "main"):
+                ends = True  # an unclosed menu
+            elif name not in VOID and not tag.endswith("/>"):
+                if name == skipping:
+                    depth += 1
+                else:
+                    within[name] = within.get(name, 0) + 1
+            if not ends:
                 continue
-            if skipping or closing:
-                skipping = ""
-                if name not in ("article", "main"):
-                    continue
+            skipping = ""
         if name == "br":
             held.append(" ")
         elif name in INLINE:
             if not closing and name not in VOID and _boilerplate(name, tag):
-                skipping, depth = name, 1
+                skipping, depth, within = name, 1, {}
         else:
             flush()
+            if stack and stack[-1] == "p" and not (closing and name == "p"):
+                leave()  # a block ends the paragraph
             if name in ("article", "main"):
                 article = max(0, article + (-1 if closing else 1))
             elif not closing and name not in VOID and not tag.endswith("/>") and _boilerplate(name, tag):
-                skipping, depth = name, 1
+                skipping, depth, within = name, 1, {}
+            if closing:
+                if opened.get(name):
+                    while stack[-1] != name:
+                        leave()
+                    leave()
+            elif not skipping and name not in VOID and not tag.endswith("/>"):
+                if stack and stack[-1] in SELF_CLOSING.get(name, ()):
+                    leave()
+                stack.append(name)
+                opened[name] = opened.get(name, 0) + 1
     flush()
     return found
 
