@@ -112,3 +112,16 @@ def test_given_pages_are_aligned(spark):
 ])
 def test_left_out_elements(html, want):
     assert "|".join(t for t, _ in hd.blocks(html)) == want
+
+
+def test_copies_stand_for_each_other(spark):
+    def page(own):
+        return f"<div>Site name</div><div>Menu x</div><p>{own}</p><div>Read more</div>"
+
+    rows = [(i, f"http://h.com/a/1{end}", page("story one")) for i, end in enumerate(["", "?print=1", "?s=2", "/copy", "0?s=2"])]
+    rows += [(10, "http://h.com/a/0", page("story nought")), (11, "http://h.com/b", page("story two")), (12, "http://only.com/1", page("x")), (13, "http://only.com/2", page("x"))]
+    rows += [(14, "http://h.com/a/1?m", page("story one").replace("div>", "article>", 2))]  # a copy by its lines, with a mark
+    got = texts(spark, rows)
+    assert {got[i] for i in range(5)} == {"story one"} and got[10] == "story nought" and got[11] == "story two"
+    assert got[12] == got[13] == "Site name\n\nMenu x\n\nx\n\nRead more"  # copies alone on their host
+    assert got[14] == "Site name\n\nstory one"

@@ -20,7 +20,7 @@ from math import isqrt
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import Stage, running_totals
@@ -228,59 +228,72 @@ def _line_hash(text: str) -> int:
 
 
 def page_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(key, host, path, url, lines, marks): hashed lines of each page, and
+    """(host, path, url, lines, marks): hashed lines of each page, and
     whether each stands inside an article or main element."""
-    one = pages.select(F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`")).alias("key"), host_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("host"),
+    one = pages.select(host_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("host"),
                        path_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("path"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"),
                        F.col(f"`{html}`").alias("html"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks(h or "") for h in b.column(4).to_pylist()]
+            found = [blocks(h or "") for h in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array([[_line_hash(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
-                 pa.array([[inside for _, inside in x] for x in found], pa.list_(pa.bool_()))], names=["key", "host", "path", "url", "lines", "marks"])
+                [*b.columns[:3], pa.array([[_line_hash(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
+                 pa.array([[inside for _, inside in x] for x in found], pa.list_(pa.bool_()))], names=["host", "path", "url", "lines", "marks"])
 
-    return one.mapInArrow(run, "key long, host string, path string, url string, lines array<long>, marks array<boolean>")
+    return one.mapInArrow(run, "host string, path string, url string, lines array<long>, marks array<boolean>")
 
 
 def template_lines(stage: Stage, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(key, shared): the positions of the lines that the nearest page of the
-    host shares and that no article or main element protects.
-
-    Pages of equal URL and content are one page. Neighbours come from a
-    distributed sort by host and path, so a hot host spans partitions. A page
-    whose lines are all shared is a copy, not a template: it keeps them.
+    host shares and that no article or main element protects. Pages of equal
+    host, lines and marks have the same ``key``.
+
+    Pages of a host with the same lines are copies; the first of them in URL
+    order stands for all, so a page is never paired with its own copy and all
+    copies lose the same lines. Neighbours come from a distributed sort by host
+    and path, so a hot host spans partitions. A page whose lines all stand in
+    its neighbours keeps them.
     """
-    distinct = page_lines(pages, url, html).filter(F.size("lines") > 0).dropDuplicates(["key"])
-    order = [F.col("host"), F.col("path"), F.col("url"), F.col("key")]
-    ranked = stage.write(running_totals(stage, distinct, order, {}, index="rank"))
+    found = page_lines(pages, url, html).filter(F.size("lines") > 0)
+    # combined on the map side, so a large group of copies doesn't meet in one task; marks differ between copies only by their markup
+    distinct = found.groupBy("host", F.xxhash64("lines").alias("same")).agg(
+        F.min(F.struct("path", "url", "lines")).alias("first"), F.collect_set(F.struct(page_key().alias("key"), "marks")).alias("variants"))
+    distinct = distinct.select("host", "same", "first.path", "first.url", "first.lines", "variants")
+    order = [F.col("host"), F.col("path"), F.col("url"), F.col("same")]
+    ranked = running_totals(stage, distinct, order, {}, index="rank")
 
     def beside(step: int, name: str) -> DataFrame:
         return ranked.select((F.col("rank") - step).alias("rank"), F.col("host").alias(f"{name}_host"),
                              F.struct("path", "lines").alias(name))
 
     paired = ranked.join(beside(-1, "before"), "rank", "left").join(beside(1, "after"), "rank", "left")
-    paired = paired.select("key", "path", "lines", "marks", *[F.when(F.col("host") == F.col(f"{n}_host"), F.col(n)).alias(n) for n in ("before", "after")])
+    paired = paired.select("path", "lines", "variants", *[F.when(F.col("host") == F.col(f"{n}_host"), F.col(n)).alias(n) for n in ("before", "after")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, shared = [], []
-            for key, path, lines, marks, *sides in zip(*[c.to_pylist() for c in b.columns]):
+            for path, lines, variants, *sides in zip(*[c.to_pylist() for c in b.columns]):
                 near = sorted((s for s in sides if s), key=lambda s: -_common(path, s["path"]))  # the page before on a tie
                 for s in near:
                     found = shared_lines(lines, s["lines"])
                     if len(found) < len(lines):
-                        found = [i for i in found if not marks[i]]
-                        if found:
-                            keys.append(key)
-                            shared.append(found)
+                        for v in variants:
+                            left_out = [i for i in found if not v["marks"][i]]
+                            if left_out:
+                                keys.append(v["key"])
+                                shared.append(left_out)
                         break
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], names=["key", "shared"])
 
     return stage.write(paired.mapInArrow(run, "key long, shared array<int>"))
 
 
+def page_key() -> Column:
+    """One key for all pages of equal ``host``, ``lines`` and ``marks``."""
+    return F.xxhash64("host", "lines", "marks")
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common prefix."""
     n = 0
@@ -302,21 +315,24 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     stage = Stage(pages.sparkSession)
     shared = template_lines(stage, pages, url, html).select(F.col("key").alias("shared_key"), "shared")
     one = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"),
-                       F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`")).alias("key"), F.col(f"`{html}`").alias("html"))
+                       host_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("host"), F.col(f"`{html}`").alias("html"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                lines = [[t for t, _ in blocks(h or "")] for h in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lines, pa.list_(pa.string()))],
-                                                 names=["page_id", "url", "key", "lines"])
-
-    schema = f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, key long, lines array<string>"
-    parsed = one.mapInArrow(run, schema)
+                found = [blocks(h or "") for h in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array([[_line_hash(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
+                     pa.array([[inside for _, inside in x] for x in found], pa.list_(pa.bool_())),
+                     pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))], names=["page_id", "url", "host", "lines", "marks", "texts"])
+
+    schema = (f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, host string, lines array<long>, marks array<boolean>, "
+              "texts array<string>")
+    parsed = one.mapInArrow(run, schema).select("page_id", "url", page_key().alias("key"), "texts")
     # no hint: the planner knows the size of the written table
     joined = parsed.join(shared, F.col("key") == F.col("shared_key"), "left")
-    left = F.when(F.col("shared").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x, i: ~F.array_contains("shared", i)))
+    left = F.when(F.col("shared").isNull(), F.col("texts")).otherwise(
+        F.filter("texts", lambda x, i: ~F.array_contains("shared", i)))
     text = F.array_join(left, "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
