@@ -42,7 +42,12 @@ TEMPLATES = {
         <<var;words="0,1">> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
         disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>> <<var;words="0,1">> neither the name of
         <<var;words="1,12">> may be used to endorse or promote products derived from this software without specific prior written permission
-        <<endOptional>> this software is provided by <<var;words="1,12">> as is and any express or implied warranties""",
+        <<endOptional>> this software is provided by <<var;words="1,12">> as is and any express or implied warranties including but not limited to the
+        implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;words="1,12">> be liable for
+        any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or
+        services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+        liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of
+        such damage""",
     "cc-notice": """
         <<beginOptional>> this <<var;words="1,3">> is <<endOptional>> licensed under <<beginOptional>> a <<endOptional>>
         <<beginOptional>> the <<endOptional>> <<beginOptional>> creative commons <<endOptional>> cc by <<beginOptional>> nc <<endOptional>>
@@ -54,8 +59,12 @@ TEMPLATES = {
         <<beginOptional>> this <<var;words="1,3">> is <<endOptional>> licensed under the <<beginOptional>> terms of the <<endOptional>> gnu general
         public license <<beginOptional>> version <<var;words="1,2">> <<endOptional>>""",
     "isc-text": """
-        permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
-        copyright notice and this permission notice appear in all copies""",
+        permission to use copy modify and <<beginOptional>> or <<endOptional>> distribute this software for any purpose with or without fee is hereby
+        granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and
+        <<var;words="1,12">> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall
+        <<var;words="1,12">> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use
+        data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software""",
     "mit-notice": """
         <<beginOptional>> this <<var;words="1,3">> is <<endOptional>> <<beginOptional>> released <<endOptional>> <<beginOptional>> licensed
         <<endOptional>> under the mit license""",
@@ -64,7 +73,10 @@ TEMPLATES = {
         deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or
         sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above
         copyright notice and this permission notice <<beginOptional>> including the next paragraph <<endOptional>> shall be included in all copies or
-        substantial portions of the software""",
+        substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited
+        to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;words="1,12">> be liable for
+        any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+        or the use or other dealings in the software""",
 }
 
 MARKUP = re.compile(r'<<beginOptional>>|<<endOptional>>|<<var;words="\d+,\d+">>|[^\s<]+')
