@@ -149,3 +149,15 @@ def test_appends_read_in_one_scan(spark, small_ledger, tmp_path):
     with contextlib.redirect_stdout(buf):
         df.explain()
     assert buf.getvalue().count("FileScan parquet") == 1 and df.count() == 9
+
+
+def test_a_large_dimension_is_written_by_several_tasks(spark, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "store"))
+    tags = spark.range(1, 20_001).selectExpr("CAST(id AS INT) AS id", "CONCAT('t', id) AS name", "id % 2 = 0 AS is_important")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.replace(tag=tags)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = store.read().table("tag")
+    assert len(back.inputFiles()) > 1 and back.exceptAll(tags).count() == 0 and back.count() == 20_000

@@ -10,7 +10,7 @@ Layout under ``root``::
   ``month`` (first day of the month of ``date``), so a date range prunes
   whole directories; ``expense_tag`` is range-clustered by ``expense_id``
   so parquet min/max statistics skip files on id look-ups; dimensions are
-  one small file each.
+  range-clustered by ``id``, a small one in one file.
 * A version lists, per table, the data directories that make it up. An
   append adds a directory, an update/delete writes the table anew and
   replaces the list. Several tables change in one version (expense +
@@ -148,7 +148,8 @@ class LedgerStore:
             writer = (df.repartitionByRange(n, part, key).sortWithinPartitions(part, key)
                       .write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(part))
         else:
-            writer = df.coalesce(1).write
+            # no number of partitions: small tables are coalesced to one task by their size
+            writer = df.repartitionByRange("id").sortWithinPartitions("id").write.option("maxRecordsPerFile", ROWS_PER_FILE)
         writer.mode("errorifexists").parquet(path)
         if name in MONTH_PARTITIONED:  # from the statistics of the files just written
             top = self.spark.read.schema(schemas.TABLES[name]).parquet(path).agg(F.max("id")).first()[0]
