@@ -189,7 +189,86 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'bloc
 FROM p JOIN j USING (url) LEFT JOIN decided USING (node)
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+i AS (
+  SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+  FROM benchmark
+),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+t AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, rid, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w)::BIGINT * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN t USING (term) JOIN d USING (rid), c
+  GROUP BY item_id, rid
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM s JOIN d USING (rid) WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+
+def _op12(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """One pair of common table expressions (assignment, centroids) for each round."""
+    def nearest(turn: int) -> str:
+        return f"""
+a{turn} AS MATERIALIZED (
+  SELECT rid, min_by(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT rid, c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (e.v[i] - m.v[i]) * (e.v[i] - m.v[i])))::BIGINT AS d FROM e, c{turn} m)
+  GROUP BY rid
+)"""
+
+    def means(turn: int) -> str:
+        return f"""
+c{turn + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.v, o.v) AS v FROM c{turn} o LEFT JOIN (
+    SELECT c, list(m ORDER BY i) AS v FROM (
+      SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS m
+      FROM (SELECT c, i, sum(e.v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{turn} JOIN e USING (rid), range(1, {dims + 1}) r(i) GROUP BY c, i)
+    ) GROUP BY c
+  ) n USING (c)
+)"""
+
+    steps = [nearest(0)] + [step for turn in range(rounds) for step in (means(turn), nearest(turn + 1))]
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM e) ORDER BY h, v LIMIT {k}
+),{",".join(steps)}
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (rid) JOIN c{rounds} m USING (c)
+"""
+
+
+OP12 = _op12()
+
+OP13 = """
+WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.rid ORDER BY list_distance(q.v, e.v), e.vec_id NULLS LAST)::INT AS rank,
+       e.vec_id, list_distance(q.v, e.v) AS score
+FROM (SELECT * FROM e WHERE vec_id % 100 = 0) q JOIN e ON len(q.v) = len(e.v) AND q.rid <> e.rid
+QUALIFY rank <= 10
+"""
+
 ORACLE = {
+    "op11_lexical_search": OP11,
+    "op12_centroid_clusters": OP12,
+    "op13_nearest_neighbours": OP13,
     "op7_benchmark_decontamination": OP7,
     "op10_url_filters": OP10,
     "op8_line_templates": OP8,

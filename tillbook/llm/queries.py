@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import contamination, html_diff, licenses, line_templates, mixing, quality, sharding, simhash, token_files, url_alias
+from tillbook.llm import (clustering, contamination, html_diff, lexical, licenses, line_templates, mixing, quality, sharding, simhash,
+                          token_files, url_alias, vantage)
 from tillbook.llm.common import word_count
 
 #: Shards of the sharding query.
@@ -62,6 +63,18 @@ def op10_url_filters(spark, sf_dir):
     return url_alias.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clusters(spark, sf_dir):
+    return clustering.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark, sf_dir):
+    return vantage.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -73,4 +86,7 @@ QUERIES = {
     "op8_line_templates": op8_line_templates,
     "op9_source_mixing": op9_source_mixing,
     "op10_url_filters": op10_url_filters,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
