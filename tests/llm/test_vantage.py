@@ -78,7 +78,7 @@ def test_known_radius_saves_work():
 
 
 def test_empty_and_none(spark):
-    df = frame(spark, data(40))
+    df = frame(spark, data(400))
     assert vantage.nearest(df.limit(0)).collect() == []
     assert vantage.nearest(df.filter("vec_id % 100 <> 0")).collect() == []
     one = frame(spark, [(0, [1.0, 2.0])])
