@@ -165,3 +165,21 @@ def validate_transfers(ledger: Ledger, docs: DataFrame, fee_category_id: int = 2
         F.col("targetWalletId").alias("target_wallet_id"), "amount", "fee",
         R.strict_date(F.col("date")).alias("date"), "description", reasons.alias("reasons"),
     ).withColumn("status", R.status(F.col("reasons"))))
+
+
+def validate_summary_requests(docs: DataFrame) -> DataFrame:
+    """(request_id, value) summary requests -> request_id, start, end, exclude, reasons, status.
+
+    Both dates are required calendar dates and the id list is required, with
+    positive ids; a start after the end is accepted and selects nothing."""
+    from tillbook.sources.batches import summary_requests
+
+    x = summary_requests(docs).select("request_id", "raw", "e.*")
+    corrupt, ids = F.col("_corrupt"), F.col("excludeCategoryIds")
+    reasons = R.reasons(
+        R.json_type(corrupt, F.col("raw"), ("startDate", "endDate")),
+        R.date_rule("startDate", F.col("startDate")), R.date_rule("endDate", F.col("endDate")),
+        R.missing("excludeCategoryIds", ids, corrupt), R.positive_vector("excludeCategoryIds", ids),
+    )
+    return fix(x.select("request_id", R.strict_date(F.col("startDate")).alias("start"), R.strict_date(F.col("endDate")).alias("end"),
+                        ids.alias("exclude"), reasons.alias("reasons")).withColumn("status", R.status(F.col("reasons"))))

@@ -468,3 +468,101 @@ SELECT 'parent:' || CAST(cs.parent_id AS VARCHAR), 'category:' || CAST(cs.parent
        cs.parent, cs.name, cs.amount
 FROM by_name cs WHERE cs.amount > 0
 """, YEAR_1996)
+
+# ---- summaries of many requests, recomputed from the rows for each request ----
+
+_SUM_REQUESTS = """,
+sum_req AS (
+  SELECT request_id, first, first + CAST(k * 11 % 1300 - 40 AS INT) AS last, excluded,
+         concat_ws(';', CASE WHEN k % 139 = 30 THEN 'json:type' END, CASE WHEN k % 127 = 9 THEN 'startDate:invalid' END,
+                        CASE WHEN k % 131 = 12 AND k % 139 <> 30 THEN 'excludeCategoryIds:missing' END,
+                        CASE WHEN k % 137 = 20 AND k % 131 <> 12 THEN 'excludeCategoryIds:not_positive' END) AS reasons
+  FROM (SELECT c_custkey AS k, CAST(c_custkey + 1 AS INT) AS request_id, DATE '1994-06-01' + CAST(c_custkey * 37 % 2900 AS INT) AS first,
+               CASE WHEN c_custkey % 3 = 0 THEN [] ELSE [c_custkey % 24 + 1, c_custkey * 5 % 24 + 1] END AS excluded FROM customer)
+),
+sum_ok AS (SELECT * FROM sum_req WHERE reasons = '')"""
+
+_MOVED = """,
+exp_more AS (
+  SELECT id, category_id, amount, date, priority FROM expense
+  UNION ALL SELECT id, category_id, amount, date, priority FROM exp_inserted
+),
+exp_moved AS (
+  SELECT e.id, coalesce(c.category_id, e.category_id) AS category_id, coalesce(c.amount, e.amount) AS amount,
+         coalesce(c.date, e.date) AS date, coalesce(c.priority, e.priority) AS priority
+  FROM exp_more e LEFT JOIN (SELECT * FROM exp_chg WHERE amount >= 0 AND len(tag_ids) = len(list_distinct(tag_ids))) c USING (id)
+  WHERE e.id NOT IN (SELECT id FROM exp_del)
+),
+inc_more AS (
+  SELECT id, amount, wallet_id, date FROM income
+  UNION ALL SELECT (SELECT max(id) FROM income) + row_number() OVER (ORDER BY batch_id, pos), amount, wallet_id, date
+            FROM inc_validated WHERE status = 'ok' AND batch_ok
+),
+inc_moved AS (
+  SELECT i.id, coalesce(c.amount, i.amount) AS amount, coalesce(c.wallet_id, i.wallet_id) AS wallet_id, coalesce(c.date, i.date) AS date
+  FROM inc_more i LEFT JOIN (SELECT * FROM inc_chg WHERE amount >= 1) c USING (id)
+  WHERE i.id NOT IN (SELECT id FROM inc_del)
+)"""
+
+
+def _request_parts(expense: str, income: str) -> str:
+    """Lists of each answered request, straight from its rows."""
+    return f""",
+r_spent AS (
+  SELECT request_id, category_id, priority, SUM(amount)::BIGINT AS total
+  FROM sum_ok JOIN {expense} e ON e.date BETWEEN first AND last AND NOT list_contains(excluded, category_id)
+  WHERE category_id IN (SELECT id FROM category) GROUP BY ALL
+),
+r_earned AS (
+  SELECT request_id, wallet_id, SUM(amount)::BIGINT AS total FROM sum_ok JOIN {income} i ON i.date BETWEEN first AND last GROUP BY ALL
+),
+r_named AS (
+  SELECT request_id, p.id AS parent_id, p.name AS parent, c.name, SUM(total)::BIGINT AS amount
+  FROM r_spent JOIN category c ON c.id = category_id JOIN parent_category p ON p.id = c.parent_category_id GROUP BY ALL
+),
+r_parent AS (
+  SELECT request_id, parent_id AS id, parent AS name, SUM(amount)::BIGINT AS amount,
+         list({{'name': r_named.name, 'amount': r_named.amount}} ORDER BY amount DESC, r_named.name) AS categories
+  FROM r_named WHERE amount > 0 GROUP BY ALL
+),
+r_parents AS (
+  SELECT request_id, list({{'name': name, 'amount': amount, 'categories': categories}} ORDER BY amount DESC, name, id) AS parents
+  FROM r_parent GROUP BY request_id
+),
+r_levels AS (
+  SELECT request_id, SUM(amount)::BIGINT AS spent, list({{'level': level, 'amount': amount}} ORDER BY amount DESC, level) AS levels
+  FROM (SELECT request_id, priority AS level, SUM(total)::BIGINT AS amount FROM r_spent GROUP BY ALL) GROUP BY request_id
+),
+r_wallets AS (
+  SELECT request_id, SUM(total)::BIGINT AS earned, list({{'name': name, 'amount': total}} ORDER BY total DESC, name, id) AS wallets
+  FROM r_earned JOIN wallet ON id = wallet_id GROUP BY request_id
+)"""
+
+
+_REQUEST_DOCUMENTS = """
+SELECT request_id,
+       to_json({'amount': COALESCE(spent, 0), 'groupSummary': {'parentCategories': COALESCE(parents, []), 'priorities': COALESCE(levels, [])}})::VARCHAR
+         AS expense,
+       to_json({'amount': COALESCE(earned, 0), 'groupSummary': {'wallets': COALESCE(wallets, [])}})::VARCHAR AS income
+FROM sum_ok LEFT JOIN r_levels USING (request_id) LEFT JOIN r_parents USING (request_id) LEFT JOIN r_wallets USING (request_id)
+"""
+
+ORACLE["validate_summaries"] = "WITH " + FIXTURE_CTES + _SUM_REQUESTS + """
+SELECT request_id, CASE WHEN reasons = '' THEN 'ok' ELSE 'invalid' END AS status, reasons FROM sum_req
+"""
+ORACLE["sum_requests"] = "WITH " + FIXTURE_CTES + _SUM_REQUESTS + _request_parts("expense", "income") + _REQUEST_DOCUMENTS
+ORACLE["sum_total_requests"] = "WITH " + FIXTURE_CTES + _SUM_REQUESTS + """
+SELECT request_id,
+       COALESCE((SELECT SUM(amount) FROM expense WHERE date BETWEEN first AND last AND NOT list_contains(excluded, category_id)
+                                                   AND category_id IN (SELECT id FROM category)), 0)::BIGINT AS expense_amount,
+       COALESCE((SELECT SUM(amount) FROM income WHERE date BETWEEN first AND last), 0)::BIGINT AS income_amount
+FROM sum_ok
+"""
+ORACLE["cube_expense_moved"] = "WITH " + FIXTURE_CTES + REQUEST_CTES + _MOVED + """
+SELECT date, category_id, priority, SUM(amount)::BIGINT AS amount, COUNT(*) AS n FROM exp_moved GROUP BY ALL
+"""
+ORACLE["cube_income_moved"] = "WITH " + FIXTURE_CTES + REQUEST_CTES + _MOVED + """
+SELECT date, wallet_id, SUM(amount)::BIGINT AS amount, COUNT(*) AS n FROM inc_moved GROUP BY ALL
+"""
+ORACLE["sum_requests_moved"] = ("WITH " + FIXTURE_CTES + REQUEST_CTES + _MOVED + _SUM_REQUESTS
+                                + _request_parts("exp_moved", "inc_moved") + _REQUEST_DOCUMENTS)

@@ -17,6 +17,7 @@ from tillbook.functions.nested import to_json_text
 from tillbook.ledger import Ledger
 from tillbook.operators import changes as CH
 from tillbook.operators import charts as CT
+from tillbook.operators import cube as CU
 from tillbook.operators import enrich as EN
 from tillbook.operators import listings as LS
 from tillbook.operators import summary as S
@@ -415,3 +416,81 @@ QUERIES.update({
     "sink_append": sink_append,
     "sink_doc": sink_doc,
 })
+
+
+# ---- summaries of many requests, cubes kept up to date ----------------------
+
+
+def _documents_text(df, *columns):
+    return df.select(*columns, to_json_text(F.col("expense")).alias("expense"), to_json_text(F.col("income")).alias("income"))
+
+
+def _summary_requests(spark, sf_dir):
+    """All checked requests, and those that are answered."""
+    checked = V.validate_summary_requests(RQ.summary_request_documents(spark, sf_dir))
+    return checked, checked.filter(F.col("status") == "ok")
+
+
+def validate_summaries(spark, sf_dir):
+    return _reasons_text(_summary_requests(spark, sf_dir)[0].select("request_id", "status", "reasons"))
+
+
+def sum_requests(spark, sf_dir):
+    """The summary document of every customer's request."""
+    L, (_, ok) = _ledger(spark, sf_dir), _summary_requests(spark, sf_dir)
+    return _documents_text(CU.request_documents(L, ok, CU.expense_cube(L), CU.income_cube(L)), "request_id")
+
+
+def sum_total_requests(spark, sf_dir):
+    L, (_, ok) = _ledger(spark, sf_dir), _summary_requests(spark, sf_dir)
+    return CU.request_totals(L, ok, CU.expense_cube(L), CU.income_cube(L))
+
+
+def _moved_expense_cube(L, spark, sf_dir):
+    """The stored cube after an insert, an update and a delete, each merged as signed cells."""
+    path = _scratch(spark)
+    CU.write_cube(CU.expense_cube(L), path)
+    new, _ = CH.insert_expenses(L, _validated_expenses(L, spark, sf_dir))
+    CU.merge_cells(spark, path, CU.EXPENSE_KEY, CU.signed_cells(CU.EXPENSE_KEY, after=new))
+    L = L.replace(expense=L.expense.unionByName(new))
+    changed, _, outcome = CH.update_expenses(L, RQ.expense_updates(spark, sf_dir))
+    CU.merge_cells(spark, path, CU.EXPENSE_KEY, CU.update_cells(L.expense, outcome, CU.EXPENSE_KEY))
+    CU.merge_cells(spark, path, CU.EXPENSE_KEY, CU.delete_cells(changed, RQ.expense_deletes(spark, sf_dir), CU.EXPENSE_KEY))
+    return CU.read_cube(spark, path, CU.EXPENSE_KEY)
+
+
+def _moved_income_cube(L, spark, sf_dir):
+    path = _scratch(spark)
+    CU.write_cube(CU.income_cube(L), path)
+    new = CH.insert_incomes(L, V.validate_income_batches(L, RQ.income_request_documents(spark, sf_dir)))
+    CU.merge_cells(spark, path, CU.INCOME_KEY, CU.signed_cells(CU.INCOME_KEY, after=new))
+    L = L.replace(income=L.income.unionByName(new))
+    changed, outcome = CH.update_incomes(L, RQ.income_updates(spark, sf_dir))
+    CU.merge_cells(spark, path, CU.INCOME_KEY, CU.update_cells(L.income, outcome, CU.INCOME_KEY))
+    CU.merge_cells(spark, path, CU.INCOME_KEY, CU.delete_cells(changed, RQ.income_deletes(spark, sf_dir), CU.INCOME_KEY))
+    return CU.read_cube(spark, path, CU.INCOME_KEY)
+
+
+def cube_expense_moved(spark, sf_dir):
+    return _moved_expense_cube(_ledger(spark, sf_dir), spark, sf_dir).drop("month")
+
+
+def cube_income_moved(spark, sf_dir):
+    return _moved_income_cube(_ledger(spark, sf_dir), spark, sf_dir).drop("month")
+
+
+def sum_requests_moved(spark, sf_dir):
+    """Every request's document from the cubes after the change sets."""
+    L, (_, ok) = _ledger(spark, sf_dir), _summary_requests(spark, sf_dir)
+    cubes = _moved_expense_cube(L, spark, sf_dir), _moved_income_cube(L, spark, sf_dir)
+    return _documents_text(CU.request_documents(L, ok, *cubes), "request_id")
+
+
+QUERIES.update({
+    "validate_summaries": validate_summaries,
+    "sum_requests": sum_requests,
+    "sum_total_requests": sum_total_requests,
+    "cube_expense_moved": cube_expense_moved,
+    "cube_income_moved": cube_income_moved,
+    "sum_requests_moved": sum_requests_moved,
+})

@@ -92,3 +92,9 @@ def transfer_requests(docs: DataFrame) -> DataFrame:
     """(request_id, value) -> request_id, raw, e (parsed transfer request)."""
     return docs.select("request_id", F.col("value").alias("raw"),
                        parse_request(F.col("value"), schemas.TRANSFER_REQUEST).alias("e"))
+
+
+def summary_requests(docs: DataFrame) -> DataFrame:
+    """(request_id, value) -> request_id, raw, e (parsed summary request)."""
+    return docs.select("request_id", F.col("value").alias("raw"),
+                       parse_request(F.col("value"), schemas.SUMMARY_REQUEST).alias("e"))

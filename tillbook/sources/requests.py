@@ -152,3 +152,22 @@ def expense_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def income_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = read_driver_table(spark, sf_dir, "customer")
     return cu.select((F.col("c_custkey") * 9 + 4).cast("int").alias("id"))
+
+
+def summary_request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, value): one JSON summary request per customer. Ranges reach
+    beyond the ledger on both sides, some end before they start, some exclude
+    one category twice; impossible dates, ids under 1, a missing list and text
+    after the document are planted."""
+    cu = read_driver_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    start = F.date_add(F.lit("1994-06-01").cast("date"), (k * 37 % 2900).cast("int"))
+    end = F.date_add(start, (k * 11 % 1300 - 40).cast("int"))
+    ids = F.when(k % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k % 24 + 1, k * 5 % 24 + 1, k * 5 % 24 + 1))
+    fields = {
+        "startDate": F.when(_hit(k, 127, 9), F.lit("1996-02-30")).otherwise(date_text(start)),
+        "endDate": date_text(end),
+        "excludeCategoryIds": F.when(_hit(k, 131, 12), F.lit(None)).when(_hit(k, 137, 20), F.array(F.lit(0).cast("bigint"))).otherwise(ids),
+    }
+    doc = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
+    return cu.select((k + 1).cast("int").alias("request_id"), F.when(_hit(k, 139, 30), F.concat(doc, F.lit("]"))).otherwise(doc).alias("value"))
