@@ -24,7 +24,7 @@ def strict_date(text: Column) -> Column:
 
 def missing(field: str, value: Column, corrupt: Column) -> Column:
     """Required field absent (and not already reported as mistyped)."""
-    return F.when(value.isNull() & corrupt.isNull(), F.lit(f"{field}:missing"))
+    return F.when(value.isNull() & ~corrupt, F.lit(f"{field}:missing"))
 
 
 def non_negative(field: str, value: Column) -> Column:
@@ -54,21 +54,16 @@ def distinct_vector(field: str, values: Column) -> Column:
     return F.when(F.size(values) != F.size(F.array_distinct(values)), F.lit(f"{field}:duplicate"))
 
 
-def json_type(corrupt: Column, raw: Column, string_fields: tuple[str, ...]) -> Column:
-    """Mistyped element: ``from_json`` flagged it (fraction, over-range or
-    quoted number, non-object), it repeats a key (then it is no variant), or a
-    string field holds a non-string value."""
-    parsed = F.try_parse_json(raw)
-    bad_string = F.lit(False)
-    for name in string_fields:
-        kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
-        # absent field -> NULL kind (fine); JSON null -> VOID (fine)
-        bad_string = bad_string | F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
-    return F.when(corrupt.isNotNull() | (raw.isNotNull() & parsed.isNull()) | bad_string, F.lit("json:type"))
+def json_type(mistyped: Column) -> Column:
+    """A field of another type (fraction, over-range or quoted number, a string
+    field that holds none), text after the request, or no object at all."""
+    return F.when(mistyped, F.lit("json:type"))
 
 
-def reasons(*codes: Column) -> Column:
-    return F.filter(F.array(*codes), lambda x: x.isNotNull())
+def reasons(readable: Column, mistyped: Column, *codes: Column) -> Column:
+    """Codes that hold; a record that can't be read has its type code alone."""
+    found = F.filter(F.array(json_type(mistyped), *codes), lambda x: x.isNotNull())
+    return F.when(readable, found).otherwise(F.array(F.lit("json:type")))
 
 
 def status(reason_list: Column) -> Column:

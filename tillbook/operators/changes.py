@@ -1,8 +1,8 @@
 """Change sets as batch operators: (ledger, change frame) -> new rows / new tables.
 
 * Inserts hand out ids after the highest one ever used, in input order
-  (batch_id, pos), via ``with_positions`` (range sort + written table +
-  per-partition prefix sums; nothing passes through one task). Tags are
+  (batch_id, pos): documents are counted and prefix-summed, elements are
+  numbered inside their document and never sorted as a whole. Tags are
   exploded from the frame that already holds the ids, so there is no
   positional zip.
 * Updates and deletes are joins on ``id`` without hints: the planner and AQE
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.ledger import Ledger
-from tillbook.plans.positions import with_positions
+from tillbook.plans.positions import number_elements, with_positions
 
 INT_MAX = 2**31 - 1
 # The transfer fee expense (category is a parameter; the
@@ -46,14 +46,14 @@ def _next_ids(ledger: Ledger, name: str, pos_col: str = "_pos") -> Column:
         .otherwise(new_id).cast("int")
 
 
-def accepted(validated: DataFrame) -> DataFrame:
-    return validated.filter((F.col("status") == "ok") & F.col("batch_ok"))
+def accepted() -> Column:
+    return (F.col("status") == "ok") & F.col("batch_ok")
 
 
 def insert_expenses(ledger: Ledger, validated: DataFrame, stamp: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """M-EXP-INSERT: accepted elements -> (expense rows, expense_tag rows)."""
     stamp = job_stamp() if stamp is None else stamp
-    rows = with_positions(accepted(validated), [F.col("batch_id"), F.col("pos")], "_pos")
+    rows = number_elements(validated, "batch_id", "pos", accepted(), "_pos")
     new = rows.select(
         _next_ids(ledger, "expense").alias("id"), "category_id", "wallet_id", "amount", "date",
         "priority", "description", stamp.alias("created_at"), stamp.alias("updated_at"), "tag_ids")
@@ -66,7 +66,7 @@ def insert_expenses(ledger: Ledger, validated: DataFrame, stamp: Column | None =
 def insert_incomes(ledger: Ledger, validated: DataFrame, stamp: Column | None = None) -> DataFrame:
     """M-INC-INSERT: accepted elements -> income rows."""
     stamp = job_stamp() if stamp is None else stamp
-    rows = with_positions(accepted(validated), [F.col("batch_id"), F.col("pos")], "_pos")
+    rows = number_elements(validated, "batch_id", "pos", accepted(), "_pos")
     return rows.select(_next_ids(ledger, "income").alias("id"), "amount", "wallet_id", "date", "description",
                        stamp.alias("created_at"), stamp.alias("updated_at"))
 
@@ -152,10 +152,9 @@ def _checked_changes(ledger: Ledger, changes: DataFrame, schema, rules, base: Da
     existence; the outcome is fixed once more so the tables built from it do
     not re-run the checks."""
     from tillbook.plans.materialize import fix
-    from tillbook.sources.batches import parse_request
+    from tillbook.sources.batches import parse_requests
 
-    parsed = changes.select("id", F.col("value").alias("raw"), parse_request(F.col("value"), schema).alias("e"))
-    checked = rules(ledger, parsed, ["id"])
+    checked = rules(ledger, parse_requests(changes, "id", schema), ["id"])
     return fix(_outcome(base, _dedupe_ids(checked)))
 
 

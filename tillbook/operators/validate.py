@@ -37,27 +37,22 @@ def _passthrough(parsed: DataFrame) -> list[str]:
     return [c for c in ("doc_ok",) if c in parsed.columns]
 
 
-def _doc_reason() -> F.Column:
-    return F.when(~F.coalesce(F.col("doc_ok"), F.lit(True)), F.lit("document:invalid"))
-
-
 def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns ``keys``, raw, e.* [, doc_ok] -> keys + typed fields + reasons + status."""
+    """Columns ``keys``, e [, doc_ok] -> keys + typed fields + reasons + status."""
     extra = _passthrough(parsed)
-    x = parsed.select(*keys, *extra,
-                      R.json_type(F.col("e._corrupt"), F.col("raw"), ("description", "date")).alias("_type"), "e.*")
+    x = parsed.select(*keys, *extra, "e.*")
     x = (x.join(_known(ledger, "category", "categoryId", "_cat_ok"), "categoryId", "left")
          .join(_known(ledger, "wallet", "walletId", "_wal_ok"), "walletId", "left"))
     x = fix(x)
     tag_ids = ledger.tag.select(F.col("id").alias("_tag"))
-    unknown = (x.select(*keys, F.explode("tagIds").alias("_tag")).filter(F.col("_tag") >= 1)
-               .join(tag_ids, "_tag", "left_anti"))
-    x = _flag_keys(x, unknown, keys, "_tag_unknown")
+    # the distinct ids meet the tag table, and only the few unknown ones meet the elements again
+    named = x.select(*keys, F.explode("tagIds").alias("_tag")).filter(F.col("_tag") >= 1)
+    unknown = fix(named.select("_tag").distinct().join(tag_ids, "_tag", "left_anti"))
+    x = _flag_keys(x, named.join(unknown, "_tag", "left_semi"), keys, "_tag_unknown")
     corrupt = F.col("_corrupt")
     doc = F.col("doc_ok") if extra else F.lit(True)
     reasons = R.reasons(
-        _doc_reason() if extra else F.lit(None).cast("string"),
-        F.col("_type"),
+        F.col("_readable"), F.col("_mistyped"),
         R.missing("amount", F.col("amount"), corrupt), R.non_negative("amount", F.col("amount")),
         R.date_rule("date", F.col("date")),
         R.missing("priority", F.col("priority"), corrupt), R.priority_range("priority", F.col("priority")),
@@ -81,12 +76,11 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
 
 def income_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFrame:
     extra = _passthrough(parsed)
-    x = parsed.select(*keys, *extra,
-                      R.json_type(F.col("e._corrupt"), F.col("raw"), ("description", "date")).alias("_type"), "e.*")
+    x = parsed.select(*keys, *extra, "e.*")
     x = fix(x.join(_known(ledger, "wallet", "walletId", "_wal_ok"), "walletId", "left"))
     corrupt = F.col("_corrupt")
     reasons = R.reasons(
-        F.col("_type"),
+        F.col("_readable"), F.col("_mistyped"),
         R.missing("amount", F.col("amount"), corrupt), R.positive("amount", F.col("amount")),
         R.date_rule("date", F.col("date")),
         R.missing("walletId", F.col("walletId"), corrupt), R.positive("walletId", F.col("walletId")),
@@ -139,7 +133,7 @@ def validate_transfers(ledger: Ledger, docs: DataFrame, fee_category_id: int = 2
     for a non-zero fee, an unknown fee category."""
     from tillbook.sources.batches import transfer_requests
 
-    x = transfer_requests(docs).select("request_id", "raw", "e.*")
+    x = transfer_requests(docs).select("request_id", "e.*")
     x = (x.join(_known(ledger, "wallet", "sourceWalletId", "_src_ok"), "sourceWalletId", "left")
          .join(_known(ledger, "wallet", "targetWalletId", "_dst_ok"), "targetWalletId", "left"))
     # a non-zero fee becomes an expense in the fee category, which must exist
@@ -148,7 +142,7 @@ def validate_transfers(ledger: Ledger, docs: DataFrame, fee_category_id: int = 2
     x = x.withColumn("_fee_cat", F.when(F.col("fee") != 0, F.lit(fee_category_id))).join(fee_cat, "_fee_cat", "left")
     corrupt = F.col("_corrupt")
     reasons = R.reasons(
-        R.json_type(corrupt, F.col("raw"), ("description", "date")),
+        F.col("_readable"), F.col("_mistyped"),
         R.missing("sourceWalletId", F.col("sourceWalletId"), corrupt), R.positive("sourceWalletId", F.col("sourceWalletId")),
         R.missing("targetWalletId", F.col("targetWalletId"), corrupt), R.positive("targetWalletId", F.col("targetWalletId")),
         R.missing("amount", F.col("amount"), corrupt), R.non_negative("amount", F.col("amount")),
@@ -174,10 +168,10 @@ def validate_summary_requests(docs: DataFrame) -> DataFrame:
     positive ids; a start after the end is accepted and selects nothing."""
     from tillbook.sources.batches import summary_requests
 
-    x = summary_requests(docs).select("request_id", "raw", "e.*")
+    x = summary_requests(docs).select("request_id", "e.*")
     corrupt, ids = F.col("_corrupt"), F.col("excludeCategoryIds")
     reasons = R.reasons(
-        R.json_type(corrupt, F.col("raw"), ("startDate", "endDate")),
+        F.col("_readable"), F.col("_mistyped"),
         R.date_rule("startDate", F.col("startDate")), R.date_rule("endDate", F.col("endDate")),
         R.missing("excludeCategoryIds", ids, corrupt), R.positive_vector("excludeCategoryIds", ids),
     )

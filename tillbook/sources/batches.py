@@ -1,35 +1,30 @@
-"""JSON request sources: expense batches, income batches, transfer requests.
-
-A request document is one JSON text. Batches (``{"expenses": [...]}``,
-``{"incomes": [...]}``) are parsed in two steps: the outer document with the
-array kept as raw element texts, ``posexplode`` to one row per element
-(keeping the position), then ``from_json`` per element with a corrupt-record
-column, so one malformed element cannot hide its neighbours. Nothing is
+"""JSON request sources: expense batches, income batches, transfer and summary requests.
+
+A request document is one JSON text. It becomes a VARIANT in one parse: as the
+first of two elements of an array whose second is a hash of the text, so that
+text after the document, which would have to close the array with its own
+hash, is seen in the same parse. Batches (``{"expenses": [...]}``,
+``{"incomes": [...]}``) are cut into one row per element, still as VARIANT,
+and every field is taken from there with its type checked. Nothing is
 inferred; schemas are declared in ``tillbook.schemas``.
 
-``from_json`` stops at the end of the first value. To see text that follows a
-document, it is parsed once as the only element of an array and once as the
-only field of an object: what follows would have to begin with both ``]`` and
-``}`` to pass.
+Only documents that this parse refuses are looked at again: a VARIANT can't
+repeat a key, but one element that does so must not hide its neighbours.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook import schemas
 
-CORRUPT = "_corrupt"
-
-
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-
-
-def _parse_element(raw, schema):
-    return F.from_json(raw, _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+#: VARIANT types that a JSON integer and a list of them have.
+INTEGER = "BIGINT"
+INTEGERS = ("ARRAY<BIGINT>", "ARRAY<VOID>")
+ABSENT = "VOID"
+INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 
 
 def _in_array(value, schema: str):
@@ -43,12 +38,59 @@ def _in_object(value, schema: str):
     return F.from_json(F.concat(F.lit('{"d":'), value, F.lit("}")), f"d {schema}")["d"]
 
 
-def parse_request(value, schema):
-    """A request that is one JSON object; with text after it, it is corrupt."""
-    e = _parse_element(value, schema)
-    probe = f"STRUCT<`{schema.fields[0].name}` STRING>"
-    alone = _in_array(value, probe).isNotNull() & _in_object(value, probe).isNotNull()
-    return e.withField(CORRUPT, F.when(F.coalesce(alone, F.lit(False)), e[CORRUPT]).otherwise(value))
+def _with_document(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` plus the VARIANT of the text, NULL if it is broken, repeats a key or has text after it."""
+    mark, both = F.xxhash64(value), F.col("_both")
+    rows = rows.withColumn("_both", F.try_parse_json(F.concat(F.lit("["), F.col(value), F.lit(","), mark.cast("string"), F.lit("]"))))
+    alone = F.try_variant_get(both, "$[1]", "bigint").eqNullSafe(mark) & F.try_variant_get(both, "$[2]", "variant").isNull()
+    return rows.withColumn(name, F.when(alone, F.try_variant_get(both, "$[0]", "variant"))).drop("_both")
+
+
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def _typed(rows: DataFrame, v: str, schema: T.StructType, wrong: Column | None = None) -> DataFrame:
+    """``rows`` plus ``e``: the fields of the VARIANT ``v`` by ``schema`` (NULL
+    where the type is another one), ``_readable`` (an object), ``_corrupt``
+    (a number field of another type, or ``wrong``) and ``_mistyped`` (that, or
+    any field of another type). Integers must be whole, unquoted and fit 32 bits."""
+    names = [f.name for f in schema.fields]
+    kinds, values = {n: F.col(f"_k_{n}") for n in names}, {n: F.col(f"_v_{n}") for n in names}
+    at = lambda n, kind: F.try_variant_get(F.col(v), f"$.{n}", kind)
+    rows = rows.withColumns({f"_k_{n}": F.schema_of_variant(at(n, "variant")) for n in names})
+    taken, number = {}, []
+    for f in schema.fields:
+        kind = kinds[f.name]
+        if isinstance(f.dataType, T.StringType):
+            value = F.when(kind == "STRING", at(f.name, "string"))
+        elif isinstance(f.dataType, T.ArrayType):
+            fits = F.forall(at(f.name, "array<bigint>"), lambda x: x.isNull() | x.between(INT_MIN, INT_MAX))
+            value = F.when(kind.isin(*INTEGERS) & fits, at(f.name, "array<int>"))
+        else:
+            value = F.when(kind == INTEGER, at(f.name, "int"))
+        taken[f"_v_{f.name}"] = value
+        number.append(not isinstance(f.dataType, T.StringType))
+    rows = rows.withColumns(taken)
+    bad = lambda n: F.coalesce((kinds[n] != ABSENT) & values[n].isNull(), F.lit(False))
+    some = lambda which: F.array_contains(F.array(F.lit(False), *[bad(n) for n in which]), True)
+    readable = F.coalesce(_is_object(F.col(v)), F.lit(False))
+    corrupt = some([n for n, x in zip(names, number) if x]) | ~readable
+    if wrong is not None:
+        corrupt = corrupt | wrong
+    rows = rows.withColumn("_corrupt", corrupt)
+    e = F.struct(*[values[n].alias(n) for n in names], readable.alias("_readable"), F.col("_corrupt"),
+                 (F.col("_corrupt") | some([n for n, x in zip(names, number) if not x])).alias("_mistyped"))
+    return rows.withColumn("e", e).drop(*[c for n in names for c in (f"_k_{n}", f"_v_{n}")], "_corrupt")
+
+
+def parse_requests(rows: DataFrame, key: str, schema: T.StructType) -> DataFrame:
+    """(key, value) -> key, e: requests that are one JSON object each. With
+    text after it a request is corrupt, though its fields are still read."""
+    rows = _with_document(rows.select(key, "value"), "value", "_doc")
+    # lazily: only a refused text is parsed again, up to the end of its first value
+    rows = rows.withColumn("_v", F.coalesce(F.col("_doc"), F.try_parse_json("value")))
+    return _typed(rows, "_v", schema, F.col("_doc").isNull()).select(key, "e")
 
 
 def read_documents(spark: SparkSession, path: str, key: str = "batch_id") -> DataFrame:
@@ -61,23 +103,29 @@ def read_documents(spark: SparkSession, path: str, key: str = "batch_id") -> Dat
 
 
 def explode_batches(docs: DataFrame, array_key: str, element_schema: T.StructType) -> DataFrame:
-    """(batch_id, value) -> batch_id, doc_ok, pos, raw, e (parsed struct incl. ``_corrupt``).
+    """(batch_id, value) -> batch_id, doc_ok, pos, e (fields by ``element_schema``, see ``_typed``).
 
     One row per element. A document that is not a JSON object holding an
     ``array_key`` array of objects, names a key twice or is followed by more
     text yields a single marker row (doc_ok false, pos NULL), so the whole
-    batch can be rejected; an empty array yields no row.
+    batch can be rejected; an empty array yields no row. An element that
+    repeats a key is not readable, its neighbours are.
     """
-    value, keys = F.col("value"), F.json_object_keys("value")
+    value = F.col("value")
+    rows = _with_document(docs.select("batch_id", "value"), "value", "_doc")
+    # for refused documents only: elements as texts, each parsed by itself
+    keys = F.json_object_keys("value")
     texts = _in_array(value, f"STRUCT<`{array_key}` ARRAY<STRING>>")[array_key]
     objects = _in_object(value, f"STRUCT<`{array_key}` ARRAY<STRUCT<`{element_schema.fields[0].name}` STRING>>>")[array_key]
     whole = objects.isNotNull() & (F.size(keys) == F.size(F.array_distinct(keys)))
-    outer = docs.select("batch_id", F.when(whole, texts).alias("items"))
-    items = F.col("items")
-    rows = outer.select("batch_id", items.isNotNull().alias("doc_ok"),
-                        F.posexplode_outer(items).alias("pos", "raw"))
-    rows = rows.filter(~F.col("doc_ok") | F.col("pos").isNotNull())
-    return rows.withColumn("e", _parse_element(F.col("raw"), element_schema))
+    again = F.when(F.col("_doc").isNull() & whole, F.transform(texts, F.try_parse_json))
+    listed = F.try_variant_get(F.col("_doc"), f"$.{array_key}", "array<variant>")
+    rows = rows.select("batch_id", F.when(F.col("_doc").isNotNull(), listed).otherwise(again).alias("items"),
+                       F.col("_doc").isNull().alias("_again"))
+    good = F.col("_again") | F.forall("items", _is_object)
+    rows = rows.select("batch_id", F.when(good, F.col("items")).alias("items"))
+    rows = rows.select("batch_id", F.col("items").isNotNull().alias("doc_ok"), F.posexplode_outer("items").alias("pos", "_v"))
+    return _typed(rows.filter(~F.col("doc_ok") | F.col("pos").isNotNull()), "_v", element_schema).select("batch_id", "doc_ok", "pos", "e")
 
 
 def expense_elements(docs: DataFrame):
@@ -89,12 +137,10 @@ def income_elements(docs: DataFrame):
 
 
 def transfer_requests(docs: DataFrame) -> DataFrame:
-    """(request_id, value) -> request_id, raw, e (parsed transfer request)."""
-    return docs.select("request_id", F.col("value").alias("raw"),
-                       parse_request(F.col("value"), schemas.TRANSFER_REQUEST).alias("e"))
+    """(request_id, value) -> request_id, e (transfer request)."""
+    return parse_requests(docs, "request_id", schemas.TRANSFER_REQUEST)
 
 
 def summary_requests(docs: DataFrame) -> DataFrame:
-    """(request_id, value) -> request_id, raw, e (parsed summary request)."""
-    return docs.select("request_id", F.col("value").alias("raw"),
-                       parse_request(F.col("value"), schemas.SUMMARY_REQUEST).alias("e"))
+    """(request_id, value) -> request_id, e (summary request)."""
+    return parse_requests(docs, "request_id", schemas.SUMMARY_REQUEST)
