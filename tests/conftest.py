@@ -70,3 +70,23 @@ def small_ledger(spark):
             (5, 10, 2, D("2025-01-01"), "late"),
         ],
     )
+
+
+@pytest.fixture(scope="session")
+def saved_ledger(spark, small_ledger, tmp_path_factory):
+    """A folder with the stored small ledger, to be copied."""
+    from tillbook.sources.store import LedgerStore
+
+    root = str(tmp_path_factory.mktemp("saved") / "ledger")
+    LedgerStore(spark, root).save(small_ledger)
+    return root
+
+
+@pytest.fixture
+def store(spark, saved_ledger, tmp_path):
+    """A store of its own for each test, holding the small ledger."""
+    import shutil
+
+    from tillbook.sources.store import LedgerStore
+
+    return LedgerStore(spark, shutil.copytree(saved_ledger, str(tmp_path / "ledger")))

@@ -158,36 +158,48 @@ def _checked_changes(ledger: Ledger, changes: DataFrame, schema, rules, base: Da
     return fix(_outcome(base, _dedupe_ids(checked)))
 
 
-def update_expenses(ledger: Ledger, changes: DataFrame, stamp: Column | None = None):
-    """M-EXP-UPDATE: (id, value JSON) -> (new expense table, new expense_tag
-    table, outcome per change). A change replaces every mutable column and
-    the whole tag set of its expense; unknown ids change nothing."""
+def expense_outcome(ledger: Ledger, changes: DataFrame) -> DataFrame:
+    """(id, value JSON) changes -> typed fields + status of each, fixed."""
     from tillbook import schemas
     from tillbook.operators.validate import expense_rules
 
-    stamp = job_stamp() if stamp is None else stamp
-    outcome = _checked_changes(ledger, changes, schemas.EXPENSE_ELEMENT, expense_rules, ledger.expense)
+    return _checked_changes(ledger, changes, schemas.EXPENSE_ELEMENT, expense_rules, ledger.expense)
+
+
+def income_outcome(ledger: Ledger, changes: DataFrame) -> DataFrame:
+    from tillbook import schemas
+    from tillbook.operators.validate import income_rules
+
+    return _checked_changes(ledger, changes, schemas.INCOME_ELEMENT, income_rules, ledger.income)
+
+
+def apply_expense_outcome(ledger: Ledger, outcome: DataFrame, stamp: Column) -> tuple[DataFrame, DataFrame]:
     applied = outcome.filter(F.col("status") == "ok")
     cols = ["category_id", "wallet_id", "amount", "date", "priority", "description"]
     new_expense = _replace_rows(ledger.expense, applied, cols, stamp)
-    kept_tags = ledger.expense_tag.join(applied.select(F.col("id").alias("expense_id")),
-                                        "expense_id", "left_anti").select("expense_id", "tag_id", "created_at",
-                                                                          "updated_at")
+    kept_tags = ledger.expense_tag.join(applied.select(F.col("id").alias("expense_id")), "expense_id", "left_anti")
     new_tags = applied.select(F.col("id").alias("expense_id"), F.explode("tag_ids").alias("tag_id"),
                               stamp.alias("created_at"), stamp.alias("updated_at"))
-    return new_expense, kept_tags.unionByName(new_tags), outcome
+    return new_expense, kept_tags.unionByName(new_tags, allowMissingColumns=True)
+
+
+def apply_income_outcome(ledger: Ledger, outcome: DataFrame, stamp: Column) -> DataFrame:
+    applied = outcome.filter(F.col("status") == "ok")
+    return _replace_rows(ledger.income, applied, ["amount", "wallet_id", "date", "description"], stamp)
+
+
+def update_expenses(ledger: Ledger, changes: DataFrame, stamp: Column | None = None):
+    """M-EXP-UPDATE: (id, value JSON) -> (new expense table, new expense_tag
+    table, outcome per change). A change replaces every mutable column and
+    the whole tag set of its expense; unknown ids change nothing."""
+    outcome = expense_outcome(ledger, changes)
+    return *apply_expense_outcome(ledger, outcome, job_stamp() if stamp is None else stamp), outcome
 
 
 def update_incomes(ledger: Ledger, changes: DataFrame, stamp: Column | None = None):
     """M-INC-UPDATE: (id, value JSON) -> (new income table, outcome)."""
-    from tillbook import schemas
-    from tillbook.operators.validate import income_rules
-
-    stamp = job_stamp() if stamp is None else stamp
-    outcome = _checked_changes(ledger, changes, schemas.INCOME_ELEMENT, income_rules, ledger.income)
-    applied = outcome.filter(F.col("status") == "ok")
-    new_income = _replace_rows(ledger.income, applied, ["amount", "wallet_id", "date", "description"], stamp)
-    return new_income, outcome
+    outcome = income_outcome(ledger, changes)
+    return apply_income_outcome(ledger, outcome, job_stamp() if stamp is None else stamp), outcome
 
 
 def _delete_outcome(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,9 +216,7 @@ def delete_expenses(ledger: Ledger, ids: DataFrame):
     """M-EXP-DELETE: remove expenses by id and cascade to their tags."""
     ids = _delete_ids(ids)
     new_expense = ledger.expense.join(ids, "id", "left_anti")
-    new_tags = ledger.expense_tag.join(ids.withColumnRenamed("id", "expense_id"),
-                                       "expense_id", "left_anti").select("expense_id", "tag_id", "created_at",
-                                                                         "updated_at")
+    new_tags = ledger.expense_tag.join(ids.withColumnRenamed("id", "expense_id"), "expense_id", "left_anti")
     return new_expense, new_tags, _delete_outcome(ledger.expense, ids)
 
 
@@ -216,39 +226,15 @@ def delete_incomes(ledger: Ledger, ids: DataFrame):
     return ledger.income.join(ids, "id", "left_anti"), _delete_outcome(ledger.income, ids)
 
 
-def touched_months(base: DataFrame, applied: DataFrame) -> list:
-    """Months an update touches: where the changed rows live now and where
-    they will live. A distinct month list (bounded by the ledger's history)."""
-    old = base.join(applied.select("id"), "id", "left_semi").select(F.trunc("date", "month").alias("m"))
-    new = applied.select(F.trunc("date", "month").alias("m"))
-    return [r.m for r in old.unionByName(new).distinct().collect()]
-
-
-def within_months(df: DataFrame, months: list) -> DataFrame:
-    """Rows of ``df`` whose (new) date falls in ``months``. On a stored table
-    the stored ``month`` (where the row lived before the change) is filtered
-    too: every changed row's old and new months are both touched, so this
-    loses nothing and lets partition pruning skip untouched months."""
-    lits = [F.lit(m) for m in months]
-    out = df.filter(F.trunc("date", "month").isin(*lits))
-    if "month" in df.columns:
-        out = out.filter(F.col("month").isin(*lits))
-    return out
-
-
-def touched_blocks(ids: DataFrame) -> list:
-    """Expense-id blocks (store partitions of expense_tag) holding ``ids``."""
-    from tillbook.sources.store import id_block
-
-    return [r.b for r in ids.select(id_block(F.col("id")).alias("b")).distinct().collect()]
+def touched_months(base: DataFrame, changed: DataFrame) -> DataFrame:
+    """(month) where the changed rows (id, date) live now and where they will live."""
+    old = base.join(changed.select("id"), "id", "left_semi").select(F.trunc("date", "month").alias("month"))
+    new = changed.select(F.trunc("date", "month").alias("month"))
+    return old.unionByName(new).distinct()
 
 
-def within_blocks(tags: DataFrame, blocks: list) -> DataFrame:
-    """expense_tag rows in the given id blocks (pruned by partition when stored)."""
+def touched_blocks(changed: DataFrame) -> DataFrame:
+    """(id_block) of expense_tag that hold the tags of the changed expenses."""
     from tillbook.sources.store import id_block
 
-    lits = [F.lit(b) for b in blocks]
-    out = tags.filter(id_block(F.col("expense_id")).isin(*lits))
-    if "id_block" in tags.columns:
-        out = out.filter(F.col("id_block").isin(*lits))
-    return out
+    return changed.select(id_block(F.col("id")).alias("id_block")).distinct()

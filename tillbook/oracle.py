@@ -436,6 +436,18 @@ SELECT CAST((SELECT MAX(id) FROM income) + ROW_NUMBER() OVER (ORDER BY batch_id,
        amount, wallet_id, date, description
 FROM inc_validated WHERE status = 'ok' AND batch_ok
 """)
+ORACLE["sink_snapshot"] = _req("""
+SELECT e.id, coalesce(c.category_id, e.category_id) AS category_id, coalesce(c.wallet_id, e.wallet_id) AS wallet_id,
+       coalesce(c.amount, e.amount) AS amount, coalesce(c.date, e.date) AS date, coalesce(c.priority, e.priority) AS priority,
+       CASE WHEN c.id IS NULL THEN e.description ELSE c.description END AS description
+FROM expense e LEFT JOIN (SELECT * FROM exp_chg_out WHERE status = 'ok') c USING (id) WHERE e.id NOT IN (SELECT id FROM exp_del)
+""")
+ORACLE["sink_snapshot_tags"] = _req("""
+SELECT * FROM (
+  SELECT expense_id, tag_id FROM expense_tag WHERE expense_id NOT IN (SELECT id FROM exp_chg_out WHERE status = 'ok')
+  UNION ALL SELECT id, UNNEST(tag_ids) FROM exp_chg_out WHERE status = 'ok'
+) WHERE expense_id NOT IN (SELECT id FROM exp_del)
+""")
 ORACLE["sink_doc"] = _with("""
 SELECT '{"expense":' || expense || ',"income":' || income || '}' AS value FROM (""" + _DOCUMENT + ")\n", YEAR_1996)
 

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbook import jobs
 from tillbook.functions.nested import to_json_text
 from tillbook.ledger import Ledger
 from tillbook.operators import changes as CH
@@ -394,12 +395,33 @@ def _scratch(spark) -> str:
 def sink_append(spark, sf_dir):
     """Incomes of the ledger, then those of the accepted batches, appended to a store and read back."""
     L, store = _ledger(spark, sf_dir), LedgerStore(spark, _scratch(spark))
-    store.append(income=L.income)
-    v = V.validate_income_batches(L, RQ.income_request_documents(spark, sf_dir))
-    store.append(income=CH.insert_incomes(store.read().replace(wallet=L.wallet), v))
+    store.append(income=L.income, wallet=L.wallet)
+    jobs.ingest(store, RQ.income_request_documents(spark, sf_dir), "incomes", tag="batch-1")
     return store.read().income.select(*INCOME_COLS)
 
 
+def _changed_store(spark, sf_dir):
+    """The whole ledger as a snapshot, then an update and a delete that each write only what they touch."""
+    store = LedgerStore(spark, _scratch(spark))
+    store.save(_ledger(spark, sf_dir))
+    jobs.update(store, RQ.expense_updates(spark, sf_dir))
+    jobs.delete(store, RQ.expense_deletes(spark, sf_dir))
+    return store.read()
+
+
+def sink_snapshot(spark, sf_dir):
+    """The changed expenses, written over the whole table once more and read back."""
+    L = _changed_store(spark, sf_dir)
+    store = LedgerStore(spark, _scratch(spark))
+    store.save(L)
+    store.snapshot(expense=store.read().expense)
+    return store.read().expense.select(*EXPENSE_COLS)
+
+
+def sink_snapshot_tags(spark, sf_dir):
+    return _changed_store(spark, sf_dir).expense_tag.select("expense_id", "tag_id")
+
+
 def sink_doc(spark, sf_dir):
     """The summary document, written as JSON text and read back."""
     path = _scratch(spark)
@@ -414,6 +436,8 @@ QUERIES.update({
     "transfer_rows_again": transfer_rows_again,
     "exp_update_stamps": exp_update_stamps,
     "sink_append": sink_append,
+    "sink_snapshot": sink_snapshot,
+    "sink_snapshot_tags": sink_snapshot_tags,
     "sink_doc": sink_doc,
 })
 

@@ -1,233 +1,172 @@
-"""Versioned Parquet ledger store (SRC-LEDGER, SINK-APPEND, SINK-SNAPSHOT, SINK-DOC).
-
-Layout under ``root``::
-
-    data/<table>/write=<id>/...        immutable parquet directories
-    _manifests/v=<n>/...               one small table per version: (table,
-                                       path, n_entries, highest id ever used)
-
-* Fact tables (expense, income, wallet_transfer) are partitioned by
-  ``month`` (first day of the month of ``date``), so a date range prunes
-  whole directories; ``expense_tag`` is range-clustered by ``expense_id``
-  so parquet min/max statistics skip files on id look-ups; dimensions are
-  range-clustered by ``id``, a small one in one file.
-* A version lists, per table, the data directories that make it up. An
-  append adds a directory, an update/delete writes the table anew and
-  replaces the list. Several tables change in one version (expense +
-  expense_tag together), so a reader sees both or neither.
-* A manifest is only valid when its row count equals ``n_entries``, which
-  protects readers from a manifest caught half-written; readers take the
-  newest valid version, and the next writer steps over the number of a
-  half-written one. Only a missing manifest folder means an empty ledger: any
-  other read error is raised. One writer at a time is assumed.
-* The highest id of a table is never lowered, so the id of a deleted row is
-  not handed out again.
+"""Parquet ledger store (SRC-LEDGER, SINK-APPEND, SINK-SNAPSHOT, SINK-DOC): plain partitioned tables.
+
+Layout under ``root``: one folder per table, partitioned by ``load`` (the
+name of the append that brought the rows, ``base`` for all others) and
+
+* expense, income, wallet_transfer: by ``month`` of ``date``, so that a date
+  range prunes whole folders;
+* expense_tag: by blocks of expense ids, so that a cascade touches only the
+  blocks of the expenses it changes;
+* dimensions: by ``load`` alone.
+
+Files are range-clustered by key, so that statistics skip row groups. Every
+write is a Spark write: an append adds files to ``base``; a named append, a
+change of some partitions and a snapshot are dynamic partition overwrites of
+a table written before (``fix``), so a repeated one leaves the same rows.
+Partitions whose last row has gone keep one row without a key, which readers
+leave out. Tables are written one after the other, those that only hang on
+others (expense_tag) first: a reader that comes in between sees no expense
+without its tags, and a job that broke off is run again. Frames read before a
+partition is overwritten must be read anew. One writer at a time is assumed.
+
+``_ids`` holds the highest id that each load has brought by table, written
+before the rows; the id of a deleted row is not handed out again.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook import schemas
 from tillbook.ledger import Ledger
+from tillbook.plans.materialize import fix
 
 MONTH_PARTITIONED = ("expense", "income", "wallet_transfer")
-# expense_tag is partitioned by blocks of expense ids, so a cascade from an
-# update or delete rewrites only the blocks of the expenses it touches.
 ID_BLOCK = 1_000_000
 # Target rows per output file for fact tables.
 ROWS_PER_FILE = 5_000_000
+BASE = "base"
 
 
-def id_block(col):
+def id_block(col: Column) -> Column:
     return F.floor(col / F.lit(ID_BLOCK)).cast("int")
 
 
-# table -> (partition column, its type, key column)
+#: table -> (partition column, its type, its value)
 PARTITIONING = {
-    **{name: ("month", T.DateType(), "id") for name in MONTH_PARTITIONED},
-    "expense_tag": ("id_block", T.IntegerType(), "expense_id"),
+    **{name: ("month", T.DateType(), lambda: F.trunc("date", "month")) for name in MONTH_PARTITIONED},
+    "expense_tag": ("id_block", T.IntegerType(), lambda: id_block(F.col("expense_id"))),
 }
+#: Tables in the order in which they are written.
+WRITTEN = ("expense_tag", *[name for name in schemas.TABLES if name != "expense_tag"])
 
 
-MANIFEST = T.StructType([T.StructField(name, T.IntegerType() if name in ("n_entries", "max_id", "v") else T.StringType())
-                         for name in ("table", "path", "n_entries", "tag", "superseded", "max_id", "v")])
+def key_of(name: str) -> str:
+    return "expense_id" if name == "expense_tag" else "id"
+
+
+def part_of(name: str) -> list[str]:
+    return [PARTITIONING[name][0]] if name in PARTITIONING else []
 
 
 class LedgerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._new_ids: dict[str, int] = {}  # highest ids written since the last version
-
-    # ---- versions ---------------------------------------------------------
-    def _version_folders(self) -> list[int]:
-        """Numbers of all version folders, half-written ones included."""
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifests")
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v="))
-
-    def _manifests(self) -> DataFrame | None:
-        if not self._version_folders():
-            return None
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/_manifests")
-
-    def latest_version(self) -> int | None:
-        m = self._manifests()
-        if m is None:
-            return None
-        valid = (m.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("n_entries").alias("expected"))
-                 .filter(F.col("n") == F.col("expected")).agg(F.max("v")).collect())
-        return valid[0][0] if valid else None
-
-    def manifest(self, version: int | None = None) -> dict[str, list[tuple[str, str | None]]]:
-        """table -> [(path, superseded months as 'YYYY-MM-DD,...' or None)]."""
-        version = self.latest_version() if version is None else version
-        if version is None:
-            return {name: [] for name in schemas.TABLES}
-        rows = self._manifests().filter(F.col("v") == version).select("table", "path", "superseded").collect()
-        out: dict[str, list[tuple[str, str | None]]] = {}
-        for r in rows:
-            if r.path:
-                out.setdefault(r.table, []).append((r.path, r.superseded))
-        for name in schemas.TABLES:
-            out.setdefault(name, [])
-        return out
-
-    def max_ids(self, version: int | None = None) -> dict[str, int]:
-        """Highest id ever handed out, by table."""
-        version = self.latest_version() if version is None else version
-        if version is None:
-            return {}
-        rows = self._manifests().filter((F.col("v") == version) & F.col("max_id").isNotNull()).select("table", "max_id").distinct().collect()
-        return {r.table: r.max_id for r in rows}
-
-    def has_tag(self, tag: str) -> bool:
-        """Whether some valid version was published with ``tag`` (used by the
-        streaming sink to skip a micro-batch that was already committed)."""
-        m = self._manifests()
-        if m is None:
-            return False
-        latest = self.latest_version()
-        return m.filter((F.col("tag") == tag) & (F.col("v") <= F.lit(latest))).limit(1).count() > 0
-
-    def _publish(self, tables: dict[str, list[tuple[str, str | None]]], tag: str | None = None) -> int:
-        version = max(self._version_folders(), default=0) + 1
-        high = self.max_ids()
-        for name, n in self._new_ids.items():
-            high[name] = max(n, high.get(name, 0))
-        self._new_ids = {}
-        entries = [(name, path, sup) for name, paths in sorted(tables.items())
-                   for path, sup in (paths or [("", None)])]
-        rows = [(name, path, len(entries), tag, sup, high.get(name)) for name, path, sup in entries]
-        df = self.spark.createDataFrame(rows, T.StructType(MANIFEST.fields[:-1])).coalesce(1)
-        df.write.mode("errorifexists").parquet(f"{self.root}/_manifests/v={version}")
-        return version
-
-    # ---- data -------------------------------------------------------------
-    def _write_table(self, name: str, df: DataFrame) -> str:
-        path = f"{self.root}/data/{name}/write={uuid.uuid4().hex}"
-        cols = [f.name for f in schemas.TABLES[name].fields]
-        df = df.select(*cols)
-        writer = None
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        if name in PARTITIONING:
-            # range on (partition, key): a partition holding a large share of
-            # the rows spans several writer tasks instead of landing in one
-            part, _, key = PARTITIONING[name]
-            value = F.trunc("date", "month") if part == "month" else id_block(F.col(key))
-            df = df.withColumn(part, value)
-            writer = (df.repartitionByRange(n, part, key).sortWithinPartitions(part, key)
-                      .write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(part))
-        else:
-            # no number of partitions: small tables are coalesced to one task by their size
-            writer = df.repartitionByRange("id").sortWithinPartitions("id").write.option("maxRecordsPerFile", ROWS_PER_FILE)
-        writer.mode("errorifexists").parquet(path)
-        if name in MONTH_PARTITIONED:  # from the statistics of the files just written
-            top = self.spark.read.schema(schemas.TABLES[name]).parquet(path).agg(F.max("id")).first()[0]
-            self._new_ids[name] = max(top or 0, self._new_ids.get(name, 0))
-        return path
-
-    def _read_table(self, name: str, paths: list[tuple[str, str | None]]) -> DataFrame:
-        schema = schemas.TABLES[name]
-        if not paths:
+
+    # ---- reading ----------------------------------------------------------
+    def _stored(self, name: str, schema: T.StructType) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        if name in PARTITIONING:
-            # keep the partition column: date filters add a month predicate
-            # (partition pruning); superseded partitions of a path are pruned
-            part, ptype, _ = PARTITIONING[name]
-            fields = [*schema.fields, T.StructField(part, ptype)]
-            # one scan whatever the number of appends
-            df = (self.spark.read.schema(T.StructType([*fields, T.StructField("write", T.StringType())]))
-                  .option("basePath", f"{self.root}/data/{name}").parquet(*[p for p, _ in paths]))
-            for p, superseded in paths:
-                if superseded:
-                    gone = [F.lit(v).cast(ptype) for v in superseded.split(",")]
-                    df = df.filter(~((F.col("write") == p.rpartition("write=")[2]) & F.col(part).isin(*gone)))
-            return df.select(*[f.name for f in fields])
-        return self.spark.read.schema(schema).parquet(*[p for p, _ in paths])
-
-    # ---- public API -------------------------------------------------------
-    def read(self, version: int | None = None) -> Ledger:
-        m = self.manifest(version)
-        frames = {name: self._read_table(name, m.get(name, [])) for name in schemas.TABLES}
-        return Ledger(self.spark, max_ids=self.max_ids(version), **frames)
-
-    def save(self, ledger: Ledger) -> int:
-        """Write every table of ``ledger`` as a new version (initial load or full snapshot)."""
-        return self._publish({name: [(self._write_table(name, ledger.table(name)), None)] for name in schemas.TABLES})
-
-    def append(self, tag: str | None = None, **rows: DataFrame) -> int:
-        """SINK-APPEND: add rows to some tables, publish them together."""
-        m = self.manifest()
-        for name, df in rows.items():
-            m[name] = m.get(name, []) + [(self._write_table(name, df), None)]
-        return self._publish(m, tag)
-
-    def replace(self, **tables: DataFrame) -> int:
-        """SINK-SNAPSHOT: new contents for some tables (after update/delete),
-        published together. Inputs may read the current version: new data is
-        written to fresh directories before the manifest switches."""
-        m = self.manifest()
-        for name, df in tables.items():
-            m[name] = [(self._write_table(name, df), None)]
-        return self._publish(m)
-
-    def replace_partitions(self, parts: dict[str, list], tables: dict[str, DataFrame],
-                           whole: dict[str, DataFrame] | None = None) -> int:
-        """SINK-SNAPSHOT at partition level: ``tables[name]`` holds the complete
-        new content of the partitions ``parts[name]`` (months, or expense-id
-        blocks for expense_tag) and nothing else. Only those partitions are
-        written; they are marked superseded in every older directory of the
-        table, so changing a few rows rewrites a few partitions instead of the
-        table. ``whole`` tables are replaced entirely in the same version."""
-        m = self.manifest()
-        for name, df in tables.items():
-            if name not in PARTITIONING:
-                raise ValueError(f"{name} is not partitioned")
-            keys = sorted({str(x) for x in parts.get(name, [])})
-            if not keys:
-                continue
-            old = []
-            for path, superseded in m.get(name, []):
-                have = set(superseded.split(",")) if superseded else set()
-                old.append((path, ",".join(sorted(have | set(keys)))))
-            m[name] = old + [(self._write_table(name, df), None)]
-        for name, df in (whole or {}).items():
-            m[name] = [(self._write_table(name, df), None)]
-        return self._publish(m)
-
-
-def read_ledger(spark: SparkSession, root: str, version: int | None = None) -> Ledger:
-    return LedgerStore(spark, root).read(version)
+
+    def _table(self, name: str) -> DataFrame:
+        parts = [T.StructField(PARTITIONING[name][0], PARTITIONING[name][1])] if name in PARTITIONING else []
+        return self._stored(name, T.StructType([*schemas.TABLES[name].fields, *parts, T.StructField("load", T.StringType())]))
+
+    def max_ids(self, before: str | None = None) -> dict[str, int]:
+        """Highest id ever handed out, by table, without the load ``before``."""
+        ids = self._stored("_ids", T.StructType.fromDDL("table string, high int, load string"))
+        if before is not None:
+            ids = ids.filter(F.col("load") != before)
+        return dict(ids.groupBy("table").agg(F.max("high")).filter("`max(high)` IS NOT NULL").collect())  # one row for each table
+
+    def read(self, before: str | None = None) -> Ledger:
+        """The ledger; partition columns stay, so that filters on them prune.
+        ``before``: ids go on as if that load had not been written yet."""
+        frames = {name: self._table(name).filter(F.col(key_of(name)).isNotNull()) for name in schemas.TABLES}
+        return Ledger(self.spark, max_ids=self.max_ids(before), **frames)
+
+    # ---- writing ----------------------------------------------------------
+    def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
+        load = F.coalesce("load", F.lit(BASE)) if "load" in rows.columns else F.lit(BASE)
+        parts = [PARTITIONING[name][2]().alias(c) for c in part_of(name)]
+        return rows.select(*[f.name for f in schemas.TABLES[name].fields], *parts, load.alias("load"))
+
+    def _write(self, name: str, rows: DataFrame, overwrite: bool) -> None:
+        # ranges over partition and key: a month that holds a third of the rows is written by many tasks
+        order = ["load", *part_of(name), key_of(name)]
+        out = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", ROWS_PER_FILE)
+        out = out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else out.mode("append")
+        out.partitionBy("load", *part_of(name)).parquet(f"{self.root}/{name}")
+
+    def _mark_ids(self, tables: dict[str, DataFrame], load: str) -> None:
+        tops = [df.agg(F.max("id").cast("int").alias("high")).select(F.lit(name).alias("table"), "high")
+                for name, df in tables.items() if name in MONTH_PARTITIONED]
+        if tops:
+            old = self._stored("_ids", T.StructType.fromDDL("table string, high int, load string")).filter(F.col("load") == load)
+            high = reduce(DataFrame.unionByName, [old.select("table", "high"), *tops]).groupBy("table").agg(F.max("high").alias("high"))
+            out = high.withColumn("load", F.lit(load)).coalesce(1)  # one row for each table; only ever higher
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(f"{self.root}/_ids")
+
+    def append(self, tag: str | None = None, **rows: DataFrame) -> None:
+        """SINK-APPEND: adds rows to some tables. With a ``tag`` they are a load
+        of that name: an append that is repeated replaces its own rows."""
+        rows = {name: fix(self._shaped(name, df.drop("load"))) for name, df in rows.items()}
+        self._mark_ids(rows, tag or BASE)
+        for name in _ordered(rows):
+            self._write(name, rows[name].withColumn("load", F.lit(tag or BASE)), overwrite=tag is not None)
+
+    def overwrite(self, touched: dict[str, DataFrame], **rows: DataFrame) -> None:
+        """New contents of some partitions: ``rows[name]`` holds all rows of
+        the months (or id blocks) in the one-column frame ``touched[name]``
+        and no others. Rows may read the store."""
+        self._replace({name: (rows[name], touched_of(self._partitions(name), touched[name])) for name in rows})
+
+    def snapshot(self, **tables: DataFrame) -> None:
+        """SINK-SNAPSHOT: new contents for whole tables; rows may read the store."""
+        self._replace({name: (df, self._partitions(name)) for name, df in tables.items()})
+
+    def save(self, ledger: Ledger) -> None:
+        """Every table of ``ledger`` as the new contents."""
+        self.snapshot(**{name: ledger.table(name) for name in schemas.TABLES})
+
+    def _partitions(self, name: str) -> DataFrame:
+        return self._table(name).select(*part_of(name), "load")
+
+    def _replace(self, tables: dict[str, tuple[DataFrame, DataFrame]]) -> None:
+        """table -> (its new rows, the partitions that they stand for)."""
+        # a row without a key for every partition there is, so that one that empties is overwritten too
+        out = {name: fix(self._shaped(name, rows).unionByName(parts.distinct(), allowMissingColumns=True)) for name, (rows, parts) in tables.items()}
+        self._mark_ids(out, BASE)
+        for name in _ordered(out):
+            self._write(name, out[name], overwrite=True)
+
+
+def _ordered(names: Iterable[str]) -> list[str]:
+    return [name for name in WRITTEN if name in names]
+
+
+def touched_of(table: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows of a stored table in the months or id blocks of ``touched`` (one
+    column of that name); other partitions are pruned at run time."""
+    part = touched.columns[0]
+    # the comparison tells the optimizer that the values are selective
+    kind = F.lit("0001-01-01").cast("date") if part == "month" else F.lit(-(2**31))
+    return table.join(touched.filter(F.col(part) >= kind), part, "left_semi")
+
+
+def read_ledger(spark: SparkSession, root: str) -> Ledger:
+    return LedgerStore(spark, root).read()
 
 
 def write_document(doc: DataFrame, path: str) -> None:

@@ -1,17 +1,15 @@
 """Streaming ingest: JSON request documents arriving as files -> validated
-rows -> new ledger version, one micro-batch at a time.
+rows in the stored ledger, one micro-batch at a time.
 
-``readStream.text`` picks up new files; ``foreachBatch`` runs the batch
-operators (field rules, FK checks against the current ledger version, batch
-gate, id assignment) on each micro-batch and appends expense + expense_tag
-(or income) rows in one store version. Rejected rows go to a reject folder
-partitioned by query and epoch.
+``readStream.text`` picks up new files; ``foreachBatch`` runs the ingest job
+(field rules, reference checks, batch gate, id assignment) on each micro-batch.
+Rejected rows go to a reject folder partitioned by query and epoch.
 
-Exactly once: the store version is tagged with the id that Spark gives the
-query (kept in its checkpoint, new if that is recreated) and the epoch id; a replayed epoch (after a failure between publish and the
-streaming checkpoint) finds its tag and is skipped. Reject files are
-written with dynamic partition overwrite of their query and epoch, so a replay
-replaces rather than duplicates them. Batch ids are ``epoch << 40 |
+Exactly once: a micro-batch is a load named by the id that Spark gives the
+query (kept in its checkpoint, new if that is recreated) and the epoch. A
+replayed epoch (after a failure before the streaming checkpoint) hands out the
+same ids, as its own load doesn't count, and overwrites its own partitions, as
+it does with its rejects. Batch ids are ``epoch << 40 |
 monotonically_increasing_id`` of the micro-batch rows; the file source
 replays an epoch with the same files, so ids are stable.
 """
@@ -21,38 +19,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.operators import changes as CH
-from tillbook.operators import validate as V
+from tillbook.jobs import ingest
 from tillbook.plans.materialize import scratch
 from tillbook.sources.store import LedgerStore
 
 EPOCH_SHIFT = 40
 
 
-def _micro_batch(store: LedgerStore, kind: str, mode: str, reject_dir: str | None):
+def micro_batch(store: LedgerStore, kind: str, mode: str, reject_dir: str | None):
+    """The function that ``foreachBatch`` calls."""
     def handle(batch: DataFrame, epoch_id: int) -> None:
         query = f"{kind}-{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}"
-        tag = f"{query}:{epoch_id}"
-        if store.has_tag(tag):
-            return
         with scratch():
             docs = batch.select(
                 (F.lit(epoch_id).cast("long") * F.lit(1 << EPOCH_SHIFT) + F.monotonically_increasing_id()).alias("batch_id"),
                 "value")
-            ledger = store.read()
-            if kind == "expenses":
-                validated = V.validate_expense_batches(ledger, docs, mode)
-                rows, tags = CH.insert_expenses(ledger, validated)
-                new = {"expense": rows, "expense_tag": tags}
-            else:
-                validated = V.validate_income_batches(ledger, docs, mode)
-                new = {"income": CH.insert_incomes(ledger, validated)}
+            validated = ingest(store, docs, kind, mode, tag=f"{query}-{epoch_id}")
             if reject_dir:
-                # rejects first: a replayed epoch rewrites its own reject partition
                 rejected = validated.filter((F.col("status") != "ok") | ~F.col("batch_ok"))
                 (rejected.withColumn("query", F.lit(query)).withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
                  .option("partitionOverwriteMode", "dynamic").partitionBy("query", "epoch").parquet(reject_dir))
-            store.append(tag=tag, **new)
 
     return handle
 
@@ -68,7 +54,7 @@ def start_ingest(spark: SparkSession, source_dir: str, store: LedgerStore, check
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     docs = reader.load(source_dir)
-    writer = (docs.writeStream.foreachBatch(_micro_batch(store, kind, mode, reject_dir))
+    writer = (docs.writeStream.foreachBatch(micro_batch(store, kind, mode, reject_dir))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
