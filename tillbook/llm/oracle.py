@@ -42,18 +42,25 @@ tok AS (
   FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 leaf AS (SELECT copy, line, w, (len(w), w[1:3])::VARCHAR AS leaf FROM tok),
-busy AS (SELECT DISTINCT copy, leaf, w FROM leaf WHERE leaf IN (SELECT leaf FROM leaf GROUP BY leaf HAVING count(DISTINCT copy) >= 5)),
+leaves AS (SELECT leaf, count(DISTINCT copy) AS texts FROM leaf GROUP BY leaf HAVING count(DISTINCT copy) >= 5),
+busy AS (SELECT DISTINCT copy, leaf, texts, w FROM leaf JOIN leaves USING (leaf)),
+-- the wording of a leaf after its prefix: words in 5 texts and in a tenth of the leaf's texts
 fixed AS (
-  SELECT leaf, i, w[i] AS x FROM (SELECT copy, leaf, w, unnest(range(1, len(w) + 1)) AS i FROM busy)
-  WHERE w[i] <> '<*>' GROUP BY ALL HAVING count(DISTINCT copy) >= 5
+  SELECT leaf, i, w[i] AS x FROM (SELECT copy, leaf, texts, w, unnest(range(4, len(w) + 1)) AS i FROM busy)
+  WHERE w[i] <> '<*>' GROUP BY leaf, i, w[i], texts HAVING count(DISTINCT copy) >= greatest(5, 0.1 * texts)
 ),
 gen AS (
   SELECT leaf, w, list((i, x) ORDER BY i) AS tpl
   FROM (SELECT DISTINCT leaf, w FROM busy) JOIN fixed USING (leaf) WHERE w[i] = x GROUP BY leaf, w
 ),
-good AS (SELECT leaf, w, (leaf, tpl)::VARCHAR AS tpl FROM gen WHERE len(tpl) >= 0.5 * len(w)),
+good AS (SELECT leaf, w, (leaf, tpl)::VARCHAR AS tpl FROM gen WHERE len(tpl) >= 0.6 * (len(w) - 3)),
 often AS (SELECT tpl FROM busy JOIN good USING (leaf, w) GROUP BY tpl HAVING count(DISTINCT copy) >= 5),
-gone AS (SELECT DISTINCT w FROM good WHERE tpl IN (SELECT tpl FROM often)),
+-- and lines that recur by themselves
+same AS (
+  SELECT w FROM (SELECT copy, w, CASE WHEN len(w) > 3 THEN w[4:] ELSE w END AS judged FROM busy)
+  WHERE len(list_filter(judged, lambda x: x <> '<*>')) >= 0.6 * len(judged) GROUP BY w HAVING count(DISTINCT copy) >= 5
+),
+gone AS (SELECT DISTINCT w FROM good WHERE tpl IN (SELECT tpl FROM often) UNION SELECT w FROM same),
 pos AS (
   SELECT rid, doc_id, text, k, string_split(text, chr(10))[k] AS line
   FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents))
