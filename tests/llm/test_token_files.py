@@ -52,6 +52,21 @@ def test_nulls_repeats_long_and_empty(make_docs):
     assert [(r.doc_id, r.start) for r in sorted(tf.round_trip(only, PATH).collect(), key=lambda r: r.start)] == [(1, 0), (None, 2)]
 
 
+def test_start_is_the_place_in_the_files(make_docs, tmp_path):
+    """Several texts under one id, spread over files: the ids from ``start`` on are the row's own."""
+    docs = make_docs([(1, "one two three " * n) for n in (4, 1, 9, 2, 7, 3)] + [(i, f"text {i} " * (i % 5)) for i in range(2, 60)] + [(None, "x"), (None, "y z")])
+    index = tf.round_trip(docs.repartition(6), PATH, folder=f"{tmp_path}/t").collect()
+    stream = []
+    for name in sorted(glob.glob(f"{tmp_path}/t/part-*")):
+        for ids in pq.read_table(name).column("tokens").to_pylist():
+            stream += ids
+    assert len(index) == 66 and sum(r.n_tokens for r in index) == len(stream)
+    for r in index:
+        assert zlib.crc32(np.array(stream[r.start:r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32, r
+    by_id = sorted(index, key=lambda r: r.start)
+    assert [r.doc_id for r in by_id] == [1] * 6 + list(range(2, 60)) + [None, None]
+
+
 @pytest.mark.parametrize("delta", [False, True])
 def test_layout(spark, tmp_path, delta):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

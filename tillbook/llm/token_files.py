@@ -212,8 +212,16 @@ def read_tokens(spark: SparkSession, folder: str, where: Column | None = None) -
     return rows if where is None else rows.filter(where)
 
 
+def in_file_order(stored: DataFrame) -> DataFrame:
+    """The rows of a file set with ``part`` and ``row``, their place in it: the number of the file, as its
+    writing task was numbered in the range sort, and the row in the file."""
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)-.*-c(\d+)", 1).cast("long") * 1_000_000 + F.regexp_extract(name, r"^part-(\d+)-.*-c(\d+)", 2).cast("long")
+    return stored.select("*", number.alias("part"), F.col("_metadata.row_index").alias("row"))
+
+
 def token_digests(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32): the checksum of each list as little-endian 32-bit integers."""
+    """(doc_id, n_tokens, ids_crc32, part, row): the checksum of each list as little-endian 32-bit integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,24 +229,25 @@ def token_digests(stored: DataFrame) -> DataFrame:
             ids, at = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(at)
             sums = [zlib.crc32(ids[e - n:e].tobytes()) for e, n in zip(ends, at)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(sums, pa.int64())],
-                                             names=["doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(sums, pa.int64()), b.column(3), b.column(4)],
+                                             names=["doc_id", "n_tokens", "ids_crc32", "part", "row"])
 
-    return stored.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
+    return in_file_order(stored).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, part long, row long")
 
 
 def token_index(spark: SparkSession, folder: str, stage: Stage) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read from the file set; ``start``
-    counts the ids of all rows before, in the order of the files."""
+    counts the ids of all rows before, in the order of the files, so that a
+    reader finds the row's ids from ``start`` on in the concatenated lists."""
     digests = stage.write(token_digests(read_tokens(spark, folder)))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("n_tokens"), F.col("ids_crc32")]
-    return running_totals(stage, digests, order, {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return running_totals(stage, digests, [F.col("part"), F.col("row")], {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """Write a file set in the shared folder and return its index. Rows of one
-    id are numbered by length and checksum. An empty table gives no rows."""
+def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID,
+               folder: str | None = None) -> DataFrame:
+    """Write a file set, in the shared folder unless ``folder`` names another
+    one, and return its index. An empty table gives no rows."""
     stage = Stage(docs.sparkSession)
-    folder = f"{stage.base}/tokens"
+    folder = folder or f"{stage.base}/tokens"
     write_tokens(docs, folder, tokenizer, doc_id, text, end_id)
     return token_index(docs.sparkSession, folder, stage)
