@@ -43,8 +43,7 @@ def test_empty_tables(spark, make_docs, write_tables):
         assert run_both(spark, tables(spark, make_docs, write_tables, docs, items))["spark_rows"] == 0
 
 
-def test_without_broadcast(spark, make_docs, write_tables, monkeypatch):
-    monkeypatch.setattr(contamination, "BROADCAST_ROWS", 0)
+def test_without_broadcast(spark, make_docs, write_tables):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         res = run_both(spark, tables(spark, make_docs, write_tables, [(i, ITEM if i % 3 else "no") for i in range(90)], [(1, ITEM)]))
@@ -53,6 +52,21 @@ def test_without_broadcast(spark, make_docs, write_tables, monkeypatch):
     assert res["values_match"] and res["spark_rows"] == 60
 
 
+def test_a_prompt_that_all_items_share(spark, make_docs, write_tables, monkeypatch):
+    """Texts with the prompt don't meet every item that has it: the candidates grow with the texts, not with texts times items."""
+    prompt = "please read the question below and answer it with one word"
+    own = lambda i: " ".join(f"k{i}x{j}" for j in range(24))
+    n = 150
+    docs = [(i, f"{prompt} {' '.join(f'd{i}y{j}' for j in range(30))}") for i in range(n)] + [(1000 + i, f"lead in {prompt} {own(i)} and on") for i in range(5)]
+    items = [(i, f"{prompt} {own(i)}") for i in range(n)] + [(5000, prompt)]
+    written = []
+    plain = contamination.Stage.write
+    monkeypatch.setattr(contamination.Stage, "write", lambda self, df, **k: (written.append(plain(self, df, **k)), written[-1])[1])
+    res = run_both(spark, tables(spark, make_docs, write_tables, docs, items))
+    assert res["values_match"] and res["spark_rows"] == n + 10, res
+    assert written[-1].columns == ["doc_id", "item"] and written[-1].count() <= 2 * n + 10
+
+
 def test_decontaminate_keeps_clean_documents(spark, make_docs):
     docs = make_docs([(1, ITEM), (2, "clean text here"), (None, None), (3, "intro " + ITEM), (2, "clean text here")])
     kept = contamination.decontaminate(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))

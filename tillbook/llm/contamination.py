@@ -3,12 +3,15 @@
 A test item is contained in a document if the document has at least
 ``threshold`` of the item's distinct word shingles. Items are partitioned by
 the size of their shingle set. In a partition whose sets have at most ``u``
-shingles, an item's sketch is its ``k`` smallest shingle hashes (a bottom-k
-MinHash), with ``k = u - ceil(threshold u) + 1``: a document that contains
-the item can lack at most ``n - ceil(threshold n)`` of the item's ``n``
-shingles, so it has at least ``need = k - (n - ceil(threshold n)) >= 1`` of
-the sketch, however long it is. Documents with fewer hits are ruled out
-without error; the others are verified by exact shingle containment.
+shingles, an item's sketch is a weighted bottom-k MinHash: the ``k`` shingles
+that come first by the number of items that have them and then by hash, with
+``k = u - ceil(threshold u) + 1``. A document that contains the item can lack
+at most ``n - ceil(threshold n)`` of the item's ``n`` shingles, so it has at
+least ``need = k - (n - ceil(threshold n)) >= 1`` of any ``k`` of them,
+however long it is. Documents with fewer hits are ruled out without error; the
+others are verified by exact shingle containment. The weight keeps a prompt
+that many items share out of their sketches, so texts that hold the prompt
+don't meet all those items.
 
 DataFrame functions only; no Python runs on the executors.
 """
@@ -22,8 +25,6 @@ from tillbook.llm.common import Stage, fresh, let
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Rows of a table that may be broadcast (of 16 to 24 bytes each); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def content_words(text: Column) -> Column:
@@ -45,11 +46,6 @@ def shingle_texts(words: Column, n: int = SHINGLE_WORDS) -> Column:
     return F.coalesce(_windows(words, lambda *w: F.concat_ws(" ", *w), n), F.array().cast("array<string>"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, marked for broadcast where ``rows``, its count, is under the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def containments(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                  item_text: str = "text", n: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every document
@@ -71,17 +67,22 @@ def containments(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     k = (upper - F.ceil(F.lit(threshold) * upper - 1e-9) + 1).cast("int")
     sized = sets.withColumn("k", F.least(k, F.col("n_item"))).withColumn("need", F.greatest(F.lit(1), F.col("k") - (F.col("n_item") - least)))
     hashed = F.transform("s", lambda x: let(F.split(x, " "), lambda w: F.xxhash64(*[F.get(w, i) for i in range(n)])))
-    sketches = stage.write(sized.select("item", "need", F.explode(F.slice(F.sort_array(F.array_distinct(hashed)), 1, F.col("k"))).alias("h")))
+    shingle = stage.write(sized.select("item", "need", "k", F.explode(F.array_distinct(hashed)).alias("h")))
+    shared_by = shingle.groupBy("h").agg(F.count("*").alias("w"))
+    first = F.slice(F.sort_array(F.collect_list(F.struct("w", "h"))), 1, F.first("k"))  # the shingles of one item
+    sketches = shingle.join(shared_by, "h").groupBy("item").agg(F.first("need").alias("need"), first.alias("s"))
+    sketches = stage.write(sketches.select("item", "need", F.explode("s.h").alias("h")))
 
     pages = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
     hashes = pages.select("doc_id", F.explode(shingle_hashes(content_words(F.col("t")), n)).alias("h"))
-    hits = (hashes.join(_small(sketches, sketches.count()), "h").groupBy("doc_id", "item")
+    # no hints: sketches and candidates are written tables, so the planner knows their size
+    hits = (hashes.join(sketches, "h").groupBy("doc_id", "item")
             .agg(F.size(F.collect_set("h")).alias("hits"), F.first("need").alias("need")).filter("hits >= need"))
     found = stage.write(hits.select("doc_id", "item"))
 
     # exact containment of the candidates: only their documents' shingles are made, and only they are compared
     wanted = found.select("doc_id").distinct()
-    texts = pages.join(_small(wanted, wanted.count()), pages["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    texts = pages.join(wanted, pages["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     shingles = texts.select("doc_id", F.xxhash64("t").alias("copy"), F.explode(F.array_distinct(shingle_texts(content_words(F.col("t")), n))).alias("g"))
     pairs = found.join(sets, "item").select(F.col("doc_id").alias("d"), "item", "item_id", "n_item", F.explode("s").alias("g"))
     shared = (shingles.join(pairs, shingles["doc_id"].eqNullSafe(pairs["d"]) & (shingles["g"] == pairs["g"]))
@@ -97,4 +98,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     name = fresh(docs, "_leak")
     leaks = Stage(docs.sparkSession).write(
         containments(docs, items, doc_id, text, item_id, item_text, n, threshold).select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(_small(leaks, leaks.count()), F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_anti")
+    return docs.join(leaks, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_anti")
