@@ -44,6 +44,29 @@ def test_aliases(spark, write_tables):
     assert (got[2].rule, got[4].rule, got[11].host, got[11].path) == ("example.net/en/", None, "", "")
 
 
+DOTTED = {
+    "../../de/x": "block", "../de/y": "allow", "./../../de/./z": "block", "../../../../de/": "block", "/a/../de/": "block", "/de/../a": "allow",
+    "../../d&#101;/x": "block", "..&#47;..&#x2F;de&sol;": "allow", "&#46;&#46;/../de/?a&#38;b": "block", "http://example.com/q/../de/n": "block",
+    "//example.com/./de/n#.": "block", "?x=/../de/": "allow", "../../de/..": "allow", "../../de/.": "block", "&amp;#47;de/": "allow", "/de&#0;/": "allow",
+    "../../%64e/": "allow", "/&#1114112;": "allow", "/d&#xe9;/": "allow",
+}
+
+
+def test_dot_segments_and_character_references(spark, write_tables):
+    rows = [(i, f"http://x.example.com/a/b/page{i}", f'<link rel="canonical" href="{link}">') for i, link in enumerate(DOTTED)]
+    d, res = run_both(spark, write_tables, rows)
+    assert res["values_match"], res
+    got = {r.page_id: r.verdict for r in QUERIES["op10_url_filters"](spark, d).collect()}
+    assert {link: got[i] for i, link in enumerate(DOTTED)} == DOTTED
+
+
+def test_unescape(spark):
+    texts = {"&amp;amp;": "&amp;", "&#38;amp;": "&amp;", "&amp;#47;": "&#47;", "a&#x41;&#x1F600;&#233;": "aA\U0001F600é", "&#xD800;&#0;&#9999999;": "&#xD800;&#0;&#9999999;",
+             "&lt;&gt;&quot;&apos; ": "<>\"'", "&#065;": "A"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.u for r in df.select("t", url_alias.unescape(df.t).alias("u")).collect()} == texts
+
+
 def test_long_chain_and_empty(spark, write_tables):
     chain = [(i, f"http://c{i}.com/", f'<link rel="canonical" href="http://c{i + 1}.com/">') for i in range(60)] + [(99, "http://c60.com/", '<link rel="canonical" href="http://x.net/">')]
     d, res = run_both(spark, write_tables, chain)

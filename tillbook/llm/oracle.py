@@ -153,21 +153,47 @@ refs AS (
   SELECT url, regexp_extract(t, '(?i)[;,]\s*url\s*=\s*''?([^"''>]*)', 1) AS link
   FROM tags WHERE regexp_matches(t, '(?i)^<meta\s') AND regexp_matches(t, '(?i)\shttp-equiv\s*=\s*["'']?\s*refresh["''\s>/]')
 ),
-links AS (SELECT DISTINCT url, replace(trim(link), '&amp;', '&') AS link FROM refs WHERE trim(link) <> ''),
+-- character references: by number first, & itself in the last pass
+numbered AS (
+  SELECT url, list_reduce(list_distinct(regexp_extract_all(link, '&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});')), lambda t, r:
+    CASE WHEN (CASE WHEN regexp_matches(r, '^&#[xX]') THEN ('0x' || r[4:-2])::BIGINT ELSE r[3:-2]::BIGINT END) BETWEEN 1 AND 1114111 AND (CASE WHEN regexp_matches(r, '^&#[xX]') THEN ('0x' || r[4:-2])::BIGINT ELSE r[3:-2]::BIGINT END) NOT BETWEEN 55296 AND 57343 AND (CASE WHEN regexp_matches(r, '^&#[xX]') THEN ('0x' || r[4:-2])::BIGINT ELSE r[3:-2]::BIGINT END) <> 38
+         THEN replace(t, r, chr((CASE WHEN regexp_matches(r, '^&#[xX]') THEN ('0x' || r[4:-2])::BIGINT ELSE r[3:-2]::BIGINT END)::INT)) ELSE t END, trim(link)) AS link
+  FROM refs WHERE trim(link) <> ''
+),
+links AS (
+  SELECT DISTINCT url, regexp_replace(replace(replace(replace(replace(link, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)),
+                                      '&(?:amp|#0*38|#[xX]0*26);', '&', 'g') AS link
+  FROM numbered
+),
 parts AS (
   SELECT url, link, split_part(url, '://', 1) || '://' AS scheme, regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*') AS host,
          regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*([^?#]*)', 1) AS path
   FROM links
 ),
-edges AS (
-  SELECT url AS a, CASE
+joined AS (
+  SELECT url, CASE
     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
     WHEN starts_with(link, '//') THEN scheme[:-3] || link
     WHEN starts_with(link, '/') THEN scheme || host || link
     WHEN starts_with(link, '?') OR starts_with(link, '#') THEN scheme || host || path || link
-    ELSE scheme || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END AS b
+    ELSE scheme || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END AS whole
   FROM parts
 ),
+cut AS (
+  SELECT url, regexp_extract(whole, '^(.*?://[^/?#]*)', 1) AS head, regexp_extract(whole, '^.*?://[^/?#]*(/[^?#]*)', 1) AS path,
+         regexp_extract(whole, '^.*?://[^/?#]*(?:/[^?#]*)?(.*)$', 1) AS tail
+  FROM joined
+),
+segments AS (SELECT *, string_split(path[2:], '/') AS seg FROM cut),
+-- . and .. resolved, segment by segment
+edges AS (
+  SELECT url AS a, head || CASE WHEN NOT regexp_matches(path, '/\.\.?(?:/|$)') THEN path ELSE
+    '/' || array_to_string(list_concat(
+      list_reduce(list_transform(seg, lambda x: [x]), lambda kept, x: CASE WHEN x[1] = '..' THEN kept[:-2] WHEN x[1] = '.' THEN kept
+                                                                            ELSE list_concat(kept, x) END, []::VARCHAR[]),
+      CASE WHEN seg[-1] IN ('.', '..') THEN [''] ELSE [] END), '/') END || tail AS b
+  FROM segments
+),
 -- every URL: host, path, node and the verdict of the longest rule
 u AS (SELECT url FROM p UNION SELECT a FROM edges UNION SELECT b FROM edges),
 v AS (

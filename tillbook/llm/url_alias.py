@@ -70,20 +70,48 @@ def node_of(url: Column) -> Column:
     return F.concat(host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest))
 
 
-def _unescape(c: Column) -> Column:
-    return F.replace(F.trim(c), F.lit("&amp;"), F.lit("&"))
+def unescape(c: Column) -> Column:
+    """A trimmed attribute value with its character references decoded: those
+    by number, then the named ones of mark-up characters, with ``&`` in one
+    last pass, so that nothing is decoded twice."""
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(0)))
+
+    def decode(text: Column, ref: Column) -> Column:
+        hexed = ref.rlike("^&#[xX]")
+        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9A-Fa-f]+);", 1)
+        code = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
+        return F.when(known, F.replace(text, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(text)
+
+    c = F.aggregate(numbers, F.trim(c), decode)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(c, "&(?:amp|#0*38|#[xX]0*26);", "&")
+
+
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` on with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, 2, 2**30), "/")
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"),
+                       lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    solved = F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), solved).otherwise(path)
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """``link`` as an absolute URL, seen from the page at ``base``."""
+    """``link`` as an absolute URL, seen from the page at ``base``, without dot segments."""
     scheme = F.regexp_extract(base, "^(.*?)://", 1)
     root = F.concat(scheme, F.lit("://"), F.regexp_extract(_after_scheme(base), "^[^/?#]*", 0))
     folder = F.regexp_replace(path_of(base), "[^/]*$", "")
-    return (F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link))
-            .when(link.startswith("?") | link.startswith("#"), F.concat(root, path_of(base), link))
-            .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+    whole = (F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+             .when(link.startswith("/"), F.concat(root, link))
+             .when(link.startswith("?") | link.startswith("#"), F.concat(root, path_of(base), link))
+             .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+    cut = lambda group: F.regexp_extract(whole, "^(.*?://[^/?#]*)(/[^?#]*)?(.*)$", group)
+    return F.concat(cut(1), F.when(cut(2) == "", F.lit("")).otherwise(without_dots(cut(2))), cut(3))
 
 
 def alias_links(html: Column) -> Column:
@@ -94,7 +122,7 @@ def alias_links(html: Column) -> Column:
     href = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?i)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0))
     href = F.transform(href, lambda t: F.regexp_replace(t, r"(?i)^\s*href\s*=\s*[\"']?|[\"']$", ""))
     target = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?i)[;,]\s*url\s*=\s*'?([^\"'>]*)", 1))
-    return F.filter(F.transform(F.concat(href, target), _unescape), lambda x: x != "")
+    return F.filter(F.transform(F.concat(href, target), unescape), lambda x: x != "")
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
