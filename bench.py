@@ -20,8 +20,8 @@ from tillbook.registry import QUERIES  # noqa: E402
 from tillbook.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "sum_doc", "sum_total", "sum_wallet_compat",
-    "exp_index", "exp_index_deep", "exp_index_keyset", "inc_index",
+    "sum_doc", "sum_doc_all", "sum_total", "sum_wallet_compat", "sum_requests", "sum_total_requests",
+    "exp_index", "exp_index_deep", "exp_index_far", "exp_index_keyset", "inc_index",
     "exp_detail", "exp_latest", "inc_detail",
     "validate_expenses", "validate_transfers",
     "exp_insert", "exp_insert_tags", "transfer_fees",

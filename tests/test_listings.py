@@ -67,3 +67,17 @@ def test_expense_detail_and_latest(small_ledger):
     assert sorted(ids(sub)) == [3, 4]
     assert [r.id for r in EN.latest_income(small_ledger).collect()] == [5]
     assert EN.latest_expense(make_ledger(small_ledger.spark)).count() == 0
+
+
+def test_lists_under_a_collation(spark):
+    names = ["zebra", "Éclair", "eclair", "apple", "Ängström", "ECLAIR", "Zoo", "äpfel"]
+    led = make_ledger(spark, category=[(i, 1, n) for i, n in enumerate(names, 1)], wallet=list(enumerate(names, 1)),
+                      tag=[(i, n, i % 2 == 0) for i, n in enumerate(names, 1)])
+    want = ["Ängström", "äpfel", "apple", "ECLAIR", "eclair", "Éclair", "zebra", "Zoo"]
+    got = LS.category_list(led, Page(100, 0), "UNICODE_CI_AI").orderBy("pos").collect()
+    assert [r.name for r in got] == want and [r.pos for r in got] == list(range(8))
+    assert [r.name for r in LS.wallet_list(led, Page(3, 2), "UNICODE_CI_AI").orderBy("pos").collect()] == want[2:5]
+    tags = [r.name for r in LS.tag_list(led, TagFilter(), Page(100, 0), "UNICODE_CI_AI").orderBy("pos").collect()]
+    assert tags == [n for n in want if names.index(n) % 2 == 1] + [n for n in want if names.index(n) % 2 == 0]
+    # the ledger's own order puts letters with accents last
+    assert [r.name for r in LS.category_list(led, Page(100, 0)).orderBy("pos").collect()][-2:] == ["äpfel", "Éclair"]

@@ -63,3 +63,45 @@ def test_results_hold_without_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_bucketed_detail_shuffles_no_fact_table(spark, small_ledger, tmp_path):
+    from tillbook.sources.buckets import bucketed, read_bucketed
+
+    L = bucketed(small_ledger, "plan_test", str(tmp_path), buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that the tags are not broadcast either
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        tags = EN.tag_arrays(L.replace(tag=L.tag.hint("broadcast")))
+        joined = L.expense.join(tags.withColumnRenamed("expense_id", "id"), "id", "left")
+        text = plan(joined, executed=False)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in text and "Exchange hashpartitioning" not in text, text
+    again = read_bucketed(spark, small_ledger, "plan_test")
+    rows = lambda l: sorted(tuple(map(str, r)) for r in EN.expense_detail(l).collect())
+    assert rows(again) == rows(small_ledger)
+
+
+def test_latest_is_one_plan(spark, store):
+    """No job runs before the plan is executed, and the id reaches the reader."""
+    led = store.read()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("latest", "latest")
+    try:
+        top = EN.latest_expense(led)
+        assert not jobs.getJobIdsForGroup("latest")
+        text = plan(top, executed=False)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "subquery" in text.lower()
+    assert re.search(r"ReadSchema: struct<id:int>", text), text
+
+
+def test_a_far_page_numbers_ids_only(spark, store, monkeypatch):
+    seen = []
+    plain = LS.with_positions
+    monkeypatch.setattr(LS, "with_positions", lambda df, *a: (seen.append(df.columns), plain(df, *a))[1])
+    rows = LS.expense_index(store.read(), DateRange(), Page(2, 3), strategy="positions").collect()
+    assert [r.id for r in rows] == [4, 5] and seen == [["id"]]

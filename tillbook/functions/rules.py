@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillbook.params import MAX_PAGE_LIMIT
+
 # The strict date layout and the accepted priority levels.
-DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 PRIORITY_MIN, PRIORITY_MAX = 0, 2
 CONFLICT_SUFFIXES = (":duplicate", ":unknown", ":same_wallet")
 
@@ -22,6 +24,26 @@ def strict_date(text: Column) -> Column:
     return F.when(text.rlike(DATE_PATTERN), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def int_text(text: Column) -> Column:
+    """V-INT-STR: text -> 32-bit int, NULL if it is none or out of range."""
+    return F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("int"))
+
+
+def page_limit(text: Column) -> Column:
+    """A page's limit: the most, unless the text is a number from 0 to it."""
+    n = int_text(text)
+    return F.when(n.between(0, MAX_PAGE_LIMIT), n).otherwise(F.lit(MAX_PAGE_LIMIT))
+
+
+def page_offset(text: Column) -> Column:
+    return F.greatest(F.coalesce(int_text(text), F.lit(0)), F.lit(0))
+
+
+def bool_text(text: Column) -> Column:
+    """V-BOOL: ``true`` or ``false``, NULL (no filter) for anything else."""
+    return F.when(text.isin("true", "false"), text == "true")
+
+
 def missing(field: str, value: Column, corrupt: Column) -> Column:
     """Required field absent (and not already reported as mistyped)."""
     return F.when(value.isNull() & ~corrupt, F.lit(f"{field}:missing"))

@@ -11,7 +11,7 @@ the expense side is shuffled for the join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.nested import date_text, ordered_collect
@@ -60,21 +60,18 @@ def expense_detail(ledger: Ledger, ids: DataFrame | None = None) -> DataFrame:
     return _expense_shape(ledger, expenses, tag_arrays(ledger, et))
 
 
-def _max_id(df: DataFrame):
-    """One scalar (the highest id, or None) from a scan of the id column."""
-    return df.agg(F.max("id")).first()[0]
+def _top_id(df: DataFrame) -> Column:
+    """The highest id as a scalar subquery over the id column: it runs in the
+    plan that uses it, and its value reaches the parquet reader as a filter."""
+    return df.agg(F.max("id")).scalar()
 
 
 def latest_expense(ledger: Ledger) -> DataFrame:
     """Q-EXP-LATEST: the expense with the highest id (no row when empty).
-    The id is found first (id column only); the expense and its tags are
-    then read with ``id = <literal>`` filters, which reach the parquet reader
-    and skip row groups of the id-clustered store."""
-    top_id = _max_id(ledger.expense)
-    if top_id is None:
-        return _expense_shape(ledger, ledger.expense.limit(0), tag_arrays(ledger, ledger.expense_tag.limit(0)))
-    top = ledger.expense.filter(F.col("id") == F.lit(top_id))
-    et = ledger.expense_tag.filter(F.col("expense_id") == F.lit(top_id))
+    The expense and its tags are read with filters on that id, which skip row
+    groups of the id-clustered store."""
+    top = ledger.expense.filter(F.col("id") == _top_id(ledger.expense))
+    et = ledger.expense_tag.filter(F.col("expense_id") == _top_id(ledger.expense))
     # one expense: its tag array is a single row, so broadcasting it is bounded
     return _expense_shape(ledger, top, tag_arrays(ledger, et), small_tags=True)
 
@@ -96,7 +93,4 @@ def income_detail(ledger: Ledger, ids: DataFrame | None = None) -> DataFrame:
 
 def latest_income(ledger: Ledger) -> DataFrame:
     """Q-INC-LATEST: the income with the highest id, with its wallet."""
-    top_id = _max_id(ledger.income)
-    if top_id is None:
-        return _income_shape(ledger, ledger.income.limit(0))
-    return _income_shape(ledger, ledger.income.filter(F.col("id") == F.lit(top_id)))
+    return _income_shape(ledger, ledger.income.filter(F.col("id") == _top_id(ledger.income)))

@@ -4,7 +4,7 @@ Predicates are added only for bounds that are set, so the parquet reader
 sees plain comparisons. Pages plan as TakeOrderedAndProject (each task keeps
 offset + limit rows); keyset paging (``after_id``) is a pushed-down filter;
 a caller with a far offset may ask for ``strategy="positions"`` (a
-distributed sort that numbers every row).
+distributed sort that numbers every id).
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ def _by_id_page(df: DataFrame, page: Page, strategy: str) -> DataFrame:
         return page_of(df, [F.col("id")], page)
     if strategy != "positions":
         raise ValueError(f"unknown strategy {strategy!r}")
-    rows = with_positions(df, [F.col("id")], "_pos")
-    return rows.filter(F.col("_pos").between(page.offset, page.offset + page.limit - 1)).drop("_pos").orderBy("id")
+    # ids alone are sorted and numbered; the page's rows are read by their ids
+    ids = with_positions(df.select("id"), [F.col("id")], "_pos")
+    ids = ids.filter(F.col("_pos").between(page.offset, page.offset + page.limit - 1)).select("id")
+    return df.join(ids, "id", "left_semi").orderBy("id")
 
 
 def _index(table: DataFrame, r: DateRange, page: Page, strategy: str, after_id: int | None) -> DataFrame:
@@ -64,28 +66,31 @@ def income_index(ledger: Ledger, r: DateRange = DateRange(), page: Page = Page()
     return _index(ledger.income, r, page, strategy, after_id)
 
 
-def _name_order() -> list[Column]:
-    # LOWER(name) as in the ledger; name then id make ties deterministic
-    return [F.lower(F.col("name")), F.col("name"), F.col("id")]
+def _name_order(collation: str | None = None) -> list[Column]:
+    # LOWER(name) as in the ledger, or the name under a collation; name then id make ties deterministic
+    first = F.lower(F.col("name")) if collation is None else F.collate(F.col("name"), collation)
+    return [first, F.col("name"), F.col("id")]
 
 
-def category_list(ledger: Ledger, page: Page = Page()) -> DataFrame:
-    """Q-CAT-LIST: categories (id, name) by lower-case name, paged."""
-    return with_page_positions(ledger.category.select("id", "name"), _name_order(), page)
+def category_list(ledger: Ledger, page: Page = Page(), collation: str | None = None) -> DataFrame:
+    """Q-CAT-LIST: categories (id, name) by lower-case name, paged. Names that
+    are ordered under a ``collation`` (as ``UNICODE_CI_AI``: neither case nor
+    accents) are sorted by it instead, also in the lists below."""
+    return with_page_positions(ledger.category.select("id", "name"), _name_order(collation), page)
 
 
-def wallet_list(ledger: Ledger, page: Page = Page()) -> DataFrame:
+def wallet_list(ledger: Ledger, page: Page = Page(), collation: str | None = None) -> DataFrame:
     """Q-WALLET-LIST: wallets (id, name) by lower-case name, paged."""
-    return with_page_positions(ledger.wallet.select("id", "name"), _name_order(), page)
+    return with_page_positions(ledger.wallet.select("id", "name"), _name_order(collation), page)
 
 
-def tag_list(ledger: Ledger, f: TagFilter = TagFilter(), page: Page = Page()) -> DataFrame:
+def tag_list(ledger: Ledger, f: TagFilter = TagFilter(), page: Page = Page(), collation: str | None = None) -> DataFrame:
     """Q-TAG-LIST: tags, optional is_important filter, important first then
     lower-case name, paged."""
     tags = ledger.tag.select("id", "name", "is_important")
     if f.important is not None:
         tags = tags.filter(F.col("is_important") == F.lit(f.important))
-    order = [F.when(F.col("is_important"), 0).otherwise(1)] + _name_order()
+    order = [F.when(F.col("is_important"), 0).otherwise(1)] + _name_order(collation)
     return with_page_positions(tags, order, page)
 
 

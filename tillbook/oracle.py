@@ -578,3 +578,31 @@ SELECT date, wallet_id, SUM(amount)::BIGINT AS amount, COUNT(*) AS n FROM inc_mo
 """
 ORACLE["sum_requests_moved"] = ("WITH " + FIXTURE_CTES + REQUEST_CTES + _MOVED + _SUM_REQUESTS
                                 + _request_parts("exp_moved", "inc_moved") + _REQUEST_DOCUMENTS)
+
+# ---- collated lists, co-located detail, lenient parameters, far pages ------
+
+for _name in ("cat_list", "wallet_list", "tag_list"):
+    ORACLE[f"{_name}_collated"] = ORACLE[_name].replace("LOWER(name)", "name COLLATE NOCASE.NOACCENT")
+ORACLE["exp_detail_bucketed"] = ORACLE["exp_detail"]
+ORACLE["exp_index_far"] = ORACLE["exp_index_deep"].replace("OFFSET 10000", "OFFSET 100000")
+ORACLE["params_lenient"] = r"""
+WITH raw AS (
+  SELECT CAST(c_custkey + 1 AS INT) AS request_id,
+    [c_custkey::VARCHAR, NULL, '-5', '101', '100', '0', '+7', 'null', '', '99999999999', ' 5', '5.0', '1e1', '5' || chr(10)][c_custkey % 14 + 1] AS lim,
+    [c_custkey::VARCHAR, '-' || c_custkey, '+12', '2147483647', '2147483648', NULL, 'ten', '--1', '007'][c_custkey % 9 + 1] AS off,
+    [strftime(d, '%Y-%m-%d'), strftime(d, '%Y/%m/%d'), strftime(d, '%Y%m%d'), '1996-02-30', '1996-02-29', '1996-2-9', NULL, '0001-01-01', '1996-13-01',
+     '1996-02-29 ', 'today'][c_custkey % 11 + 1] AS first,
+    ['true', 'false', 'TRUE', '1', '', NULL, 'yes'][c_custkey % 7 + 1] AS flag
+  FROM (SELECT *, DATE '1995-01-01' + CAST(c_custkey % 2400 AS INT) AS d FROM customer)
+),
+num AS (
+  SELECT *, CASE WHEN regexp_full_match(lim, '[+-]?[0-9]+') THEN TRY_CAST(ltrim(lim, '+') AS BIGINT) END AS l,
+         CASE WHEN regexp_full_match(off, '[+-]?[0-9]+') THEN TRY_CAST(ltrim(off, '+') AS BIGINT) END AS o
+  FROM raw
+)
+SELECT request_id, CAST(CASE WHEN l BETWEEN 0 AND 100 THEN l ELSE 100 END AS INT) AS page_limit,
+       CAST(CASE WHEN o BETWEEN 0 AND 2147483647 THEN o ELSE 0 END AS INT) AS page_offset,
+       CASE WHEN regexp_full_match(first, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(first AS DATE) END AS first_day,
+       CASE flag WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS important
+FROM num
+"""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillbook import jobs
+from tillbook.functions import rules as RU
 from tillbook.functions.nested import to_json_text
 from tillbook.ledger import Ledger
 from tillbook.operators import changes as CH
@@ -26,6 +27,7 @@ from tillbook.operators import validate as V
 from tillbook.params import DateRange, Page, SummaryParams, TagFilter
 from tillbook.session import ensure_checkpoint_dir
 from tillbook.sources import requests as RQ
+from tillbook.sources.buckets import bucketed
 from tillbook.sources.store import LedgerStore, write_document
 
 # The standard summary request of FIXTURES.md.
@@ -518,3 +520,49 @@ QUERIES.update({
     "cube_income_moved": cube_income_moved,
     "sum_requests_moved": sum_requests_moved,
 })
+
+
+# ---- collated lists, co-located detail, lenient parameters, far pages --------
+
+COLLATION = "UNICODE_CI_AI"
+FAR_PAGE = Page(100, 100_000)
+
+
+def cat_list_collated(spark, sf_dir):
+    return LS.category_list(_ledger(spark, sf_dir), CAT_PAGE, COLLATION)
+
+
+def wallet_list_collated(spark, sf_dir):
+    return LS.wallet_list(_ledger(spark, sf_dir), WALLET_PAGE, COLLATION)
+
+
+def tag_list_collated(spark, sf_dir):
+    return LS.tag_list(_ledger(spark, sf_dir), TagFilter(), TAG_PAGE, COLLATION)
+
+
+def exp_detail_bucketed(spark, sf_dir):
+    """Every expense's detail from tables that are bucketed by expense id."""
+    L = bucketed(_ledger(spark, sf_dir), f"detail_{uuid.uuid4().hex}", _scratch(spark))
+    return _expense_json(EN.expense_detail(L))
+
+
+def params_lenient(spark, sf_dir):
+    """V-INT-STR, V-OPT-DATE and V-BOOL over a table of raw parameter texts."""
+    raw = RQ.parameter_texts(spark, sf_dir)
+    return raw.select("request_id", RU.page_limit(F.col("limit")).alias("page_limit"), RU.page_offset(F.col("offset")).alias("page_offset"),
+                      RU.strict_date(F.col("from")).alias("first_day"), RU.bool_text(F.col("important")).alias("important"))
+
+
+def exp_index_far(spark, sf_dir):
+    """The page from offset 100,000 (empty where the ledger is smaller)."""
+    return LS.expense_index(_ledger(spark, sf_dir), DateRange(), FAR_PAGE, strategy="positions")
+
+
+QUERIES.update({
+    "cat_list_collated": cat_list_collated,
+    "wallet_list_collated": wallet_list_collated,
+    "tag_list_collated": tag_list_collated,
+    "exp_detail_bucketed": exp_detail_bucketed,
+    "params_lenient": params_lenient,
+    "exp_index_far": exp_index_far,
+})

@@ -171,3 +171,29 @@ def summary_request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     doc = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
     return cu.select((k + 1).cast("int").alias("request_id"), F.when(_hit(k, 139, 30), F.concat(doc, F.lit("]"))).otherwise(doc).alias("value"))
+
+
+def parameter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, limit, offset, from, important): raw texts of listing
+    parameters, one row per customer; numbers with signs, out of range or
+    broken, dates in other layouts or that don't exist, words for booleans."""
+    cu = read_driver_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    t = k.cast("string")
+
+    def pick(*texts):
+        """One of the texts by the key's residue."""
+        out = F.lit(None).cast("string")
+        for i, x in enumerate(texts):
+            out = F.when(k % len(texts) == i, x).otherwise(out)
+        return out
+
+    lit = F.lit
+    day = F.date_add(lit("1995-01-01").cast("date"), (k % 2400).cast("int"))
+    limit = pick(t, lit(None).cast("string"), lit("-5"), lit("101"), lit("100"), lit("0"), lit("+7"), lit("null"), lit(""), lit("99999999999"), lit(" 5"),
+                 lit("5.0"), lit("1e1"), lit("5\n"))
+    offset = pick(t, F.concat(lit("-"), t), lit("+12"), lit("2147483647"), lit("2147483648"), lit(None).cast("string"), lit("ten"), lit("--1"), lit("007"))
+    first = pick(date_text(day), F.date_format(day, "yyyy/MM/dd"), F.date_format(day, "yyyyMMdd"), lit("1996-02-30"), lit("1996-02-29"), lit("1996-2-9"),
+                 lit(None).cast("string"), lit("0001-01-01"), lit("1996-13-01"), lit("1996-02-29 "), lit("today"))
+    important = pick(lit("true"), lit("false"), lit("TRUE"), lit("1"), lit(""), lit(None).cast("string"), lit("yes"))
+    return cu.select((k + 1).cast("int").alias("request_id"), limit.alias("limit"), offset.alias("offset"), first.alias("from"), important.alias("important"))
