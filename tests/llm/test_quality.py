@@ -1,5 +1,8 @@
 """Quality rules: the cascade, its order and hard rows (the query has SQL)."""
 
+import random
+import time
+
 import duckdb
 from oracle_check import compare, duck
 from pyspark.sql import functions as F
@@ -35,16 +38,59 @@ def test_hard_rows(spark, make_docs, write_tables):
 def test_hash_collisions_are_verified(spark, monkeypatch):
     """With one hash value for all windows, the words themselves decide."""
     monkeypatch.setattr(q.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
-    df = spark.createDataFrame([("a b c d a b c e f g",), ("a b c d e f g",)], "t string").select(q.n_repeat_words(F.col("t")).alias("n"))
+    df = spark.createDataFrame([("a b c d a b c e f g",), ("a b c d e f g",)], "t string").select(q.n_repeat_words(F.col("t"), q.words(F.col("t"))).alias("n"))
     assert [r.n for r in df.collect()] == [6, 0]
 
 
 def test_order_is_by_rejection_per_cost(spark, make_docs):
     a, b, c = (q.Rule(n, lambda f: f("n_words") < 0) for n in "abc")
-    assert [r.name for r in q.order_rules([q.Estimate(a, 0.1, 1.0), q.Estimate(b, 0.1, 0.1), q.Estimate(c, 0.0, 0.01)])] == ["b", "a", "c"]
-    found = q.estimate(make_docs([(1, CLEAN), (2, "few")]))
-    assert {e.rule.name for e in found} == {r.name for r in q.RULES}
-    assert next(e for e in found if e.rule.name == "few_words").rejected == 0.5
+    alone = {(True, False, False): 10, (False, True, False): 10, (False, False, False): 80}
+    assert [r.name for r in q.order_rules(q.Measured((a, b, c), (1.0, 0.1, 0.01), alone))] == ["b", "a", "c"]
+    # b rejects nothing that a lets through, so c comes before it
+    nested = {(True, True, False): 40, (True, False, False): 20, (False, False, True): 1, (False, False, False): 39}
+    assert [r.name for r in q.order_rules(q.Measured((a, b, c), (0.1, 0.1, 0.1), nested))] == ["a", "c", "b"]
+    found = q.measure(make_docs([(1, CLEAN), (2, "few")]))
+    assert found.rules == q.RULES and found.rejected(0) == 0.5 and found.rejected(1, [0]) == 0.0 and min(found.seconds) > 0
+
+
+def test_order_bears_noise():
+    """Costs that differ by a quarter from run to run, rules that reject nothing."""
+    rng = random.Random(1)
+    hits = {(True, False, False, False): 15, (False, True, False, False): 4, (False, False, True, False): 3, (False,) * 4: 78}
+    rules = [q.Rule(n, lambda f: f("n_words") < 0) for n in "abcd"]
+    orders = set()
+    for _ in range(200):
+        cost = tuple(c * rng.uniform(0.8, 1.25) for c in (0.016, 1.0, 0.064, 0.25))
+        orders.add("".join(r.name for r in q.order_rules(q.Measured(tuple(rules), cost, hits))))
+    assert orders == {"acbd"}
+
+
+def test_cascade_is_cheaper_than_all_features(spark):
+    """Long texts that a cheap rule rejects never reach the costly one."""
+    docs = spark.range(3000).select(F.concat(F.repeat(F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id") % (i + 2)) for i in range(40)]), 12),
+                                             F.when(F.col("id") % 10 < 8, F.repeat(F.lit(" #"), 200)).otherwise("")).alias("text"))
+    docs = docs.repartition(8).cache()
+    ordered = q.order_rules(q.measure(docs))
+    assert [r.name for r in ordered].index("symbols") < [r.name for r in ordered].index("repeated_words")
+    t = F.col("text")
+
+    def best(c):
+        times = []
+        for _ in range(4):
+            began = time.perf_counter()
+            docs.agg(F.count(c)).first()
+            times.append(time.perf_counter() - began)
+        return min(times[1:])
+
+    every = q.shared(t, lambda f: F.struct(*[f(n).alias(n) for n in q.FEATURES]))
+    assert best(q.shared(t, lambda f: q.verdict(ordered, f))) < best(F.to_json(every))
+    docs.unpersist()
+
+
+def test_words_are_split_once(spark):
+    """One split of words in the cascade's plan, whatever the number of rules."""
+    plan = spark.createDataFrame([("a b",)], "text string").select(q.shared(F.col("text"), lambda f: q.verdict(q.RULES, f)).alias("v"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2  # of words, and of lines
 
 
 def test_later_rules_do_not_run_on_rejected_rows(spark):
