@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,15 +228,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     kept. Where that id stands on several rows, one of them stays; a group of
     null ids keeps one row."""
     stage = Stage(docs.sparkSession)
-    fp, order = fresh(docs, "_fp"), fresh(docs, "_order")
-    rows = stage.write(with_fingerprints(docs, text, fp, shingle))
-    ids = rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(fp).alias("fp"))
-    groups = near_groups(stage, ids, "doc_id", "fp", radius)
-    # the fingerprint that holds the group's document: one row for each group
-    holder = (ids.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
-              .groupBy("root").agg(F.min("fp").alias("_fp_kept"), F.first("group_id").alias("_id_kept"))).drop("root")
-    holder = stage.write(holder, rows=rows.count())
-    kept = rows.join(holder, (F.col(fp) == F.col("_fp_kept")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id_kept")), "left_semi")
-    one = Window.partitionBy(fp, f"`{id_col}`").orderBy(F.xxhash64(f"`{text}`"))
-    kept = kept.withColumn(order, F.row_number().over(one)).filter(F.col(order) == 1)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row_h, row_g = fresh(docs, "_row_h"), fresh(docs, "_row_g")
+    ident = [F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(f"`{text}`").isNull(), F.col(f"`{text}`")]
+    keyed = docs.withColumn(row_h, F.xxhash64(*ident)).withColumn(row_g, F.xxhash64(F.lit(1), *ident))
+    # all is decided on narrow rows: id, fingerprint and two hashes of id and text
+    one = keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(row_h).alias("h"), F.col(row_g).alias("g"))
+    rows = stage.write(with_fingerprints(one, "text", "fp", shingle).select("doc_id", "fp", "h", "g"))
+    total = rows.count()
+    groups = near_groups(stage, rows, "doc_id", "fp", radius)
+    # of each group the rows with its id, by fingerprint and hash the first of them
+    first = (rows.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
+             .groupBy("root").agg(F.min(F.struct("fp", "h", "g")).alias("k")).select("k.h", "k.g"))
+    again = rows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+    first = stage.write(first.join(again.withColumn("again", F.lit(True)), ["h", "g"], "left").withColumn("again", F.col("again").isNotNull()), rows=total)
+    # the texts are shuffled once; only repeated rows of a kept one are also brought together
+    kept = lambda which: keyed.join(first.filter(which).select(F.col("h").alias(row_h), F.col("g").alias(row_g)), [row_h, row_g], "left_semi")
+    out = kept(~F.col("again")).unionByName(kept(F.col("again")).dropDuplicates([row_h, row_g]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
