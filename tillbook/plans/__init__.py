@@ -1 +1 @@
-"""Plan-shaping helpers: size-checked broadcast, global positions, plan checks."""
+"""Plan-shaping helpers: global positions and prefix sums, one-row frames, written tables."""
