@@ -36,6 +36,14 @@ def template_regex(template):
     return re.compile("(?<![^ ])" + out)
 
 
+def stands(label, regex, line):
+    """Whether the template matches at some word; a notice not just after a negation."""
+    if not label.endswith("-notice"):
+        return regex.search(line) is not None
+    return any(regex.match(line, m.start()) and not re.search(r"(?<![^ ])(not|never|no|cannot|neither|nor) ([^ ]+ )?$", line[:m.start()])
+               for m in re.finditer(r"[^ ]+", line) if line.startswith(("this ", "licensed ", "released ", "under "), m.start()))
+
+
 def check(rows, docs):
     regex = {k: template_regex(v) for k, v in lc.TEMPLATES.items()}
     want = []
@@ -43,7 +51,7 @@ def check(rows, docs):
         text = d["text"] or ""
         b = brute(text)
         line = " ".join(w.decode() for w in lc.scan_words(text.encode())) + " "
-        found = {k for k, r in regex.items() if r.search(line)}
+        found = {k for k, r in regex.items() if stands(k, r, line)}
         base = set(filter(None, b[4].split(",")))
         want.append((d["doc_id"], *b, ",".join(sorted(base | found)), lc.score(base, found)))
     key = lambda r: (r[0] is None, r)
@@ -60,12 +68,16 @@ def test_hard_rows(make_docs):
     mit = re.sub(r"<<\w+>>", "", lc.TEMPLATES["mit-text"]).replace("including the next paragraph", "")
     rows = [(1, None), (2, ""), (3, "CC-BY cc by-nc 4.0; CC  BY"), (4, "Released\nunder THE MIT License."), (4, "Released\nunder THE MIT License."), (None, "apache license"),
             (5, mit.upper()), (6, mit.replace("merge", "marge")), (7, "é" * 10 + " Éa ß"), (8, "x " * 50_000 + "MIT license"), (9, "a\x00b\x7fc{d"),
-            (10, "This big work here is licensed under the GNU General Public License, version 3."), (11, "licensed under the Apache License, Version 2.0"), (12, "mit mit license license")]
+            (10, "This big work here is licensed under the GNU General Public License, version 3."), (11, "licensed under the Apache License, Version 2.0"), (12, "mit mit license license"),
+            (13, "this is not licensed under the MIT license"), (14, "All rights reserved. No license is granted."),
+            (15, "It is never licensed under the Apache License. Licensed under the Apache License"), (16, "not released under the mit license")]
     docs = make_docs(rows)
     got = lc.scan_licenses(docs).collect()
     check(got, docs.collect())
     by = {r.doc_id: r for r in got}
     assert "mit-text" in by[5].labels and by[6].labels == "" and by[4].labels == "mit,mit-notice" and by[10].labels == "gpl,gpl-notice"
+    assert (by[13].labels, by[13].score) == ("mit", 0.5) and (by[14].labels, by[14].score) == ("all-rights-reserved", 0.25)
+    assert (by[15].labels, by[15].score) == ("apache,apache-notice", 0.75) and by[16].labels == "mit" and by[5].score == 1.0 and by[4].score == 0.75
     assert lc.scan_licenses(docs.limit(0)).collect() == []
 
 
@@ -112,6 +124,36 @@ USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEOR
 NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+
+See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+LGPL = GPL.replace("GNU General", "GNU Lesser General").replace("program", "library")
+
+
+@pytest.mark.parametrize("label, text", [("apache-header", APACHE), ("gpl-header", GPL), ("lgpl-header", LGPL)])
+def test_headers_are_whole(label, text):
+    def found(t):
+        n, places, base, labels = lc.Scanner().scan(t.encode())
+        return labels & {label}, lc.score(base, labels)
+
+    assert found(f"# {text}\nimport x") == ({label}, 1.0)
+    first, last = text.rsplit("\n\n", 1)
+    assert found(first)[0] == set() and found(f"{first}\n\nCommercial use is forbidden.")[0] == set()
+    assert found(f"{first}\n\nCommercial use is forbidden.")[1] < 1.0
+    assert found(f"{first}\n\nCommercial use is forbidden. {last}")[0] == set()
+
+
 @pytest.mark.parametrize("label, text", [("mit-text", MIT), ("isc-text", ISC), ("bsd-text", BSD)])
 def test_whole_wording_is_mandatory(label, text):
     found = lambda t: lc.Scanner().scan(t.encode())[3]

@@ -5,6 +5,10 @@ Templates are license wordings with markup: ``<<beginOptional>>`` and
 where ``a`` to ``b`` words of any kind may stand. A template compiles into an
 automaton over words that accepts a place of a text only if all mandatory
 words stand there exactly, in order, with nothing else between them.
+
+Wordings are whole licenses or whole standard headers. Notices are single
+sentences that name a license; they score less, and one that is negated just
+before it ("not licensed under ...") is no notice.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ TEMPLATES = {
         licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
         you may obtain a copy of the license at <<var;words="0,8">> unless required by applicable law or agreed to in writing software
         distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
-        <<beginOptional>> see the license for the specific language governing permissions and limitations under the license <<endOptional>>""",
+        see the license for the specific language governing permissions and limitations under the license""",
     "apache-notice": """
         <<beginOptional>> this <<var;words="1,3">> is <<endOptional>> licensed under the apache license <<beginOptional>> version
         <<var;words="1,2">> <<endOptional>>""",
@@ -54,7 +58,9 @@ TEMPLATES = {
         <<beginOptional>> sa <<endOptional>> <<beginOptional>> nd <<endOptional>> <<beginOptional>> <<var;words="1,2">> <<endOptional>>""",
     "gpl-header": """
         this <<var;words="1,4">> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published
-        by the free software foundation either version <<var;words="1,2">> of the license or at your option any later version""",
+        by the free software foundation either version <<var;words="1,2">> of the license or at your option any later version
+        this <<var;words="1,4">> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu general public license for more details""",
     "gpl-notice": """
         <<beginOptional>> this <<var;words="1,3">> is <<endOptional>> licensed under the <<beginOptional>> terms of the <<endOptional>> gnu general
         public license <<beginOptional>> version <<var;words="1,2">> <<endOptional>>""",
@@ -65,6 +71,11 @@ TEMPLATES = {
         <<var;words="1,12">> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use
         data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
         performance of this software""",
+    "lgpl-header": """
+        this <<var;words="1,4">> is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as
+        published by the free software foundation either version <<var;words="1,2">> of the license or at your option any later version
+        this <<var;words="1,4">> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu lesser general public license for more details""",
     "mit-notice": """
         <<beginOptional>> this <<var;words="1,3">> is <<endOptional>> <<beginOptional>> released <<endOptional>> <<beginOptional>> licensed
         <<endOptional>> under the mit license""",
@@ -79,6 +90,12 @@ TEMPLATES = {
         or the use or other dealings in the software""",
 }
 
+#: Labels of templates that hold no license but a sentence that names one, and of the one that grants nothing.
+NOTICES = frozenset({"apache-notice", "cc-notice", "gpl-notice", "mit-notice"})
+RESERVED = frozenset({"all-rights-reserved"})
+#: Words that negate a notice, one or two words before it.
+NEGATIONS = frozenset({b"not", b"never", b"no", b"cannot", b"neither", b"nor"})
+
 MARKUP = re.compile(r'<<beginOptional>>|<<endOptional>>|<<var;words="\d+,\d+">>|[^\s<]+')
 
 #: Byte table of the word rule: A-Z lower-cased; digits, a-z and bytes of other characters kept; the rest blank.
@@ -197,14 +214,18 @@ class Scanner:
                     places.append(i)
                     base.add(label)
             for label in self.by_start.get(words[i], ()):
-                if label not in found and self.automata[label].accepts(words, i):
+                negated = label in NOTICES and not NEGATIONS.isdisjoint(words[max(0, i - 2):i])
+                if label not in found and not negated and self.automata[label].accepts(words, i):
                     found.add(label)
         return len(words), places, base, found
 
 
 def score(base: set[str], found: set[str]) -> float:
-    """1 where a template's wording is complete, 0.5 where only a phrase stands, else 0."""
-    return 1.0 if found else 0.5 if base else 0.0
+    """1 where the wording of a license or header is complete, 0.75 for a notice,
+    0.5 where only a phrase stands, 0.25 where rights are only reserved, else 0."""
+    if found - NOTICES - RESERVED:
+        return 1.0
+    return 0.75 if found & NOTICES else 0.5 if base else 0.25 if found else 0.0
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
