@@ -47,7 +47,7 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
     tag_ids = ledger.tag.select(F.col("id").alias("_tag"))
     # the distinct ids meet the tag table, and only the few unknown ones meet the elements again
     named = x.select(*keys, F.explode("tagIds").alias("_tag")).filter(F.col("_tag") >= 1)
-    unknown = fix(named.select("_tag").distinct().join(tag_ids, "_tag", "left_anti"))
+    unknown = named.select("_tag").distinct().join(tag_ids, "_tag", "left_anti")
     x = _flag_keys(x, named.join(unknown, "_tag", "left_semi"), keys, "_tag_unknown")
     corrupt = F.col("_corrupt")
     doc = F.col("doc_ok") if extra else F.lit(True)

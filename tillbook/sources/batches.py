@@ -47,12 +47,12 @@ def _with_document(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    return F.try_variant_get(v, "$", "struct<x:variant>").isNotNull()
 
 
-def _typed(rows: DataFrame, v: str, schema: T.StructType, wrong: Column | None = None) -> DataFrame:
+def _typed(rows: DataFrame, v: str, schema: T.StructType, readable: Column, wrong: Column | None = None) -> DataFrame:
     """``rows`` plus ``e``: the fields of the VARIANT ``v`` by ``schema`` (NULL
-    where the type is another one), ``_readable`` (an object), ``_corrupt``
+    where the type is another one), ``_readable`` (as given), ``_corrupt``
     (a number field of another type, or ``wrong``) and ``_mistyped`` (that, or
     any field of another type). Integers must be whole, unquoted and fit 32 bits."""
     names = [f.name for f in schema.fields]
@@ -74,7 +74,6 @@ def _typed(rows: DataFrame, v: str, schema: T.StructType, wrong: Column | None =
     rows = rows.withColumns(taken)
     bad = lambda n: F.coalesce((kinds[n] != ABSENT) & values[n].isNull(), F.lit(False))
     some = lambda which: F.array_contains(F.array(F.lit(False), *[bad(n) for n in which]), True)
-    readable = F.coalesce(_is_object(F.col(v)), F.lit(False))
     corrupt = some([n for n, x in zip(names, number) if x]) | ~readable
     if wrong is not None:
         corrupt = corrupt | wrong
@@ -90,7 +89,7 @@ def parse_requests(rows: DataFrame, key: str, schema: T.StructType) -> DataFrame
     rows = _with_document(rows.select(key, "value"), "value", "_doc")
     # lazily: only a refused text is parsed again, up to the end of its first value
     rows = rows.withColumn("_v", F.coalesce(F.col("_doc"), F.try_parse_json("value")))
-    return _typed(rows, "_v", schema, F.col("_doc").isNull()).select(key, "e")
+    return _typed(rows, "_v", schema, F.coalesce(_is_object(F.col("_v")), F.lit(False)), F.col("_doc").isNull()).select(key, "e")
 
 
 def read_documents(spark: SparkSession, path: str, key: str = "batch_id") -> DataFrame:
@@ -125,7 +124,8 @@ def explode_batches(docs: DataFrame, array_key: str, element_schema: T.StructTyp
     good = F.col("_again") | F.forall("items", _is_object)
     rows = rows.select("batch_id", F.when(good, F.col("items")).alias("items"))
     rows = rows.select("batch_id", F.col("items").isNotNull().alias("doc_ok"), F.posexplode_outer("items").alias("pos", "_v"))
-    return _typed(rows.filter(~F.col("doc_ok") | F.col("pos").isNotNull()), "_v", element_schema).select("batch_id", "doc_ok", "pos", "e")
+    rows = rows.filter(~F.col("doc_ok") | F.col("pos").isNotNull())
+    return _typed(rows, "_v", element_schema, F.col("_v").isNotNull()).select("batch_id", "doc_ok", "pos", "e")  # elements are objects, or NULL
 
 
 def expense_elements(docs: DataFrame):
