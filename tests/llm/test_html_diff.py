@@ -114,6 +114,53 @@ def test_left_out_elements(html, want):
     assert "|".join(t for t, _ in hd.blocks(html)) == want
 
 
+@pytest.mark.parametrize("name", ["post-comments", "reader-comments", "user-comments", "related-stories", "google-ad", "newsletter-signup", "primary-nav",
+                                  "cookie-policy", "ad-leaderboard", "social-media-links", "userComments", "article__comments--open", "comment-form", "copyright-notice"])
+def test_boxes_by_their_head_word(name):
+    assert "|".join(t for t, _ in hd.blocks(f"<article><h1>a</h1><p>b</p><div class='{name}'><p>x</p>y</div><p>c</article>")) == "a|b|c"
+    for text in ("h2", "p"):  # never a heading or a paragraph
+        assert "|".join(t for t, _ in hd.blocks(f"<article><{text} class='{name}'>a</{text}><p>b</article>")) == "a|b"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "post-header", "share-price", "social-impact", "content-with-sidebar", "ad-hoc-query", "notice-period", "sharing-data", "hero-banner"])
+def test_boxes_that_only_mention_a_word_stay(name):
+    assert "|".join(t for t, _ in hd.blocks(f"<article>a<div class='{name}'><h1>b</h1>c</div>d</article>")) == "a|b|c|d"
+
+
+def test_a_box_around_the_whole_page():
+    assert hd.blocks("<div class='content-sidebar-wrap'>x<main><h1>a</h1><p>b</main></div>") == [("a", True), ("b", True)]
+
+
+def test_lines_of_boxes_are_aligned_too(spark):
+    def page(n):
+        return (f"<head><title>t</title></head><nav><a>home</a><p>today {n}</p></nav><div>Site line</div><article><h1>Weekly</h1><p>own {n}</p>"
+                f"<div class='share-price'>Buy now</div></article><footer>Imprint</footer>")
+
+    rows = [(i, f"http://h.com/a/{i}", page(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in hd.extract(df).collect()}
+    for i, r in got.items():
+        assert r.text == f"Weekly\n\nown {i}"  # the article's own shared heading stays, the shared line of a doubtful box goes
+        assert r.n_shared == 4 and r.n_boxed == 1  # home, Site line, Buy now, Imprint; then the menu's own line
+
+
+def test_given_pages_lose_shared_lines(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = hd.extract(pages).collect()
+    assert sum(r.n_shared for r in rows) > 0  # on the unchanged tables
+    lines = {p.page_id: hd.page_blocks(p.html) for p in pages.collect()}
+    for r in rows:
+        found = lines[r.page_id]
+        assert r.n_shared + r.n_boxed == sum(x.boxed for x in found) and len([x for x in r.text.split("\n\n") if x]) == sum(not x.boxed for x in found)
+
+
+def test_slices_of_long_pages(spark, monkeypatch):
+    rows = [(i, f"http://h.com/{i}", f"<p>own {i} " + "long " * (20_000 if i % 3 else 2) + "</p><p>same</p>") for i in range(40)]
+    monkeypatch.setattr(hd, "SLICE_BYTES", 150_000)
+    got = texts(spark, rows)
+    assert len(got) == 40 and all(got[i].startswith(f"own {i} long") and not got[i].endswith("same") for i in range(40))
+
+
 def test_copies_stand_for_each_other(spark):
     def page(own):
         return f"<div>Site name</div><div>Menu x</div><p>{own}</p><div>Read more</div>"

@@ -1,26 +1,33 @@
 """HTML extraction with nearest-URL page differencing.
 
-A page is read into text lines (blocks), each marked as inside or outside the
-page's article element; menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out by their elements and
-class or id words. Within a host, pages are ordered by URL path; a page is
-paired with the neighbour of the longest common path, the lines of both are
-aligned by a longest common subsequence, and the shared lines are deleted,
-for they come from the site's template. Every page is aligned; an article
-element only protects its lines afterwards, as shared ones are quotations
-there, and never takes lines from the rest of the page.
+A page is read once into text lines (blocks), menus, headers, footers and other
+boxes included; only the head, scripts, styles and the like hold no lines.
+Within a host, pages are ordered by URL path; a page is paired with the
+neighbour of the longest common path, the lines of both are aligned by a
+longest common subsequence, and the shared lines are deleted, for they come
+from the site's template. What differencing left is then judged by rules:
+lines of boxes whose element, class, id or role says that they are a menu, a
+header, a footer, a sidebar, a notice, an advert, a form or reader comments go.
+
+Shared lines inside an article element are quotations or repeated headings and
+stay, unless a box around them has a doubtful name (a word of such a box in
+it, but not as the word that says what the box is): then the name and
+the neighbour vote together, and the line goes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 from html import unescape
 from math import isqrt
+from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import Stage, running_totals
@@ -41,80 +48,132 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ban
 # Words that beside those above only say which part or place of a box it is.
 PLACES = frozenset("site page main top bottom left right container wrapper wrap box bar list area slot inner outer item items content body links buttons "
                    "posts articles title".split())
+# Those of them that say what a box is whatever words stand before ("post-comments"); a header or banner may hold the heading.
+HEADS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
+                  "notice notices cookie cookies consent gdpr popup modal comment comments disqus social related newsletter subscribe "
+                  "subscription".split())
+# Words that, standing last, leave it to the word before what the box is ("related-stories", "comment-form").
+CARRIERS = PLACES | frozenset("section panel block group row column form signup thread count leaderboard skyscraper rectangle unit media icons stories news "
+                              "policy settings toggle".split())
+# Words before a box's name that tell the state of what holds it ("has-sidebar").
+STATES = frozenset("has with no without is show hide hidden open closed toggle js".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 # Headings and text blocks; their ids are anchors, often made from the heading's words.
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th blockquote pre figure figcaption".split())
 ROOTS = frozenset(["html", "body", "article", "main"])
 
+#: Pages, and bytes of html, that a task turns into Python objects at a time.
+SLICE_PAGES, SLICE_BYTES = 500, 16 << 20
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^'">]|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 RAW_END = {name: re.compile(rf"</{name}(?![a-z0-9])", re.I) for name in RAW}
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARK = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def _marks_boilerplate(word: str, places: bool) -> bool:
-    """Whether a class or id name as a whole marks what isn't the article:
-    every part is such a word, or (with ``places``) a number or the word of a place."""
-    parts = [x for x in re.split(r"[-_]+", word) if x]
-    rest = [x for x in parts if x not in BOILERPLATE]
-    return len(rest) < len(parts) and (not rest or places and all(x in PLACES or x[0].isdigit() for x in rest))
+class Line(NamedTuple):
+    """A block with text: references decoded, white space runs as one space."""
+
+    text: str
+    inside: bool  # an article or main element
+    boxed: bool  # in a box that the rules leave out
+    doubtful: bool  # in a box of a doubtful name
+
 
+KEEP, DOUBTFUL, LEAVE_OUT = range(3)
 
-def _boilerplate(name: str, tag: str) -> bool:
-    """Whether an element is left out, by its name or its class, id and role."""
+
+@lru_cache(maxsize=20_000)
+def _judge_name(word: str, box: bool, whole: bool) -> int:
+    """What a class or id name says. It leaves an element out if every part
+    marks what isn't the article or, for a ``box``, is a number or the
+    word of a place; for a box also if its head word does: the last part that is no
+    carrier, number or (after "--") modifier. A box that only has such a word
+    in it is doubtful. ``whole`` names are anchors, judged as a whole."""
+    parts = [x.lower() for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", word.split("--")[0]) if x]
+    rest = [x for x in parts if x not in BOILERPLATE]
+    if len(rest) == len(parts):
+        return KEEP
+    if not rest or box and not whole and all(x in PLACES or x[0].isdigit() for x in rest):
+        return LEAVE_OUT
+    if not box or whole or STATES.intersection(parts):
+        return KEEP
+    while parts[-1] not in HEADS and (parts[-1] in CARRIERS or parts[-1][0].isdigit()):
+        parts.pop()
+    return LEAVE_OUT if parts[-1] in HEADS else DOUBTFUL
+
+
+def _judge(name: str, tag: str) -> int:
+    """What the name of an element and its class, id and role say of it."""
     if name in DROPPED:
-        return True
+        return LEAVE_OUT
     if name in ROOTS:
-        return False
-    text = name in TEXT_BLOCKS or name in INLINE
+        return KEEP
+    box = name not in TEXT_BLOCKS and name not in INLINE
+    found = KEEP
     for key, *values in MARK.findall(tag):
         key = key.lower()
-        if key == "id" and text:
+        if key == "id" and not box:
             continue
-        for word in "".join(values).lower().split():
+        for word in "".join(values).split():
             if key == "role":
-                if word in BOILERPLATE_ROLES:
-                    return True
-            elif _marks_boilerplate(word, places=not text and (key == "class" or name != "section")):
-                return True
-    return False
+                if word.lower() in BOILERPLATE_ROLES:
+                    return LEAVE_OUT
+            else:
+                found = max(found, _judge_name(word, box, key == "id" and name == "section"))
+                if found == LEAVE_OUT:
+                    return found
+    return found
 
 
 def blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, inside an article or main element) of every block with text, in
-    page order: references decoded, white space runs as one space."""
-    found: list[tuple[str, bool]] = []
+    """(text, inside an article or main element) of the lines that the rules keep."""
+    return [(x.text, x.inside) for x in page_blocks(html) if not x.boxed]
+
+
+def page_blocks(html: str) -> list[Line]:
+    """Every block with text in page order, those of left-out boxes included.
+    Only the head and raw elements (scripts, styles, ...) hold none."""
+    found: list[Line] = []
     held: list[str] = []
+    boxed: list[str] = []  # text of the element that is left out
     article = 0
     skipping, depth = "", 0  # the element that is left out, and how many of its name are open
     within: dict[str, int] = {}  # how many others are open in it, by name
-    stack: list[str] = []  # open blocks around it
+    stack: list[tuple[str, bool]] = []  # open blocks around it, and whether their names are doubtful
     opened: dict[str, int] = {}  # how many of them, by name
+    doubts = 0  # how many of them are doubtful
 
     def leave() -> None:
-        opened[stack.pop()] -= 1
-
+        nonlocal doubts
+        last, doubtful = stack.pop()
+        opened[last] -= 1
+        doubts -= doubtful
+
+    def put(parts: list[str], left_out: bool) -> None:
+        if parts:
+            text = " ".join(unescape("".join(parts)).split())
+            if text:
+                found.append(Line(text, article > 0, left_out, doubts > 0))
+            parts.clear()
 
     def flush() -> None:
-        if held:
-            text = " ".join(unescape("".join(held)).split())
-            if text:
-                found.append((text, article > 0))
-            held.clear()
+        put(boxed, True)
+        put(held, False)
 
     at = 0
     while m := TOKEN.match(html, at):
         tag, at = m.group(), m.end()
         if tag[0] != "<" or len(tag) == 1:
-            if not skipping:
-                held.append(tag)
+            if skipping != "head":
+                (boxed if skipping else held).append(tag)
             continue
         if tag[1] in "!?":
             continue
         name = NAME.match(tag)
         if not name:
-            if not skipping:
-                held.append(tag)  # "</3" and the like are text
+            if skipping != "head":
+                (boxed if skipping else held).append(tag)  # "</3" and the like are text
             continue
         name, closing = name.group(1).lower(), tag[1] == "/"
         if name in RAW:
@@ -123,11 +182,16 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                 at = end.start() if end else len(html)
             continue
         if skipping:
+            if name == "br":
+                boxed.append(" ")
+            elif name not in INLINE:
+                put(boxed, True)
             ends = False  # whether this tag ends it from outside, and is looked at below
             if closing:
                 if name == skipping:
                     depth -= 1
                     if depth == 0:
+                        put(boxed, True)
                         skipping = ""
                 elif within.get(name):
                     within[name] -= 1
@@ -136,8 +200,8 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                             and name in ("ul", "ol", "dl", "table", "tbody", "div", "section", "article", "body"))
             elif name in SELF_CLOSING.get(skipping, ()) or skipping == "p" and name not in INLINE and name not in VOID:
                 ends = True  # the next item
-            elif skipping == "nav" and name in ("article", "main"):
-                ends = True  # an unclosed menu
+            elif skipping == "nav" and name in ("article", "main") or skipping == "div" and name == "main":
+                ends = True  # an unclosed menu, or a box around the whole page
             elif name not in VOID and not tag.endswith("/>"):
                 if name == skipping:
                     depth += 1
@@ -145,30 +209,36 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                     within[name] = within.get(name, 0) + 1
             if not ends:
                 continue
+            put(boxed, True)
             skipping = ""
         if name == "br":
             held.append(" ")
         elif name in INLINE:
-            if not closing and name not in VOID and _boilerplate(name, tag):
+            if not closing and name not in VOID and _judge(name, tag) == LEAVE_OUT:
                 skipping, depth, within = name, 1, {}
         else:
             flush()
-            if stack and stack[-1] == "p" and not (closing and name == "p"):
+            verdict = KEEP
+            if stack and stack[-1][0] == "p" and not (closing and name == "p"):
                 leave()  # a block ends the paragraph
             if name in ("article", "main"):
                 article = max(0, article + (-1 if closing else 1))
-            elif not closing and name not in VOID and not tag.endswith("/>") and _boilerplate(name, tag):
-                skipping, depth, within = name, 1, {}
+            elif not closing and name not in VOID and not tag.endswith("/>"):
+                verdict = _judge(name, tag)
+                if verdict == LEAVE_OUT:
+                    skipping, depth, within = name, 1, {}
             if closing:
                 if opened.get(name):
-                    while stack[-1] != name:
+                    while stack[-1][0] != name:
                         leave()
                     leave()
             elif not skipping and name not in VOID and not tag.endswith("/>"):
-                if stack and stack[-1] in SELF_CLOSING.get(name, ()):
+                if stack and stack[-1][0] in SELF_CLOSING.get(name, ()):
                     leave()
-                stack.append(name)
+                doubtful = verdict == DOUBTFUL and article > 0  # of a box around the article it says nothing
+                stack.append((name, doubtful))
                 opened[name] = opened.get(name, 0) + 1
+                doubts += doubtful
     flush()
     return found
 
@@ -227,39 +297,68 @@ def _line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def page_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, path, url, lines, marks): hashed lines of each page, and
-    whether each stands inside an article or main element."""
-    one = pages.select(host_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("host"),
-                       path_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("path"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"),
-                       F.col(f"`{html}`").alias("html"))
+def parsed_pages(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    """One parse of every page: page_id, url, host, path; ``texts``, the lines that
+    no rule leaves out; ``kept`` their hashes and ``marks`` whether they are
+    protected (inside an article, no doubtful box around); ``lines`` and ``boxed``,
+    hashes of all lines and whether a rule leaves them out; ``same``, one key
+    for equal host and kept lines, and ``key`` for equal marks as well (128 bits).
+    """
+    source = F.coalesce(F.col(f"`{url}`"), F.lit(""))
+    one = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), host_of(source).alias("host"),
+                       path_of(source).alias("path"), F.col(f"`{html}`").alias("html"))
+    schema = (f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, host string, path string, texts array<string>, "
+              "kept array<long>, marks array<boolean>, lines array<long>, boxed array<boolean>, same binary, key binary")
+
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts, kept, marks, lines, boxed, same, keys = [], [], [], [], [], [], []
+        for host, html in zip(part.column(2).to_pylist(), part.column(4).to_pylist()):
+            found = page_blocks(html or "")
+            stay = [x for x in found if not x.boxed]
+            texts.append([x.text for x in stay])
+            kept.append([_line_hash(x.text) for x in stay])
+            marks.append([x.inside and not x.doubtful for x in stay])
+            lines.append([_line_hash(x.text) for x in found])
+            boxed.append([x.boxed for x in found])
+            same.append(xxhash.xxh3_128_digest(f"{host} {kept[-1]}"))
+            keys.append(xxhash.xxh3_128_digest(f"{host} {kept[-1]} {marks[-1]}"))
+        return pa.RecordBatch.from_arrays(
+            [*part.columns[:4], pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.bool_())),
+             pa.array(lines, pa.list_(pa.int64())), pa.array(boxed, pa.list_(pa.bool_())), pa.array(same, pa.binary()), pa.array(keys, pa.binary())],
+            names=["page_id", "url", "host", "path", "texts", "kept", "marks", "lines", "boxed", "same", "key"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks(h or "") for h in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([[_line_hash(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
-                 pa.array([[inside for _, inside in x] for x in found], pa.list_(pa.bool_()))], names=["host", "path", "url", "lines", "marks"])
-
-    return one.mapInArrow(run, "host string, path string, url string, lines array<long>, marks array<boolean>")
-
-
-def template_lines(stage: Stage, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(key, shared): the positions of the lines that the nearest page of the
-    host shares and that no article or main element protects. Pages of equal
-    host, lines and marks have the same ``key``.
-
-    Pages of a host with the same lines are copies; the first of them in URL
-    order stands for all, so a page is never paired with its own copy and all
-    copies lose the same lines. Neighbours come from a distributed sort by host
-    and path, so a hot host spans partitions. A page whose lines all stand in
-    its neighbours keeps them.
+            sizes = pa.compute.binary_length(b.column(4)).fill_null(0).to_pylist()
+            lo = held = 0
+            for i, size in enumerate(sizes):  # a slice ends at 500 pages or where very long ones fill it
+                if i > lo and (i - lo >= SLICE_PAGES or held + size > SLICE_BYTES):
+                    yield rows(b.slice(lo, i - lo))
+                    lo, held = i, 0
+                held += size
+            if lo < b.num_rows:
+                yield rows(b.slice(lo))
+
+    return one.mapInArrow(run, schema)
+
+
+def template_lines(stage: Stage, parsed: DataFrame) -> DataFrame:
+    """(key, shared, boxes): for pages of ``parsed_pages`` with that key, the
+    positions among the kept lines of those that the nearest page of the host
+    shares and nothing protects, and the hashes of shared lines in left-out boxes.
+
+    Pages of a host with the same kept lines are copies; the first of them in
+    URL order stands for all, so a page is never paired with its own copy and
+    all copies lose the same lines. Neighbours come from a distributed sort by
+    host and path, so a hot host spans partitions. All lines of the two pages
+    are aligned, left-out boxes included. A page whose kept lines all stand in
+    one neighbour is compared with the other, or keeps them.
     """
-    found = page_lines(pages, url, html).filter(F.size("lines") > 0)
+    found = parsed.filter(F.size("kept") > 0)
     # combined on the map side, so a large group of copies doesn't meet in one task; marks differ between copies only by their markup
-    distinct = found.groupBy("host", F.xxhash64("lines").alias("same")).agg(
-        F.min(F.struct("path", "url", "lines")).alias("first"), F.collect_set(F.struct(page_key().alias("key"), "marks")).alias("variants"))
-    distinct = distinct.select("host", "same", "first.path", "first.url", "first.lines", "variants")
+    distinct = found.groupBy("same").agg(F.min(F.struct("host", "path", "url", "lines", "boxed")).alias("first"),
+                                         F.collect_set(F.struct("key", "marks")).alias("variants"))
+    distinct = distinct.select("same", "first.*", "variants")
     order = [F.col("host"), F.col("path"), F.col("url"), F.col("same")]
     ranked = running_totals(stage, distinct, order, {}, index="rank")
 
@@ -268,30 +367,34 @@ def template_lines(stage: Stage, pages: DataFrame, url: str = "url", html: str =
                              F.struct("path", "lines").alias(name))
 
     paired = ranked.join(beside(-1, "before"), "rank", "left").join(beside(1, "after"), "rank", "left")
-    paired = paired.select("path", "lines", "variants", *[F.when(F.col("host") == F.col(f"{n}_host"), F.col(n)).alias(n) for n in ("before", "after")])
+    paired = paired.select("path", "lines", "boxed", "variants",
+                           *[F.when(F.col("host") == F.col(f"{n}_host"), F.col(n)).alias(n) for n in ("before", "after")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, shared = [], []
-            for path, lines, variants, *sides in zip(*[c.to_pylist() for c in b.columns]):
+            keys, shared, boxes = [], [], []
+            for path, lines, boxed, variants, *sides in zip(*[c.to_pylist() for c in b.columns]):
                 near = sorted((s for s in sides if s), key=lambda s: -_common(path, s["path"]))  # the page before on a tie
+                place, n_kept = [], 0  # a line's position among the kept ones
+                for x in boxed:
+                    place.append(n_kept)
+                    n_kept += not x
                 for s in near:
                     found = shared_lines(lines, s["lines"])
-                    if len(found) < len(lines):
+                    inner = [place[i] for i in found if not boxed[i]]
+                    if len(inner) < n_kept:
+                        outer = list({lines[i] for i in found if boxed[i]})
                         for v in variants:
-                            left_out = [i for i in found if not v["marks"][i]]
-                            if left_out:
+                            left_out = [i for i in inner if not v["marks"][i]]
+                            if left_out or outer:
                                 keys.append(v["key"])
                                 shared.append(left_out)
+                                boxes.append(outer)
                         break
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], names=["key", "shared"])
-
-    return stage.write(paired.mapInArrow(run, "key long, shared array<int>"))
-
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(shared, pa.list_(pa.int32())), pa.array(boxes, pa.list_(pa.int64()))],
+                                             names=["key", "shared", "boxes"])
 
-def page_key() -> Column:
-    """One key for all pages of equal ``host``, ``lines`` and ``marks``."""
-    return F.xxhash64("host", "lines", "marks")
+    return stage.write(paired.mapInArrow(run, "key binary, shared array<int>, boxes array<long>"))
 
 
 def _common(a: str, b: str) -> int:
@@ -304,35 +407,34 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``main_text`` plus n_shared and n_boxed: the lines that differencing
+    deleted, and those that the rules for boxes took from the rest."""
+    stage = Stage(pages.sparkSession)
+    parsed = stage.write(parsed_pages(pages, page_id, url, html))
+    shared = template_lines(stage, parsed.drop("page_id", "texts")).select(F.col("key").alias("shared_key"), "shared", "boxes")
+    # no hint: the planner knows the sizes of the written tables
+    joined = parsed.join(shared, F.col("key") == F.col("shared_key"), "left")
+    left = F.when(F.coalesce(F.size("shared"), F.lit(0)) < 1, F.col("texts")).otherwise(
+        F.filter("texts", lambda x, i: ~F.array_contains("shared", i)))
+    n_boxes = F.size(F.filter("lines", lambda x, i: F.get("boxed", i)))
+    in_boxes = F.when(F.coalesce(F.size("boxes"), F.lit(0)) < 1, 0).otherwise(
+        F.size(F.filter("lines", lambda x, i: F.get("boxed", i) & F.array_contains("boxes", x))))
+    n_shared = F.greatest(F.coalesce(F.size("shared"), F.lit(0)), F.lit(0)) + in_boxes
+    out = joined.select("page_id", "url", F.array_join(left, "\n\n").alias("text"), n_shared.cast("long").alias("n_shared"),
+                        (n_boxes - in_boxes).cast("long").alias("n_boxed"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_boxed")
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row for each page: page_id, url, text, n_chars.
 
     The text holds the blocks of the page but those that the nearest page of
-    its host shares; blocks of an article (or main) element stay even if
-    shared. Null and empty html give an empty text, null URLs have the
-    empty host. Repeated rows get equal texts; an empty table gives no rows.
+    its host shares and those of boxes; blocks of an article (or main) element
+    stay even if shared, except in a box of a doubtful name. A header element
+    is left out inside an article too, with a heading in it; a ``div`` named
+    "post-header" is not. Null and empty html give an empty text, null URLs
+    have the empty host. Repeated rows get equal texts; an empty table gives
+    no rows.
     """
-    stage = Stage(pages.sparkSession)
-    shared = template_lines(stage, pages, url, html).select(F.col("key").alias("shared_key"), "shared")
-    one = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"),
-                       host_of(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("host"), F.col(f"`{html}`").alias("html"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                found = [blocks(h or "") for h in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([[_line_hash(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
-                     pa.array([[inside for _, inside in x] for x in found], pa.list_(pa.bool_())),
-                     pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))], names=["page_id", "url", "host", "lines", "marks", "texts"])
-
-    schema = (f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, host string, lines array<long>, marks array<boolean>, "
-              "texts array<string>")
-    parsed = one.mapInArrow(run, schema).select("page_id", "url", page_key().alias("key"), "texts")
-    # no hint: the planner knows the size of the written table
-    joined = parsed.join(shared, F.col("key") == F.col("shared_key"), "left")
-    left = F.when(F.col("shared").isNull(), F.col("texts")).otherwise(
-        F.filter("texts", lambda x, i: ~F.array_contains("shared", i)))
-    text = F.array_join(left, "\n\n")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract(pages, page_id, url, html).select("page_id", "url", "text", "n_chars")
