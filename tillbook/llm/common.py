@@ -38,14 +38,15 @@ class Stage:
         self.paths: list[str] = []
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None, codec: str | None = None) -> DataFrame:
         """Write ``df`` and return the written table. ``rows``, a bound on its
         number of narrow rows where that is known, keeps small tables from
-        being spread over many files: one file for each ``ROWS_PER_FILE``."""
+        being spread over many files: one file for each ``ROWS_PER_FILE``.
+        ``codec`` is the compression of a wide table, else the session's."""
         path = f"{self.base}/{len(self.paths)}"
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path

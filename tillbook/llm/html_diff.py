@@ -411,7 +411,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """``main_text`` plus n_shared and n_boxed: the lines that differencing
     deleted, and those that the rules for boxes took from the rest."""
     stage = Stage(pages.sparkSession)
-    parsed = stage.write(parsed_pages(pages, page_id, url, html))
+    parsed = stage.write(parsed_pages(pages, page_id, url, html), codec="zstd")  # it holds the corpus' texts
     shared = template_lines(stage, parsed.drop("page_id", "texts")).select(F.col("key").alias("shared_key"), "shared", "boxes")
     # no hint: the planner knows the sizes of the written tables
     joined = parsed.join(shared, F.col("key") == F.col("shared_key"), "left")
