@@ -111,25 +111,45 @@ def summary_totals(ledger: Ledger, p: SummaryParams) -> DataFrame:
     return merge_one_row_frames(exp, inc)
 
 
+def expense_rollups(ledger: Ledger, groups: DataFrame) -> DataFrame:
+    """SUM-CATEGORY, SUM-PRIORITY and SUM-TOTAL-EXP in one aggregate: ``kind``
+    says which of them a row belongs to. Grouping sets expand the small
+    pre-aggregate, never fact rows."""
+    parent = ledger.parent_category.select(F.col("id").alias("parent_category_id"), F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
+    keys = ["parent_id", "parent_name", "category_name", "priority"]
+    rows = groups.join(parent, "parent_category_id", "left").groupingSets([keys[:3], keys[3:], []], *keys).agg(
+        F.grouping("category_name").alias("no_category"), F.grouping("priority").alias("no_priority"), F.sum("amount").alias("amount"))
+    kind = F.when(F.col("no_category") == 0, "category").when(F.col("no_priority") == 0, "priority").otherwise("total")
+    # a category without a known parent counts in priorities and total only
+    return rows.select(kind.alias("kind"), *keys, "amount").filter((F.col("kind") != "category") | F.col("parent_id").isNotNull())
+
+
+def expense_document(rollups: DataFrame) -> DataFrame:
+    """One row of ``expense_rollups``: expense_amount, parentCategories and priorities."""
+    positive = (F.col("kind") != "category") | (F.col("amount") > 0)  # SUM-PARENT drops category sums <= 0
+    by_parent = rollups.filter(positive).groupBy("kind", "parent_id", "parent_name").agg(
+        F.sum("amount").alias("amount"),
+        ordered_collect(F.struct(F.col("category_name").alias("name"), "amount"), -F.col("amount"), F.col("category_name"),
+                        skip_null=F.col("kind") == "category").alias("categories"),
+        ordered_collect(F.struct(F.col("priority").alias("level"), "amount"), -F.col("amount"), F.col("priority"),
+                        skip_null=F.col("kind") == "priority").alias("levels"))
+    return by_parent.agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == "total", F.col("amount"))), F.lit(0).cast("long")).alias("expense_amount"),
+        F.flatten(F.collect_list(F.when(F.col("kind") == "priority", F.col("levels")))).alias("priorities"),  # at most one row
+        ordered_collect(F.struct(F.col("parent_name").alias("name"), "amount", "categories"), -F.col("amount"), F.col("parent_name"), F.col("parent_id"),
+                        skip_null=F.col("kind") == "category").alias("parentCategories"))
+
+
 def summary_document(ledger: Ledger, p: SummaryParams) -> DataFrame:
     """SUM-DOC: one row with ``expense`` and ``income`` structs shaped like the
     published summary (camelCase keys). Arrays are bounded by the dimension
     sizes (parents x categories, 3 priorities, wallets).
 
-    One plan: the expense pre-aggregate is planned once and reused by the
-    priority and category branches (ReusedExchange); income is scanned once
-    and its total and wallet array come out of a single aggregate.
+    One plan: the expense pre-aggregate goes through one chain of aggregates,
+    with categories, priorities and the total as grouping sets; income is
+    scanned once and its total and wallet array come out of a single aggregate.
     """
-    groups = expense_groups(ledger, p)
-    parents = parent_summary(category_summary(ledger, groups))
-    prios = priority_summary(groups)
-
-    expense_row = prios.agg(
-        F.coalesce(F.sum("amount"), F.lit(0).cast("long")).alias("expense_amount"),
-        ordered_collect(F.struct("level", "amount"), -F.col("amount"), F.col("level")).alias("priorities"))
-    parent_row = parents.agg(ordered_collect(
-        F.struct("name", "amount", "categories"), -F.col("amount"), F.col("name"), F.col("id"))
-        .alias("parentCategories"))
+    expense_row = expense_document(expense_rollups(ledger, expense_groups(ledger, p)))
 
     # left join: incomes of an unknown wallet still count in the total
     w = ledger.wallet.select(F.col("id").alias("wallet_id"), "name")
@@ -139,7 +159,7 @@ def summary_document(ledger: Ledger, p: SummaryParams) -> DataFrame:
         ordered_collect(F.struct("name", "amount"), -F.col("amount"), F.col("name"), F.col("wallet_id"),
                         skip_null=F.col("name").isNotNull()).alias("wallets"))
 
-    row = merge_one_row_frames(expense_row, parent_row, income_row)
+    row = merge_one_row_frames(expense_row, income_row)
     return row.select(
         F.struct(F.col("expense_amount").alias("amount"),
                  F.struct("parentCategories", "priorities").alias("groupSummary")).alias("expense"),
