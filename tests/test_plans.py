@@ -106,3 +106,33 @@ def test_a_far_page_numbers_ids_only(spark, store, monkeypatch):
     monkeypatch.setattr(LS, "with_positions", lambda df, *a: (seen.append(df.columns), plain(df, *a))[1])
     rows = LS.expense_index(store.read(), DateRange(), Page(2, 3), strategy="positions").collect()
     assert [r.id for r in rows] == [4, 5] and seen == [["id"]]
+
+
+def test_expense_elements_are_dealt_once(spark):
+    """Lines and orders are dealt by batch; the JSON texts of the elements are not shuffled."""
+    from tillbook.sources import requests as RQ
+
+    plan = RQ.expense_request_documents(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_flags_of_elements_do_not_shuffle_them(spark, fixture_ledger):
+    """Offending keys and rejected batches are small tables of known size: the elements stay where they are."""
+    from tillbook.operators import validate as V
+    from tillbook.sources import requests as RQ
+
+    v = V.validate_expense_batches(fixture_ledger, RQ.expense_request_documents(spark, SF_SMALL))
+    assert "Exchange hashpartitioning" not in v._jdf.queryExecution().executedPlan().toString()
+    assert v.filter("NOT batch_ok").count() > 0
+
+
+def test_expense_documents_of_repeated_and_null_keys(spark, tmp_path):
+    """Orders that come twice give two elements, each with all the tags; a null key has none."""
+    from tillbook.sources import requests as RQ
+
+    spark.sql("SELECT * FROM VALUES (1L, 3L, 10.5D, '1-URGENT', 'F', DATE'1996-01-02'), (1L, 3L, 10.5D, '1-URGENT', 'F', DATE'1996-01-02'), "
+              "(2L, 4L, 7.0D, '2-HIGH', 'O', DATE'1996-01-03'), (22L, 4L, 7.0D, '2-HIGH', 'O', DATE'1996-01-03'), (CAST(NULL AS LONG), 4L, 7.0D, '2-HIGH', 'O', DATE'1996-01-03') "
+              "t(o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus, o_orderdate)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 9L), (1L, 4L), (1L, 9L), (22L, 5L), (CAST(NULL AS LONG), 6L), (400L, 6L) t(l_orderkey, l_partkey)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = RQ.expense_request_elements(spark, str(tmp_path)).selectExpr("batch_id", "pos", "get_json_object(element, '$.tagIds') AS tags").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(0, 1, "[5,10]"), (0, 1, "[5,10]"), (0, 2, "[]"), (1, 2, "[6]"), (None, None, "[]")], key=str)

@@ -7,11 +7,12 @@ every element of a batch that holds any rejected element.
 
 Scale notes: rows are parsed and checked field by field once, then fixed
 in a written table; everything after reads that table. Unknown tags are
-found with an explode + anti join against the tag dimension; only
-the (usually few) offending element keys are shuffled. The batch gate never
-groups a batch's rows together: it collects the *ids* of rejected batches
-and joins them back; AQE broadcasts them by their bytes, or splits a shuffle
-partition if one batch is huge.
+found with an explode + anti join against the tag dimension; they, the
+offending element keys and the ids of rejected batches are small tables
+written first and joined back, so the planner broadcasts them by their bytes
+and the elements stay where they are. Beyond that size both sides are
+shuffled; the batch gate never groups a batch's rows together, and AQE splits
+a shuffle partition if one batch is huge.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ def _known(ledger: Ledger, table: str, key: str, flag: str) -> DataFrame:
 
 
 def _flag_keys(x: DataFrame, offending: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """x + boolean ``flag`` for rows whose key is in ``offending`` (keys only)."""
-    return x.join(offending.select(*keys).distinct().withColumn(flag, F.lit(True)), keys, "left")
+    """x + boolean ``flag`` for rows whose key is in ``offending`` (keys only).
+    The keys are fixed first, so that the planner knows their bytes before it
+    would shuffle x to meet them."""
+    return x.join(fix(offending.select(*keys).distinct()).withColumn(flag, F.lit(True)), keys, "left")
 
 
 def _passthrough(parsed: DataFrame) -> list[str]:
@@ -47,7 +50,7 @@ def expense_rules(ledger: Ledger, parsed: DataFrame, keys: list[str]) -> DataFra
     tag_ids = ledger.tag.select(F.col("id").alias("_tag"))
     # the distinct ids meet the tag table, and only the few unknown ones meet the elements again
     named = x.select(*keys, F.explode("tagIds").alias("_tag")).filter(F.col("_tag") >= 1)
-    unknown = named.select("_tag").distinct().join(tag_ids, "_tag", "left_anti")
+    unknown = fix(named.select("_tag").distinct().join(tag_ids, "_tag", "left_anti"))
     x = _flag_keys(x, named.join(unknown, "_tag", "left_semi"), keys, "_tag_unknown")
     corrupt = F.col("_corrupt")
     doc = F.col("doc_ok") if extra else F.lit(True)

@@ -77,7 +77,8 @@ def number_elements(rows: DataFrame, doc: str, index: str, keep: Column, name: s
     once = (F.col("_low") == F.col("_piece") * PIECE) & (F.col("_high") - F.col("_low") + 1 == F.col("_all"))
     counted = counted.select(doc, "_piece", F.when(once, F.col("_kept")).otherwise(F.raise_error(
         F.lit("elements of a document must stand once each"))).cast("long").alias("_kept"), "_gaps")
-    starts = prefix_sums(counted, [doc, "_piece"], "_kept", "_first")
+    # fixed first: the range sort samples its input, which would count everything once more
+    starts = prefix_sums(fix(counted), [doc, "_piece"], "_kept", "_first")
     before = F.size(F.filter("_gaps", lambda g: g < F.col(index)))
     numbered = pieces.filter(kept).join(starts.select(doc, "_piece", "_first", "_gaps"), [doc, "_piece"])
     return numbered.withColumn(name, F.col("_first") + (F.col(index) - F.col("_piece") * PIECE - before).cast("long")).drop(

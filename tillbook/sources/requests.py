@@ -31,14 +31,18 @@ def expense_request_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One expense element per order: (batch_id, pos, element JSON text)."""
     o = read_driver_table(spark, sf_dir, "orders")
     li = read_driver_table(spark, sf_dir, "lineitem")
-    # tags per order: distinct (part + 1), ascending; [] when no lines
-    tags = (li.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") + 1).cast("int").alias("t"))
-            .groupBy("o_orderkey").agg(F.array_sort(F.collect_set("t")).alias("tags")))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    batch = lambda key: (key / EXPENSE_BATCH_SIZE).cast("long").alias("batch_id")
+    # tags per order: distinct (part + 1), ascending; [] when no lines. Lines and orders are dealt by
+    # batch, which their documents are grouped by later, so no element is shuffled
+    lines = li.filter(F.col("l_orderkey").isNotNull()).select(
+        batch(F.col("l_orderkey")), F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") + 1).cast("int").alias("t"))
+    tags = (lines.repartition("batch_id").groupBy("batch_id", "o_orderkey").agg(F.array_sort(F.collect_set("t")).alias("tags"))
+            .groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct("o_orderkey", "tags"))).alias("tags")))
     base = F.floor("o_totalprice").cast("int")
     priority = (F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 0)
                 .when(F.col("o_orderpriority") == "3-MEDIUM", 1).otherwise(2))
-    tag_ids = F.coalesce(F.col("tags"), F.array().cast("array<int>"))
+    tag_ids = F.coalesce(F.col("tags")[k], F.array().cast("array<int>"))
     tag_ids = F.when(_hit(k, 401, 17) & (F.size(tag_ids) > 0), F.concat(tag_ids, F.slice(tag_ids, 1, 1))) \
         .otherwise(tag_ids)
     tag_ids = F.when(_hit(k, 457, 21), F.concat(tag_ids, F.array(F.lit(UNKNOWN_TAG)))).otherwise(tag_ids)
@@ -56,9 +60,8 @@ def expense_request_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted_amount = F.to_json(F.struct(*[(v.cast("string") if n == "amount" else v).alias(n) for n, v in fields.items()]))
     numeric_desc = F.to_json(F.struct(*[(k.cast("int") if n == "description" else v).alias(n) for n, v in fields.items()]))
     element = (F.when(_hit(k, 509, 8), quoted_amount).when(_hit(k, 613, 9), numeric_desc).otherwise(normal))
-    return (o.join(tags, "o_orderkey", "left")
-            .select((k / EXPENSE_BATCH_SIZE).cast("long").alias("batch_id"),
-                    (k % EXPENSE_BATCH_SIZE).cast("int").alias("pos"), element.alias("element")))
+    return (o.withColumn("batch_id", batch(k)).join(tags, "batch_id", "left")
+            .select("batch_id", (k % EXPENSE_BATCH_SIZE).cast("int").alias("pos"), element.alias("element")))
 
 
 def _documents(elements: DataFrame, key: str) -> DataFrame:
