@@ -136,3 +136,15 @@ def test_expense_documents_of_repeated_and_null_keys(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES (1L, 9L), (1L, 4L), (1L, 9L), (22L, 5L), (CAST(NULL AS LONG), 6L), (400L, 6L) t(l_orderkey, l_partkey)").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = RQ.expense_request_elements(spark, str(tmp_path)).selectExpr("batch_id", "pos", "get_json_object(element, '$.tagIds') AS tags").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(0, 1, "[5,10]"), (0, 1, "[5,10]"), (0, 2, "[]"), (1, 2, "[6]"), (None, None, "[]")], key=str)
+
+
+def test_expense_tags_are_made_distinct_by_a_sort(spark, tmp_path):
+    """Pairs are dealt once, by expense, and no hash map holds them all; null and repeated ones stand once."""
+    from tillbook.sources import fixtures as FX
+
+    spark.sql("SELECT * FROM VALUES (1L, 9L), (1L, 4L), (1L, 9L), (CAST(NULL AS LONG), 6L), (CAST(NULL AS LONG), 6L), (2L, CAST(NULL AS LONG)), "
+              "(2L, CAST(NULL AS LONG)) t(l_orderkey, l_partkey)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = FX.expense_tag(spark, str(tmp_path))
+    assert sorted(((r.expense_id, r.tag_id) for r in pairs.collect()), key=str) == sorted([(2, 10), (2, 5), (None, 7), (3, None)], key=str)
+    text = plan(pairs, executed=False)
+    assert "HashAggregate" not in text and text.count("Exchange hashpartitioning") == 1
