@@ -25,6 +25,7 @@ from tillbook.operators import listings as LS
 from tillbook.operators import summary as S
 from tillbook.operators import validate as V
 from tillbook.params import DateRange, Page, SummaryParams, TagFilter
+from tillbook.plans.materialize import fix
 from tillbook.session import ensure_checkpoint_dir
 from tillbook.sources import requests as RQ
 from tillbook.sources.buckets import bucketed
@@ -476,7 +477,7 @@ def _moved_expense_cube(L, spark, sf_dir):
     """The stored cube after an insert, an update and a delete, each merged as signed cells."""
     path = _scratch(spark)
     CU.write_cube(CU.expense_cube(L), path)
-    new, _ = CH.insert_expenses(L, _validated_expenses(L, spark, sf_dir))
+    new = fix(CH.insert_expenses(L, _validated_expenses(L, spark, sf_dir))[0])  # read by every change after
     CU.merge_cells(spark, path, CU.EXPENSE_KEY, CU.signed_cells(CU.EXPENSE_KEY, after=new))
     L = L.replace(expense=L.expense.unionByName(new))
     changed, _, outcome = CH.update_expenses(L, RQ.expense_updates(spark, sf_dir))
@@ -488,7 +489,7 @@ def _moved_expense_cube(L, spark, sf_dir):
 def _moved_income_cube(L, spark, sf_dir):
     path = _scratch(spark)
     CU.write_cube(CU.income_cube(L), path)
-    new = CH.insert_incomes(L, V.validate_income_batches(L, RQ.income_request_documents(spark, sf_dir)))
+    new = fix(CH.insert_incomes(L, V.validate_income_batches(L, RQ.income_request_documents(spark, sf_dir))))
     CU.merge_cells(spark, path, CU.INCOME_KEY, CU.signed_cells(CU.INCOME_KEY, after=new))
     L = L.replace(income=L.income.unionByName(new))
     changed, outcome = CH.update_incomes(L, RQ.income_updates(spark, sf_dir))
