@@ -122,3 +122,13 @@ def test_request_rules(spark):
     got = {r.request_id: (r.status, r.reasons) for r in V.validate_summary_requests(spark.createDataFrame(docs, "request_id int, value string")).collect()}
     assert got[1] == ("ok", []) and got[2] == ("invalid", ["startDate:invalid"]) and got[3][1] == ["excludeCategoryIds:not_positive"]
     assert got[4][1] == ["excludeCategoryIds:missing"] and {got[i][0] for i in (5, 6, 7, 8, 9)} == {"invalid"}
+
+
+def test_points_are_dealt_before_they_meet_the_cells(spark, small_ledger):
+    """A join that broadcasts the totals must not leave every cell to the few tasks that read the requests."""
+    from tillbook.plans.materialize import fix
+
+    cells = fix(CU.income_cube(small_ledger))
+    requests = spark.sql("SELECT id AS request_id, DATE'2024-01-01' AS start, DATE'2024-12-31' AS end, CAST(array() AS array<bigint>) AS exclude FROM range(0, 50, 1, 1)")
+    plan = CU._range_cells(requests, cells, CU.INCOME_KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(request_id" in plan.split("BroadcastHashJoin")[1], plan

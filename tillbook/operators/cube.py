@@ -119,7 +119,9 @@ def _range_cells(requests: DataFrame, cells: DataFrame, key: tuple[str, ...], ke
     ends = F.array(F.struct(F.lit(1).alias("sign"), F.least(F.col("end"), last).alias("day")),
                    F.struct(F.lit(-1).alias("sign"), F.least(F.date_sub("start", 1), last).alias("day")))
     points = requests.filter(F.col("start") <= F.col("end")).select("request_id", "exclude", F.explode(ends).alias("p"))
-    found = points.select("request_id", "exclude", "p.sign", "p.day").join(totals, "day")
+    points = points.select("request_id", "exclude", "p.sign", "p.day")
+    # requests lie in few files, and each point meets every key: dealt first, or few tasks would make all the cells
+    found = points.repartition("request_id", "sign").join(totals, "day")
     if keep is not None:
         found = found.filter(keep)
     signed = found.select("request_id", *key, (F.col("sign") * F.col("amount_to")).alias("amount"), (F.col("sign") * F.col("n_to")).alias("n"))
